@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, mixing, simhash, tokencount, urlfilter, warc
+from quire.llm import decontaminate, mixing, simhash, tokencount, urlfilter, warc, webp
 
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Hosts that the site list blocks, with the hosts below them.
@@ -91,6 +91,10 @@ SELECT page_id, host, path,
 FROM p"""
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_features(spark, read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v)}
 
