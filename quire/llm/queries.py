@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, mixing, simhash, tokencount, toxicity, urlfilter, warc, webp
+from quire.llm import decontaminate, langid, mixing, simhash, tokencount, toxicity, urlfilter, warc, webp
 
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Hosts that the site list blocks, with the hosts below them.
@@ -72,6 +72,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(spark, read(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(spark, read(spark, sf_dir, "documents"))
+
+
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(x,) for x in LISTED_HOSTS], "key string")
     out = urlfilter.judge(spark, read(spark, sf_dir, "pages").select("page_id", "url"), listed, URL_RULES)
