@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, langid, mixing, simhash, tokencount, toxicity, urlfilter, warc, webp
+from quire.llm import decontaminate, langid, mixing, simhash, suffixdedup, tokencount, toxicity, urlfilter, warc, webp
 
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Hosts that the site list blocks, with the hosts below them.
@@ -64,6 +64,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(spark, read(spark, sf_dir, "documents"))
 
 
+def op5_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.report(spark, read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
