@@ -281,6 +281,14 @@ def report(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int =
     return out
 
 
+def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs."""
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    hits = report(spark, docs.select(key.alias("doc_id"), "text"), items, window)
+    bad = hits.filter("contaminated").select(F.col("doc_id").alias("_quire_key")).distinct()
+    return docs.join(bad, key == bad["_quire_key"], "left_anti")
+
+
 def _piecer(queries):
     """As the reporter, but with a document's spans and items, for blocks that are merged later."""
 

@@ -94,7 +94,7 @@ def _small(df: DataFrame, counted: DataFrame) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _taken, the words that the mix takes of each row."""
+    """``docs`` with _quire_size, _quire_source_size, _quire_target and _quire_taken, the words that the mix takes of each row."""
     tables = Tables(spark)
     size, h = word_count(F.col("text")), mix_hash(F.col("doc_id"), F.col("text"))
     base = tables.cut(docs.select("source", size.alias("size"), h.alias("h")), "mix-base")
@@ -104,11 +104,11 @@ def mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (5, 2,
 
 
 def apply_plan(docs: DataFrame, size: Column, h: Column, plans: DataFrame) -> DataFrame:
-    p = _small(plans.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "repeats", "threshold"), plans)
-    rows = docs.withColumns({"_size": size, "_h": h})
-    rows = rows.join(p, rows.source.eqNullSafe(p._s))
-    copies = F.col("repeats") + F.when(F.col("_h") <= F.col("threshold"), 1).otherwise(0)
-    return rows.withColumn("_taken", (F.col("_size") * copies).cast("long")).drop("_s", "_h", "repeats", "threshold")
+    p = _small(plans.select(F.col("source").alias("_quire_s"), F.col("source_size").alias("_quire_source_size"), F.col("target").alias("_quire_target"), F.col("repeats").alias("_quire_repeats"), F.col("threshold").alias("_quire_threshold")), plans)
+    rows = docs.withColumns({"_quire_size": size, "_quire_h": h})
+    rows = rows.join(p, rows.source.eqNullSafe(p._quire_s))
+    copies = F.col("_quire_repeats") + F.when(F.col("_quire_h") <= F.col("_quire_threshold"), 1).otherwise(0)
+    return rows.withColumn("_quire_taken", (F.col("_quire_size") * copies).cast("long")).drop("_quire_s", "_quire_h", "_quire_repeats", "_quire_threshold")
 
 
 def mix_report(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3) -> DataFrame:
@@ -118,4 +118,4 @@ def mix_report(spark: SparkSession, docs: DataFrame, weights: Sequence[float] =
     base = tables.cut(docs.select("doc_id", "source", size.alias("size"), h.alias("h")), "mix-base")
     plans = plan(spark, base.select("source", "size", "h"), weights, most, tables)
     rows = apply_plan(base, F.col("size"), F.col("h"), plans)
-    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+    return rows.select("doc_id", F.col("_quire_size").alias("size"), F.col("_quire_source_size").alias("source_size"), F.col("_quire_target").alias("target"), F.col("_quire_taken").alias("taken"))

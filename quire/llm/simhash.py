@@ -71,7 +71,7 @@ def fingerprint(data: bytes, n: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = np.array([fingerprint(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())], dtype=np.uint64)
-        yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(out.view(np.int64))], names=["doc_id", "th", "fp"])
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -192,19 +192,44 @@ def near_links(spark: SparkSession, prints: DataFrame, tables: Tables, radius: i
     return tables.cut(rows.mapInArrow(_linker(radius), "a bigint, b bigint"), "near-links")
 
 
-def report(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each document."""
-    tables = Tables(spark)
-    prints = tables.cut(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id bigint, fp bigint"), "fingerprints")
+def rooted(spark: SparkSession, docs: DataFrame, tables: Tables, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, fp) of each document, and (fp, root, first, rows) of each fingerprint."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    prints = tables.cut(docs.mapInArrow(_fingerprints, "doc_id bigint, th bigint, fp bigint"), "fingerprints")
     nodes = tables.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "nodes")
     links = near_links(spark, nodes.select("fp"), tables, radius)
     roots = components(spark, links, tables)
     joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
     joined = tables.cut(joined, "rooted")
+    for t in (nodes, links, roots):
+        tables.drop(t)
+    return prints, joined
+
+
+def report(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each document."""
+    tables = Tables(spark)
+    prints, joined = rooted(spark, docs, tables, radius)
     names = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
     names = tables.cut(names, "components")
     named = tables.cut(join_unique(joined, names, ["root"], weight="n").select("fp", "component_id", "rows"), "named")
+    tables.drop(joined)
+    tables.drop(names)
     out = join_unique(prints, named, ["fp"])
-    for t in (nodes, links, roots, joined, names):
-        tables.drop(t)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that have the least doc_id of their component, one row a component.
+
+    Of rows with that doc_id the one of least text hash stays, and one of rows that are equal in both.
+    """
+    tables = Tables(spark)
+    prints, joined = rooted(spark, docs, tables, radius)
+    placed = join_unique(prints, joined.select("fp", "root", "rows"), ["fp"])
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")
+    kept = placed.groupBy("root").agg(F.min(place).alias("p"))
+    kept = tables.cut(kept.select(F.col("p.doc_id").alias("_quire_doc"), F.col("p.th").alias("_quire_th")), "kept")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_quire_doc"]) & (F.xxhash64(docs["text"]) == kept["_quire_th"]), "left_semi")
+    same = prints.groupBy("doc_id", "th").count().filter("count > 1")
+    return out if same.isEmpty() else out.dropDuplicates(["doc_id", "text"])

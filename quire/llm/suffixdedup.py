@@ -377,7 +377,7 @@ def _rewrite(names: list[str]):
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = []
-            for t, s in zip(batch.column(batch.schema.names.index("text")).cast(pa.binary()), batch.column(batch.schema.names.index("_spans")).to_pylist(), strict=True):
+            for t, s in zip(batch.column(batch.schema.names.index("text")).cast(pa.binary()), batch.column(batch.schema.names.index("_quire_spans")).to_pylist(), strict=True):
                 data = t.as_py()
                 text.append(data if data is None else keep(data, whole_characters(data, merge(s))).decode())
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)} | {"text": pa.array(text, pa.string())}
@@ -389,7 +389,7 @@ def _rewrite(names: list[str]):
 def dedup_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with the repeats removed from ``text``, by whole characters."""
     tables = Tables(spark)
-    spans = repeat_spans(spark, docs, tables).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    spans = repeat_spans(spark, docs, tables).select(F.col("doc").alias("_quire_doc"), F.col("th").alias("_quire_th"), F.col("spans").alias("_quire_spans"))
     names = docs.columns
-    rows = docs.join(spans, (F.coalesce(docs["doc_id"], F.lit(NULL_DOC)) == spans["_doc"]) & (F.xxhash64(docs["text"]) == spans["_th"]), "left").drop("_doc", "_th")
+    rows = docs.join(spans, (F.coalesce(docs["doc_id"], F.lit(NULL_DOC)) == spans["_quire_doc"]) & (F.xxhash64(docs["text"]) == spans["_quire_th"]), "left").drop("_quire_doc", "_quire_th")
     return rows.mapInArrow(_rewrite(names), docs.schema)

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quire.llm.shared import Tables
 
@@ -292,14 +293,14 @@ def _scorer(model):
         restorer, known = Restorer(m.trigrams), {}
         for batch in batches:
             scores = [m.score(t or "", restorer, known) for t in batch.column(batch.schema.names.index("text")).to_pylist()]
-            yield batch.append_column("_score", pa.array(scores, pa.float64()))
+            yield batch.append_column("_quire_score", pa.array(scores, pa.float64()))
 
     return score
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the column _score."""
-    fields = docs.schema.add("_score", "double")
+    """``docs`` with the column _quire_score."""
+    fields = StructType([*docs.schema.fields, StructField("_quire_score", DoubleType())])
     return docs.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), fields)
 
 
