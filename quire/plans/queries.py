@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import rewrite as W
 from quire.functions import rules as R
 from quire.functions import text as T
 from quire.operators import chunks as K
@@ -227,6 +228,43 @@ def markdown_sections(spark, d):
     return L.markdown_sections(FX.books(spark))
 
 
+# rewriting
+def _rewritten(f):
+    return lambda spark, d: docs(spark, d).select("doc_id", F.sha2(f(F.col("text")), 256).alias("text_sha"))
+
+
+def _rewrite_query(name: str, f, sql: str | None = None) -> None:
+    QUERIES[name] = _rewritten(f)
+    if sql:
+        SQL[name] = f"SELECT doc_id, sha256({sql}) AS text_sha FROM documents"
+
+
+def _chain(x: str, rules) -> str:
+    for pattern, by in rules:
+        x = f"regexp_replace({x}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    return x
+
+
+_rewrite_query("hyphen_breaks_fixed", W.fix_hyphen_breaks, _chain("text", [(W.HYPHEN_BREAK, "$1-$2")]))
+_rewrite_query("footers_dropped", W.drop_footers, _chain("text", [("(?i)" + p, " ") for p in R.FOOTERS]))
+_rewrite_query("inline_marks_stripped", W.strip_inline_marks, _chain("text", W.INLINE_MARKS))
+_rewrite_query("dialogue_breaks", W.dialogue_breaks, _chain("text", W.DIALOGUE_BREAKS))
+_rewrite_query("thinking_dropped", W.drop_thinking, _chain("text", [(W.THINKING, "")]))
+_rewrite_query("triple_quotes_stripped", W.strip_triple_quotes, _chain("text", [('(?m)"""+[ \\t]*$', "")]))
+_rewrite_query("line_dashes", W.line_dashes)
+_rewrite_query("output_sanitized", W.sanitize_output)
+_rewrite_query("ellipsis_fixed", W.fix_ellipsis)
+_rewrite_query("final_postprocess", W.final_postprocess)
+_rewrite_query("unbroken", W.unbreak)
+_rewrite_query("edited", W.edit)
+_rewrite_query("preprocessed", W.preprocess)
+
+
+@query()
+def editor_changes(spark, d):
+    return W.changes(docs(spark, d), "editor-lite").select("doc_id", "line", "mode", F.sha2("after", 256).alias("after_sha"))
+
+
 # detectors
 _LONG = rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: length(x) >= 20)"
 
