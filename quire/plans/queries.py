@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,9 @@ from quire.operators import metrics as M
 from quire.operators import model as X
 from quire.operators import ordered as O
 from quire.operators import pairs as P
+from quire.operators import quotes as QT
 from quire.plans import fixtures as FX
+from quire.streaming import documents as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -579,3 +582,53 @@ def bleu_counts(spark, d):
 @query()
 def corpus_scores(spark, d):
     return M.corpus_scores(FX.samples(spark))
+
+
+@query("SELECT * FROM " + FX.values([(1, "“A fala começa” e segue.", 1), (2, "“Tudo bem?” disse.", 0)], "doc_id, text, mended"))
+def quotes_mended(spark, d):
+    return QT.mend_quotes(FX.speeches(spark))
+
+
+@query()
+def speech_joined(spark, d):
+    return QT.join_speech(FX.speeches(spark))
+
+
+# streams: run to their end over what is there
+def _scratch(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/quire"
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, d: str) -> str:
+    """The documents as a folder of files, which a stream reads."""
+    path = f"{_scratch(spark)}/in"
+    docs(spark, d).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(path)
+    return path
+
+
+@query(SQL["repeated_lines_removed"])
+def stream_repeated_lines(spark, d):
+    """The batch operator in micro-batches."""
+    base = _scratch(spark)
+    ST.transform_batches(ST.read_documents(spark, _files(spark, d), files=2), lambda b: rebuilt(L.remove_repeated(b)), f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+@query("SELECT count(DISTINCT text) AS n FROM documents")
+def stream_first_texts(spark, d):
+    """Texts that had not come before, by a stream that keeps their hashes."""
+    base = _scratch(spark)
+    q = ST.first_texts(ST.read_documents(spark, _files(spark, d), files=2)).select("doc_id", "hash16").writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").agg(F.count("*").alias("n"))
+
+
+@query()
+def stream_context(spark, d):
+    """Context kept by conversation."""
+    base = _scratch(spark)
+    spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("seq"), "text").write.parquet(f"{base}/in")
+    rows = spark.readStream.schema("key string, seq bigint, text string").parquet(f"{base}/in")
+    ST.keyed_context(rows).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("key", "seq", F.sha2("context", 256).alias("context_sha"))
