@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ GROUP, BLOCK = 4 << 20, 1 << 20
 HOT_CLASSES = 8192
 NULL_DOC = (1 << 63) - 1
 END = 0xFF  # no byte of UTF-8
+SIDE = (LENGTH - GRAM) // 2
 #: Odd multipliers of the gram hash.
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -61,7 +63,9 @@ def words8(data: np.ndarray) -> np.ndarray:
 
 def gram_hash(data: np.ndarray) -> np.ndarray:
     w = words8(data)
-    h = w[:-8] * K1 ^ (w[8:] * K2 + (w[8:] >> np.uint64(29)))
+    h = w[8:] >> np.uint64(29)
+    h += w[8:] * K2
+    h ^= w[:-8] * K1
     h ^= h >> np.uint64(32)
     h *= K3
     h ^= h >> np.uint64(29)
@@ -78,19 +82,20 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def stretches(data: bytes, begins: np.ndarray, sizes: np.ndarray):
     """For pieces of ``data``: (piece, first window, windows, anchor hash) of each stretch."""
-    buffer = np.frombuffer(data, dtype=np.uint8)
-    width = LENGTH - GRAM + 1
-    h = gram_hash(buffer)
-    # the place fills the low bits, from the right: of equal hashes the last in the window is the anchor
+    h = gram_hash(np.frombuffer(data, dtype=np.uint8))
     low = np.uint64((1 << 24) - 1)
-    least = sliding_min((h & ~low) | (low - np.arange(len(h), dtype=np.uint64)), width)
-    windows = sizes - LENGTH + 1
-    piece = np.repeat(np.arange(len(begins)), windows)
-    at = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(begins, windows)
-    anchor = (low - (least[at] & low)).astype(np.int64)
-    edge = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(piece, prepend=-1) != 0))
-    count = np.diff(edge, append=len(at))
-    return piece[edge], at[edge], count, h[anchor[edge]]
+    # the place fills the low bits, counted from the end: of equal hashes the last in the window is the anchor
+    keys = h & ~low
+    keys |= np.arange(len(h), dtype=np.uint64)[::-1]
+    least = sliding_min(keys, LENGTH - GRAM + 1)
+    at = np.unique(np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, begins]))
+    piece = np.searchsorted(begins, at, "right") - 1
+    stop = (begins + sizes - LENGTH + 1)[piece]
+    inside = at < stop  # windows across pieces are none
+    at, piece, stop = at[inside], piece[inside], stop[inside]
+    count = np.minimum(np.append(at[1:], len(data)), stop) - at
+    anchor = len(h) - 1 - (least[at] & low).astype(np.int64)
+    return piece, at, count, h[anchor]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list]]:
@@ -128,7 +133,13 @@ def _anchors(combine: bool):
             shash = np.fromiter((digest(view[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)), dtype=np.uint64, count=len(at))
             cols = [ahash.view(np.int64), shash.view(np.int64), doc[piece], th[piece], (at - begin[piece] + offset[piece]).astype(np.int32), n.astype(np.int32), np.ones(len(at), dtype=np.int64)]
             if combine:
-                order = np.lexsort((cols[4], cols[3], cols[2], cols[1], cols[0]))
+                mixed = ahash * K1 + shash
+                order = np.argsort(mixed)
+                same = np.flatnonzero(mixed[order[1:]] == mixed[order[:-1]])
+                if len(same):  # only classes with several members need their order
+                    rows = np.unique(np.concatenate([same, same + 1]))
+                    at = order[rows]
+                    order[rows] = at[np.lexsort((cols[4][at], cols[3][at], cols[2][at], cols[1][at], cols[0][at], mixed[at]))]
                 cols = [c[order] for c in cols]
                 first = np.flatnonzero((np.diff(cols[0], prepend=~cols[0][0]) != 0) | (np.diff(cols[1], prepend=~cols[1][0]) != 0))
                 cols = [*[c[first] for c in cols[:6]], np.diff(first, append=len(order))]
@@ -246,14 +257,48 @@ class RunIndex:
         return out
 
 
-def index_repeats(snippets: list[bytes]) -> list[np.ndarray]:
-    """For each snippet, in order, which of its windows occur at an earlier place of the snippets."""
+def laid_out(snippets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The snippets in one text, each with END behind it; where they begin; their lengths."""
     text = np.frombuffer(b"".join(s + bytes([END]) for s in snippets), dtype=np.uint8)
     n = np.array([len(s) for s in snippets])
-    at = np.cumsum(n + 1) - n - 1
+    return text, np.cumsum(n + 1) - n - 1, n
+
+
+def may_repeat(snippets: list[bytes], anchors: np.ndarray) -> np.ndarray:
+    """Which snippets may hold a window of another with the same anchor.
+
+    A window has half of what it holds besides the anchor, SIDE bytes, on one side of it or the other.  A snippet
+    that shares neither side with another shares no window.  Where one holds its anchor twice all of the anchor are kept.
+    """
+    text, at, n = laid_out(snippets)
+    hit = np.flatnonzero(gram_hash(text) == np.repeat(anchors, n + 1)[: len(text) - GRAM + 1])
+    owner = np.searchsorted(at, hit, "right") - 1
+    keep = np.isin(anchors, anchors[np.bincount(owner, minlength=len(at)) != 1])
+    once = ~keep
+    place = np.zeros(len(at), dtype=np.int64)
+    place[owner] = hit
+    w = words8(np.concatenate([text, np.zeros(8, dtype=np.uint8)]))
+    for begin, end in ((-SIDE, GRAM), (0, GRAM + SIDE)):
+        rows = np.flatnonzero(once & (place + begin >= at) & (place + end <= at + n))
+        if not len(rows):
+            continue
+        key = anchors[rows].copy()
+        for o in [*range(begin, end - 8, 8), end - 8]:
+            key ^= w[place[rows] + o]
+            key *= K2
+            key ^= key >> np.uint64(29)
+        order = np.argsort(key)
+        same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        keep[rows[order[same]]] = keep[rows[order[same + 1]]] = True
+    return keep
+
+
+def index_repeats(snippets: list[bytes]) -> list[np.ndarray]:
+    """For each snippet, in order, which of its windows occur at an earlier place of the snippets."""
+    text, at, n = laid_out(snippets)
     left = np.repeat(at + n, n + 1) - np.arange(len(text))
     found = RunIndex(text, left).repeats(LENGTH)
-    return [found[a : a + k - LENGTH + 1] for a, k in zip(at, n, strict=True)]
+    return [found[a:b] for a, b in zip(at.tolist(), (at + n - LENGTH + 1).tolist(), strict=True)]
 
 
 def runs(marks: np.ndarray) -> list[int]:
@@ -267,20 +312,33 @@ def runs(marks: np.ndarray) -> list[int]:
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of ahash, doc, th, s: blocks of whole anchors are indexed together."""
 
-    def done(rows: list) -> pa.RecordBatch:
-        out = [(r[1], r[2], [r[3] + x for x in runs(m)]) for r, m in zip(rows, index_repeats([r[4] for r in rows]), strict=True) if m.any()]
-        return pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int32()))], names=["doc", "th", "spans"])
+    schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("spans", pa.list_(pa.int32()))])
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        rows = table.filter(pa.array(may_repeat(table["data"].to_pylist(), table["ahash"].to_numpy().view(np.uint64))))
+        data = rows["data"].to_pylist()
+        out = [(d, t, [s + x for x in runs(m)]) for d, t, s, m in zip(*[rows[c].to_pylist() for c in ("doc", "th", "s")], index_repeats(data), strict=True) if m.any()] if data else []
+        return pa.record_batch([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    rows, size = [], 0
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("ahash", "doc", "th", "s", "data")], strict=True):
-            if size > BLOCK and row[0] != rows[-1][0]:
-                yield done(rows)
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[4]) + 1
-    if rows:
-        yield done(rows)
+        held.append(batch)
+        size += batch.column("data").nbytes
+        if size > BLOCK:
+            table = pa.Table.from_batches(held).combine_chunks()
+            ahash = table["ahash"].to_numpy()
+            new = np.flatnonzero(np.diff(ahash)) + 1  # where an anchor's rows begin
+            ends = np.cumsum(pc.binary_length(table["data"]).to_numpy())
+            at = 0
+            for cut in new.tolist():
+                if ends[cut - 1] - (ends[at - 1] if at else 0) > BLOCK or cut == new[-1]:
+                    yield done(table.slice(at, cut - at))
+                    at = cut
+            held = table.slice(at).to_batches()  # the last anchor's rows may go on
+            size = sum(b.column("data").nbytes for b in held) if at else 0
+    if held:
+        yield done(pa.Table.from_batches(held))
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
