@@ -123,11 +123,12 @@ class Model:
 
 def fit(spark: SparkSession, docs: DataFrame, tables: Tables) -> Model:
     """``docs`` (doc_id, text, lang)."""
-    rows = docs.filter("text is not null and lang is not null").filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    ids = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE)
-    ids = tables.cut(ids.distinct(), "lang-sample")
-    chosen = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(ids.select("h").distinct()), "h")
+    rows = docs.filter("text is not null and lang is not null").filter(~held_out(F.col("doc_id")))
+    rows = rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    ids = tables.cut(rows.select("h").distinct().orderBy("h").limit(SAMPLE), "lang-sample")
+    chosen = rows.join(F.broadcast(ids), "h").dropDuplicates(["h"])  # repeated rows count once
     chosen = tables.cut(chosen.select("text", "lang"), "lang-rows")
+    tables.drop(ids)
     letters = chosen.mapInArrow(_count, "lang string, c bigint, n bigint").groupBy("lang", "c").agg(F.sum("n").alias("n"))
     letters = tables.cut(letters, "lang-letters")
     langs = sorted(r[0] for r in letters.select("lang").distinct().collect())
