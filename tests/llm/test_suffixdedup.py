@@ -76,3 +76,27 @@ def test_empty(spark):
     docs = documents(spark, corpus()).limit(0)
     assert sd.report(spark, docs).collect() == []
     assert sd.dedup_texts(spark, docs).collect() == []
+
+
+def test_filter_keeps_all_that_share_a_window():
+    rng = np.random.default_rng(8)
+    anchor = b"<the-anchor-gram>"[:16]
+    snippets = []
+    for _ in range(60):
+        left, right = (bytes(rng.integers(97, 123, 84).tolist()) for _ in range(2))
+        whole = left + anchor + right
+        for _ in range(6):
+            x = bytearray(whole)
+            for i in rng.integers(0, 184, 3):
+                if not 84 <= i < 100:
+                    x[i] = 65
+            snippets.append(bytes(x[int(rng.integers(0, 40)) : 184 - int(rng.integers(0, 40))]))
+    twice = [anchor + b"y" * 40 + anchor + b"z" * 60, b"q" * 30 + anchor + b"y" * 40 + anchor + b"z" * 60]
+    h = sd.gram_hash(np.frombuffer(anchor + bytes(1), dtype=np.uint8))[0]
+    keep = sd.may_repeat(snippets, np.full(len(snippets), h))
+    sets = [{s[i : i + 100] for i in range(len(s) - 99)} for s in snippets]
+    for i, a in enumerate(sets):
+        if any(a & b for j, b in enumerate(sets) if j != i):
+            assert keep[i]
+    assert not keep.all()
+    assert sd.may_repeat(snippets + twice, np.full(len(snippets) + 2, h)).all()
