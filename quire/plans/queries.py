@@ -14,6 +14,7 @@ from quire.functions import text as T
 from quire.operators import chunks as K
 from quire.operators import corpus as C
 from quire.operators import detect as D
+from quire.operators import enforce as EN
 from quire.operators import glossary as G
 from quire.operators import lines as L
 from quire.operators import metrics as M
@@ -447,6 +448,27 @@ def qa_scores(spark, d):
     return P.scores(FX.pairs(spark), P.issues(FX.pairs(spark), FX.pair_glossary(spark)))
 
 
+@query("SELECT * FROM " + FX.values([(1, "Mara segurou o Fio Limite.", 1), (2, "A Fio Limite quebrou, they said.", 1), (3, "Olá “amigo.", 0), (4, "O Fio Limite brilhou.", 1)], "doc_id, text, replaced"))
+def terms_enforced(spark, d):
+    return EN.enforce_terms(FX.pairs(spark).select(F.col("pair_id").alias("doc_id"), F.col("target").alias("text")), FX.pair_glossary(spark))
+
+
+@query("SELECT doc_id, sha256('Translate.' || chr(10) || chr(10) || '### TEXT' || chr(10) || text || chr(10) || '### END') AS prompt_sha FROM documents")
+def prompts(spark, d):
+    return docs(spark, d).select("doc_id", F.sha2(EN.prompt("Translate.", F.col("text"), F.lit("")), 256).alias("prompt_sha"))
+
+
+@query()
+def missing_lines(spark, d):
+    clean = docs(spark, d).select("doc_id", W.strip_inline_marks(F.col("text")).alias("text"))
+    return EN.missing_lines(docs(spark, d), clean).select("doc_id", "line_no", F.sha2("line", 256).alias("line_sha"))
+
+
+@query("SELECT run_id, seconds, elapsed FROM (VALUES ('a', 3725.5::DOUBLE, '01:02:05.500'), ('b', 0.25, '00:00:00.250')) v(run_id, seconds, elapsed)")
+def stage_times(spark, d):
+    return EN.stage_times(spark.createDataFrame([("a", "x", 3600.0), ("a", "y", 125.5), ("b", "x", 0.25)], "run_id string, stage string, seconds double"))
+
+
 # across volumes
 def _volumes(spark, d):
     return C.volumes(docs(spark, d), F.col("source"))
