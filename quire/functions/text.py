@@ -152,11 +152,13 @@ def detect_language(c: Column, configured: str = "auto") -> Column:
     if code != "auto":
         return F.lit(code)
     sample = F.substring(c, 1, R.LANGUAGE_SAMPLE)
-    words = words_of(sample)
-    count = lambda marks: F.size(F.filter(words, lambda w: w.isin(marks)))
+    low = F.lower(sample)
+    # a word is a whole run of letters
+    count = lambda marks: F.regexp_count(low, F.lit(r"(?<!\p{L})(?:" + "|".join(marks) + r")(?!\p{L})"))
     scores = F.array(*[F.struct(count(m.split()).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, m) in enumerate(R.LANGUAGE_MARKERS)])
-    best = F.array_max(scores)
-    out = F.when(best["n"] >= R.LANGUAGE_LEAST_HITS, best["lang"]).otherwise("en")
+    # the best is looked at inside an array, so that it is counted once
+    enough = F.filter(F.array(F.array_max(scores)), lambda b: b["n"] >= R.LANGUAGE_LEAST_HITS)
+    out = F.coalesce(F.try_element_at(F.transform(enough, lambda b: b["lang"]), F.lit(1)), F.lit("en"))
     for lang, script in reversed(R.SCRIPT_LANGUAGES):
         out = F.when(sample.rlike(script), lang).otherwise(out)
     return out
