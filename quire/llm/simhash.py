@@ -176,18 +176,27 @@ def table_keys(fp: Column, blocks: int, same: int) -> list[Column]:
     return out
 
 
+def spread(rows: DataFrame, key: str, n: int, tables: Tables) -> DataFrame:
+    """``rows`` with ``side``: buckets above CHUNK rows and above a share of 1/HOT of ``n`` become pairs of chunks.
+
+    Rows of a bucket meet if both sides are 0 or the sides differ.  With n the rows of a table, at most HOT buckets
+    a table are cut.
+    """
+    others_of = [c for c in rows.columns if c != "bucket"]
+    sizes = rows.groupBy("bucket").count().filter(F.col("count") > max(CHUNK, n // HOT))
+    sizes = tables.cut(sizes.select("bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "hot-buckets")
+    rows = rows.join(F.broadcast(sizes), "bucket", "left").withColumn("own", F.pmod(F.xxhash64(key), F.col("chunks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.xxhash64("bucket", F.least(c, "own"), F.greatest(c, "own")).alias("bucket"), F.when(c == F.col("own"), 0).when(c > F.col("own"), 1).otherwise(2).alias("side")))
+    place = F.when(F.col("chunks").isNull(), F.array(F.struct(F.col("bucket"), F.lit(0).alias("side")))).otherwise(others)
+    return rows.select(F.explode(place).alias("p"), *others_of).select("p.bucket", "p.side", *others_of)
+
+
 def near_links(spark: SparkSession, prints: DataFrame, tables: Tables, radius: int = RADIUS) -> DataFrame:
     """``prints``: distinct fp bigint.  Links (a, b) that connect all pairs within ``radius``."""
     n = prints.count()
     blocks, same = choose_blocks(n, radius)
     rows = prints.select(F.explode(F.array(*table_keys(F.col("fp"), blocks, same))).alias("bucket"), "fp")
-    # buckets above CHUNK and above a share of 1/HOT of a table's rows: at most HOT a table, so they are broadcast
-    sizes = rows.groupBy("bucket").count().filter(F.col("count") > max(CHUNK, n // HOT))
-    sizes = tables.cut(sizes.select("bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "hot-buckets")
-    rows = rows.join(F.broadcast(sizes), "bucket", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.xxhash64("bucket", F.least(c, "own"), F.greatest(c, "own")).alias("bucket"), F.when(c == F.col("own"), 0).when(c > F.col("own"), 1).otherwise(2).alias("side")))
-    place = F.when(F.col("chunks").isNull(), F.array(F.struct(F.col("bucket"), F.lit(0).alias("side")))).otherwise(others)
-    rows = rows.select(F.explode(place).alias("p"), "fp").select("p.bucket", "p.side", "fp")
+    rows = spread(rows, "fp", n, tables)
     rows = rows.repartition("bucket").sortWithinPartitions("bucket")
     return tables.cut(rows.mapInArrow(_linker(radius), "a bigint, b bigint"), "near-links")
 
@@ -227,6 +236,11 @@ def representatives(spark: SparkSession, docs: DataFrame, radius: int = RADIUS)
     tables = Tables(spark)
     prints, joined = rooted(spark, docs, tables, radius)
     placed = join_unique(prints, joined.select("fp", "root", "rows"), ["fp"])
+    return least_rows(docs, prints, placed, tables)
+
+
+def least_rows(docs: DataFrame, prints: DataFrame, placed: DataFrame, tables: Tables) -> DataFrame:
+    """One row of ``docs`` for each root of ``placed`` (doc_id, th, root)."""
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")
     kept = placed.groupBy("root").agg(F.min(place).alias("p"))
     kept = tables.cut(kept.select(F.col("p.doc_id").alias("_quire_doc"), F.col("p.th").alias("_quire_th")), "kept")

@@ -1,0 +1,57 @@
+import corpus_pipeline as cp
+import pytest
+
+from quire.llm import nearcopies as nc
+from quire.llm import simhash as sh
+
+from .helpers import corpus, documents, words
+from .test_simhash import brute_print
+
+
+def brute_set(text):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_kept(rows):
+    sets = [brute_set(t) for _, t in rows]
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if label[j] < label[i] and 5 * len(a & b) >= 4 * len(a | b):
+                    label[i], changed = label[j], True
+    return sorted(min(d for (d, _), k in zip(rows, label, strict=True) if k == v and d is not None) for v in set(label))
+
+
+def edited(text, *places):
+    w = text.split()
+    for p in places:
+        w[p] = f"other{p}"
+    return " ".join(w)
+
+
+def cases():
+    base = words(50, 200)
+    rows = corpus() + [(100, base), (101, edited(base, 20, 90, 150)), (102, edited(base, *range(5, 200, 30))), (103, edited(base, *range(2, 200, 12)))]
+    short = words(51, 60)
+    rows += [(200, short)] + [(201 + i, edited(short, 3 * i)) for i in range(15)] + [(300 + i, short) for i in range(5)]
+    return rows
+
+
+@pytest.mark.parametrize("small", [64, 3])
+def test_the_stage_is_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(nc, "SMALL", small)
+    monkeypatch.setattr(nc, "CENTRES", 1)
+    monkeypatch.setattr(sh, "CHUNK", 8)
+    rows = cases()
+    kept = cp.near_duplicates(spark, documents(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+
+
+def test_near_copies_beyond_four_bits_go(spark):
+    base = words(50, 200)
+    far = next(t for k in range(20) if (brute_print(t := edited(base, 20 + k, 90, 150)) ^ brute_print(base)).bit_count() > 4)
+    assert [r.doc_id for r in cp.near_duplicates(spark, documents(spark, [(1, base), (2, far)]), "").collect()] == [1]
