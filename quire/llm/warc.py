@@ -11,8 +11,9 @@ others are revisits, which carry the digest, the HTTP head and the id of the res
 
 Defined results.  A null html is an empty payload, a null url leaves the header out.  A null page_id is smaller
 than any; rows that share the largest page_id are all responses.  White space and control characters in a url
-become %20 in its header.  A file's chain ends at the first place where no record begins; what follows it is not
-returned.  An empty table makes no record.  Only page_id, url and html are read.
+become %20 in its header.  A header may be of any length; it ends at its first empty line, and a line that is no field
+and continues none makes the place no record.  A file's chain ends at the first place where no record begins; a file
+of which it is not the end is an error.  An empty table makes no record.  Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SEPARATOR = "\r\n\r\n"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+#: Allowed a record besides its payload and url.
 HEAD_BYTES = 1 << 16
 ONE_ROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
 RECORD = "file string, offset bigint, next bigint, size bigint, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes bigint, intact boolean"
@@ -77,7 +79,9 @@ def record_text(rows: DataFrame) -> DataFrame:
 
 def write_archives(spark: SparkSession, pages: DataFrame, tables: Tables) -> str:
     """Writes a record a page; returns the folder of the archives."""
-    n, total, most = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)), F.coalesce(F.max(F.octet_length("html")), F.lit(0))).first()
+    # a byte of a url may become three
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)).cast("bigint")
+    n, total, most = pages.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
     mean = total // max(1, n) + 1024
     records = max(1, min(MOST_RECORDS, ARCHIVE_BYTES // mean, MOST_BYTES // (most + HEAD_BYTES)))
     path = shared_path(spark, "warc")
@@ -95,9 +99,26 @@ def _header(data: bytes, at: int, end: int) -> dict[bytes, bytes]:
     return out
 
 
+def _header_end(data: bytes, at: int) -> int:
+    """Where the empty line after the header at ``at`` begins; -1 if a line before it is no field.
+
+    The magic is no field, so no search goes on behind the next one, and all searches of a file are linear.
+    """
+    end = data.find(b"\r\n", at)
+    while end >= 0:
+        begin = end + 2
+        after = data.find(b"\r\n", begin)
+        if after == begin:
+            return end
+        if after < 0 or (data.find(b":", begin, after) < 0 and data[begin : begin + 1] not in (b" ", b"\t")):
+            return -1
+        end = after
+    return -1
+
+
 def parse_candidate(data: bytes, at: int) -> tuple | None:
     """The record that would begin at ``at``: its successor's offset and its fields; None if it can't be one."""
-    end = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
+    end = _header_end(data, at)
     if end < 0:
         return None
     head = _header(data, at, end)
@@ -158,7 +179,12 @@ def read_archives(spark: SparkSession, path: str, tables: Tables) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     candidates = tables.cut(files.mapInArrow(_candidates, RECORD), "candidates", ONE_ROW)
     kept = chain(candidates, tables)
-    return candidates.join(kept, ["file", "offset"], "left_semi")
+    records = candidates.join(kept, ["file", "offset"], "left_semi")
+    whole = records.filter("next = size").select(F.col("file").alias("path")).distinct()
+    broken = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0").join(whole, "path", "left_anti").head()
+    if broken:
+        raise ValueError(f"the records of {broken.path} do not reach its end")
+    return records
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

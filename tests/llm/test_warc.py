@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from quire.llm import warc
 from quire.llm.shared import Tables
 
@@ -58,3 +60,18 @@ def test_bad_candidates():
     assert warc.parse_candidate(b"WARC/1.1\r\nno end", 0) is None
     assert warc.parse_candidate(b"WARC/1.1\r\nContent-Length: x\r\n\r\n", 0) is None
     assert warc.parse_candidate(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n", 0) is None
+
+
+def test_a_url_longer_than_64_kb_loses_no_page(spark):
+    rows = [(i, f"http://h/{i}" + (" long" * 20_000 if i == 3 else ""), f"page {i}", "a", "b") for i in range(8)]
+    out = warc.round_trip(spark, spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert sorted((tuple(r)[:5] for r in out), key=str) == want(rows)
+
+
+def test_a_chain_that_ends_early_is_an_error(spark, tmp_path):
+    record = b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 3\r\n\r\nend\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(record * 2)
+    assert warc.read_archives(spark, str(tmp_path), Tables(spark)).count() == 2
+    (tmp_path / "b.warc").write_bytes(record + b"junk" + record)
+    with pytest.raises(ValueError, match="b.warc"):
+        warc.read_archives(spark, str(tmp_path), Tables(spark))
