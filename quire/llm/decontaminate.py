@@ -1,7 +1,7 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 ``build_index`` stores the postings of all training tokens, as a table of segments: each holds the documents of
-about SEGMENT_WORDS words, its vocabulary, and for each term the sorted positions at which it stands.  A segment
+about SEGMENT_WORDS words, a number of its own, its vocabulary, and for each term the sorted positions at which it stands.  A segment
 is whole for its documents, so a query needs no shuffle, whatever term or source is hot.  A phrase is found by
 taking the postings of its rarest term in the segment, moved back by the term's offset, and intersecting them
 with the moved postings of the next rarest until none or the occurrences are left.
@@ -18,9 +18,11 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +38,9 @@ FEW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
 #: A-Z lower-cased, and each byte that is not part of a word made a space.
 TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
 
-INDEX = "doc_ids array<bigint>, starts binary, lengths binary, terms binary, counts binary, postings binary"
+INDEX = "seg bigint, doc_ids array<bigint>, starts binary, lengths binary, terms binary, counts binary, postings binary"
 REPORT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-PIECES = "seg string, doc_no int, doc_id bigint, n_words bigint, spans array<bigint>, items array<bigint>"
+PIECES = "seg bigint, doc_no int, doc_id bigint, n_words bigint, spans array<bigint>, items array<bigint>"
 MATCHES = "doc_id bigint, item_id bigint, word int, length int"
 
 
@@ -47,7 +49,7 @@ def split_words(data: bytes) -> list[bytes]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("starts", "lengths", "terms", "counts", "postings")]])
+    schema = pa.schema([("seg", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("starts", "lengths", "terms", "counts", "postings")]])
 
     def flush() -> pa.RecordBatch:
         n = np.array(lengths, dtype=np.int64)
@@ -57,7 +59,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys.sort()
         postings = np.diff((keys & 0xFFFFFFFF).astype(np.uint32), prepend=np.uint32(0))  # steps compress well
         counts = np.bincount(term, minlength=len(vocabulary)).astype(np.int64)
-        row = [doc_ids, starts.tobytes(), n.tobytes(), b" ".join(vocabulary), counts.tobytes(), postings.tobytes()]
+        row = [next(names), doc_ids, starts.tobytes(), n.tobytes(), b" ".join(vocabulary), counts.tobytes(), postings.tobytes()]
         return pa.record_batch([pa.array([x], type=f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     def fresh():
@@ -65,6 +67,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v.default_factory = v.__len__  # a new term gets the next number
         return v, [], [], []
 
+    names = count(TaskContext.get().partitionId() << 33)
     vocabulary, ids, lengths, doc_ids = fresh()
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
@@ -106,7 +109,7 @@ class Segment:
     """One row of the index."""
 
     def __init__(self, row: dict):
-        self.doc_ids = row["doc_ids"]
+        self.seg, self.doc_ids = row["seg"], row["doc_ids"]
         self.starts, self.lengths, self.counts = (np.frombuffer(row[c], dtype=np.int64) for c in ("starts", "lengths", "counts"))
         self.terms = {t: i for i, t in enumerate(row["terms"].split(b" "))} if row["terms"] else {}
         self.at = np.concatenate([[0], np.cumsum(self.counts)])
@@ -295,14 +298,13 @@ def _piecer(queries):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seg in _rows(batches):
             first, length, pairs = seg.hits(queries.value)
-            name = hashlib.sha256(seg.keys.tobytes() + repr(seg.doc_ids).encode()).hexdigest()
             doc = np.searchsorted(seg.starts, first, "right") - 1
             span_at = np.searchsorted(doc, np.arange(len(seg.starts) + 1))
             item_at = np.searchsorted(pairs[:, 0], np.arange(len(seg.starts) + 1))
             spans = [np.stack([first[a:b] - seg.starts[d], length[a:b]], axis=1).ravel().tolist() for d, (a, b) in enumerate(zip(span_at[:-1], span_at[1:], strict=True))]
             items = [pairs[a:b, 1].tolist() for a, b in zip(item_at[:-1], item_at[1:], strict=True)]
             n = len(seg.starts)
-            yield pa.record_batch([pa.array([name] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(seg.doc_ids, pa.int64()), pa.array(seg.lengths), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=[c.split()[0] for c in PIECES.split(", ")])
+            yield pa.record_batch([pa.array([seg.seg] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(seg.doc_ids, pa.int64()), pa.array(seg.lengths), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=[c.split()[0] for c in PIECES.split(", ")])
 
     return pieces
 

@@ -78,3 +78,16 @@ def test_clean_drops_only_contaminated_rows(spark):
     kept = dc.clean(spark, docs, bench)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, t in corpus() if not brute(t, [(1, words(1, 40))])[4])
+
+
+def test_equal_segments_keep_their_rows_in_any_number_of_blocks(spark, monkeypatch):
+    rows = [(1, words(1, 40)), (2, words(9, 30))]
+    other = [(None, "one two three"), (None, words(3, 12))]
+    alike = [(None, "four five six"), (None, words(4, 12))]  # the same pattern of words as in other
+    parts = [documents(spark, x).coalesce(1) for x in (rows, rows, other, alike)]
+    docs = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    bench = spark.createDataFrame(items(), "item_id bigint, text string")
+    want = sorted(((d, *brute(t, items())) for d, t in rows * 2 + other + alike), key=str)
+    for size in (dc.BLOCK_BYTES, 60):
+        monkeypatch.setattr(dc, "BLOCK_BYTES", size)
+        assert sorted((tuple(r) for r in dc.report(spark, docs, bench).collect()), key=str) == want
