@@ -7,6 +7,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ BOUNDARY = re.compile(r"\n\n|[.!?][\"'”’)]?(?=\s|$)")
 SPEECH_STARTS = ('"', "'", "-", "—", "“", "”")
 CLOSED_ENDS = (".", "?", "!", '"', "'", ":", "”")
 SHORT = 25
+FOLD = 64
 CHUNKS = "doc_id bigint, chunk_idx bigint, start_offset bigint, end_offset bigint, text string"
 
 
@@ -201,24 +203,33 @@ def fix_glued(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.array_join(fixed, "\n").alias("text"), breaks.alias("breaks"))
 
 
+def _alike(least: float):
+    def pairs(group: pa.Table) -> pa.Table:
+        doc, at, texts = (group.column(k).to_pylist() for k in ("doc_id", "chunk_idx", "norm"))
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        order = np.argsort(size, kind="stable")
+        codes = (np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % FOLD for i in order)
+        letters = np.array([np.bincount(c, minlength=FOLD) for c in codes], dtype=np.int64).reshape(-1, FOLD)
+        size, out = size[order], []
+        for k in range(len(order)):
+            end = np.searchsorted(size, size[k] * (2 - least) / least + 1, "right")  # no longer one has the ratio
+            both = size[k] + size[k + 1 : end]
+            fits = np.abs(letters[k + 1 : end] - letters[k]).sum(axis=1) <= (1 - least) * both + 1e-6
+            for j in np.flatnonzero(fits) + k + 1:
+                a, b = sorted((order[k], order[j]), key=at.__getitem__)
+                m = SequenceMatcher(None, texts[a], texts[b])
+                if at[a] < at[b] and m.quick_ratio() >= least and m.ratio() >= least:
+                    out.append((doc[a], at[a], at[b]))
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "a", "b"])
+
+    return pairs
+
+
 def near_duplicate_pairs(chunks: DataFrame, least: float = 0.95) -> DataFrame:
     """(doc_id, a, b): chunks of one document so alike that one's result may serve the other.
 
-    Candidates share a word trigram and are near in length; the exact ratio decides.
+    All pairs of a document's chunks count.  Lengths and letter counts, folded to FOLD, bound the ratio from above, so
+    the exact ratio is taken only of pairs that may have it.
     """
-    rows = chunks.withColumn("norm", T.squeeze(F.col("text")))
-    words = F.split("norm", " ")
-    grams = F.array_distinct(F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.slice(words, i, 3)))).otherwise(F.array(F.xxhash64("norm"))))
-    keyed = rows.select("doc_id", "chunk_idx", F.length("norm").alias("n"), F.explode(grams).alias("g"))
-    other = keyed.select("doc_id", F.col("chunk_idx").alias("b"), F.col("n").alias("m"), "g")
-    near = (F.col("chunk_idx") < F.col("b")) & (2 * F.least("n", "m") >= least * (F.col("n") + F.col("m")))
-    pairs = keyed.join(other, ["doc_id", "g"]).filter(near).select("doc_id", F.col("chunk_idx").alias("a"), "b").distinct()
-    text = lambda k, name: rows.select("doc_id", F.col("chunk_idx").alias(k), F.col("norm").alias(name))
-    both = pairs.join(text("a", "x"), ["doc_id", "a"]).join(text("b", "y"), ["doc_id", "b"]).select("doc_id", "a", "b", "x", "y")
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [SequenceMatcher(None, x, y).ratio() >= least for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            yield pa.record_batch(batch.columns[:3], names=["doc_id", "a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(alike, "doc_id bigint, a int, b int")
+    rows = chunks.filter("doc_id is not null and text is not null").select("doc_id", F.col("chunk_idx").cast("int").alias("chunk_idx"), T.squeeze(F.col("text")).alias("norm"))
+    return rows.groupBy("doc_id").applyInArrow(_alike(least), "doc_id bigint, a int, b int").distinct()

@@ -588,7 +588,7 @@ def glued_dialogues(spark, d):
 
 @query()
 def near_duplicate_chunks(spark, d):
-    return K.near_duplicate_pairs(FX.near_texts(spark))
+    return K.near_duplicate_pairs(K.chunk_strict(docs(spark, d)))
 
 
 @query()
