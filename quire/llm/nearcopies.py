@@ -6,8 +6,11 @@ Jaccard similarity is at least 4/5.  All sets are put in one order; two that are
 places allow the similarity.  Shingles that are frequent in a sample come last in the order: that keeps buckets
 small and changes no result.  Pairs that meet are verified on their whole sets.
 
-A bucket of more than SMALL nodes is first linked with CENTRES of its nodes; then its nodes meet pairwise only where
-they are not yet in one component, in pairs of chunks (``simhash.spread``).
+A bucket of more than SMALL nodes is first linked with CENTRES of its nodes, those that have the fewest rarer shingles:
+of a group of copies they are nearest to what was copied.  Then its nodes meet pairwise, in pairs of chunks
+(``simhash.spread``), but only pairs that are not yet in one component and whose odd sketches (a bit a cell, flipped by
+each shingle in it) allow the similarity become rows: two sketches differ in no more bits than the sets differ in
+shingles, so that bound loses no pair, and few pass it that are not similar.
 
 Defined results.  Texts without words are one group.  Fewer words than a shingle make one shingle.
 """
@@ -31,6 +34,8 @@ SAMPLE = 20_000
 FREQUENT = 100_000
 SMALL = 64
 CENTRES = 4
+#: Bits of an odd sketch.
+SKETCH = 1024
 ROWS = 1 << 17
 FEW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
 PLACES = "bucket bigint, node bigint, n int, pos int"
@@ -57,6 +62,11 @@ def prefix(grams: np.ndarray, late: np.ndarray) -> np.ndarray:
     return grams[: n - -(-4 * n // 5) + 1]
 
 
+def odd_sketch(grams: np.ndarray) -> bytes:
+    odd = np.bincount((grams % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def node_of(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes(), simhash.SEED)
 
@@ -85,6 +95,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in _each_set(batch, 1)], pa.binary())], names=["node", "grams"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), pa.array([odd_sketch(s) for s in _each_set(batch, 1)], pa.binary())], names=["node", "sketch"])
+
+
 def _placer(late):
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +154,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large = np.unique(starts[ends - starts > SMALL])
         for s in large:
             members = np.arange(s, ends[s])
-            for c in members[np.argsort(node[members])[:CENTRES]]:
+            for c in members[np.lexsort((node[members], pos[members]))[:CENTRES]]:
                 j = members[(members != c) & _may(n, pos, np.full(len(members), c), members)]
                 yield rows(np.full(len(j), node[c]), node[j], np.zeros(0, dtype=np.int64))
         yield rows(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), bucket[large])
@@ -152,17 +167,27 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[at + step < ends[at]]
 
 
+def _differ(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches of the pairs differ."""
+    out = np.zeros(len(i), dtype=np.int64)
+    for w in words.T:
+        out += np.bitwise_count(w[i] ^ w[j])
+    return out
+
+
 def _meet_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, n, side, node, pos, root), sorted, to the pairs (a, b) that are not in one component."""
-    for bucket, n, side, node, pos, root in _whole_buckets(batches):
+    """Rows (bucket, n, side, node, pos, root, sketch), sorted, to the pairs (a, b) that may be similar and are not in one component."""
+    for bucket, n, side, node, pos, root, sketch in _whole_buckets(batches):
+        words = np.frombuffer(b"".join(sketch.tolist()), dtype="<u8").reshape(len(node), -1)
         ends = np.searchsorted(bucket, bucket, "right")
         at, step = np.flatnonzero(ends - np.arange(len(node)) > 1), 1
         while len(at):
             j = at + step
             fits = 4 * n[j].astype(np.int64) <= 5 * n[at].astype(np.int64)  # sizes rise: later ones don't fit either
             at, j = at[fits], j[fits]
-            hit = (root[at] != root[j]) & ((side[at] != side[j]) | (side[at] == 0)) & _may(n, pos, at, j)
-            if hit.any():
+            hit = np.flatnonzero((root[at] != root[j]) & ((side[at] != side[j]) | (side[at] == 0)) & _may(n, pos, at, j))
+            hit = hit[9 * _differ(words, at[hit], j[hit]) <= n[at[hit]].astype(np.int64) + n[j[hit]]]
+            if len(hit):
                 yield pa.record_batch([pa.array(node[at[hit]]), pa.array(node[j[hit]])], names=["a", "b"])
             step += 1
             at = at[at + step < ends[at]]
@@ -183,12 +208,17 @@ def frequent(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in some.collect()], dtype=np.int64).view(np.uint64))
 
 
+def of_nodes(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, make, column: str) -> DataFrame:
+    """(node, column) of the nodes whose fp is in ``wanted``."""
+    texts = docs.join(nodes.join(wanted, "fp", "left_semi").select("fp", "th"), "th").dropDuplicates(["th"]).select("fp", "text")
+    return texts.mapInArrow(make, f"node bigint, {column} binary")
+
+
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, tables: Tables) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar."""
     pairs = tables.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    texts = docs.join(nodes.join(wanted, "fp", "left_semi").select("fp", "th"), "th").dropDuplicates(["th"]).select("fp", "text")
-    sets = tables.cut(texts.mapInArrow(_sets, "node bigint, grams binary"), "near-sets")
+    sets = tables.cut(of_nodes(docs, nodes, wanted, _sets, "grams"), "near-sets")
     side = lambda k, name: sets.select(F.col("node").alias(k), F.col("grams").alias(name))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
     out = tables.cut(both.mapInArrow(_verify, "a bigint, b bigint"), "near-links", FEW_ROWS)
@@ -210,9 +240,12 @@ def linked(spark: SparkSession, docs: DataFrame, nodes: DataFrame, tables: Table
         rest = places.join(large, "bucket", "left_semi").distinct().join(roots, "node", "left")
         rest = tables.cut(rest.select("bucket", "n", "node", "pos", F.coalesce("root", "node").alias("root")), "near-rest")
         mixed = rest.groupBy("bucket").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l <> h").select("bucket")
-        rest = simhash.spread(rest.join(mixed, "bucket", "left_semi"), "node", 0, tables)
-        rest = rest.select("bucket", "n", "side", "node", "pos", "root").repartition("bucket").sortWithinPartitions("bucket", "n", "node")
+        rest = tables.cut(rest.join(mixed, "bucket", "left_semi"), "near-mixed")
+        sketches = tables.cut(of_nodes(docs, nodes, rest.select(F.col("node").alias("fp")).distinct(), _sketches, "sketch"), "near-sketches")
+        rest = simhash.spread(rest.join(sketches, "node"), "node", tables)
+        rest = rest.select("bucket", "n", "side", "node", "pos", "root", "sketch").repartition("bucket").sortWithinPartitions("bucket", "n", "node")
         more = verified(docs, nodes, rest.mapInArrow(_meet_apart, "a bigint, b bigint"), tables)
+        tables.drop(sketches)
         roots = components(spark, links.union(more), tables)
     return roots
 

@@ -1,15 +1,16 @@
 """SimHash near-duplicate detection with pivot distance tables.
 
 Fingerprints are made a document at a time.  Equal fingerprints are one node, so copies cost nothing after that.
-Two fingerprints that differ in at most RADIUS of 64 bits agree on at least ``blocks - RADIUS`` of ``blocks`` bit
-blocks; the tables hold each fingerprint once for each choice of that many blocks, and only fingerprints equal
-there meet.  For each fingerprint that meets others, its Hamming distances to the reference fingerprints (pivots)
-are computed once; by the triangle inequality two whose distances to any pivot differ by more than RADIUS are no
+The distance table holds, for each node, its Hamming distances to the PIVOTS reference fingerprints; it is computed
+once and stored.  By the triangle inequality two nodes whose distances to any pivot differ by more than RADIUS are no
 pair, so pairs are discarded by their largest coordinate difference, and survivors are verified.  Pivots alone
-would leave a share of all pairs to look at, which grows with the square of the corpus; the blocks bound that,
-and ``choose_blocks`` takes the cheapest number of them for the number of fingerprints.  Both are exact.
+would leave a share of all pairs to look at, which grows with the square of the corpus.  Therefore only nodes meet
+that can be within RADIUS by their bit blocks: such a pair agrees on at least ``blocks - RADIUS`` of ``blocks`` blocks,
+and each node is listed once for each choice of that many blocks; ``choose_blocks`` takes the cheapest number of
+blocks for the number of nodes.  Both are exact.  ``pruned`` counts what the pivots discard.
 
-A bucket that many fingerprints share is cut into chunks, and each pair of chunks is a task's worth of its own.
+A bucket of more than CHUNK nodes is cut into chunks, and each pair of chunks is a bucket of its own, so the work on
+a hot bucket is spread over as many tasks as it has pairs of chunks.
 Tasks return, in place of all pairs, a spanning forest of the pairs that they have found: no link between two
 texts is lost to a component, and there are at most as many rows as fingerprints.
 
@@ -30,12 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import HOT, Tables, components, join_unique
+from quire.llm.shared import Tables, components, join_unique
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-PIVOTS = 16
+PIVOTS = 24
 #: Fingerprints of one bucket that are compared in one task.
 CHUNK = 4096
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -79,6 +80,17 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED) for i in range(n)], dtype=np.uint64)
 
 
+def distances(fp: np.ndarray) -> np.ndarray:
+    """A row a fingerprint: its distances to the pivots."""
+    return np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.uint8)
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        table = distances(batch.column(0).to_numpy().view(np.uint64))
+        yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in table], pa.binary())], names=["fp", "far"])
+
+
 def pairs_within(fp: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, radius: int) -> np.ndarray:
     """Which of the pairs (i, j) are within ``radius``; table: distances to the pivots, a row a pivot."""
     left = np.arange(len(i))
@@ -104,11 +116,11 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _linker(radius: int):
-    """Sorted rows (bucket, side, fp) to links: within a bucket of side 0, or across sides 1 and 2."""
+    """Sorted rows (bucket, side, fp, far) to links: within a bucket of side 0, or across sides 1 and 2."""
 
-    def compare(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values, node = np.unique(fp, return_inverse=True)
-        table = np.bitwise_count(fp[None, :] ^ pivots()[:, None]).astype(np.int8)
+        table = np.ascontiguousarray(np.frombuffer(b"".join(far.tolist()), dtype=np.int8).reshape(len(fp), -1).T)
         ends = np.searchsorted(bucket, bucket, "right")
         found_a, found_b = [], []
         at, step = np.flatnonzero(ends - np.arange(len(fp)) > 1), 1
@@ -138,7 +150,7 @@ def _linker(radius: int):
             return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64))
+            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy(zero_copy_only=False))
             kept.append(new)
             rows += len(new[0])
             if rows >= 1 << 17:
@@ -176,16 +188,17 @@ def table_keys(fp: Column, blocks: int, same: int) -> list[Column]:
     return out
 
 
-def spread(rows: DataFrame, key: str, n: int, tables: Tables) -> DataFrame:
-    """``rows`` with ``side``: buckets above CHUNK rows and above a share of 1/HOT of ``n`` become pairs of chunks.
+def spread(rows: DataFrame, key: str, tables: Tables) -> DataFrame:
+    """``rows`` with ``side``: buckets of more than CHUNK rows become pairs of chunks.
 
-    Rows of a bucket meet if both sides are 0 or the sides differ.  With n the rows of a table, at most HOT buckets
-    a table are cut.
+    Rows of a bucket meet if both sides are 0 or the sides differ.
     """
     others_of = [c for c in rows.columns if c != "bucket"]
-    sizes = rows.groupBy("bucket").count().filter(F.col("count") > max(CHUNK, n // HOT))
-    sizes = tables.cut(sizes.select("bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "hot-buckets")
-    rows = rows.join(F.broadcast(sizes), "bucket", "left").withColumn("own", F.pmod(F.xxhash64(key), F.col("chunks")).cast("int"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("rows")).filter(F.col("rows") > CHUNK)
+    sizes = tables.cut(sizes.select("bucket", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"), "rows"), "hot-buckets")
+    if sizes.isEmpty():
+        return rows.select("bucket", F.lit(0).alias("side"), *others_of)
+    rows = join_unique(rows, sizes, ["bucket"]).withColumn("own", F.pmod(F.xxhash64(key), F.col("chunks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.xxhash64("bucket", F.least(c, "own"), F.greatest(c, "own")).alias("bucket"), F.when(c == F.col("own"), 0).when(c > F.col("own"), 1).otherwise(2).alias("side")))
     place = F.when(F.col("chunks").isNull(), F.array(F.struct(F.col("bucket"), F.lit(0).alias("side")))).otherwise(others)
     return rows.select(F.explode(place).alias("p"), *others_of).select("p.bucket", "p.side", *others_of)
@@ -193,14 +206,23 @@ def spread(rows: DataFrame, key: str, n: int, tables: Tables) -> DataFrame:
 
 def near_links(spark: SparkSession, prints: DataFrame, tables: Tables, radius: int = RADIUS) -> DataFrame:
     """``prints``: distinct fp bigint.  Links (a, b) that connect all pairs within ``radius``."""
-    n = prints.count()
-    blocks, same = choose_blocks(n, radius)
-    rows = prints.select(F.explode(F.array(*table_keys(F.col("fp"), blocks, same))).alias("bucket"), "fp")
-    rows = spread(rows, "fp", n, tables)
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+    table = tables.cut(prints.select("fp").mapInArrow(_distances, "fp bigint, far binary"), "pivot-table")
+    blocks, same = choose_blocks(table.count(), radius)
+    rows = table.select(F.explode(F.array(*table_keys(F.col("fp"), blocks, same))).alias("bucket"), "fp", "far")
+    rows = spread(rows, "fp", tables).repartition("bucket").sortWithinPartitions("bucket")
     return tables.cut(rows.mapInArrow(_linker(radius), "a bigint, b bigint"), "near-links")
 
 
+def pruned(fp: np.ndarray, radius: int = RADIUS) -> tuple[int, int]:
+    """Of all pairs of these fingerprints, how many the pivots discard, and how many survive and are no pair."""
+    i, j = np.triu_indices(len(fp), 1)
+    table = distances(fp).astype(np.int8)
+    gone = np.zeros(len(i), dtype=bool)
+    for column in table.T:
+        gone |= np.abs(column[i] - column[j]) > radius
+    return int(gone.sum()), int((~gone & (np.bitwise_count(fp[i] ^ fp[j]) > radius)).sum())
+
+
 def rooted(spark: SparkSession, docs: DataFrame, tables: Tables, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, fp) of each document, and (fp, root, first, rows) of each fingerprint."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))

@@ -43,7 +43,6 @@ def test_report_is_brute_force(spark):
 
 def test_hot_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(sh, "CHUNK", 8)
-    monkeypatch.setattr(sh, "HOT", 1000)
     rng = np.random.default_rng(3)
     centre = 0x0123456789ABCDEF
     prints = {centre}
@@ -79,6 +78,12 @@ def test_pivots_discard_no_pair():
     assert set(sh.pairs_within(fp, i, j, table, 4)) == set(np.flatnonzero(np.bitwise_count(fp[i] ^ fp[j]) <= 4))
 
 
+def test_pivots_discard_some_pairs():
+    fp = np.random.default_rng(4).integers(0, 1 << 63, 200).astype(np.uint64)
+    gone, survive = sh.pruned(fp)
+    assert gone + survive == 199 * 100 and gone > survive > 0
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, 200 + i) for i in range(50)] + [(5, 5), (7, 200)]
     out = {r.node: r.root for r in components(spark, spark.createDataFrame(links, "a bigint, b bigint"), Tables(spark)).collect()}
