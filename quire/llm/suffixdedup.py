@@ -5,15 +5,19 @@ or earlier in the same document.
 
 1. Each window of LENGTH bytes has an anchor, the GRAM bytes in it of least hash.  Equal windows have equal
    anchors, so consecutive windows of one anchor make a stretch, and only stretches whose anchor occurs twice can
-   hold repeats.  Equal stretches are counted as one class with its first place; later members are repeats whole.
+   hold repeats.  Equal stretches (64 bits of the anchor's hash and 64 of the stretch's) are counted as one class with
+   its first place; later members are repeats whole.  All counts are partial before a shuffle, and classes and anchors
+   with a large share of the rows are broadcast to them (``join_unique``), so no common passage lands in one task.
 2. The first members of classes that share an anchor with others go, with their bytes, to the anchor's task.  Over
    the stretches there a Burrows-Wheeler transform is built and run-compressed, with the suffixes at the ends of
    its runs sampled and their common prefixes measured.  Matching statistics are then streamed through the text
-   from those samples: between samples each is one less than that before it.  Windows whose statistic reaches
-   LENGTH are of one class with the window before them in suffix order; all but the first are repeats.
+   from those samples: between samples each is one less than that before it, and so is the place of the suffix before
+   it in order.  Windows whose statistic reaches LENGTH are linked with that place; of the windows linked with each
+   other all but the first are repeats.  The suffix array itself is not part of the index.
 3. Spans are joined to their documents.
 
-An anchor of more than HOT_CLASSES classes is not gathered in a task: its windows are grouped by hash, exactly.
+An anchor of more than HOT_CLASSES classes is not gathered in a task: its windows are grouped by a 128-bit hash.
+A document may be of any length: it is read in pieces of GROUP bytes.
 
 Defined results.  A null or empty text has no bytes.  Null doc_ids come after all others.  Rows of one doc_id but
 different texts are ordered by the texts' hash; rows equal in doc_id and text are one document, and each keeps the
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Tables
+from quire.llm.shared import Tables, join_unique
 
 LENGTH = 100
 GRAM = 16
@@ -45,7 +49,7 @@ SIDE = (LENGTH - GRAM) // 2
 #: Odd multipliers of the gram hash.
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
-ANCHORS = "ahash bigint, shash bigint, doc bigint, th bigint, s int, n int, rows bigint"
+STRETCHES = "ahash bigint, shash bigint, doc bigint, th bigint, s int, n int"
 SNIPPETS = "ahash bigint, shash bigint, doc bigint, th bigint, s int, n int, classes bigint, data binary"
 SPANS = "doc bigint, th bigint, spans array<int>"
 REPORT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -119,48 +123,44 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list]]:
         yield b"".join(parts), rows
 
 
-def _anchors(combine: bool):
-    """Stretches by class; with ``combine``, one row a class of the group, with its first place."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in ANCHORS.split(", ")]
-        digest = xxhash.xxh3_64_intdigest
-        for data, rows in _pieces(batches):
-            doc, th, offset, begin, size = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
-            piece, at, n, ahash = stretches(data, begin, size)
-            view = memoryview(data)
-            ends = at + n + LENGTH - 1
-            shash = np.fromiter((digest(view[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)), dtype=np.uint64, count=len(at))
-            cols = [ahash.view(np.int64), shash.view(np.int64), doc[piece], th[piece], (at - begin[piece] + offset[piece]).astype(np.int32), n.astype(np.int32), np.ones(len(at), dtype=np.int64)]
-            if combine:
-                mixed = ahash * K1 + shash
-                order = np.argsort(mixed)
-                same = np.flatnonzero(mixed[order[1:]] == mixed[order[:-1]])
-                if len(same):  # only classes with several members need their order
-                    rows = np.unique(np.concatenate([same, same + 1]))
-                    at = order[rows]
-                    order[rows] = at[np.lexsort((cols[4][at], cols[3][at], cols[2][at], cols[1][at], cols[0][at], mixed[at]))]
-                cols = [c[order] for c in cols]
-                first = np.flatnonzero((np.diff(cols[0], prepend=~cols[0][0]) != 0) | (np.diff(cols[1], prepend=~cols[1][0]) != 0))
-                cols = [*[c[first] for c in cols[:6]], np.diff(first, append=len(order))]
-            for i in range(0, len(cols[0]), 1 << 16):
-                yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in cols], names=names)
-
-    return find
-
-
-def repeated_classes(docs: DataFrame) -> DataFrame:
-    """(ahash, shash, classes, fdoc, fth, fs) of the classes of stretches whose anchor occurs more than once."""
-    rows = docs.select("doc", "th", "text").mapInArrow(_anchors(True), ANCHORS).repartition("ahash")
-    classes = rows.groupBy("ahash", "shash").agg(F.min(F.struct("doc", "th", "s")).alias("first"), F.sum("rows").alias("rows"))
-    anchors = classes.select("*", F.expr("sum(rows) over (partition by ahash)").alias("total"), F.expr("count(*) over (partition by ahash)").alias("classes"))
-    return anchors.filter("total > 1").select("ahash", "shash", "classes", F.col("first.doc").alias("fdoc"), F.col("first.th").alias("fth"), F.col("first.s").alias("fs"))
-
-
-def occurrences(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in STRETCHES.split(", ")]
+    digest = xxhash.xxh3_64_intdigest
+    for data, rows in _pieces(batches):
+        doc, th, offset, begin, size = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
+        piece, at, n, ahash = stretches(data, begin, size)
+        view = memoryview(data)
+        ends = at + n + LENGTH - 1
+        shash = np.fromiter((digest(view[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)), dtype=np.uint64, count=len(at))
+        cols = [ahash.view(np.int64), shash.view(np.int64), doc[piece], th[piece], (at - begin[piece] + offset[piece]).astype(np.int32), n.astype(np.int32)]
+        for i in range(0, len(at), 1 << 16):
+            yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in cols], names=names)
+
+
+def repeated_stretches(docs: DataFrame, tables: Tables) -> DataFrame:
+    """The stretches whose anchor occurs more than once, by STRETCHES."""
+    rows = tables.cut(docs.select("doc", "th", "text").mapInArrow(_stretches, STRETCHES), "stretches")
+    anchors = tables.cut(rows.groupBy("ahash").agg(F.count("*").alias("rows")).filter("rows > 1"), "anchors")
+    out = tables.cut(join_unique(rows, anchors, ["ahash"], "inner"), "repeated-stretches")
+    tables.drop(rows)
+    tables.drop(anchors)
+    return out
+
+
+def stretch_classes(rows: DataFrame, tables: Tables) -> DataFrame:
+    """(ahash, shash, rows, classes, fdoc, fth, fs): the classes of stretches, their first places and the classes of their anchors."""
+    found = rows.groupBy("ahash", "shash").agg(F.min(F.struct("doc", "th", "s")).alias("first"), F.count("*").alias("rows"))
+    found = tables.cut(found.select("ahash", "shash", "rows", F.col("first.doc").alias("fdoc"), F.col("first.th").alias("fth"), F.col("first.s").alias("fs")), "classes")
+    anchors = tables.cut(found.groupBy("ahash").agg(F.count("*").alias("classes")).withColumn("weight", F.col("classes")), "anchors")
+    out = tables.cut(join_unique(found, anchors, ["ahash"], "inner", weight="weight"), "stretch-classes")
+    tables.drop(found)
+    tables.drop(anchors)
+    return out
+
+
+def occurrences(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(doc, th, whole, open): a document's stretches that are repeats whole, and those to be indexed."""
-    rows = docs.select("doc", "th", "text").mapInArrow(_anchors(False), ANCHORS).drop("rows")
-    rows = rows.join(classes, ["ahash", "shash"])
+    rows = join_unique(rows, classes, ["ahash", "shash"], "inner")
     first = (F.col("doc") == F.col("fdoc")) & (F.col("th") == F.col("fth")) & (F.col("s") == F.col("fs"))
     whole = F.when(~first, F.struct("s", (F.col("s") + F.col("n") + LENGTH - 1).alias("e")))
     opened = F.when(first & (F.col("classes") > 1), F.struct("ahash", "shash", "s", "n", "classes"))
@@ -209,25 +209,29 @@ def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """The run-compressed transform of a text: run heads, their bytes, and the sampled suffixes at run ends."""
+    """The run-compressed transform of a text: its runs' first bytes, and the suffixes sampled at the runs' ends.
+
+    For each run: the place of its first suffix, that of the suffix before it in order (the last of the run before),
+    and their common prefix.
+    """
 
     def __init__(self, text: np.ndarray, left: np.ndarray):
         self.left = left
-        self.order = suffix_array(text, left)
-        before = np.where(self.order > 0, text[self.order - 1], END)
+        order = suffix_array(text, left)
+        before = np.where(order > 0, text[order - 1], END)
         head = np.ones(len(before), dtype=bool)
         head[1:] = (before[1:] != before[:-1]) | (before[1:] == END)
-        self.heads = np.flatnonzero(head)
-        self.bytes = before[self.heads]
-        self.first = self.order[self.heads]
-        self.last = self.order[np.append(self.heads[1:], len(before)) - 1]
-        self.common = self._common(text)
-
-    def _common(self, text: np.ndarray) -> np.ndarray:
-        """The common prefix of each run's first suffix with the suffix before it, the last of the run before."""
-        a, b = self.first, np.concatenate([[0], self.last[:-1]])
+        heads = np.flatnonzero(head)
+        first, last = order[heads], np.concatenate([[0], order[heads[1:] - 1]])
+        by = np.argsort(first)
+        self.bytes, self.first, self.before = before[heads][by], first[by], last[by]
+        self.common = self._common(text, int(order[0]))
+
+    def _common(self, text: np.ndarray, least: int) -> np.ndarray:
+        """The common prefix of each run's first suffix with the suffix before it; none for the least suffix."""
+        a, b = self.first, self.before
         most = np.minimum(self.left[a], self.left[b])
-        most[0] = 0
+        most[a == least] = 0
         w = words8(np.concatenate([text, np.zeros(8, dtype=np.uint8)]))
         out, live, k = most.copy(), np.flatnonzero(most > 0), 0
         while len(live):
@@ -240,20 +244,34 @@ class RunIndex:
             live = live[(x == 0) & (most[live] > k)]
         return out
 
+    def stream(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each place, the place of the suffix before it in order and the length of their match, from the samples."""
+        place = np.arange(len(self.left))
+        run = np.searchsorted(self.first, place, "right") - 1
+        beyond = place - self.first[run]
+        return self.before[run] + beyond, self.common[run] - beyond
+
     def statistics(self) -> np.ndarray:
-        """For each place, the length of its match with the suffix before it in order, streamed from the samples."""
-        by = np.argsort(self.first)
-        at = self.first[by]
-        run = np.searchsorted(at, np.arange(len(self.left)), "right") - 1
-        return self.common[by][run] - (np.arange(len(self.left)) - at[run])
+        return self.stream()[1]
 
     def repeats(self, length: int) -> np.ndarray:
         """Whether the ``length`` bytes from each place on also start at an earlier place."""
-        new = (self.statistics() < length)[self.order]
-        start = np.flatnonzero(new)
-        least = np.minimum.reduceat(self.order, start)
-        out = np.zeros(len(self.left), dtype=bool)
-        out[self.order] = self.order != np.repeat(least, np.diff(start, append=len(new)))
+        before, match = self.stream()
+        out = np.zeros(len(match), dtype=bool)
+        own = np.flatnonzero(match >= length)
+        if not len(own):
+            return out
+        place = np.unique(np.concatenate([own, before[own]]))
+        link = np.arange(len(place))
+        link[np.searchsorted(place, own)] = np.searchsorted(place, before[own])
+        while True:  # to the first in suffix order of the windows that are equal
+            further = link[link]
+            if (further == link).all():
+                break
+            link = further
+        least = np.arange(len(place))
+        np.minimum.at(least, link, np.arange(len(place)))
+        out[place] = least[link] != np.arange(len(place))
         return out
 
 
@@ -354,15 +372,17 @@ def hot_spans(tables: Tables, snippets: DataFrame) -> DataFrame:
     rows = tables.cut(snippets.mapInArrow(_window_hashes, "h1 bigint, h2 bigint, doc bigint, th bigint, s int"), "hot-windows")
     first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "th", "s")).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
     first = tables.cut(first, "hot-first")
-    late = rows.join(first, ["h1", "h2"]).filter(F.struct("doc", "th", "s") != F.col("first"))
+    late = join_unique(rows, first, ["h1", "h2"], "inner").filter(F.struct("doc", "th", "s") != F.col("first"))
     return late.select("doc", "th", F.array("s", F.col("s") + LENGTH).alias("spans"))
 
 
 def repeat_spans(spark: SparkSession, docs: DataFrame, tables: Tables) -> DataFrame:
     """(doc, th, spans): the spans of bytes, start, end, start, end ..., to be removed of documents that have any."""
     docs = keyed(docs.select("doc_id", "text"))
-    classes = tables.cut(repeated_classes(docs), "stretch-classes")
-    found = tables.cut(occurrences(docs, classes), "stretches")
+    rows = repeated_stretches(docs, tables)
+    classes = stretch_classes(rows, tables)
+    found = tables.cut(occurrences(rows, classes), "occurrences")
+    tables.drop(rows)
     tables.drop(classes)
     opened = found.filter(F.size("open") > 0).select("doc", "th", "open")
     with_text = docs.select("doc", "th", "text").join(opened, ["doc", "th"]).select("doc", "th", "text", "open")
