@@ -5,11 +5,10 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only by a session of one machine that names no shared folder, as in tests.
 DEFAULT_ROOT = "file:///tmp/checkpoints/quire"
 #: A key that holds more than 1/HOT of all rows is hot; so at most HOT keys are.
 HOT = 1000
@@ -19,13 +18,47 @@ WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_ROOT
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = DEFAULT_ROOT
     return root.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; it is deleted at the end of ``released``, or else of the application."""
+    path = f"{shared_root(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    for made in _OPEN:
+        made.append(path)
+    return path
+
+
+#: The paths made inside each ``released`` block that is open.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def released(spark: SparkSession):
+    """Deletes at its end what operators have written inside it: read their results before."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        del _OPEN[next(i for i, m in enumerate(_OPEN) if m is made)]
+        for path in made:
+            delete(spark, path)
+
+
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no column's name has, for columns that an operator adds."""
+    out = "_quire"
+    while any(c.lower().startswith(out) for c in columns):
+        out += "_"
+    return out + "_"
 
 
 @contextmanager
@@ -53,19 +86,19 @@ class Tables:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}  # the DataFrame is held, so its id stays its own
 
-    def cut(self, df: DataFrame, name: str, conf: dict[str, str] | None = None) -> DataFrame:
-        path = shared_path(self.spark, name)
+    def cut(self, df: DataFrame, name: str = "", conf: dict[str, str] | None = None, path: str | None = None) -> DataFrame:
+        path = path or shared_path(self.spark, name)
         with settings(self.spark, WRITING | (conf or {})):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = out, path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        if path := self.paths.pop(id(df), None):
-            delete(self.spark, path)
+        if found := self.paths.pop(id(df), None):
+            delete(self.spark, found[1])
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -103,10 +136,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def persist(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def components(spark: SparkSession, links: DataFrame, tables: Tables) -> DataFrame:
     """Connected components of ``links`` (a bigint, b bigint): (node, root), root the least node reachable.
 
