@@ -6,11 +6,15 @@ is whole for its documents, so a query needs no shuffle, whatever term or source
 taking the postings of its rarest term in the segment, moved back by the term's offset, and intersecting them
 with the moved postings of the next rarest until none or the occurrences are left.
 
-The benchmark is a stated query set: it goes to the tasks in blocks of at most BLOCK_BYTES of text.
-
-Defined results.  A null or empty text has no words; it gets n_words 0.  Benchmark rows with a null item_id or
-text have no windows; rows that repeat an item_id count as one item.  Repeated documents each get their own row.
-Empty tables give no rows, or rows without hits.  Only the columns named are read.
+The benchmark is a stated query set: it goes to the tasks in blocks of about BLOCK_BYTES of text, one after the other;
+a block is released when its matches are written.  Documents with matches are merged over the blocks by segment and
+number, and all others are taken from the index as they are, in the same way for any number of blocks.
+
+Defined results.  A null or empty text has no words; it gets n_words 0.  A text of any length is one document of its
+segment, which may then be longer than SEGMENT_WORDS.  Benchmark rows with a null item_id or text have no windows; rows
+that repeat an item_id count as one item, and one window that several items have counts for each.  Repeated documents
+each get their own row.  Empty tables give no rows, or rows without hits.  Only the columns named are read; others may
+have any names.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Tables
+from quire.llm.shared import Tables, free_prefix
 
 SEGMENT_WORDS = 1_000_000
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Candidates that are intersected at a time.
 CHUNK = 2_000_000
 #: Segments are large rows: few of them go to Python at a time.
@@ -39,8 +43,8 @@ FEW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
 TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
 
 INDEX = "seg bigint, doc_ids array<bigint>, starts binary, lengths binary, terms binary, counts binary, postings binary"
-REPORT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-PIECES = "seg bigint, doc_no int, doc_id bigint, n_words bigint, spans array<bigint>, items array<bigint>"
+PIECES = "seg bigint, doc_no int, spans array<bigint>, items array<bigint>"
+COUNTED = "seg bigint, doc_no int, n_hit bigint, n_items bigint, items_sha256 string"
 MATCHES = "doc_id bigint, item_id bigint, word int, length int"
 
 
@@ -92,17 +96,18 @@ class Queries:
 
     def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
         self.terms: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
+        parts: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
         for item, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in split_words(text)]
-            m = min(window, len(ids))
-            for i in range(len(ids) - m + 1 if m else 0):
-                found[m][tuple(ids[i : i + m])].add(item)
+            ids = np.array([self.terms.setdefault(w, len(self.terms)) for w in split_words(text)], dtype=np.int32)
+            if m := min(window, len(ids)):
+                parts[m].append((np.lib.stride_tricks.sliding_window_view(ids, m), item))
         #: For each length: the windows, and for window i the items items[at[i]:at[i + 1]].
         self.groups = []
-        for m, windows in sorted(found.items()):
-            at = np.cumsum([0] + [len(x) for x in windows.values()])
-            self.groups.append((m, np.array(list(windows), dtype=np.int64).reshape(-1, m), at, np.array([i for x in windows.values() for i in sorted(x)], dtype=np.int64)))
+        for m, found in sorted(parts.items()):
+            windows, of = np.unique(np.concatenate([w for w, _ in found]), axis=0, return_inverse=True)
+            item = np.repeat(np.array([i for _, i in found], dtype=np.int64), [len(w) for w, _ in found])
+            pairs = np.unique(np.stack([of.ravel(), item], axis=1), axis=0)
+            self.groups.append((m, windows.astype(np.int64), np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1)), pairs[:, 1]))
 
 
 class Segment:
@@ -158,7 +163,7 @@ class Segment:
                 yield there[rows], first
 
     def near(self, windows: np.ndarray, number: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, position of its rarest term) where each of its terms stands within ``slop`` words of that."""
+        """(window, position of its rarest term) where each of its terms stands, as often as the window has it, within ``slop`` words of that."""
         terms = number[windows]
         there = np.flatnonzero((terms >= 0).all(axis=1))
         if not len(there):
@@ -171,7 +176,9 @@ class Segment:
             hi = np.minimum(position + slop, self.starts[doc] + self.lengths[doc] - 1)
             for j in range(1, terms.shape[1]):
                 t = terms[rows, order[rows, j]]
-                i = np.searchsorted(self.keys, (t << 32) | lo)  # the first posting at lo or after
+                # a term that the window has k times needs k postings from lo to hi
+                again = sum((terms[rows, order[rows, i]] == t).astype(np.int64) for i in range(j))
+                i = np.searchsorted(self.keys, (t << 32) | lo) + again
                 keep = (i < len(self.keys)) & (self.keys[np.minimum(i, len(self.keys) - 1)] <= ((t << 32) | hi))
                 rows, position, lo, hi = rows[keep], position[keep], lo[keep], hi[keep]
             if len(rows):
@@ -209,20 +216,32 @@ def _covered(total: int, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _reporter(queries):
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finder(queries):
+    """The spans and items of the documents that have any."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seg in _rows(batches):
             first, length, pairs = seg.hits(queries.value)
-            total = int(seg.starts[-1] + seg.lengths[-1] + 1)
-            hit = np.concatenate([[0], np.cumsum(_covered(total, first, length))])
-            n_hit = hit[seg.starts + seg.lengths] - hit[seg.starts]
-            at = np.searchsorted(pairs[:, 0], np.arange(len(seg.starts) + 1))
-            digest = [_digest(())] * len(seg.starts)
-            for d in np.flatnonzero(np.diff(at)):
-                digest[d] = _digest(pairs[at[d] : at[d + 1], 1].tolist())
-            yield pa.record_batch([pa.array(seg.doc_ids, pa.int64()), pa.array(seg.lengths), pa.array(n_hit), pa.array(np.diff(at)), pa.array(digest, pa.string()), pa.array(n_hit > 0)], names=[c.split()[0] for c in REPORT.split(", ")])
+            doc = np.searchsorted(seg.starts, first, "right") - 1
+            some = np.unique(doc)
+            span = zip(np.searchsorted(doc, some).tolist(), np.searchsorted(doc, some, "right").tolist(), strict=True)
+            item = zip(np.searchsorted(pairs[:, 0], some).tolist(), np.searchsorted(pairs[:, 0], some, "right").tolist(), strict=True)
+            spans = [np.stack([first[a:b] - seg.starts[d], length[a:b]], axis=1).ravel() for d, (a, b) in zip(some, span, strict=True)]
+            items = [pairs[a:b, 1] for a, b in item]
+            yield pa.record_batch([pa.array(np.full(len(some), seg.seg)), pa.array(some.astype(np.int32)), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=[c.split()[0] for c in PIECES.split(", ")])
+
+    return find
 
-    return report
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            s = np.array(r["spans"], dtype=np.int64).reshape(-1, 2)
+            n_hit = int(_covered(int((s[:, 0] + s[:, 1]).max()), s[:, 0], s[:, 1]).sum())
+            out.append((r["seg"], r["doc_no"], n_hit, len(r["items"]), _digest(r["items"])))
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        yield pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=[c.split()[0] for c in COUNTED.split(", ")])
 
 
 def _matcher(queries, slop: int | None):
@@ -241,15 +260,17 @@ def _matcher(queries, slop: int | None):
     return match
 
 
-def query_blocks(spark: SparkSession, items: DataFrame, window: int) -> list:
-    """Broadcast blocks of the benchmark (item_id, text), of about BLOCK_BYTES of text at most."""
+def over_blocks(spark: SparkSession, items: DataFrame, window: int, find) -> DataFrame:
+    """The union of ``find(block)`` over broadcast blocks of the benchmark (item_id, text), each of about BLOCK_BYTES of text."""
     items = items.select("item_id", "text").filter("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    out = []
+    blocks, out = max(1, -(-size // BLOCK_BYTES)), None
     for i in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()  # bounded by BLOCK_BYTES
-        out.append(spark.sparkContext.broadcast(Queries([(r[0], r[1].encode()) for r in rows], window)))
+        block = spark.sparkContext.broadcast(Queries([(r[0], r[1].encode()) for r in rows], window))
+        part = find(block)
+        block.destroy()
+        out = part if out is None else out.union(part)
     return out
 
 
@@ -257,64 +278,38 @@ def matches(spark: SparkSession, index: DataFrame, items: DataFrame, tables: Tab
     """(doc_id, item_id, word, length) of each occurrence of each item's windows.
 
     Without ``slop`` an occurrence is the exact phrase and ``word`` its first word's place; with it the window's
-    words in any order, each within ``slop`` words of the rarest, whose place is ``word``.
+    words in any order, each as often as in the window and within ``slop`` words of the rarest, whose place is ``word``.
     """
-    out = None
-    for block in query_blocks(spark, items, window):
-        part = tables.cut(index.mapInArrow(_matcher(block, slop), MATCHES), "matches", FEW_ROWS)
-        out = part if out is None else out.union(part)
-    return out
+    return over_blocks(spark, items, window, lambda block: tables.cut(index.mapInArrow(_matcher(block, slop), MATCHES), "matches", FEW_ROWS))
 
 
 def report(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row a document: how many of its words are inside an occurrence of a window, and of which items."""
     tables = Tables(spark)
     index = build_index(docs, tables)
-    blocks = query_blocks(spark, items, window)
-    if len(blocks) == 1:
-        out = tables.cut(index.mapInArrow(_reporter(blocks[0]), REPORT), "hits", FEW_ROWS)
-    else:
-        parts = [tables.cut(index.mapInArrow(_piecer(b), PIECES), "hits", FEW_ROWS) for b in blocks]
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.union(p)
-        whole = whole.groupBy("seg", "doc_no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        out = tables.cut(whole.select("doc_id", "n_words", "spans", "items").mapInArrow(_merge, REPORT), "hits")
+    found = over_blocks(spark, items, window, lambda block: tables.cut(index.mapInArrow(_finder(block), PIECES), "hits", FEW_ROWS))
+    merged = found.groupBy("seg", "doc_no").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    counted = tables.cut(merged.mapInArrow(_count, COUNTED), "counted")
+    own = index.select("seg", "doc_ids", "lengths").mapInArrow(_documents, "seg bigint, doc_no int, doc_id bigint, n_words bigint")
+    rows = own.join(counted, ["seg", "doc_no"], "left")
+    none = F.lit(0).cast("bigint")
+    out = rows.select("doc_id", "n_words", *[F.coalesce(c, none).alias(c) for c in ("n_hit", "n_items")], F.coalesce("items_sha256", F.lit(_digest(()))).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+    out = tables.cut(out, "report")
     tables.drop(index)
     return out
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The index's documents: their segment, number, doc_id and words."""
+    for batch in batches:
+        for seg, ids, lengths in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            n = len(ids)
+            yield pa.record_batch([pa.array(np.full(n, seg)), pa.array(np.arange(n, dtype=np.int32)), pa.array(ids, pa.int64()), pa.array(np.frombuffer(lengths, dtype=np.int64))], names=["seg", "doc_no", "doc_id", "n_words"])
+
+
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs."""
-    key = F.xxhash64(docs["doc_id"], docs["text"])
+    key, name = F.xxhash64(docs["doc_id"], docs["text"]), free_prefix(docs.columns) + "key"
     hits = report(spark, docs.select(key.alias("doc_id"), "text"), items, window)
-    bad = hits.filter("contaminated").select(F.col("doc_id").alias("_quire_key")).distinct()
-    return docs.join(bad, key == bad["_quire_key"], "left_anti")
-
-
-def _piecer(queries):
-    """As the reporter, but with a document's spans and items, for blocks that are merged later."""
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seg in _rows(batches):
-            first, length, pairs = seg.hits(queries.value)
-            doc = np.searchsorted(seg.starts, first, "right") - 1
-            span_at = np.searchsorted(doc, np.arange(len(seg.starts) + 1))
-            item_at = np.searchsorted(pairs[:, 0], np.arange(len(seg.starts) + 1))
-            spans = [np.stack([first[a:b] - seg.starts[d], length[a:b]], axis=1).ravel().tolist() for d, (a, b) in enumerate(zip(span_at[:-1], span_at[1:], strict=True))]
-            items = [pairs[a:b, 1].tolist() for a, b in zip(item_at[:-1], item_at[1:], strict=True)]
-            n = len(seg.starts)
-            yield pa.record_batch([pa.array([seg.seg] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(seg.doc_ids, pa.int64()), pa.array(seg.lengths), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=[c.split()[0] for c in PIECES.split(", ")])
-
-    return pieces
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            s = np.array(r["spans"], dtype=np.int64).reshape(-1, 2)
-            n_hit = int(_covered(r["n_words"] + 1, s[:, 0], s[:, 1]).sum())
-            out.append((r["doc_id"], r["n_words"], n_hit, len(r["items"]), _digest(r["items"]), n_hit > 0))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-        yield pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=[c.split()[0] for c in REPORT.split(", ")])
+    bad = hits.filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, key == bad[name], "left_anti")

@@ -44,7 +44,7 @@ def test_report_is_brute_force(spark):
     assert got == sorted(((d, *brute(t, items())) for d, t in rows), key=str)
 
 
-@pytest.mark.parametrize("size", [1, 60])
+@pytest.mark.parametrize("size", [40, 200])
 def test_blocks_and_small_segments_give_the_same(spark, monkeypatch, size):
     docs = documents(spark, corpus())
     bench = spark.createDataFrame(items(), "item_id bigint, text string")
@@ -72,6 +72,14 @@ def test_exact_and_near_matches(spark):
     assert near == {1, 2}
 
 
+def test_near_matches_need_a_repeated_term_as_often(spark):
+    tables = Tables(spark)
+    docs = documents(spark, [(1, "a b c"), (2, "a b a c a"), (3, "a b a c"), (4, "a " + "x " * 9 + "a a")])
+    bench = spark.createDataFrame([(9, "a a a")], "item_id bigint, text string")
+    near = dc.matches(spark, dc.build_index(docs, tables), bench, tables, slop=4).collect()
+    assert {r.doc_id for r in near} == {2}
+
+
 def test_clean_drops_only_contaminated_rows(spark):
     docs = documents(spark, corpus())
     bench = spark.createDataFrame([(1, words(1, 40))], "item_id bigint, text string")
@@ -88,6 +96,6 @@ def test_equal_segments_keep_their_rows_in_any_number_of_blocks(spark, monkeypat
     docs = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
     bench = spark.createDataFrame(items(), "item_id bigint, text string")
     want = sorted(((d, *brute(t, items())) for d, t in rows * 2 + other + alike), key=str)
-    for size in (dc.BLOCK_BYTES, 60):
+    for size in (dc.BLOCK_BYTES, 100):
         monkeypatch.setattr(dc, "BLOCK_BYTES", size)
         assert sorted((tuple(r) for r in dc.report(spark, docs, bench).collect()), key=str) == want
