@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from quire.llm import warc
@@ -38,28 +39,55 @@ def test_empty(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_magic_inside_payloads_is_on_no_chain(spark):
-    inner = b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
-    record = lambda body: b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
-    first, second = record(inner * 4), record(b"end")
-    data = first + second + record(b"after") + b"junk" + record(b"lost")
-    found = [(m.start(), warc.parse_candidate(data, m.start())) for m in warc.MAGIC.finditer(data)]
-    rows = [("f", at, r[0]) for at, r in found if r]
-    assert len(rows) == 8
-    kept = warc.chain(spark.createDataFrame(rows, "file string, offset bigint, next bigint"), Tables(spark))
-    assert sorted(r.offset for r in kept.collect()) == [0, len(first), len(first + second)]
+@pytest.fixture
+def narrow(spark):
+    """Byte ranges of some hundred bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_round_trip_in_byte_ranges(spark, narrow):
+    out = warc.round_trip(spark, spark.createDataFrame([r for r in pages() if r[0] != 22], SCHEMA).coalesce(1)).collect()
+    assert all(r.intact for r in out)
+    assert sorted((tuple(r)[:5] for r in out), key=str) == want([r for r in pages() if r[0] != 22])
 
 
-def test_a_long_chain(spark):
-    rows = [(f, 10 * i, 10 * i + 10) for f in ("a", "b") for i in range(100) if (f, i) != ("b", 37)]
-    kept = warc.chain(spark.createDataFrame(rows, "file string, offset bigint, next bigint"), Tables(spark)).collect()
-    assert sorted((r.file, r.offset) for r in kept) == [("a", 10 * i) for i in range(100)] + [("b", 10 * i) for i in range(37)]
+def record(body):
+    return b"WARC/1.1\r\nWARC-Type: x\r\nWARC-Record-ID: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), len(body), body)
+
+
+def test_magic_inside_payloads_is_on_no_chain(spark, tmp_path, narrow):
+    inner = b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    bodies = [inner * 4, b"end", b"x" * 3000, b"WARC/1.", b"\nWARC/1.", b"a\nWARC/1.1\r\n" * 50, inner]
+    data = b"".join(map(record, bodies))
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc").write_bytes(record(inner) + record(b"\r\n\r\n" + inner))
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = sorted((r.file.rsplit("/", 1)[1], r.offset, r.next, r.payload_bytes) for r in warc.read_archives(spark, str(tmp_path), Tables(spark)).collect())
+    ends = [sum(len(record(b)) for b in bodies[:i]) for i in range(len(bodies) + 1)]
+    assert [g for g in got if g[0] == "a.warc"] == [("a.warc", a, b, len(body)) for a, b, body in zip(ends, ends[1:], bodies, strict=False)]
+    assert len(got) == len(bodies) + 2
+
+
+def test_pointer_jumping():
+    offset = np.arange(0, 1000, 10)
+    assert warc.jump(offset, offset + 10).all()
+    cut = np.delete(offset, 37)
+    assert np.flatnonzero(warc.jump(cut, cut + 10)).tolist() == list(range(37))
+    far = np.where(offset % 20 == 0, offset + 20, -1)
+    assert warc.jump(offset, far).tolist() == [o % 20 == 0 for o in offset]
+    assert warc.jump(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)).tolist() == []
 
 
 def test_bad_candidates():
-    assert warc.parse_candidate(b"WARC/1.1\r\nno end", 0) is None
-    assert warc.parse_candidate(b"WARC/1.1\r\nContent-Length: x\r\n\r\n", 0) is None
-    assert warc.parse_candidate(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n", 0) is None
+    assert warc.parse_header(b"WARC/1.1\r\nno end") is None
+    assert warc.parse_header(b"WARC/1.1\r\nContent-Length: x\r\n\r\n") is None
+    assert warc.parse_header(b"WARC/1.2\r\nContent-Length: 1\r\n\r\n") is None
+    assert warc.parse_record(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n") is None
+    assert warc.parse_record(record(b"short"))[5] == 5
 
 
 def test_a_url_longer_than_64_kb_loses_no_page(spark):
@@ -69,9 +97,9 @@ def test_a_url_longer_than_64_kb_loses_no_page(spark):
 
 
 def test_a_chain_that_ends_early_is_an_error(spark, tmp_path):
-    record = b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 3\r\n\r\nend\r\n\r\n"
-    (tmp_path / "a.warc").write_bytes(record * 2)
+    (tmp_path / "a.warc").write_bytes(record(b"end") * 2)
     assert warc.read_archives(spark, str(tmp_path), Tables(spark)).count() == 2
-    (tmp_path / "b.warc").write_bytes(record + b"junk" + record)
-    with pytest.raises(ValueError, match="b.warc"):
-        warc.read_archives(spark, str(tmp_path), Tables(spark))
+    for bad in (record(b"end") + b"junk" + record(b"end"), record(b"end")[:-1], b"junk" + record(b"end")):
+        (tmp_path / "b.warc").write_bytes(bad)
+        with pytest.raises(Exception, match="b.warc"):
+            warc.read_archives(spark, str(tmp_path), Tables(spark))
