@@ -1,13 +1,15 @@
 """Token counts of flat, unindexed token files by a separator scan.
 
 ``write_token_files`` encodes documents and writes each one's ids as little-endian bytes, with the end-of-document
-id as Spark's line separator, so the files are nothing but ids.  ``scan`` reads them in blocks: NumPy finds the
-separators of a block, and a prefix scan over the blocks of a file carries the tokens before each block, the
-documents before it and the last separator before it, which closes documents that run across blocks.
-
-Defined results.  A null or empty text is a document of no tokens.  Tokens behind a file's last separator are one
-more document, which is not ``closed``.  Repeated rows are documents of their own.  An empty table or file has no
-documents.  Only ``text`` is read.
+id as Spark's line separator, so the files are nothing but ids; a file holds about FILE_BYTES.  ``scan`` reads files in
+blocks: NumPy finds the separators of a block, and a prefix scan over one small row a block carries the tokens before
+each block, the documents before it and the last separator before it, which closes documents that run across blocks.
+The blocks' separators stay in the tasks that found them and only meet those numbers.
+
+Defined results.  A null or empty text is a document of no tokens; one of any length is one document.  Tokens behind a
+file's last separator are one more document, which is not ``closed``.  Repeated rows are documents of their own.  An
+empty table or file has no documents.  Only ``text`` is read; other columns may have any names.  A file is read as one
+value, which Java bounds at 2 GB: longer ones are refused by the reader.
 """
 
 from __future__ import annotations
@@ -24,14 +26,16 @@ from pyspark.sql import functions as F
 
 from quire.llm.shared import Tables, shared_path
 
-#: Ids of a block.
-BLOCK = 1 << 19
+#: Ids of a block, and bytes of text whose ids make a file.
+BLOCK, FILE_BYTES = 1 << 19, 64 << 20
 BLOCK_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "8"}
 #: The vocabulary's split pattern and free id; fixed values.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY, END = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
 #: A vocabulary file is sent to the executors; it is refused above this size.
 MOST_VOCABULARY = 64 << 20
+#: A file is no longer than this, whatever its documents are.
+MOST_BYTES = 1_900_000_000
 
 
 @lru_cache(1)
@@ -56,10 +60,13 @@ def write_token_files(spark: SparkSession, docs: DataFrame, vocabulary: str = VO
         data = f.read(MOST_VOCABULARY + 1)
     if len(data) > MOST_VOCABULARY:
         raise ValueError("the vocabulary file is too large to send to the executors")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    n, total, most = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    records = max(1, min(FILE_BYTES // (total // max(1, n) + 1), MOST_BYTES // (width * (most + 1))))  # an id is a byte of text at least
     path = shared_path(spark, "tokens")
     ids = docs.select("text").mapInArrow(_encoder(spark.sparkContext.broadcast(data), width), "ids binary")
     separator = end.to_bytes(width, "little").decode("latin-1")
-    ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
+    ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records).text(path)
     return path
 
 
@@ -86,9 +93,12 @@ def scan(spark: SparkSession, path: str, tables: Tables, end: int = END, width:
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("long")
-    found = found.withColumns({"base": F.coalesce(F.sum("n").over(before), none), "docs": F.coalesce(F.sum(F.size("ends")).over(before), none), "is_last": F.lead("block").over(order).isNull()})
+    sums = found.select("file", "block", "n", F.size("ends").alias("count"), F.try_element_at("ends", F.lit(-1)).alias("end"))
+    sums = sums.withColumns({"base": F.coalesce(F.sum("n").over(before), none), "docs": F.coalesce(F.sum("count").over(before), none), "is_last": F.lead("block").over(order).isNull()})
+    sums = sums.withColumn("last", F.coalesce(F.max(F.col("base") + F.col("end")).over(before), F.lit(-1).cast("long")))
+    sums = tables.cut(sums.select("file", "block", "base", "docs", "last", "is_last"), "prefix-sums")
+    found = found.join(sums, ["file", "block"])
     last = F.col("base") + F.try_element_at("ends", F.lit(-1))
-    found = found.withColumn("last", F.coalesce(F.max(last).over(before), F.lit(-1).cast("long")))
     open_end = F.col("is_last") & (F.coalesce(last, F.col("last")) < F.col("base") + F.col("n") - 1)
     ends = F.when(open_end, F.concat("ends", F.array("n"))).otherwise(F.col("ends"))
     rows = found.select("file", "base", "docs", "last", "n", ends.alias("ends"))
