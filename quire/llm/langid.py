@@ -1,40 +1,44 @@
 """Language identification of mixed texts.
 
-A word's scripts, by ranges of code points, leave the languages that write in them.  Of these, each gets the
-word's probability under its character trigrams.  Viterbi over a text's words, with a penalty for a change of
-language, labels spans; a text's language is the one that holds most of its letters.
+A word is a run of letters (Unicode's categories L), with the combining marks after them.  Its letters' scripts, by
+ranges of code points, leave the languages that write in all of them.  Of these, each gets the word's probability under
+its character trigrams, of which only those seen are stored.  Viterbi over a text's words, with a penalty for a change
+of language, labels spans; a text's language is the one that holds most of its letters.
 
-The trigrams are counted on at most SAMPLE training rows, those of least hash.  Held-out rows' lang, and source
-and doc_id, are never read for a prediction.
+The trigrams are counted on at most SAMPLE training rows of each language, those of least hash, repeated rows once; so
+every language of the training rows is learned, however rare, with all letters that its rows have.  Held-out rows' lang,
+and source and doc_id, are never read for a prediction.
 
 Defined results.  A null text, or one without a letter, is ``und`` with score 0, and so is any text if there are
-no training rows.  Words of a script that no language was trained on may be any language.  Ties go to the first
-language by code point.  A null doc_id is not held out.  Repeated rows get equal predictions.
+no training rows.  Words whose scripts no language has all of may be any language.  Ties go to the first language by
+code point.  A text of any length is labelled whole.  A null doc_id is not held out.  Repeated rows get equal
+predictions.  An empty table gives no rows.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Tables
+from quire.llm.shared import Tables, join_unique
 from quire.llm.toxicity import held_out
 
-SAMPLE = 20_000
-#: Characters that the trigrams tell apart, the commonest in the training rows; the others are one.
-LETTERS = 126
+#: Training rows of a language.
+SAMPLE = 5_000
 SWITCH = 9.0
 #: A word's score counts at most this much, in nats, against any language: one name is not a language.
 MOST = 12.0
 #: A language writes in a script if so much of its training letters is in it.
 SCRIPT_SHARE = 0.001
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: Smoothing: the weight of a pair's probability in a trigram's, and what is added to a pair's count.
+BACKOFF, ADDED = 2.0, 0.1
 #: First code points of scripts; a range goes up to the next.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0780, "other"), (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "gurmukhi"), (0x0A80, "gujarati"), (0x0B00, "other"),
@@ -47,6 +51,16 @@ NAMES = sorted({n for _, n in SCRIPTS})
 KIND = np.array([NAMES.index(n) for _, n in SCRIPTS])
 
 
+def _class(categories: str) -> str:
+    """A regular expression's set of the code points whose category begins with one of these letters."""
+    has = np.array([unicodedata.category(chr(c))[0] in categories for c in range(0x110000)])
+    edges = np.flatnonzero(np.diff(has.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist())
+
+
+WORD = re.compile(f"[{_class('L')}][{_class('LM')}]*")
+
+
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
 
@@ -67,7 +81,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Alphabet:
-    """Code points to symbols: 0 a word's edge, 1 any other letter, then the commonest letters."""
+    """Code points to symbols: 0 a word's edge, 1 any letter not seen in training, then the letters seen."""
 
     def __init__(self, letters: list[int]):
         self.letters = np.array(sorted(letters), dtype=np.int64)
@@ -90,69 +104,99 @@ class Alphabet:
 def _count_trigrams(alphabet, langs: list[str]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: Alphabet = alphabet.value
-        total = np.zeros((len(langs), a.size**3), dtype=np.int64)
+        number = {lang: i for i, lang in enumerate(langs)}
         for batch in batches:
+            found = [np.zeros(0, dtype=np.int64)]
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if words := WORD.findall((text or "").lower()):
-                    grams, _ = a.trigrams(words)
-                    np.add.at(total[langs.index(lang)], grams, 1)
-        lang, gram = np.nonzero(total)
-        yield pa.record_batch([pa.array(lang.astype(np.int64)), pa.array(gram.astype(np.int64)), pa.array(total[lang, gram])], names=["lang", "gram", "n"])
+                    found.append(a.trigrams(words)[0] * len(langs) + number[lang])
+            key, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.record_batch([pa.array(key), pa.array(n)], names=["key", "n"])
 
     return count
 
 
+class Counts:
+    """Sums by key: of the keys given, those that have any."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.key, self.n = key[first], np.add.reduceat(n, first).astype(np.float64) if len(first) else np.zeros(0)
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[i] == key, self.n[i], 0.0)
+
+
 class Model:
-    def __init__(self, langs: list[str], alphabet: Alphabet | None, table: np.ndarray | None, writes: np.ndarray | None):
-        #: table: -log probability of a trigram's last letter, a row a trigram; writes: a row a script, if a language has it
-        self.langs, self.alphabet, self.table, self.writes = langs, alphabet, table, writes
+    """Trigram counts of the languages; a key is a trigram's, pair's or letter's number times the languages, plus the language's."""
+
+    def __init__(self, langs: list[str], alphabet: Alphabet | None = None, key: np.ndarray | None = None, n: np.ndarray | None = None, writes: np.ndarray | None = None):
+        #: writes: a row a script, if a language has it
+        self.langs, self.alphabet, self.writes = langs, alphabet, writes
+        if langs:
+            lang, gram, size = key % len(langs), key // len(langs), alphabet.size
+            self.three = Counts(key, n)
+            self.before = Counts(gram // size * len(langs) + lang, n)  # trigrams by their first two
+            self.two = Counts(gram % size**2 * len(langs) + lang, n)  # and by their last two
+            self.one = Counts(gram // size % size * len(langs) + lang, n)
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """-log probability of each trigram's last letter, a column a language."""
+        langs, size = np.arange(len(self.langs)), self.alphabet.size
+        at = lambda x: x[:, None] * len(self.langs) + langs
+        pair = (self.two.of(at(grams % size**2)) + ADDED) / (self.one.of(at(grams // size % size)) + ADDED * size)
+        return -np.log((self.three.of(at(grams)) + BACKOFF * pair) / (self.before.of(at(grams // size)) + BACKOFF))
 
     def word_costs(self, words: list[str]) -> np.ndarray:
-        """A row a word, a cost a language, the best at 0; languages that don't write its script cost MOST."""
+        """A row a word, a cost a language, the best at 0; languages that don't write its scripts cost MOST."""
         grams, at = self.alphabet.trigrams(words)
-        cost = np.add.reduceat(self.table[grams], at, axis=0)
-        p = points(" ".join(words))
-        at = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-        first = scripts(p[at])
-        may = self.writes[first]
+        seen, of = np.unique(grams, return_inverse=True)
+        cost = np.add.reduceat(self.costs(seen)[of], at, axis=0)
+        letters = points("".join(words))
+        begin = np.cumsum([0] + [len(w) for w in words[:-1]])
+        may = np.logical_and.reduceat(self.writes[scripts(letters)], begin, axis=0)
         may[~may.any(axis=1)] = True
         cost = np.where(may, cost, np.inf)
         cost -= cost.min(axis=1, keepdims=True)
         return np.minimum(cost, MOST).astype(np.float32)
 
 
+def sample(rows: DataFrame, tables: Tables) -> DataFrame:
+    """(text, lang) of at most SAMPLE rows a language, those of least hash; ``rows``: text, lang, h."""
+    ids = tables.cut(rows.select("lang", "h").distinct(), "lang-ids")
+    sizes = tables.cut(ids.groupBy("lang").agg(F.count("*").alias("rows")), "lang-sizes")
+    near = join_unique(ids, sizes.withColumn("n", F.col("rows")), ["lang"], "inner")
+    # about four times the sample are looked at, so no language's rows are sorted whole
+    near = near.filter(F.shiftrightunsigned("h", 1) / F.lit(2.0**63) <= 4 * SAMPLE / F.col("n"))
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h")
+    chosen = tables.cut(near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE).select("lang", "h"), "lang-sample")
+    out = tables.cut(rows.join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("text", "lang"), "lang-rows")
+    for t in (ids, sizes, chosen):
+        tables.drop(t)
+    return out
+
+
 def fit(spark: SparkSession, docs: DataFrame, tables: Tables) -> Model:
     """``docs`` (doc_id, text, lang)."""
     rows = docs.filter("text is not null and lang is not null").filter(~held_out(F.col("doc_id")))
-    rows = rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    ids = tables.cut(rows.select("h").distinct().orderBy("h").limit(SAMPLE), "lang-sample")
-    chosen = rows.join(F.broadcast(ids), "h").dropDuplicates(["h"])  # repeated rows count once
-    chosen = tables.cut(chosen.select("text", "lang"), "lang-rows")
-    tables.drop(ids)
+    chosen = sample(rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("h")), tables)
     letters = chosen.mapInArrow(_count, "lang string, c bigint, n bigint").groupBy("lang", "c").agg(F.sum("n").alias("n"))
-    letters = tables.cut(letters, "lang-letters")
-    langs = sorted(r[0] for r in letters.select("lang").distinct().collect())
+    letters = tables.cut(letters, "lang-letters").collect()  # letters of SAMPLE texts a language at most
+    langs = sorted({r.lang for r in letters})
     if not langs:
-        return Model([], None, None, None)
-    common = [r[0] for r in letters.groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "c").limit(LETTERS).collect()]
-    alphabet = Alphabet(common)
+        return Model([])
+    alphabet = Alphabet(sorted({r.c for r in letters}))
     writes = np.zeros((len(NAMES), len(langs)))
-    start = F.array(*[F.lit(int(s)) for s in STARTS])
-    kind = F.element_at(F.array(*[F.lit(int(k)) for k in KIND]), F.size(F.filter(start, lambda s: s <= F.col("c"))))
-    for k, lang, n in letters.groupBy(kind.alias("k"), "lang").agg(F.sum("n")).collect():
-        writes[k, langs.index(lang)] = n
+    for r in letters:
+        writes[int(scripts(np.array([r.c]))[0]), langs.index(r.lang)] += r.n
     writes = writes / writes.sum(axis=0, keepdims=True) >= SCRIPT_SHARE
-    counts = np.zeros((len(langs), alphabet.size**3))
-    found = chosen.mapInArrow(_count_trigrams(spark.sparkContext.broadcast(alphabet), langs), "lang bigint, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    for lang, gram, n in found.toLocalIterator():  # languages times (LETTERS + 2) ** 3 rows at most
-        counts[lang, gram] = n
+    found = chosen.mapInArrow(_count_trigrams(spark.sparkContext.broadcast(alphabet), langs), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    found = found.toArrow()  # trigrams of SAMPLE texts a language at most
     tables.drop(chosen)
-    counts = counts.reshape(len(langs), alphabet.size, alphabet.size, alphabet.size)
-    pairs = counts.sum(axis=1) + 0.1
-    backoff = pairs / pairs.sum(axis=2, keepdims=True)
-    smooth = counts + 2.0 * backoff[:, None]
-    cost = -np.log(smooth / smooth.sum(axis=3, keepdims=True))
-    return Model(langs, alphabet, np.ascontiguousarray(cost.reshape(len(langs), -1).T.astype(np.float32)), writes)
+    return Model(langs, alphabet, found["key"].to_numpy(), found["n"].to_numpy(), writes)
 
 
 def viterbi(costs: list[np.ndarray], switch: float) -> list[np.ndarray]:
@@ -165,7 +209,7 @@ def viterbi(costs: list[np.ndarray], switch: float) -> list[np.ndarray]:
     flat = np.concatenate([costs[i] for i in order if len(costs[i])])
     place = np.cumsum(n) - n
     langs = flat.shape[1]
-    come = np.zeros((len(flat), langs), dtype=np.int8)
+    come = np.zeros((len(flat), langs), dtype=np.min_scalar_type(langs))
     live = int((n > 0).sum())
     total = flat[place[:live]].astype(np.float64)
     ends = np.zeros(len(n), dtype=np.int64)

@@ -4,7 +4,7 @@ import pytest
 from quire.llm import langid as li
 from quire.llm.shared import Tables
 
-from .helpers import corpus, documents
+from .helpers import documents
 
 TEXTS = {
     "en": "the quick brown fox jumps over the lazy dog while the children were playing with their friends in the garden",
@@ -61,4 +61,28 @@ def test_scripts_narrow(spark, docs):
     costs = model.word_costs(["собака", "garden", "文"])
     ru = model.langs.index("ru")
     assert costs[0, ru] == 0 and (np.delete(costs[0], ru) == li.MOST).all() and costs[1, ru] == li.MOST
-    assert len(corpus()) > 0
+
+
+def test_numerals_are_no_letters(spark, docs):
+    rows = documents(spark, [(1, "²³ ½", "en", "s"), (2, "Ⅷ ①", "en", "s"), (3, "٣ ४ 7", "en", "s"), (4, "x²", None, "s"), (5, "\u0301 \u0903", "en", "s")])
+    got = {r.doc_id: r.lang_pred for r in li.report(spark, docs.union(rows.withColumn("doc_id", rows.doc_id + 5000))).collect() if r.doc_id and r.doc_id > 5000}
+    assert [got[5000 + i] for i in (1, 2, 3, 5)] == ["und"] * 4 and got[5004] != "und"
+
+
+def test_marks_stay_in_words():
+    assert li.WORD.findall("नमस्ते दुनिया, e\u0301te\u0301 ไทยที่ a1b _c") == ["नमस्ते", "दुनिया", "e\u0301te\u0301", "ไทยที่", "a", "b", "c"]
+
+
+def test_many_languages_keep_their_labels():
+    rng = np.random.default_rng(3)
+    costs = [rng.random((40, 300)).astype(np.float32) * 9]
+    [path] = li.viterbi(costs, 0.0)
+    assert path.tolist() == costs[0].argmin(axis=1).tolist() and path.max() > 127
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(li, "SAMPLE", 6)
+    rare = "這 是 罕 見 語 言 的 文 字 裡 面 有 很 多 漢 字"
+    rows = [(i, " ".join(np.random.default_rng(i).permutation(TEXTS["en"].split())), "en", "s") for i in range(400)] + [(1000 + i, rare, "zh", "s") for i in range(4)]
+    out = {r.doc_id: r.lang_pred for r in li.report(spark, documents(spark, rows)).collect()}
+    assert {out[1000 + i] for i in range(4)} == {"zh"} and out[5] == "en"
