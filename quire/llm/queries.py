@@ -10,6 +10,8 @@ from quire.llm import decontaminate, langid, mixing, simhash, suffixdedup, token
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Hosts that the site list blocks, with the hosts below them.
 LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: Besides these, a quarter of the corpus's hosts is listed, so that the cascade has keys to tell apart at any size.
+LISTED_BELOW = "4"
 LISTED_HOSTS = tuple(f"{name}.example.{top}" for name in LISTED_NAMES for top in ("com", "net", "org"))
 
 
@@ -81,25 +83,30 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(x,) for x in LISTED_HOSTS], "key string")
-    out = urlfilter.judge(spark, read(spark, sf_dir, "pages").select("page_id", "url"), listed, URL_RULES)
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    host = urlfilter.url_host(F.col("url"))
+    listed = pages.select(host.alias("key")).filter((F.col("key") != "") & (F.md5("key") < LISTED_BELOW)).distinct()
+    listed = listed.union(spark.createDataFrame([(x,) for x in LISTED_HOSTS], "key string"))
+    out = urlfilter.judge(spark, pages, listed, URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
 def _op9_sql() -> str:
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
-    listed = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in LISTED_HOSTS)
+    named = ", ".join(f"('{h}')" for h in LISTED_HOSTS)
     return f"""
 WITH u AS (
   SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages
 ), p AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u
-)
+), listed AS (
+  SELECT host AS key FROM p WHERE host <> '' AND md5(host) < '{LISTED_BELOW}' UNION SELECT key FROM (VALUES {named}) v(key)
+), bad AS (SELECT DISTINCT host FROM p, listed WHERE host = key OR ends_with(host, '.' || key))
 SELECT page_id, host, path,
   CASE {" ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in rules)} END AS rule,
-  CASE {" ".join(f"WHEN {fits(h, p)} THEN '{w}'" for w, h, p in rules)} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict
+  CASE {" ".join(f"WHEN {fits(h, p)} THEN '{w}'" for w, h, p in rules)} WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict
 FROM p"""
 
 

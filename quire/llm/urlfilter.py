@@ -8,7 +8,9 @@ DataFrame functions only.
 
 Defined results.  A url that is null or has no ``://`` has an empty host and path, fits no rule and is allowed.
 Hosts are compared as written but for A-Z; ports and user names are part of them.  Null listed keys are ignored,
-repeated ones count once.  An empty list allows all, an empty table gives no rows.
+repeated ones count once.  Hosts and paths may be of any length.  Of rules of equal length that fit, the last by host,
+path and verdict decides.  Repeated rows each get their verdict.  An empty list allows all, an empty table gives no
+rows.  Columns host, path, rule and verdict are set anew, all others pass through.
 """
 
 from __future__ import annotations
@@ -120,7 +122,7 @@ def judge(spark: SparkSession, pages: DataFrame, listed: DataFrame, rules: Seque
     rows = pages.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
     hosts = rows.select("host").distinct()
     universe = tables.cut(hosts.select(F.explode(host_suffixes(F.col("host"))).alias("key")).distinct(), "cascade-keys")
-    listed = listed.select(ascii_lower(F.col("key")).alias("key")).filter("key is not null").distinct()
+    listed = tables.cut(listed.select(ascii_lower(F.col("key")).alias("key")).filter("key is not null").distinct(), "cascade-listed")
     blocks = max(1, -(-listed.count() // BLOCK_KEYS))
     hit = F.lit(False)
     for i in range(blocks):
@@ -128,6 +130,7 @@ def judge(spark: SparkSession, pages: DataFrame, listed: DataFrame, rules: Seque
         cascade = Cascade.build(spark, part, universe)
         hit = hit | F.exists(host_suffixes(F.col("host")), cascade.contains)
     tables.drop(universe)
+    tables.drop(listed)
     fits = lambda h, p: ((F.col("host") == h) | F.endswith("host", F.lit("." + h))) & F.startswith("path", F.lit(p))
     rule, verdict = F.lit(None).cast("string"), F.when(hit, "block").otherwise("allow")
     for what, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):  # the longest is asked first
