@@ -3,12 +3,15 @@
 ``decode`` reads any lossless file: prefix codes (one group or an entropy image of groups), back-references, the
 colour cache, and the predictor, cross-colour, subtract-green and palette transforms.  ``decode_many`` decodes
 images of one prefix group that hold literals only in step, a pixel of each image at a time by NumPy, and hands
-others to ``decode``.  ``encode`` writes literal pixels under one fixed set of prefix codes, so equal pixels give
-equal bytes.
+others to ``decode``.  The encoder looks at an image and chooses, by fixed rules: a palette, for few colours;
+subtract-green or cross-colour, where channels are equal; the left predictor, where neighbours are; back-references and
+the colour cache, where stretches of pixels come again; and else literals under one fixed set of prefix codes, which
+are cheap to write and read.  Equal pixels give equal bytes.
 
 Payloads become rows of 8-bit RGB pixels.  Defined results.  A null text is empty; a payload is its UTF-8 bytes
 and spaces up to a positive multiple of UNIT bytes.  Payloads beyond the largest image are several files, one after the
-other.  Repeated rows each get their row; an empty table gives none.  Only doc_id and text are read.
+other, so a text may be of any length.  Repeated rows each get their row; an empty table gives none.  Only doc_id and
+text are read; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -464,46 +468,268 @@ def riff(body: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(body) + odd) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + bytes(odd)
 
 
-def encode_many(images: Sequence[np.ndarray]) -> list[bytes]:
-    """Files of (height, width, 3) RGB byte arrays, opaque."""
-    codes, lengths, declared, n_declared = fixed_codes()
-    flat = np.concatenate([x.reshape(-1, 3)[:, [1, 0, 2]].reshape(-1) for x in images])
-    n = lengths[flat]
-    per = np.array([x.size for x in images])
-    first = np.cumsum(per) - per
+def pack(value: np.ndarray, n: np.ndarray, starts: np.ndarray, ends: np.ndarray, shifts: np.ndarray) -> list[bytes]:
+    """Fields of up to 24 bits, put from the least bit on; of each stretch of fields the bytes, after ``shifts`` free bits."""
     run = np.cumsum(n)
     begin = run - n
-    heads = []
-    for x in images:
-        w = BitWriter()
-        w.put(0x2F, 8)
-        w.put(x.shape[1] - 1, 14)
-        w.put(x.shape[0] - 1, 14)
-        w.put(0, 4)
-        w.put(declared, n_declared)
-        heads.append(w)
-    head_bits = np.array([w.n for w in heads])
-    body_bits = run[first + per - 1] - begin[first]
-    sizes = (head_bits + body_bits + 7) // 8
+    bits = run[ends - 1] - begin[starts] + shifts
+    sizes = (bits + 7) // 8
     words = (sizes + 11) // 8  # 8-byte words, and room to spill
     base = np.cumsum(words) - words
-    at = np.repeat(64 * base + head_bits - begin[first], per) + begin
-    value, word, shift = codes[flat].astype(np.uint64), at >> 6, (at & 63).astype(np.uint64)
+    at = np.repeat(64 * base + shifts - begin[starts], ends - starts) + begin
+    value, word, shift = value.astype(np.uint64), at >> 6, (at & 63).astype(np.uint64)
     out = np.zeros(int(words.sum()) + 1, dtype=np.uint64)
     edges = np.flatnonzero(np.diff(word, prepend=-1))
     out[word[edges]] |= np.bitwise_or.reduceat(value << shift, edges)
     over = np.flatnonzero((at & 63) + n > 64)
-    out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
+    np.bitwise_or.at(out, word[over] + 1, value[over] >> (np.uint64(64) - shift[over]))
     raw = out.view(np.uint8)
-    files = []
-    for b, size, w in zip(base, sizes, heads, strict=True):
-        body = bytearray(raw[8 * b : 8 * b + size].tobytes())
-        head = w.value.to_bytes((w.n + 7) // 8, "little")
-        last = body[len(head) - 1]
-        body[: len(head)] = head
-        body[len(head) - 1] |= last if w.n & 7 else 0
-        files.append(riff(bytes(body)))
-    return files
+    return [raw[8 * b : 8 * b + size].tobytes() for b, size in zip(base.tolist(), sizes.tolist(), strict=True)]
+
+
+def file_of(head: BitWriter, packed: bytes) -> bytes:
+    """The file whose bits are those of ``head`` and then those of ``packed``, which left room for them."""
+    body = bytearray(packed)
+    front = head.value.to_bytes((head.n + 7) // 8, "little")
+    last = body[len(front) - 1] if len(body) >= len(front) else 0
+    body[: len(front)] = front
+    if head.n & 7:
+        body[len(front) - 1] |= last
+    return riff(bytes(body))
+
+
+def start(width: int, height: int) -> BitWriter:
+    w = BitWriter()
+    w.put(0x2F, 8)
+    w.put(width - 1, 14)
+    w.put(height - 1, 14)
+    w.put(0, 4)
+    return w
+
+
+def encode_literals(images: Sequence[np.ndarray]) -> list[bytes]:
+    """Files of (height, width, 3) RGB byte arrays, opaque, under the fixed codes."""
+    codes, lengths, declared, n_declared = fixed_codes()
+    flat = np.concatenate([x.reshape(-1, 3)[:, [1, 0, 2]].reshape(-1) for x in images])
+    heads = [start(x.shape[1], x.shape[0]) for x in images]
+    for w in heads:
+        w.put(declared, n_declared)
+    ends = np.cumsum([x.size for x in images])
+    packed = pack(codes[flat], lengths[flat], ends - [x.size for x in images], ends, np.array([w.n for w in heads]))
+    return [file_of(w, b) for w, b in zip(heads, packed, strict=True)]
+
+
+#: Colours of a palette; pixels of the least stretch that is copied; the longest copy; bits of the colour cache.
+FEW_COLOURS, STRETCH, LONGEST, CACHE_BITS = 16, 4, 4096, 6
+#: One in so many places must begin a stretch that has come before, for references to be written.
+REPEATED = 8
+#: The transforms' numbers in the format, and the factor that takes a whole channel from another.
+PREDICTOR, CROSS, GREEN, PALETTE, WHOLE = 0, 1, 2, 3, 32
+BLOCK_BITS = 9
+
+
+def earlier(key: np.ndarray) -> np.ndarray:
+    """For each place the last place before it with the same key, or -1."""
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    out = np.full(len(key), -1, dtype=np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def stretch_before(pixels: np.ndarray) -> np.ndarray:
+    """For each place where STRETCH pixels begin, where they last began before (by their hash), or -1."""
+    if len(pixels) < STRETCH:
+        return np.zeros(0, dtype=np.int64)
+    key = np.zeros(len(pixels) - STRETCH + 1, dtype=np.uint64)
+    for i in range(STRETCH):
+        key = (key ^ pixels[i : i + len(key)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return earlier(key)
+
+
+def copies(pixels: np.ndarray, before: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of the references, taken greedily from the left."""
+    out, at = [], 0
+    for i in np.flatnonzero(before >= 0).tolist():
+        if i < at:
+            continue
+        j = int(before[i])
+        most = min(LONGEST, len(pixels) - i)
+        differ = np.flatnonzero(pixels[i : i + most] != pixels[j : j + most])
+        n = int(differ[0]) if len(differ) else most
+        if n >= STRETCH:
+            out.append((i, n, i - j))
+            at = i + n
+    return out
+
+
+def code_lengths(counts: np.ndarray) -> list[int]:
+    """Lengths of a prefix code, 15 at most, by Huffman's rule; of equal weights the earlier made go first."""
+    counts = counts.astype(np.int64)
+    while True:
+        heap = [(int(c), i, (s,)) for i, (s, c) in enumerate((s, counts[s]) for s in np.flatnonzero(counts).tolist())]
+        lengths = [0] * len(counts)
+        if len(heap) == 1:
+            lengths[heap[0][2][0]] = 1
+        heapify(heap)
+        made = len(heap)
+        while len(heap) > 1:
+            a, b = heappop(heap), heappop(heap)
+            for s in a[2] + b[2]:
+                lengths[s] += 1
+            heappush(heap, (a[0] + b[0], made, a[2] + b[2]))
+            made += 1
+        if max(lengths) <= 15:
+            return lengths
+        counts = np.where(counts > 0, np.maximum(1, counts >> 2), 0)
+
+
+def prefix_parts(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of lengths or distances, how many extra bits each has, and these."""
+    v = value.astype(np.int64) - 1
+    k = np.maximum(np.int64(1), np.floor(np.log2(np.maximum(v, 2))).astype(np.int64))
+    second = v >> (k - 1) & 1
+    symbol = np.where(v < 2, v, 2 * k + second)
+    extra = np.where(v < 4, 0, k - 1)
+    return symbol, extra, np.where(v < 4, 0, v - ((2 + second) << (k - 1)))
+
+
+def put_pixels(w: BitWriter, pixels: np.ndarray, width: int, main: bool, refer: bool = False) -> None:
+    """An entropy-coded image, with references and the colour cache if ``refer``."""
+    pixels = pixels.ravel()
+    refs = copies(pixels, stretch_before(pixels)) if refer else []
+    cache = CACHE_BITS if refs else 0
+    w.put(1 if cache else 0, 1)
+    if cache:
+        w.put(cache, 4)
+    if main:
+        w.put(0, 1)  # one group
+    place, length, distance = (np.array(c, dtype=np.int64) for c in zip(*refs, strict=True)) if refs else (np.zeros(0, dtype=np.int64),) * 3
+    covered = np.zeros(len(pixels) + 1, dtype=np.int64)
+    covered[place] += 1
+    covered[place + length] -= 1
+    single = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    slot = (pixels * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - cache) if cache else np.zeros(len(pixels), dtype=np.int64)
+    held = earlier(slot)[single] if cache else np.full(len(single), -1)
+    hit = (held >= 0) & (pixels[held] == pixels[single])
+    near = {max(1, dx + dy * width): i + 1 for i, (dx, dy) in reversed(list(enumerate(DISTANCES)))}
+    code = np.array([near.get(d, d + 120) for d in distance.tolist()], dtype=np.int64)
+    # a row a token: its symbols in the five alphabets, -1 for none, and extra bits behind the first and the last
+    p = pixels[single]
+    channel = lambda shift: np.where(hit, -1, p >> shift & 255)
+    none = np.full(len(single), -1)
+    lit = np.stack([np.where(hit, 280 + slot[single], p >> 8 & 255), channel(16), channel(0), channel(24), none], axis=1)
+    (ls, ln, lx), (ds, dn, dx) = prefix_parts(length), prefix_parts(code)
+    void = np.full(len(place), -1)
+    copied = np.stack([256 + ls, void, void, void, ds], axis=1)
+    order = np.argsort(np.concatenate([single, place]), kind="stable")
+    rows = np.concatenate([lit, copied])[order]
+    zeros = np.zeros((len(single), 4), dtype=np.int64)
+    extra = np.concatenate([zeros, np.stack([lx, ln, dx, dn], axis=1)])[order]
+    sizes = (280 + (1 << cache if cache else 0), 256, 256, 256, 40)
+    value, n = np.zeros((len(rows), 7), dtype=np.int64), np.zeros((len(rows), 7), dtype=np.int64)
+    for k, size in enumerate(sizes):
+        s = rows[:, k]
+        counts = np.bincount(s[s >= 0], minlength=size)
+        lengths = code_lengths(counts)
+        used = np.flatnonzero(counts)
+        if len(used) <= 1 and (not len(used) or used[0] < 256):
+            write_one(w, int(used[0]) if len(used) else 0)
+            continue
+        write_lengths(w, lengths, size)
+        if len(used) == 1:
+            continue  # the only symbol takes no bits
+        codes = np.array([reverse(int(c), m) for c, m in zip(canonical(lengths), lengths, strict=True)])
+        at = (0, 2, 3, 4, 5)[k]
+        value[:, at], n[:, at] = np.where(s >= 0, codes[s], 0), np.where(s >= 0, np.array(lengths)[s], 0)
+    value[:, 1], n[:, 1], value[:, 6], n[:, 6] = extra.T
+    total = int(n.sum())
+    if total:
+        keep = n.ravel() > 0
+        [packed] = pack(value.ravel()[keep], n.ravel()[keep], np.array([0]), np.array([int(keep.sum())]), np.array([0]))
+        w.put(int.from_bytes(packed, "little"), total)
+
+
+def equal_channels(p: np.ndarray) -> list[tuple[int, int]]:
+    """(transform, element) where a channel equals another in half of the pixels: all three, or a pair of them."""
+    half = lambda a, b: 2 * int((p[:, a] == p[:, b]).sum()) >= len(p)
+    if 2 * int(((p[:, 0] == p[:, 1]) & (p[:, 2] == p[:, 1])).sum()) >= len(p):
+        return [(GREEN, 0)]
+    # elements: what of green goes to red, of green to blue, of red to blue
+    found = WHOLE if half(0, 1) else WHOLE << 8 if half(2, 1) else WHOLE << 16 if half(2, 0) else 0
+    return [(CROSS, found)] if found else []
+
+
+def plan(image: np.ndarray) -> str:
+    """How an image is written: palette, runs, repeats or literals."""
+    argb = pixels_of(image)
+    some = argb[: 8 * FEW_COLOURS]
+    if len(np.unique(some)) <= FEW_COLOURS and len(np.unique(argb)) <= FEW_COLOURS:
+        return "palette"
+    same = argb.reshape(image.shape[:2])
+    if 2 * int((same[:, 1:] == same[:, :-1]).sum()) >= len(argb):
+        return "runs"
+    return "repeats" if REPEATED * int((stretch_before(argb) >= 0).sum()) >= len(argb) else "literals"
+
+
+def pixels_of(image: np.ndarray) -> np.ndarray:
+    p = image.reshape(-1, 3).astype(np.int64)
+    return 255 << 24 | p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]
+
+
+def encode(image: np.ndarray, how: str) -> bytes:
+    """One (height, width, 3) RGB byte array, as ``plan`` says."""
+    if how == "literals":
+        return encode_literals([image])[0]
+    height, width = image.shape[:2]
+    w, argb = start(width, height), pixels_of(image)
+    blocks = ((width - 1) >> BLOCK_BITS) + 1, ((height - 1) >> BLOCK_BITS) + 1
+
+    def transform(kind: int, element: int | None = None) -> None:
+        w.put(1 | kind << 1, 3)
+        if element is not None:  # the same in all blocks
+            w.put(BLOCK_BITS - 2, 3)
+            put_pixels(w, np.full(blocks[0] * blocks[1], 255 << 24 | element), blocks[0], False)
+
+    if how == "palette":
+        colours, index = np.unique(argb, return_inverse=True)
+        transform(PALETTE)
+        w.put(len(colours) - 1, 8)
+        steps = split(colours)
+        steps[1:] = (steps[1:] - steps[:-1].copy()) & 255
+        put_pixels(w, join(steps), len(colours), False)
+        bits = packing(len(colours))
+        per, each = 1 << bits, 8 >> bits
+        index = np.pad(index.reshape(height, width), ((0, 0), (0, -width % per))).reshape(height, -1, per)
+        width = index.shape[1]
+        argb = (255 << 24 | (index << (np.arange(per) * each)).sum(axis=2) << 8).ravel()
+    elif how == "runs":
+        p = split(argb)
+        for kind, element in equal_channels(p[:, 1:]):
+            transform(kind, None if kind == GREEN else element)
+            red, green = p[:, 1].copy(), p[:, 2]
+            if kind == GREEN:
+                p = p - green[:, None] * np.array([0, 1, 0, 1])
+            else:
+                p[:, 1] -= colour_delta(np.array(element & 255), green)
+                p[:, 3] -= colour_delta(np.array(element >> 8 & 255), green) + colour_delta(np.array(element >> 16 & 255), red)
+            p &= 255
+        transform(PREDICTOR, 1 << 8)  # the left neighbour, above it in the first column
+        grid = p.reshape(height, width, 4)
+        before = np.concatenate([np.concatenate([[[[255, 0, 0, 0]]], grid[:-1, :1]]), grid[:, :-1]], axis=1)
+        argb = join((grid - before) & 255).ravel()
+    w.put(0, 1)
+    put_pixels(w, argb, width, True, refer=True)
+    return riff(w.value.to_bytes((w.n + 7) // 8, "little"))
+
+
+def encode_many(images: Sequence[np.ndarray]) -> list[bytes]:
+    """Files of (height, width, 3) RGB byte arrays, opaque; those of literals are written together."""
+    how = [plan(x) for x in images]
+    plain = [x for x, h in zip(images, how, strict=True) if h == "literals"]
+    written = iter(encode_literals(plain)) if plain else iter(())
+    return [next(written) if h == "literals" else encode(x, h) for x, h in zip(images, how, strict=True)]
 
 
 def pad(data: bytes) -> bytes:

@@ -226,6 +226,48 @@ def test_broken_files_are_refused():
             w.decode(bad)
 
 
+def image_of(payload):
+    return w.to_images(w.pad(payload))[0]
+
+
+ENCODED = {
+    "palette": [b"", b"z" * 1000, b"abcabd" * 300, bytes(range(48)) * 40],
+    "runs": [b"a" * 300 + bytes(range(256)) * 2 + b"b" * 2500, b"aab" * 900 + bytes(range(200)), b"baa" * 900 + bytes(range(200)), b"aba" * 900 + bytes(range(200))],
+    "repeats": [np.random.default_rng(1).integers(32, 127, 600).astype(np.uint8).tobytes() * 4, words(3, 60).ljust(600).encode() * 30],
+    "literals": [words(4, 200).encode(), np.random.default_rng(2).integers(0, 256, 5000).astype(np.uint8).tobytes()],
+}
+
+
+@pytest.mark.parametrize("how", sorted(ENCODED))
+def test_the_encoder_chooses_and_all_is_read_back(how):
+    for payload in ENCODED[how]:
+        image = image_of(payload)
+        assert w.plan(image) == how
+        data = w.encode_many([image])[0]
+        assert (w.split(w.decode(data))[..., 1:] == image).all() and (w.split(w.decode(data))[..., 0] == 255).all()
+        assert data == w.encode_many([image, image_of(b"other"), image])[2]
+
+
+def test_any_way_of_writing_is_read_back():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 64, 200, 900):
+        for colours in (2, 9, 200):
+            payload = rng.integers(0, colours, n * 3).astype(np.uint8).tobytes()
+            image = image_of(payload)
+            for how in ENCODED:
+                if how != "palette" or len(np.unique(w.pixels_of(image))) <= 256:
+                    assert (w.split(w.decode(w.encode(image, how)))[..., 1:] == image).all(), (n, colours, how)
+
+
+def test_code_lengths_are_bounded_and_complete():
+    fib = [1, 1]
+    while len(fib) < 40:
+        fib.append(fib[-1] + fib[-2])
+    lengths = w.code_lengths(np.array(fib))
+    assert max(lengths) <= 15 and sum(2.0**-n for n in lengths) == 1
+    assert w.code_lengths(np.array([0, 5, 0])) == [0, 1, 0] and w.code_lengths(np.zeros(3, dtype=int)) == [0, 0, 0]
+
+
 def test_features(spark):
     rows = corpus() + [(50, words(9, 3) + "ñ" * 70), (51, "z" * 192), (52, "z" * 191)]
     out = {}
