@@ -6,8 +6,9 @@ The mix is then a filter ``hash <= threshold``: nothing is sorted, and a smaller
 larger one takes.  DataFrame functions only.
 
 Defined results.  A null or empty text has no words and is never taken.  A null source is one source, the last.
-Rows equal in doc_id and text share a hash and are taken or left together; the choice comes nearer the target.
-An empty table gives no rows.  Columns that the operator does not name are passed through by ``mix``.
+Rows equal in doc_id and text share a hash and are taken or left together; the choice comes nearer the target, and
+where both are as near they are left.  A text of any length counts whole.  An empty table gives no rows.  Columns of
+any names pass through ``mix``.  The targets are set over one row a source, in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Tables
+from quire.llm.shared import Tables, free_prefix
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the hash that are used, and how many each pass looks at.
@@ -94,7 +95,7 @@ def _small(df: DataFrame, counted: DataFrame) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3) -> DataFrame:
-    """``docs`` with _quire_size, _quire_source_size, _quire_target and _quire_taken, the words that the mix takes of each row."""
+    """``docs`` with size, source_size, target and taken, the words that the mix takes of each row, behind ``free_prefix``."""
     tables = Tables(spark)
     size, h = word_count(F.col("text")), mix_hash(F.col("doc_id"), F.col("text"))
     base = tables.cut(docs.select("source", size.alias("size"), h.alias("h")), "mix-base")
@@ -104,11 +105,12 @@ def mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (5, 2,
 
 
 def apply_plan(docs: DataFrame, size: Column, h: Column, plans: DataFrame) -> DataFrame:
-    p = _small(plans.select(F.col("source").alias("_quire_s"), F.col("source_size").alias("_quire_source_size"), F.col("target").alias("_quire_target"), F.col("repeats").alias("_quire_repeats"), F.col("threshold").alias("_quire_threshold")), plans)
-    rows = docs.withColumns({"_quire_size": size, "_quire_h": h})
-    rows = rows.join(p, rows.source.eqNullSafe(p._quire_s))
-    copies = F.col("_quire_repeats") + F.when(F.col("_quire_h") <= F.col("_quire_threshold"), 1).otherwise(0)
-    return rows.withColumn("_quire_taken", (F.col("_quire_size") * copies).cast("long")).drop("_quire_s", "_quire_h", "_quire_repeats", "_quire_threshold")
+    own = free_prefix(docs.columns)
+    p = _small(plans.select(*[F.col(c).alias(own + c) for c in ("source", "source_size", "target", "repeats", "threshold")]), plans)
+    rows = docs.withColumns({own + "size": size, own + "h": h})
+    rows = rows.join(p, rows["source"].eqNullSafe(p[own + "source"]))
+    copies = F.col(own + "repeats") + F.when(F.col(own + "h") <= F.col(own + "threshold"), 1).otherwise(0)
+    return rows.withColumn(own + "taken", (F.col(own + "size") * copies).cast("long")).drop(own + "source", own + "h", own + "repeats", own + "threshold")
 
 
 def mix_report(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3) -> DataFrame:
@@ -118,4 +120,5 @@ def mix_report(spark: SparkSession, docs: DataFrame, weights: Sequence[float] =
     base = tables.cut(docs.select("doc_id", "source", size.alias("size"), h.alias("h")), "mix-base")
     plans = plan(spark, base.select("source", "size", "h"), weights, most, tables)
     rows = apply_plan(base, F.col("size"), F.col("h"), plans)
-    return rows.select("doc_id", F.col("_quire_size").alias("size"), F.col("_quire_source_size").alias("source_size"), F.col("_quire_target").alias("target"), F.col("_quire_taken").alias("taken"))
+    own = free_prefix(base.columns)
+    return rows.select("doc_id", *[F.col(own + c).alias(c) for c in ("size", "source_size", "target", "taken")])

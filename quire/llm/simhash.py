@@ -15,8 +15,10 @@ Tasks return, in place of all pairs, a spanning forest of the pairs that they ha
 texts is lost to a component, and there are at most as many rows as fingerprints.
 
 Defined results.  A null or empty text has fingerprint 0 and is linked as any other.  Fewer words than a shingle
-make one shingle.  A null doc_id counts as larger than all others; a component of such rows alone has a null id.
-Repeated rows each get their row.  An empty table gives no rows.
+make one shingle.  A text of any length is fingerprinted whole, AT_ONCE shingles at a time.  A null doc_id counts as
+larger than all others; a component of such rows alone has a null id.  A bit set in exactly half the shingles is 0.
+Repeated rows each get their row.  An empty table gives no rows.  Other columns, whatever their names, are not read
+by ``report`` and pass through ``representatives``.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Tables, components, join_unique
+from quire.llm.shared import Tables, components, free_prefix, join_unique
 
 SHINGLE = 4
 RADIUS = 4
@@ -264,8 +266,9 @@ def representatives(spark: SparkSession, docs: DataFrame, radius: int = RADIUS)
 def least_rows(docs: DataFrame, prints: DataFrame, placed: DataFrame, tables: Tables) -> DataFrame:
     """One row of ``docs`` for each root of ``placed`` (doc_id, th, root)."""
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")
+    doc, th = (free_prefix(docs.columns) + k for k in ("doc", "th"))
     kept = placed.groupBy("root").agg(F.min(place).alias("p"))
-    kept = tables.cut(kept.select(F.col("p.doc_id").alias("_quire_doc"), F.col("p.th").alias("_quire_th")), "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_quire_doc"]) & (F.xxhash64(docs["text"]) == kept["_quire_th"]), "left_semi")
+    kept = tables.cut(kept.select(F.col("p.doc_id").alias(doc), F.col("p.th").alias(th)), "kept")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept[doc]) & (F.xxhash64(docs["text"]) == kept[th]), "left_semi")
     same = prints.groupBy("doc_id", "th").count().filter("count > 1")
     return out if same.isEmpty() else out.dropDuplicates(["doc_id", "text"])

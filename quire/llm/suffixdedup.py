@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Tables, join_unique
+from quire.llm.shared import Tables, free_prefix, join_unique
 
 LENGTH = 100
 GRAM = 16
@@ -451,11 +451,11 @@ def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_report, REPORT)
 
 
-def _rewrite(names: list[str]):
+def _rewrite(names: list[str], found: str):
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = []
-            for t, s in zip(batch.column(batch.schema.names.index("text")).cast(pa.binary()), batch.column(batch.schema.names.index("_quire_spans")).to_pylist(), strict=True):
+            for t, s in zip(batch.column(batch.schema.names.index("text")).cast(pa.binary()), batch.column(batch.schema.names.index(found)).to_pylist(), strict=True):
                 data = t.as_py()
                 text.append(data if data is None else keep(data, whole_characters(data, merge(s))).decode())
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)} | {"text": pa.array(text, pa.string())}
@@ -467,7 +467,7 @@ def _rewrite(names: list[str]):
 def dedup_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with the repeats removed from ``text``, by whole characters."""
     tables = Tables(spark)
-    spans = repeat_spans(spark, docs, tables).select(F.col("doc").alias("_quire_doc"), F.col("th").alias("_quire_th"), F.col("spans").alias("_quire_spans"))
-    names = docs.columns
-    rows = docs.join(spans, (F.coalesce(docs["doc_id"], F.lit(NULL_DOC)) == spans["_quire_doc"]) & (F.xxhash64(docs["text"]) == spans["_quire_th"]), "left").drop("_quire_doc", "_quire_th")
-    return rows.mapInArrow(_rewrite(names), docs.schema)
+    doc, th, found = (free_prefix(docs.columns) + k for k in ("doc", "th", "spans"))
+    spans = repeat_spans(spark, docs, tables).select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("spans").alias(found))
+    rows = docs.join(spans, (F.coalesce(docs["doc_id"], F.lit(NULL_DOC)) == spans[doc]) & (F.xxhash64(docs["text"]) == spans[th]), "left").drop(doc, th)
+    return rows.mapInArrow(_rewrite(docs.columns, found), docs.schema)

@@ -11,7 +11,9 @@ are over all rows.  Labels of held-out rows, and lang, source and doc_id, are ne
 
 Defined results.  A null or empty text is scored as a text without weights.  Without labelled rows, or without
 both labels among them, every score is 0.  A row labelled more than once counts as toxic if any label says so;
-null labels are ignored.  A null doc_id is not held out.  Repeated rows get equal scores.
+null labels are ignored.  A null doc_id is not held out.  Repeated rows get equal scores.  Texts and tokens of any
+length are read whole.  Of restorations that cost the same the one whose first letters come first is taken.  Other
+columns, whatever their names, are not read.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from quire.llm.shared import Tables
 
 SAMPLE = 20_000
-FEATURES = 8192
 THRESHOLD = 0.3
 #: Documents that a feature must be in, and the least log-likelihood ratio (in nats) and weight that it must have.
 LEAST_DOCS, LEAST_RATIO, LEAST_WEIGHT = 3, 7.0, 2.0
@@ -273,7 +274,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, tables: Tables)
     ratio = part(t, n * share) + part(n - t, n * (1 - share))
     weight = F.log((t + 0.5) / (toxic + 1)) - F.log((n - t + 0.5) / (total - toxic + 1))
     best = counts.select("f", ratio.alias("ratio"), weight.alias("weight")).filter((F.col("ratio") > LEAST_RATIO) & (F.col("weight") > LEAST_WEIGHT))
-    weights = {r.f: r.weight for r in best.orderBy(F.col("ratio").desc(), "f").limit(FEATURES).collect()}
+    weights = {r.f: r.weight for r in best.collect()}  # words of SAMPLE texts at most
     known = spark.sparkContext.broadcast(weights)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,21 +288,21 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, tables: Tables)
     return Model(trigrams, weights, _fit_curve(points[:, 1:], points[:, 0]))
 
 
-def _scorer(model):
+def _scorer(model, name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         restorer, known = Restorer(m.trigrams), {}
         for batch in batches:
             scores = [m.score(t or "", restorer, known) for t in batch.column(batch.schema.names.index("text")).to_pylist()]
-            yield batch.append_column("_quire_score", pa.array(scores, pa.float64()))
+            yield batch.append_column(name, pa.array(scores, pa.float64()))
 
     return score
 
 
-def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the column _quire_score."""
-    fields = StructType([*docs.schema.fields, StructField("_quire_score", DoubleType())])
-    return docs.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), fields)
+def scored(spark: SparkSession, docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """``docs`` with the score in a column ``name``, which it must not have yet."""
+    fields = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.mapInArrow(_scorer(spark.sparkContext.broadcast(model), name), fields)
 
 
 def report(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
