@@ -16,37 +16,6 @@ from quire.functions import text as T
 
 Rules = Sequence[tuple[str, str]]
 
-DIALOGUE_BREAKS: Rules = (("”{2,}\\s*“", "”\n\n“"), ('"{2,}\\s*"', '"\n\n"'), ("”\\s*“", "”\n\n“"), ('"\\s*"', '"\n\n"'))
-QUOTE_SPACING: Rules = (
-    ('([“"])[ \\t]+', "$1"),
-    ('[ \\t]+([”"])', "$1"),
-    ('([”"])(?=[“"])', "$1 "),
-    ("(?<=[\\p{L}\\p{N}_.,;:!?…])(?=“[A-Za-zÀ-ÿ])", " "),
-    ('(?<=[”"])(?=[A-Za-zÀ-ÿ])', " "),
-)
-PUNCTUATION: Rules = (
-    ("“['‘]", "“"),
-    ("['’]”", "”"),
-    ("(?m)^(\\s*)”\\s*(?=“[A-Za-zÀ-ÿ])", "$1"),
-    ('([”"])\\1+', "$1"),
-    ('([.!?…][”"])\\*(?=\\s|$)', "$1"),
-    ("([?!…])”\\.", "$1”"),
-    ("—,\\s*", "—"),
-    ("(?<=\\S)—(?=\\S)", " — "),
-    ("—(?=[A-Za-zÀ-ÿ])", "— "),
-    ("\\s+([.!?])", "$1"),
-    ("[ \\t]{2,}", " "),
-)
-INLINE_MARKS: Rules = (("(?i)https?://\\S+", ""), ("(?i)\\bwww\\.\\S+", ""), ("(?i)\\b(?:[a-z0-9-]+\\.)+[a-z]{2,63}(?:[/?#]\\S*)?", ""), ("[ ]{2,}", " "), ("\\n[ ]+", "\n"))
-HYPHEN_BREAK = "([A-Za-z]{1,24})-\\s*\\n\\s*([A-Za-z]{1,24})"
-ELLIPSIS_SPACING: Rules = (("…(?![A-Z]{2})([A-Za-z])", "… $1"), ("\\.\\.\\.(?![A-Z]{2})([A-Za-z])", "... $1"), ("…\\s{2,}(?=[A-Za-z])", "… "), ("\\.\\.\\.\\s{2,}(?=[A-Za-z])", "... "))
-THINKING = "(?is)<think>.*?</think>"
-MODEL_PHRASES = ("Here is the refined text:", "Texto refinado:", "Here is the text:")
-MARKERS = "(?i)###\\s*(?:TEXTO_TRADUZ[A-Z_]*|TEXTO_REFINADO_[A-Z_]*)"
-EDITOR_LITE: Rules = (("(?iU)\\b(\\w+)\\s+\\1\\b", "$1"), ("\\s+([,.;!?])", "$1"), ("[ \\t]{2,}", " "))
-EDITOR_STRICT: Rules = (("(?i)\\btipo,\\s*", ""), ("(?i)\\bcomo se (ele|ela) fosse tipo\\b", "como se $1 fosse"), ("(?i)\\b(muito\\s+){2,}", "muito "), ("[ \\t]{2,}", " "), ("\\s+([,.;!?])", "$1"))
-EDITOR_VOICE: Rules = (("\\.{4,}", "…"), ("[ \\t]{2,}", " "))
-
 
 def rewrite(c: Column, rules: Rules) -> Column:
     for pattern, by in rules:
@@ -80,15 +49,15 @@ def drop_footers(c: Column) -> Column:
 
 
 def fix_hyphen_breaks(c: Column) -> Column:
-    return F.regexp_replace(c, HYPHEN_BREAK, "$1-$2")
+    return F.regexp_replace(c, R.HYPHEN_BREAK, "$1-$2")
 
 
 def fix_ellipsis(c: Column) -> Column:
-    return rewrite(c, ELLIPSIS_SPACING)
+    return rewrite(c, R.ELLIPSIS_SPACING)
 
 
 def strip_inline_marks(c: Column) -> Column:
-    return rewrite(c, INLINE_MARKS)
+    return rewrite(c, R.INLINE_MARKS)
 
 
 def collapse_curly(c: Column) -> Column:
@@ -96,7 +65,7 @@ def collapse_curly(c: Column) -> Column:
 
 
 def dialogue_breaks(c: Column) -> Column:
-    return rewrite(c, DIALOGUE_BREAKS)
+    return rewrite(c, R.DIALOGUE_BREAKS)
 
 
 def strip_triple_quotes(c: Column) -> Column:
@@ -104,19 +73,19 @@ def strip_triple_quotes(c: Column) -> Column:
 
 
 def drop_thinking(c: Column) -> Column:
-    return F.regexp_replace(c, THINKING, "")
+    return F.regexp_replace(c, R.THINKING, "")
 
 
 def sanitize_output(c: Column) -> Column:
     """A model's answer without its phrases, fences and thinking marks."""
-    for p in MODEL_PHRASES:
+    for p in R.MODEL_PHRASES:
         c = F.replace(c, F.lit(p), F.lit(""))
     c = F.regexp_replace(F.regexp_replace(c, "(?s)```.+?```", ""), "\\s{3,}", " ")
     return T.strip(F.replace(F.replace(c, F.lit("<think>"), F.lit("")), F.lit("</think>"), F.lit("")))
 
 
 def drop_marker_lines(c: Column) -> Column:
-    return F.array_join(F.filter(T.lines(c), lambda x: ~x.rlike(MARKERS)), "\n")
+    return F.array_join(F.filter(T.lines(c), lambda x: ~x.rlike(R.MARKERS)), "\n")
 
 
 def between_markers(c: Column) -> Column:
@@ -141,6 +110,11 @@ def pair_straight_quotes(c: Column) -> Column:
     return F.when((n > 0) & (n % 2 == 0), turned).otherwise(c)
 
 
+def normalize_dialogue_quotes(c: Column) -> Column:
+    """Straight quotes made curly in pairs, and quotes spaced."""
+    return rewrite(pair_straight_quotes(c), R.QUOTE_SPACING)
+
+
 def separate_narration(c: Column) -> Column:
     """A blank line between lines of narration that follow each other; blank lines made one."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("text"), F.lit(False).alias("speech"))
@@ -159,8 +133,8 @@ def final_postprocess(c: Column) -> Column:
     """Punctuation, quotes, dashes, marks and paragraphs of a finished text, in their order."""
     c = F.replace(F.regexp_replace(c, "\\.{3,}", "…"), F.lit("--"), F.lit("—"))
     c = F.regexp_replace(c, "(?m)^([ \\t]*)\\*{2}(?=[ \\t]+\\S)", "$1***")
-    c = rewrite(rewrite(rewrite(pair_straight_quotes(c), QUOTE_SPACING), PUNCTUATION), QUOTE_SPACING)
-    c = F.regexp_replace(F.regexp_replace(line_dashes(c), MARKERS, ""), "\n{3,}", "\n\n")
+    c = rewrite(rewrite(rewrite(pair_straight_quotes(c), R.QUOTE_SPACING), R.PUNCTUATION), R.QUOTE_SPACING)
+    c = F.regexp_replace(F.regexp_replace(line_dashes(c), R.MARKERS, ""), "\n{3,}", "\n\n")
     return separate_narration(c)
 
 
@@ -214,9 +188,9 @@ def unbreak(c: Column) -> Column:
 
 
 EDITORS: dict[str, tuple[Callable[[Column], Column], str]] = {
-    "editor-lite": (lambda x: rewrite(x, EDITOR_LITE), "spacing or repetition by accident"),
-    "editor-voice": (lambda x: F.when(F.ltrim(x).startswith("—"), rewrite(x, EDITOR_VOICE)).otherwise(x), "rhythm and spacing of speech"),
-    "editor-strict": (lambda x: rewrite(x, EDITOR_STRICT), "fewer fillers"),
+    "editor-lite": (lambda x: rewrite(x, R.EDITOR_LITE), "spacing or repetition by accident"),
+    "editor-voice": (lambda x: F.when(F.ltrim(x).startswith("—"), rewrite(x, R.EDITOR_VOICE)).otherwise(x), "rhythm and spacing of speech"),
+    "editor-strict": (lambda x: rewrite(x, R.EDITOR_STRICT), "fewer fillers"),
 }
 
 
@@ -250,14 +224,108 @@ def reflow_problems(original: Column, output: Column) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
-def preprocess(c: Column) -> Column:
-    """The expression steps of the preprocessing chain, in their order; line and block operators come between."""
-    for step in (normalize_newlines, drop_invisible, drop_footers, fix_hyphen_breaks, fix_ellipsis):
-        c = step(c)
-    c = rewrite(c, (("[ \\t]{2,}", " "), ("[ \\t]+\\n", "\n"), (" +([,.;!?])", "$1")))
-    for step in (sentence_case_caps, leading_small_caps, strip_inline_marks):
-        c = step(c)
-    return T.strip(F.regexp_replace(c, "\n{3,}", "\n\n"))
+def squeeze_punctuation(c: Column) -> Column:
+    """Runs of spaces made one, none before punctuation, blank lines one."""
+    return T.strip(rewrite(c, (("[ \\t]+", " "), (" +([,.;:!?])", "$1"), ("\n{3,}", "\n\n"))))
+
+
+def join_spaced_pairs(c: Column) -> Column:
+    """W E made WE, in each line."""
+    return each_line(c, lambda x: F.regexp_replace(x, "\\b([A-Z])\\s+([A-Z])\\b", "$1$2"))
+
+
+def mend_mixed_capitals(c: Column) -> Column:
+    """Words with more capitals than small letters made small, at a line's beginning with a capital; spaces made one."""
+
+    def word(w: Column, i: Column) -> Column:
+        up, low = F.regexp_count(w, F.lit("[A-Z]")), F.regexp_count(w, F.lit("[a-z]"))
+        odd = (up >= 2) & (low >= 1) & (up > low) & ~w.rlike("[-–—'’…]|\\.\\.\\.")
+        small = F.lower(w)
+        return F.when(~odd, w).when(i == 0, F.concat(F.upper(F.substring(small, 1, 1)), F.substr(small, F.lit(2)))).otherwise(small)
+
+    return each_line(c, lambda x: F.array_join(F.transform(F.split(T.squeeze(x), " "), word), " "))
+
+
+def isolate_subtitle(c: Column) -> Column:
+    """Under a chapter's line, a subtitle parted from the capitals that it runs into."""
+    word = "(?:[A-Z][A-Za-z'’-]*|the|of|and|a|an|to|in|on|at|for|with|after|before)"
+    pattern = f"(?m)^([ \\t]*(?i:chapter)\\s+\\d+:?[ \\t]*\\n(?:[ \\t]*\\n)*)[ \\t]*({word}(?:[ \\t]+{word}){{0,7}}?)[ \\t]+([A-Z]{{2,}}\\b.*)$"
+    return F.regexp_replace(c, pattern, "$1$2\n\n$3")
+
+
+def close_dialogue(c: Column) -> Column:
+    """No blank line between two lines that begin with a double quote."""
+    return F.regexp_replace(c, '(?m)^([ \\t]*["“][^\\n]*)\\n[ \\t]*\\n(?=[ \\t]*["“])', "$1\n")
+
+
+def dehyphenate(c: Column) -> Column:
+    """A word broken by a hyphen joined before the line's end."""
+    return F.regexp_replace(c, "(?U)(\\w+)-\\s*\\n(\\w+)", "$1$2\n")
+
+
+def clean_text(c: Column) -> Column:
+    """Optional cleaning: spaces, ornaments and hyphens; unfinished lines joined."""
+    c = rewrite(normalize_newlines(c), (("[ \\t]{2,}", " "), ("[ \\t]+\\n", "\n"), ("\n{3,}", "\n\n"), ("[■◆◇♢]+", ""), ("(?:<lf>|<LF>)", "")))
+    c = dehyphenate(c)
+    flat = F.transform(T.lines(c), lambda x: T.let(T.strip(x), lambda s: F.when(s == "", "\x1e\x1e").when(F.startswith(s, F.lit("—")), F.concat(F.lit("\x1e"), s, F.when(s.rlike("[.!?—]$"), "\x1e").otherwise(" "))).when(s.rlike("[.!?—]$"), F.concat(s, F.lit("\x1e"))).otherwise(F.concat(s, F.lit(" ")))))
+    return T.strip(F.regexp_replace(F.regexp_replace(F.array_join(flat, ""), " *\x1e", "\x1e"), "\x1e+", "\n"))
+
+
+def safe_dialogue_breaks(c: Column) -> Column:
+    return rewrite(c, R.SAFE_DIALOGUE_BREAKS)
+
+
+def structural(c: Column) -> Column:
+    """Glued speeches parted, then stray triple quotes dropped."""
+    return strip_triple_quotes(dialogue_breaks(c))
+
+
+def isolate_stars(c: Column) -> Column:
+    """*** between blank lines; blank lines are one."""
+    return F.regexp_replace(F.array_join(F.transform(T.lines(c), lambda x: F.when(T.strip(x) == "***", "\n***\n").otherwise(x)), "\n"), "\n{3,}", "\n\n")
+
+
+def unbreak_output(c: Column) -> Column:
+    """A model's unbroken text without wrappers, lone quotes, hyphens at line ends and spaces in stutters."""
+    c = unwrap_triple_quotes(c)
+    c = F.array_join(F.filter(T.lines(c), lambda x: ~T.strip(x).isin('"', "“", "”", "'''", '"""')), "\n")
+    c = F.regexp_replace(F.regexp_replace(c, "(?U)(\\w)-\\s*\\n\\s*(\\w)", "$1-$2"), "\\b([A-Za-zÀ-ÿ])-\\s+([A-Za-zÀ-ÿ])", "$1-$2")
+    return isolate_stars(c)
+
+
+def postprocess_translation(c: Column, source: Column | None = None) -> Column:
+    """English left over, parry where the source has it and no birth is told of, and quotes of speeches with a dash."""
+    c = rewrite(collapse_curly(c), R.LEFT_ENGLISH)
+    if source is not None:
+        c = F.when(source.rlike(R.PARRY_SOURCE) & ~c.rlike(R.BIRTH), rewrite(c, R.PARRY)).otherwise(c)
+    clean = lambda x: T.let(rewrite(T.strip(x), R.DASH_AND_QUOTE), lambda s: F.when(s != "", s).otherwise(x))
+    return each_line(c, clean)
+
+
+def separate_short_speeches(c: Column) -> Column:
+    """A blank line between short lines of speech that follow each other."""
+    flags = lambda ls: F.transform(ls, T.is_short_speech)
+    put = lambda ls: T.let(flags(ls), lambda f: F.transform(ls, lambda x, i: F.when((i > 0) & F.get(f, i) & F.get(f, i - 1), F.concat(F.lit("\n"), x)).otherwise(x)))
+    return F.array_join(T.let(T.lines(c), put), "\n")
+
+
+def repaired_text(c: Column) -> Column:
+    """What stands between a repair's marks, or null."""
+    return F.nullif(T.strip(F.regexp_extract(c, R.REPAIRED_BLOCK, 1)), F.lit(""))
+
+
+def split_suggestions(c: Column) -> Column:
+    """struct(refined, block): a refinement and the block of suggestions behind it, null without one."""
+    begin, end = F.instr(c, F.lit(R.SUGGESTED[0])), F.instr(c, F.lit(R.SUGGESTED[1]))
+    both = (begin > 0) & (end > begin)
+    block = T.strip(F.substr(c, begin + len(R.SUGGESTED[0]), end - begin - len(R.SUGGESTED[0])))
+    return F.struct(T.strip(F.when(both, F.substr(c, F.lit(1), begin - 1)).otherwise(c)).alias("refined"), F.when(both, block).alias("block"))
+
+
+def restore_prologue(c: Column, raw: Column) -> Column:
+    """The heading Prologue set before a text that lost it."""
+    told = lambda x: F.contains(F.lower(T.norm_line(x)), F.lit("prologue"))
+    return F.when(told(raw) & ~told(c), F.concat(F.lit("Prologue\n"), c)).otherwise(c)
 
 
 def output_text(json: Column) -> Column:

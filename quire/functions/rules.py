@@ -173,3 +173,179 @@ FORMAL = ("vós", "senhor", "senhora", "venerável", "humilde")
 TIMELINE = (("perdeu_braco", "perdeu o braço direito"), ("usou_braco", "ergueu o braço direito"), ("morreu", r"\bmorreu\b"), ("vivo", r"\bapareceu vivo\b"))
 ALIAS_WORDS = "anciaos ancioes arma barao cacador cacadores calice cavaleiros cidade cla de dente dragao exterminador exterminadores filhos fortaleza grande matador matadores monstros olho quatro rei ruinas sabio sagrados santos senhor senhora tigre tigres".split()
 ACCENTS = ("áàâãäéèêëíìîïóòôõöúùûüçÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇ", "aaaaaeeeeiiiiooooouuuucAAAAAEEEEIIIIOOOOOUUUUC")
+
+
+# rewriting rules, as (pattern, replacement) in Java's dialect; fixed values that results depend on
+DIALOGUE_BREAKS = (("”{2,}\\s*“", "”\n\n“"), ('"{2,}\\s*"', '"\n\n"'), ("”\\s*“", "”\n\n“"), ('"\\s*"', '"\n\n"'))
+SAFE_DIALOGUE_BREAKS = (("”{2,}\\s*“", "”\n\n“"), ("”\\s*“", "”\n\n“"))
+QUOTE_SPACING = (
+    ('([“"])[ \\t]+', "$1"),
+    ('[ \\t]+([”"])', "$1"),
+    ('([”"])(?=[“"])', "$1 "),
+    ("(?<=[\\p{L}\\p{N}_.,;:!?…])(?=“[A-Za-zÀ-ÿ])", " "),
+    ('(?<=[”"])(?=[A-Za-zÀ-ÿ])', " "),
+)
+PUNCTUATION = (
+    ("“['‘]", "“"),
+    ("['’]”", "”"),
+    ("(?m)^(\\s*)”\\s*(?=“[A-Za-zÀ-ÿ])", "$1"),
+    ('([”"])\\1+', "$1"),
+    ('([.!?…][”"])\\*(?=\\s|$)', "$1"),
+    ("([?!…])”\\.", "$1”"),
+    ("—,\\s*", "—"),
+    ("(?<=\\S)—(?=\\S)", " — "),
+    ("—(?=[A-Za-zÀ-ÿ])", "— "),
+    ("\\s+([.!?])", "$1"),
+    ("[ \\t]{2,}", " "),
+)
+INLINE_MARKS = (("(?i)https?://\\S+", ""), ("(?i)\\bwww\\.\\S+", ""), ("(?i)\\b(?:[a-z0-9-]+\\.)+[a-z]{2,63}(?:[/?#]\\S*)?", ""), ("[ ]{2,}", " "), ("\\n[ ]+", "\n"))
+HYPHEN_BREAK = "([A-Za-z]{1,24})-\\s*\\n\\s*([A-Za-z]{1,24})"
+ELLIPSIS_SPACING = (("…(?![A-Z]{2})([A-Za-z])", "… $1"), ("\\.\\.\\.(?![A-Z]{2})([A-Za-z])", "... $1"), ("…\\s{2,}(?=[A-Za-z])", "… "), ("\\.\\.\\.\\s{2,}(?=[A-Za-z])", "... "))
+THINKING = "(?is)<think>.*?</think>"
+MODEL_PHRASES = ("Here is the refined text:", "Texto refinado:", "Here is the text:")
+MARKERS = "(?i)###\\s*(?:TEXTO_TRADUZ[A-Z_]*|TEXTO_REFINADO_[A-Z_]*)"
+EDITOR_LITE = (("(?iU)\\b(\\w+)\\s+\\1\\b", "$1"), ("\\s+([,.;!?])", "$1"), ("[ \\t]{2,}", " "))
+EDITOR_STRICT = (("(?i)\\btipo,\\s*", ""), ("(?i)\\bcomo se (ele|ela) fosse tipo\\b", "como se $1 fosse"), ("(?i)\\b(muito\\s+){2,}", "muito "), ("[ \\t]{2,}", " "), ("\\s+([,.;!?])", "$1"))
+EDITOR_VOICE = (("\\.{4,}", "…"), ("[ \\t]{2,}", " "))
+# a glued speech: the pattern's first group ends a line
+GLUED = ("([.!?…][\"”])\\s+(?=[\"“])", "([.!?…])\\s+(?=—\\s*)")
+# English left in Portuguese, and its Portuguese
+LEFT_ENGLISH = (
+    ("(?i)(?<![A-Za-zÀ-ÿ])I-isso\\b", "S-sim"),
+    ("(?i)(?<![A-Za-zÀ-ÿ])I\\s+(?=[a-zà-ÿ])", "Eu "),
+    ("(?i)\\buh+\\b", "Ah"),
+    ("(?i)\\barright\\b", "Beleza"),
+    ("(?i)\\bboost\\b", "impulso"),
+    ("(?i)\\bthey\\s+todos\\b", "todos"),
+    ("(?i)\\bY-you\\s+divindades\\s+podem\\b", "V-vocês, divindades, podem"),
+    ("(?i)\\bY-you\\b", "V-você"),
+    ("(?i)\\b(super\\s+)?desconfiad([ao])\\s+AF\\b", "$1desconfiad$2 pra caramba"),
+    ("(?i)\\bthough\\b", "porém"),
+)
+BIRTH = "(?iu)\\b(bebe|bebes|bebê|bebês|filh[oa]s?|gravidez|gr[aá]vida|gesta[cç][aã]o|matern|parto)\\b"
+PARRY_SOURCE = "(?i)\\bparr(?:y|ied|ying)\\b"
+PARRY = (
+    ("(?i)\\bparr(?:ir|r)\\b", "aparar"),
+    ("(?i)\\bparrid([oa]s?)\\b", "aparad$1"),
+    ("(?i)\\bparriam\\b", "aparavam"),
+    ("(?i)\\bparria\\b", "aparava"),
+    ("(?i)\\bparr(?:iu|indo|ou)\\b", "aparou"),
+)
+DASH_AND_QUOTE = (('^(—\\s.*?)["”](?=[,;.\\s]|$)', "$1"), ('^(—\\s*)["“]\\s*(.+)$', "$1$2"), ('^(—\\s[^"”]{0,120}?)["”]([\\s,;.!?]+[A-Z\\x{00c0}-\\x{017f}].*)$', "$1$2"))
+LEXICAL = (("(?i)\\bpoderam\\b", "puderam"), ("(?i)\\bphew\\b", "Ufa"), ("(?i)\\bgeez\\b", "Nossa"), ("(?i)\\bhuh\\b", "Hã"), ("(?i)\\bugh\\b", "Argh"))
+# editorial replacements: pattern, replacement, whether the case of what is replaced is kept
+EDITORIAL = (
+    (r"\bEu wish\b", "Quem me dera", False),
+    (r"(?<=\w)—or\b", " — ou", False),
+    (r"(?<=\w)—,", " —,", False),
+    (r"\bbipede\b", "bípede", True),
+    (r"\bsemi-deuses\b", "semideuses", True),
+    (r"\bTh-the… y’re…", "El-eles…", False),
+    (r"\bsus\s+AF\b", "suspeita pra caramba", False),
+    (r"\bmeow\b", "miau", True),
+    (r"\bskills\b", "habilidades", True),
+    (r"\bskill\b", "habilidade", True),
+)
+
+# headings and structure
+HEADINGS = (
+    ("(?iu)^(?:prologue|pr[oó]logo|prolog|序章|前言|プロローグ|프롤로그)$", "# Prólogo"),
+    ("(?iu)^(?:epilogue|ep[ií]logo|epilog|終章|终章|エピローグ|에필로그)$", "# Epílogo"),
+    ("(?iu)^(?:afterword|posf[aá]cio|p[oó]s[- ]?escrito|あとがき|後書き|后记|後記|후기)$", "# Pós-escrito"),
+)
+CHAPTERS = (
+    "(?iu)^(?:chapter|cap[ií]tulo|chapitre|kapitel|capitolo|glava|глава)\\s+(\\d+|[一二三四五六七八九十百零〇]+)(?:\\s*[:：–—-]\\s*(.*))?$",
+    "^第\\s*(\\d+|[一二三四五六七八九十百零〇]+)\\s*[章話话巻卷](?:\\s*[:：–—-]?\\s*(.*))?$",
+    "^제\\s*(\\d+|[일이삼사오육칠팔구십백]+)\\s*장(?:\\s*[:：–—-]?\\s*(.*))?$",
+)
+PT_HEADING = "(?iu)^#?\\s*(pr[oó]logo|cap[ií]tulo\\s+[0-9一二三四五六七八九十百零〇]+(?::[^\\n]*)?|ep[ií]logo|p[oó]s[- ]?escrito|posf[aá]cio)\\s*$"
+SCENE = "^\\s*(?:\\*\\s*){3,}\\s*$|^\\s*[—–-]{3,}\\s*$"
+SUBTITLE = "^[A-Za-zÀ-ÖØ-öø-ÿ0-9'’,:;\\- ][A-Za-zÀ-ÖØ-öø-ÿ0-9'’,:;—\\- ]*$"
+TIME_LABEL = "^([A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’-]+(?:\\s+[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’-]+){1,3})\\s+(?:ALGUM TEMPO ANTES(?:,\\s*há um tempo)?…?)$"
+TIME_LABEL_TEXT = "Algum tempo antes…"
+SMALL_CAPS_PT = "^(DEPOIS QUE|APÓS|QUANDO|ENQUANTO)\\s+([A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ'’-]{2,})(\\s+.*[a-zà-öø-ÿ].*)$"
+SPACED_CAPITALS = "\\b(?:[A-Z]\\s+){2,}[A-Z][A-Za-z]*\\b"
+ATTRIBUTION_VERBS = (
+    "disse perguntou respondeu provocou gritou exigiu explicou implorou exclamou sussurrou murmurou retrucou continuou observou comentou admitiu "
+    "declarou disparou chamou repetiu insistiu rosnou resmungou falou pediu ordenou avisou começou interrompeu pareceu"
+).split()
+NAME_TOKEN = "[A-ZÁÉÍÓÚÂÊÔÃÕÇ][\\wÀ-ÿ@.'-]*"
+ATTRIBUTION = "(?iu)^(?:" + NAME_TOKEN + "(?:\\s+" + NAME_TOKEN + "){0,3}\\s+)?(?:" + "|".join(ATTRIBUTION_VERBS) + ")\\b.*"
+PRONOUN_START = "(?iu)^(?:eu|você|voce|vocês|voces|tu|ele|ela|eles|elas|nós|nos|a gente)\\b"
+NAME_CONNECTORS = ("da", "das", "de", "do", "dos", "e")
+ENTITY_CATEGORIES = ("person", "personagem", "criatura", "local", "organiza", "organização", "raça", "apelido")
+PART_CATEGORIES = ("person", "personagem", "criatura", "apelido")
+PERSON_CATEGORIES = ("person", "personagem")
+GENDERED_CATEGORIES = ("person", "personagem", "criatura")
+# articles before a feminine name and what they should be; before a masculine name the other way round
+ARTICLES = (("o", "a"), ("O", "A"), ("do", "da"), ("Do", "Da"), ("no", "na"), ("No", "Na"), ("ao", "à"), ("Ao", "À"))
+
+# audits
+AUDIT_NOISE = ("newsletter", "table of contents", "download all your favorite light novels", "favorite light novels", "sign up for", "thank you for reading", "thank you for downloading", "visit us online", "join our community")
+AUDIT_URL = "(?:https?://|www\\.)|(?:\\w+\\.(?:example|test|invalid)(?:[/?#]|$))"
+AUDIT_CONTENTS = "^(?:chapter\\s+\\d+|prologue|epilogue|afterword|color inserts|title page)$"
+STORY_START = "(?i)^(?:prologue|chapter\\s+(?:\\d+|one)\\b|epilogue)"
+
+# answers of a model that tell of themselves, strictly
+META_STRICT = (
+    r"parece que voc[eˆ] est[ a]",
+    r"como um modelo de linguagem",
+    r"n[aÆ]o posso",
+    r"n[aÆ]o sou capaz",
+    r"nÆo posso ajudar",
+    r"eu sou apenas",
+    r"como um assistente",
+    r"as an ai language model",
+    r"i am an ai",
+    r"i cannot provide",
+    r"i'm just an ai",
+    r"as a language model",
+    r"^\s*mudanc(a|‡)as e justificativas[:]?.*$",
+    r"^\s*alterac(ao|Æo|oes|äes) realizadas[:]?.*$",
+    r"^\s*(nesta|nessa) revis(ao|Æo).*$",
+    r"^\s*(justificativa|racionalidade|rationale).*$",
+    r"^\s*em resumo.*$",
+    r"^\s*resumo[: ].*$",
+)
+META_REFINE = ("as an ai", "as a language model", "sou um modelo de linguagem", "como um modelo de linguagem", "<think>", "</think>")
+REFINED_BLOCK = r"(?is)###\s*TEXTO_REFINADO_INICIO\s*(.*?)\s*###\s*TEXTO_REFINADO_FIM"
+REPAIRED_BLOCK = r"(?is)###\s*TEXTO_REPARADO_INICIO\s*(.*?)(?:###\s*TEXTO_REPARADO_FIM\s*|$)"
+REFINED_FRAME = r"(?m)^\s*(?:\*{3,}|-{3,})\s*$"
+REFINED_PREAMBLE = (
+    r"(?is)(?:aqui\s+est[áa]|segue\s+(?:a\s+)?revis[ãa]o|revis[ãa]o\s+(?:do|deste)|here\s+is|below\s+is).{0,180}(?:texto|revis[ãa]o|ajuste)"
+    r"|(?:principais\s+)?(?:ajustes|altera[çc][õo]es|mudan[çc]as)\s+(?:feitos|realizadas|e\s+notas)"
+)
+REFINED_HEADING = r"(?im)^\s*(?:#{1,6}\s*)?(?:\*{1,2}\s*)?(?:texto\s+(?:revisado|refinado)|revis[ãa]o\s+do\s+texto)(?:\s*\([^\n)]*\))?\s*:?[\s*]*$"
+REFINED_NOTES = r"(?im)^\s*(?:#{1,6}\s*)?(?:\*{1,2}\s*)?(?:(?:principais\s+)?(?:ajustes|altera[çc][õo]es|mudan[çc]as|notas|observa[çc][õo]es)(?:\s+(?:feitos|realizadas|da\s+revis[ãa]o))?)\s*:?[\s*]*$"
+SUGGESTED = ("===GLOSSARIO_SUGERIDO_INICIO===", "===GLOSSARIO_SUGERIDO_FIM===")
+
+# quality checks
+ENGLISH_META = r"(?i)\b(The narrative|Key characters|story highlights|training grounds|Chapter\s+\d+)\b"
+MASCULINE_WORDS = "atento envergonhado culpado calado quieto sozinho preparado confuso surpreso irritado exausto sentado parado ferido machucado louco alto".split()
+FEMININE_WORDS = "atenta envergonhada culpada calada quieta sozinha preparada confusa surpresa irritada exausta sentada parada ferida machucada louca".split()
+MIXED_GENDERS = (
+    (r"\bcuidadosa\b.{0,50}\batento\b", "cuidadosa/atento"),
+    (r"\batenta\b.{0,50}\bcuidadoso\b", "atenta/cuidadoso"),
+    (r"\benvergonhada\b.{0,50}\bculpado\b", "envergonhada/culpado"),
+    (r"\benvergonhado\b.{0,50}\bculpada\b", "envergonhado/culpada"),
+    (r"\bpreparada\b.{0,50}\bpronto\b", "preparada/pronto"),
+    (r"\bpreparado\b.{0,50}\bpronta\b", "preparado/pronta"),
+)
+BEING = r"(?:é|era|está|estava|foi|ficou|parecia|permaneceu|continuou|voltou|sentou(?:-se)?)"
+DEGREE = r"(?:\s+(?:mais|muito|bem|tão|menos|um|pouco)){0,3}"
+MOST_ISSUES = 80
+# a narration's beginning behind a speech
+NARRATION = (
+    r"(?<=[.!?])\s+(?:(?:Ele|Ela|Eles|Elas)\s+[A-Za-zÀ-ÖØ-öø-ÿ'’-]+|"
+    r"(?:[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’-]+(?:\s+[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’-]+)?)\s+(?:disse|perguntou|respondeu|sussurrou|gritou|murmurou))\b"
+)
+# internal hyphens that stay
+HYPHEN_PREFIXES = ("demi", "half", "anti", "non", "pre", "post", "re")
+HYPHEN_SUFFIXES = ("san", "sama", "kun", "chan")
+LANGUAGE_RULES = (
+    ("en", "Avoid the source's syntax; turn possessives into natural Portuguese."),
+    ("ja", "Keep honorifics that tell how persons relate; do not invent subject, number or gender that is left out."),
+    ("ko", "Keep levels of politeness in natural speech; do not name a subject or gender that is left open."),
+    ("zh", "Treat titles and forms of address as the glossary does; resolve missing subjects from the context alone."),
+)
+OTHER_LANGUAGE_RULE = "Keep what the source leaves open, and avoid its syntax."

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,7 +10,13 @@ from pyspark.sql import functions as F
 
 from quire.functions import rules as R
 
-_ANY = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
+def any_of(tests) -> Column:
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip(c: Column) -> Column:
@@ -51,7 +58,7 @@ def starts_speech(c: Column) -> Column:
 
 def is_promo(c: Column) -> Column:
     n = F.lower(norm_line(c))
-    return (n != "") & (n.rlike("(?i)" + R.URL) | _ANY([F.contains(n, F.lit(p)) for p in R.PROMO_PHRASES]) | _ANY([n.rlike("(?i)" + p) for p in R.PROMO_LINES]))
+    return (n != "") & (n.rlike("(?i)" + R.URL) | any_of([F.contains(n, F.lit(p)) for p in R.PROMO_PHRASES]) | any_of([n.rlike("(?i)" + p) for p in R.PROMO_LINES]))
 
 
 def is_section(c: Column) -> Column:
@@ -64,7 +71,7 @@ def is_toc_entry(c: Column) -> Column:
     bare = strip(F.regexp_replace(s, "^#+", ""))
     return (s != "") & (
         bare.rlike(R.SECTION)
-        | _ANY([F.contains(n, F.lit(m)) for m in R.TOC_MARKERS])
+        | any_of([F.contains(n, F.lit(m)) for m in R.TOC_MARKERS])
         | n.rlike(r"^(?:prologue|epilogue|afterword|chapter\s+\d+(?::?[^\n]+)?)$")
         | n.rlike(r"^(?:pr[óo]logo|cap[ií]tulo\s+\d+|ep[ií]logo|p[oó]s-?escrito)")
         | ((F.length(s) < 80) & s.rlike(r"\b\d+\b"))
@@ -103,7 +110,7 @@ def quote_lines(c: Column) -> Column:
 
 
 def contains_any(c: Column, needles) -> Column:
-    return _ANY([F.contains(c, F.lit(n)) for n in needles])
+    return any_of([F.contains(c, F.lit(n)) for n in needles])
 
 
 def has_meta_noise(c: Column) -> Column:
@@ -192,3 +199,194 @@ def term_contains(text: Column, term: Column, case_sensitive: Column | None = No
 
 def strip_accents(c: Column) -> Column:
     return F.translate(c, *R.ACCENTS)
+
+
+def first_line(c: Column) -> Column:
+    """The first line that is not blank, without white space at its ends; an empty string if there is none."""
+    return F.coalesce(F.get(nonblank_lines(c), F.lit(0)), F.lit(""))
+
+
+def last_line(c: Column) -> Column:
+    return F.coalesce(F.try_element_at(nonblank_lines(c), F.lit(-1)), F.lit(""))
+
+
+def dash_lines(c: Column) -> Column:
+    return F.size(F.filter(nonblank_lines(c), lambda x: F.startswith(x, F.lit("—")))).cast("bigint")
+
+
+def closed_unopened(c: Column) -> Column:
+    """Whether a line closes a speech of eight characters or more that it does not open."""
+    return F.exists(nonblank_lines(c), lambda x: F.contains(x, F.lit("”")) & ~F.contains(x, F.lit("“")) & (F.length(strip(F.replace(x, F.lit("”"), F.lit("")))) >= 8))
+
+
+def quote_inflation(before: Column, after: Column) -> Column:
+    """Half as many quotes again, and four at least."""
+    n = lambda c: F.regexp_count(c, F.lit('["“”]'))
+    return (n(after) > n(before)) & (n(after) >= n(before) * 1.5) & (n(after) - n(before) >= 4)
+
+
+def is_dash_speech(line: Column) -> Column:
+    s = strip(line)
+    return F.startswith(s, F.lit("—")) & (F.length(s) > 2)
+
+
+def attribution(line: Column) -> Column:
+    """What follows the dash of a line that says who spoke, or null."""
+    body = strip(F.regexp_extract(strip(line), "^—(.*)$", 1))
+    return F.when((body != "") & ~body.rlike(R.PRONOUN_START) & body.rlike(R.ATTRIBUTION), body)
+
+
+def is_subtitle(line: Column) -> Column:
+    """Whether a line may be a chapter's subtitle: some capitalised words without a full stop."""
+    n = F.size(F.filter(F.split(squeeze(line), " "), lambda w: w != ""))
+    letters = F.regexp_replace(line, "[^\\p{L}]", "")
+    shouted = (letters != "") & (F.upper(letters) == letters)
+    return line.rlike(R.SUBTITLE) & ~line.rlike("[.!?]$") & ~shouted & n.between(2, 8) & (F.length(line) <= 90) & F.substring(line, 1, 1).rlike("\\p{Lu}")
+
+
+def time_label(line: Column) -> Column:
+    """The name before a label of time, or null."""
+    return F.when(line.rlike(R.TIME_LABEL), F.regexp_extract(line, R.TIME_LABEL, 1))
+
+
+def is_stub(c: Column) -> Column:
+    """A chunk that is blank or a section's marker alone."""
+    s = strip(c)
+    return (s == "") | strip(F.regexp_replace(s, "^#+", "")).rlike(R.SECTION)
+
+
+def is_short_speech(line: Column) -> Column:
+    s = strip(line)
+    few = F.size(F.split(squeeze(line), " ")) <= 6
+    return (s != "") & (s.rlike('^["“].+["”]$') | (few & s.rlike('[?!….]["”]?$')))
+
+
+def starts_scene(c: Column) -> Column:
+    return first_line(c).rlike(R.SCENE)
+
+
+def ends_scene(c: Column) -> Column:
+    return last_line(c).rlike(R.SCENE)
+
+
+def last_sentence(c: Column) -> Column:
+    """The last sentence, without marks of headings and of a model's answer; an empty string if there is none."""
+    clean = squeeze(F.regexp_replace(c, "(?i)###\\s*TEXTO_TRADUZ[A-Z_]*", ""))
+    parts = F.transform(F.split(F.regexp_replace(clean, "([.!?]) ", "$1\n"), "\n"), lambda x: strip(F.regexp_replace(strip(x), "^#+|#+$", "")))
+    return F.coalesce(F.try_element_at(F.filter(parts, lambda x: x != ""), F.lit(-1)), F.lit(""))
+
+
+def snippet(c: Column, needle: Column, radius: int = 70) -> Column:
+    """What stands around a needle's first place, ``radius`` characters on both sides; an empty string without it."""
+    at = F.instr(F.lower(c), F.lower(needle))
+    begin = F.greatest(at - radius, F.lit(1))
+    return F.when((needle == "") | (at == 0), "").otherwise(squeeze(F.substr(c, begin, at + F.length(needle) + radius - begin)))
+
+
+def compact(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[^0-9a-z]+", "")
+
+
+def is_obvious_noise(line: Column) -> Column:
+    low = F.lower(line)
+    bare = F.regexp_replace(low, "^[ .:-]+|[ .:-]+$", "")
+    return low.rlike(R.AUDIT_URL) | contains_any(low, R.AUDIT_NOISE) | bare.rlike(R.AUDIT_CONTENTS) | strip(low).rlike(r"^\d{1,4}$")
+
+
+def is_suspicious_removal(line: Column, reason: Column) -> Column:
+    """Whether a removed line should be looked at again: long, of letters, no obvious noise, a sentence or promotion."""
+    tells = reason.isin("promo", "footer") | line.rlike('[.!?”"]$')
+    return (F.length(line) >= 35) & (alpha_ratio(line) >= 0.55) & ~is_obvious_noise(line) & tells
+
+
+def is_valid_term(c: Column) -> Column:
+    """Whether a suggestion is a term and no phrase: short, of few words, without articles."""
+    s = strip(c)
+    padded = F.concat(F.lit(" "), F.lower(s), F.lit(" "))
+    return (s != "") & (F.length(s) <= 80) & (F.size(F.split(squeeze(s), " ")) <= 6) & ~contains_any(padded, (" que ", " uma ", " um "))
+
+
+def is_short_fragment(c: Column) -> Column:
+    s = strip(c)
+    words = F.filter(F.split(squeeze(F.replace(s, F.lit("—"), F.lit(""))), " "), lambda w: w != "")
+    return (s != "") & (F.length(s) <= 25) & (F.size(words) <= 2)
+
+
+def looks_like_name(c: Column) -> Column:
+    """Every word begins with a capital or joins others."""
+    words = F.regexp_extract_all(c, F.lit("([A-Za-zÀ-ÖØ-öø-ÿ]+)"), 1)
+    return (F.size(words) > 0) & F.forall(words, lambda w: F.substring(w, 1, 1).rlike("\\p{Lu}") | F.lower(w).isin(*R.NAME_CONNECTORS))
+
+
+def residual_type(language: str) -> str:
+    return "residual_english" if language_code(language) == "en" else "residual_source_language"
+
+
+def base_url(c: Column) -> Column:
+    """A service's address without its path for generation, or without a slash at its end."""
+    return F.when(F.endswith(c, F.lit("/api/generate")), F.regexp_replace(c, "/api/generate$", "")).otherwise(F.regexp_replace(c, "/+$", ""))
+
+
+def quality_cell(score: Column, types: Column) -> Column:
+    """``score``/100 and the first three of ``types``, an array of issue types, by name with their counts."""
+    names = F.slice(F.array_sort(F.array_distinct(types)), 1, 3)
+    cells = F.transform(names, lambda n: F.concat(n, F.lit(":"), F.size(F.filter(types, lambda x: x == n)).cast("string")))
+    return F.concat(score.cast("string"), F.lit("/100"), F.when(F.size(names) > 0, F.concat(F.lit(" ("), F.array_join(cells, ", "), F.lit(")"))).otherwise(F.lit("")))
+
+
+def story_kind(line: Column) -> Column:
+    """What a line of Markdown is: blank, heading2, heading1, dialogue or body."""
+    s = strip(line)
+    return F.when(s == "", "blank").when(F.startswith(s, F.lit("## ")), "heading2").when(F.startswith(s, F.lit("# ")), "heading1").when(s.rlike("^[—–-] "), "dialogue").otherwise("body")
+
+
+def inline_html(c: Column) -> Column:
+    """Escaped text with Markdown's bold and italic as tags."""
+    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    for pattern, tag in ((r"\*\*(.+?)\*\*", "b"), (r"__(.+?)__", "b"), (r"(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", "i"), (r"(?<!_)_(?!_)(.+?)(?<!_)_(?!_)", "i")):
+        c = F.regexp_replace(c, pattern, f"<{tag}>$1</{tag}>")
+    return c
+
+
+def markdown_blocks(c: Column) -> Column:
+    """The paragraphs of a text, with <br> as line ends."""
+    c = F.regexp_replace(F.regexp_replace(c, "<br/?>", "\n"), "\r\n?", "\n")
+    return F.filter(F.transform(F.split(c, "\n\\s*\n", -1), strip), lambda x: x != "")
+
+
+def joined_sentences(c: Column) -> Column:
+    """Lines joined until one ends a sentence or a blank line comes; a blank line between the parts."""
+    marked = F.transform(lines(c), lambda x: let(strip(x), lambda s: F.when(s == "", "\x1e").when(s.rlike("[.!?…]$"), F.concat(s, F.lit("\x1e"))).otherwise(F.concat(s, F.lit(" ")))))
+    return F.array_join(F.filter(F.transform(F.split(F.array_join(marked, ""), "\x1e", -1), strip), lambda x: x != ""), "\n\n")
+
+
+def spaced_capitals(c: Column) -> Column:
+    """The lines with capitals that are spelled apart."""
+    return F.filter(F.transform(lines(c), strip), lambda x: x.rlike(R.SPACED_CAPITALS))
+
+
+def heading_in_portuguese(title: Column) -> Column:
+    """A known section's title as a Portuguese heading, or null."""
+    t = strip(F.regexp_replace(strip(title), "^#+|#+$", ""))
+    number = F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in R.CHAPTERS])
+    rest = strip(F.coalesce(*[F.when(t.rlike(p), F.regexp_extract(t, p, 2)) for p in R.CHAPTERS]))
+    suffix = F.when(rest != "", F.concat(F.lit(": "), rest)).when(t.rlike("[:：]\\s*$"), ":").otherwise("")
+    out = F.when(number.isNotNull(), F.concat(F.lit("# Capítulo "), number, suffix))
+    for pattern, heading in reversed(R.HEADINGS):
+        out = F.when(t.rlike(pattern), heading).otherwise(out)
+    return F.when((t != "") & (F.lower(t) != "full text"), out)
+
+
+def with_heading(c: Column, title: Column) -> Column:
+    """A section's text with its heading, which is set before it unless its first line is one."""
+    heading = heading_in_portuguese(title)
+    put = F.when(strip(c) == "", heading).otherwise(F.concat(heading, F.lit("\n\n"), strip(c)))
+    return F.when(heading.isNull() | first_line(c).rlike(R.PT_HEADING), c).otherwise(put)
+
+
+def dialogue_blocks(c: Column) -> Column:
+    """Each line of speech alone, and the lines of narration between blank lines and speech together."""
+    speech = "^[\"“”’\\-—]"
+    flat = F.transform(lines(c), lambda x: let(strip(x), lambda s: F.when(s == "", "\x1e").when(s.rlike(speech), F.concat(F.lit("\x1e"), s, F.lit("\x1e"))).otherwise(F.concat(s, F.lit("\n")))))
+    return F.filter(F.transform(F.split(F.array_join(flat, ""), "\x1e", -1), strip), lambda x: x != "")

@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import prose
+from quire.functions import rules as R
 from quire.functions import text as T
+from quire.operators.rows import rewritten
 
 MAX_CHARS = 2400
 BOUNDARY = re.compile(r"\n\n|[.!?][\"'”’)]?(?=\s|$)")
+#: The same for chunks that keep speeches whole, and what ends a window as a sentence.
+SENTENCE_END = re.compile(r"\n\n|[.!?]['\"”]?(?=\s|$)")
+EDGE = re.compile(r"[.!?]['\"”]?\Z")
 SPEECH_STARTS = ('"', "'", "-", "—", "“", "”")
 CLOSED_ENDS = (".", "?", "!", '"', "'", ":", "”")
 SHORT = 25
@@ -71,29 +78,91 @@ def chunk_strict(docs: DataFrame, most: int = MAX_CHARS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_rows(make), CHUNKS)
 
 
-def _rewriter(f: Callable[[str], tuple[str, int]], counter: str):
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [f(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["doc_id", "text", counter])
+class Speeches:
+    """A text's boundaries, and at each place how many curly quotes are open."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.ends = [m.end() for m in SENTENCE_END.finditer(text)]
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.depth = np.concatenate([[0], np.cumsum((codes == ord("“")).astype(np.int64) - (codes == ord("”")))])
+
+    def between(self, start: int, stop: int) -> list[int]:
+        """The boundaries behind ``start`` up to ``stop``; the edge ends a sentence that stops there."""
+        found = self.ends[bisect_right(self.ends, start) : bisect_right(self.ends, stop)]
+        edge = EDGE.search(self.text, max(start, stop - 2), stop)
+        return [*found, stop] if edge and stop not in found[-1:] else found
+
+    def best(self, start: int, target: int, stop: int, depth: int) -> int | None:
+        """The first boundary of this depth from ``target`` on, or else the last before it."""
+        ends = [e for e in self.between(start, stop) if self.depth[e] == depth]
+        i = bisect_left(ends, target)
+        return ends[i] if i < len(ends) else ends[-1] if ends else None
+
+    def end(self, start: int, most: int, ahead: int = 400, further: int = 1200) -> int:
+        """Where the chunk from ``start`` ends: behind a sentence near ``most``, and where no speech is cut if that can be."""
+        target, n = start + most, len(self.text)
+        if target >= n:
+            return n
+        near, stop = self.between(start, min(n, target + ahead)), min(n, target + further)
+        usual = near[-1] if near else target
+        if self.depth[start] and (neutral := self.best(start, target, stop, 0)) is not None:
+            return neutral
+        if self.depth[usual] == self.depth[start]:
+            return usual
+        balanced = self.best(start, target, stop, int(self.depth[start]))
+        return usual if balanced is None else balanced
+
+
+def quote_spans(text: str, most: int = MAX_CHARS) -> list[tuple[int, int]]:
+    """Spans of about ``most`` characters that end behind sentences and do not cut speeches."""
+    s, out, at = Speeches(text), [], 0
+    while at < len(text):
+        end = s.end(at, most)
+        out.append((at, end if end > at else min(at + most, len(text))))
+        at = out[-1][1]
+    return out
+
 
-    return rewrite
+def chunk_quotes(docs: DataFrame, most: int = MAX_CHARS) -> DataFrame:
+    """CHUNKS that keep speeches whole, without white space at their ends; offsets are those of what is left."""
 
+    def make(text: str) -> list[tuple[int, int, str]]:
+        whole = joined_paragraphs(text)
+        rows = []
+        for a, b in quote_spans(whole, most):
+            left, right = len(whole[a:b]) - len(whole[a:b].lstrip()), len(whole[a:b].rstrip())
+            rows.append((a + left, max(a + right, a + left), whole[a:b].strip()))
+        return rows
+
+    return docs.select("doc_id", "text").mapInArrow(_rows(make), CHUNKS)
 
-def _rewrite(docs: DataFrame, f: Callable[[str], tuple[str, int]], counter: str) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_rewriter(f, counter), f"doc_id bigint, text string, {counter} bigint")
+
+def merge_stubs(chunks: DataFrame) -> DataFrame:
+    """CHUNKS in which a blank chunk or a section's marker alone is put before the chunk after it; a last one is dropped.
+
+    A document of stubs alone keeps the last.
+    """
+    order = Window.partitionBy("doc_id").orderBy("chunk_idx")
+    rows = chunks.withColumn("stub", T.is_stub(F.col("text")))
+    rows = rows.withColumn("group", F.count(F.when(~F.col("stub"), 1)).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    parts = F.array_sort(F.collect_list(F.struct("chunk_idx", F.col("text"), "start_offset", "end_offset", "stub")))
+    whole = rows.groupBy("doc_id", "group").agg(parts.alias("p")).withColumn("alone", F.count("*").over(Window.partitionBy("doc_id")) == 1)
+    last = F.try_element_at("p", F.lit(-1))
+    whole = whole.filter(~last["stub"] | F.col("alone"))
+    text = T.strip(F.array_join(F.transform("p", lambda x: T.strip(x["text"])), "\n\n"))
+    number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("group")) - 1).cast("bigint")
+    return whole.select("doc_id", number.alias("chunk_idx"), F.get("p", F.lit(0))["start_offset"].alias("start_offset"), last["end_offset"].alias("end_offset"), text.alias("text"))
 
 
 def is_title(line: str) -> bool:
+    """Whether a line reads as a title: cried, or short and with at most one small word, without an end mark."""
     s = line.strip()
-    letters = [c for c in s if c.isalpha()]
-    if letters and "".join(letters).isupper():
+    if s.isupper():
         return True
-    if not s or len(s) > SHORT or s[-1] in ".?!,;:":
-        return False
-    words = [w for w in s.replace("-", " ").split() if any(map(str.isalpha, w))]
-    capital = sum(w[0].isupper() for w in words)
-    return bool(words) and capital >= (1 if len(words) == 1 else max(2, len(words) - 1))
+    words = [w for w in re.findall(r"[^\s-]+", s) if any(map(str.isalpha, w))]
+    small = sum(not w[0].isupper() for w in words)
+    return bool(words) and len(s) <= SHORT and not re.search("[.?!,;:]$", s) and small <= (len(words) > 2)
 
 
 def joins(current: str, following: str) -> bool:
@@ -123,87 +192,62 @@ def reflow_text(text: str) -> tuple[str, int]:
 
 
 def safe_reflow(docs: DataFrame) -> DataFrame:
-    return _rewrite(docs, reflow_text, "joins")
+    return rewritten(docs.select("doc_id", "text"), reflow_text, ["joins"])
 
 
-def dupe_norm(text: str) -> str:
-    s = " ".join(text.split()).strip("\"“”‘’")
-    for a, b in (("’‘´`", "'"), ("“”", '"')):
-        s = s.translate({ord(c): b for c in a})
-    return re.sub(r"\.{3,}", "...", s).lower()
-
-
-def fuzzy_equal(a: str | None, b: str | None, least: float) -> bool:
-    """Equal, alike, or one within the other and nearly as long."""
-    if not a or not b:
-        return False
-    if a == b:
-        return True
-    shorter, longer = sorted((len(a), len(b)))
-    if shorter / longer >= 0.75 and (a in b or b in a):
-        return True
-    if 2 * shorter / (shorter + longer) < least:  # no ratio is above this
+def ratio_at_least(a: str, b: str, least: float) -> bool:
+    """Whether the sequence matcher's ratio reaches ``least``; cheap bounds decide most pairs."""
+    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
         return False
     m = SequenceMatcher(None, a, b)
     return m.quick_ratio() >= least and m.ratio() >= least
 
 
-def is_protected(line: str) -> bool:
-    """Short cries and answers, which may be said again."""
-    s = line.strip()
-    if len(s) > SHORT:
-        return False
-    dense = sum(map(str.isalnum, s)) / len(s) if s else 1
-    return len(s.split()) == 1 or s.startswith(("—", "-")) or dense < 0.6
-
-
-def dedupe_text(text: str) -> tuple[str, int]:
-    """Lines, then paragraphs, that nearly repeat the one before go; the longer of the two stays."""
-    kept: list[str] = []
-    last, last_short, run, removed = None, False, 0, 0
-    wide = lambda s: len(" ".join(s.split()))
-    for line in text.splitlines():
-        n, short = dupe_norm(line), is_protected(line)
-        if n and fuzzy_equal(last, n, 0.94):
-            run, last_short = (run + 1 if last_short == short else 2), short
-            if short and run < 4:
-                kept.append(line)
-                continue
-            if kept and wide(kept[-1]) < wide(line):
-                kept[-1] = line
-            removed, last = removed + 1, n
-            continue
-        kept.append(line)
-        last, last_short, run = n or None, short, 1
-    parts: list[str] = []
-    before = None
-    for p in "\n".join(kept).split("\n\n"):
-        n = dupe_norm(p)
-        if n and fuzzy_equal(before, n, 0.9):
-            if parts and wide(parts[-1]) < wide(p):
-                parts[-1] = p
-            continue
-        parts.append(p)
-        before = n or None
-    return "\n\n".join(parts), removed
+def alike(least: float) -> Callable[[str, str], bool]:
+    """Equal, one within the other and three quarters as long, or of a ratio of ``least``."""
+
+    def test(a: str, b: str) -> bool:
+        short, long = sorted((a, b), key=len)
+        return bool(short) and (a == b or 4 * len(short) >= 3 * len(long) and short in long or ratio_at_least(a, b, least))
+
+    return test
+
+
+def dedupe_text(text: str) -> tuple[str, dict[str, int]]:
+    """Lines, then paragraphs, that nearly repeat the one before go; the wider of the two stays."""
+    lines, n = prose.without_repeats(prose.split_lines(text), alike(0.94), True)
+    parts, m = prose.without_repeats("\n".join(lines).split("\n\n"), alike(0.9), False)
+    return "\n\n".join(parts), {"lines_removed": n, "blocks_removed": m}
 
 
 def dedupe_adjacent(docs: DataFrame) -> DataFrame:
-    return _rewrite(docs, dedupe_text, "lines_removed")
+    return rewritten(docs.select("doc_id", "text"), dedupe_text, ["lines_removed", "blocks_removed"])
 
 
-def fix_glued(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, breaks): a line break between speeches that stand in one line; headings stay."""
-    first, second = "([.!?…][\"”])\\s+(?=[\"“])", "([.!?…])\\s+(?=—\\s*)"
-    rows = T.lines(F.col("text"))
+def has_repeats(text: str, least: float = 0.96) -> bool:
+    """Whether a line nearly repeats the filled line before it."""
+    forms = [f for f in map(prose.folded, prose.split_lines(text)) if f]
+    near = lambda a, b: abs(len(a) - len(b)) <= max(8, max(len(a), len(b)) // 5) and ratio_at_least(a, b, least)
+    return any(a == b or near(a, b) for a, b in pairwise(forms))
+
+
+def glued(c: Column) -> Column:
+    """struct(text, breaks): a line break between speeches that stand in one line; headings stay."""
+    first, second = R.GLUED
     heading = lambda x: F.ltrim(x).startswith("#")
     once = lambda x: F.regexp_replace(x, first, "$1\n")
-    fixed = F.transform(rows, lambda x: F.when(heading(x), x).otherwise(F.regexp_replace(once(x), second, "$1\n")))
-    breaks = F.aggregate(rows, F.lit(0).cast("bigint"), lambda s, x: s + F.when(heading(x), 0).otherwise(F.regexp_count(x, F.lit(first)) + F.regexp_count(once(x), F.lit(second))))
-    return docs.select("doc_id", F.array_join(fixed, "\n").alias("text"), breaks.alias("breaks"))
+    line = lambda x: F.when(heading(x), F.struct(x.alias("x"), F.lit(0).alias("n"))).otherwise(F.struct(F.regexp_replace(once(x), second, "$1\n").alias("x"), (F.regexp_count(x, F.lit(first)) + F.regexp_count(once(x), F.lit(second))).alias("n")))
+    total = lambda rows: F.aggregate(rows, F.lit(0).cast("bigint"), lambda s, r: s + r["n"])
+    whole = lambda rows: F.struct(F.array_join(F.transform(rows, lambda r: r["x"]), "\n").alias("text"), total(rows).alias("breaks"))
+    return T.let(F.transform(T.lines(F.coalesce(c, F.lit(""))), line), whole)
+
+
+def fix_glued(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, breaks)."""
+    return docs.select("doc_id", glued(docs["text"]).alias("g")).select("doc_id", "g.text", "g.breaks")
 
 
-def _alike(least: float):
+def _pairs_of(least: float):
     def pairs(group: pa.Table) -> pa.Table:
         doc, at, texts = (group.column(k).to_pylist() for k in ("doc_id", "chunk_idx", "norm"))
         size = np.array([len(t) for t in texts], dtype=np.int64)
@@ -232,4 +276,4 @@ def near_duplicate_pairs(chunks: DataFrame, least: float = 0.95) -> DataFrame:
     the exact ratio is taken only of pairs that may have it.
     """
     rows = chunks.filter("doc_id is not null and text is not null").select("doc_id", F.col("chunk_idx").cast("int").alias("chunk_idx"), T.squeeze(F.col("text")).alias("norm"))
-    return rows.groupBy("doc_id").applyInArrow(_alike(least), "doc_id bigint, a int, b int").distinct()
+    return rows.groupBy("doc_id").applyInArrow(_pairs_of(least), "doc_id bigint, a int, b int").distinct()

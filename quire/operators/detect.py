@@ -160,13 +160,67 @@ def english_quick_leak(c: Column) -> Column:
     return F.coalesce(*[F.when(x != "", x) for x in (token, phrase, mixed)])
 
 
-def source_leaks(docs: DataFrame, language: str) -> DataFrame:
-    """(doc_id, n): runs of the source's script, or sentences with two or more of its words."""
+def leaking_sentences(c: Column) -> Column:
+    """The sentences of a text that read as English, or a single word or phrase that tells of it."""
+    quick = english_quick_leak(c)
+    long = F.filter(F.transform(F.split(c, SENTENCE, -1), T.strip), _reads_english)
+    return F.when(quick.isNotNull(), F.array(quick)).otherwise(long)
+
+
+def _reads_english(sentence: Column) -> Column:
+    words = F.transform(F.regexp_extract_all(sentence, F.lit(r"([A-Za-z]+(?:['’][A-Za-z]+)?)"), 1), lambda w: F.replace(F.lower(w), F.lit("’"), F.lit("'")))
+
+    def judged(w: Column) -> Column:
+        n = F.size(w)
+        en = F.size(F.filter(w, lambda x: x.isin(R.ENGLISH_WORDS))) + 2 * F.regexp_count(sentence, F.lit("(?i)" + R.ENGLISH_CONTRACTIONS)) + F.regexp_count(sentence, F.lit(R.ENGLISH_POSSESSIVE))
+        pt = F.size(F.filter(w, lambda x: x.isin(R.PORTUGUESE_WORDS)))
+        return (n >= 6) & (((n >= 10) & (en >= 5) & (en / n >= 0.25)) | ((en >= 4) & (en >= pt + 2)))
+
+    return (F.length(sentence) >= 35) & T.let(words, judged)
+
+
+#: Languages other than English whose residue is known.
+RESIDUAL_CODES = [c for c, _ in R.RESIDUAL_SCRIPTS] + [c for c, _ in R.RESIDUAL_WORDS]
+
+
+def leak_segments(c: Column, language: str) -> Column:
+    """What of a text is still in the source's language: runs of its script, or sentences with two or more of its words."""
+    if language == "en":
+        return leaking_sentences(c)
     if pattern := dict(R.RESIDUAL_SCRIPTS).get(language):
-        return docs.select("doc_id", F.regexp_count("text", F.lit(pattern)).cast("bigint").alias("n")).filter("n > 0")
-    marks = dict(R.RESIDUAL_WORDS)[language].split()
-    hits = F.size(F.filter(T.words_of(F.col("sentence")), lambda w: w.isin(marks)))
-    return sentence_table(docs).filter(hits >= 2).groupBy("doc_id").agg(F.count("*").alias("n"))
+        return F.regexp_extract_all(c, F.lit(pattern), 0)
+    marks = dict(R.RESIDUAL_WORDS).get(language, "").split()
+    return F.transform(F.filter(F.split(c, SENTENCE, -1), lambda x: F.size(F.filter(T.words_of(x), lambda w: w.isin(marks))) >= 2), T.strip)
+
+
+def residual_preview(c: Column, language: str) -> Column:
+    """The first leaking segment, 80 characters of it at most, or null."""
+    first = T.squeeze(F.get(leak_segments(c, language), F.lit(0)))
+    return T.let(first, lambda x: F.when(F.length(x) > 80, F.concat(F.rtrim(F.substring(x, 1, 77)), F.lit("..."))).otherwise(x))
+
+
+def residual_reason(c: Column, language: str) -> Column:
+    """Why a text counts as still in the source's language, with the first place, or null."""
+    prefix = "residual_english:" if language == "en" else f"residual_source_language:{language}:"
+    return F.concat(F.lit(prefix), residual_preview(c, language))
+
+
+def source_leaks(docs: DataFrame, language: str) -> DataFrame:
+    """(doc_id, n): how many segments are still in the source's language, of documents that have any."""
+    return docs.select("doc_id", F.size(leak_segments(F.col("text"), language)).cast("bigint").alias("n")).filter("n > 0")
+
+
+def refine_repetition(c: Column) -> Column:
+    """As ``suspicious_repetition``, by tokens between spaces, and with a paragraph three times as a fourth sign."""
+    tokens = F.filter(F.split(T.squeeze(c), " "), lambda x: x != "")
+    few = (F.size(tokens) >= 40) & (F.size(F.array_distinct(tokens)) / F.greatest(F.size(tokens), F.lit(1)) < 0.25)
+    sentences = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+", -1), T.strip), lambda s: s != "")
+    again = (max_count(sentences) >= 3).cast("int") + (max_count(T.paragraphs(c)) >= 3).cast("int")
+    return long_repeat()(c).cast("int") + few.cast("int") + again >= 2
+
+
+def has_refine_noise(c: Column) -> Column:
+    return T.contains_any(F.lower(c), R.META_REFINE)
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:

@@ -1,27 +1,66 @@
-"""Calls of a model over chunks: reuse first, then calls with retries, errors as columns."""
+"""Calls of a model over rows: reuse first, then calls with retries, errors as columns; and the loops built on them.
+
+Each distinct prompt is asked for once, and the answers are cut to a table before they are used, so a lost task asks
+only for its own rows again.  A failed call gives a status and never ends the job.
+"""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import prose
+from quire.functions import rewrite as W
 from quire.functions import text as T
+from quire.operators import chunks as K
+from quire.operators import detect as D
+from quire.operators import pairs as P
+from quire.operators import prompts
+from quire.operators import prose as PR
+from quire.operators import repair as RP
+from quire.operators import review as RV
+from quire.operators.rows import rewritten
+from quire.sources.runs import scratch_table
+
+ANSWERS = "hash string, answer string, status string, attempts int, seconds double, error string"
+
 
-RESULT = "hash string, output string, status string, attempts int"
+class Backend(Protocol):
+    """A model: an answer for a prompt; made once and sent to the tasks."""
+
+    def generate(self, prompt: str, attempt: int) -> str: ...
 
 
 @dataclass(frozen=True)
 class StubBackend:
-    """A model that answers the same always: the text, its words turned around at the first try if ``flaky``."""
+    """A model without a network: the prompt's text between its marks, with its words in small letters turned around.
+
+    If ``flaky`` the first answer to each prompt is only a third of it.
+    """
 
     flaky: bool = False
 
     def generate(self, prompt: str, attempt: int) -> str:
-        return prompt[: len(prompt) // 3] if self.flaky and attempt == 1 else prompt[::-1]
+        text = prompt.partition('TEXT:\n"""')[2].removesuffix('"""') or prompt
+        if self.flaky and attempt == 1:
+            return text[: len(text) // 3]
+        return "".join(w[::-1] if w.isalpha() and w.islower() else w for w in _pieces(text))
+
+
+def _pieces(text: str) -> list[str]:
+    out: list[str] = []
+    for c in text:
+        if out and c.isalpha() and out[-1][-1].isalpha():
+            out[-1] += c
+        else:
+            out.append(c)
+    return out
 
 
 def accept(source: str, output: str) -> bool:
@@ -29,31 +68,139 @@ def accept(source: str, output: str) -> bool:
     return bool(output.strip()) and 0.6 <= len(output.strip()) / max(1, len(source.strip())) <= 1.8
 
 
-def _caller(backend: StubBackend, attempts: int, ok: Callable[[str, str], bool]):
+def _caller(backend: Backend, attempts: int, ok: Callable[[str, str], bool], pause: float, factor: float):
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                output, status, n = text, "failed", 0
+            for h, prompt, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                began, answer, status, error, n = time.perf_counter(), None, "failed", None, 0
                 for n in range(1, attempts + 1):  # noqa: B007
-                    answer = backend.generate(text, n)
-                    if ok(text, answer):
-                        output, status = answer, "translated"
-                        break
-                rows.append((h, output, status, n))
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], names=["hash", "output", "status", "attempts"])
+                    try:
+                        given = backend.generate(prompt, n)
+                        if ok(text, given):
+                            answer, status = given, "ok"
+                            break
+                        error = "not accepted"
+                    except Exception as e:  # the error is the row's
+                        error = f"{type(e).__name__}: {e}"
+                    if pause and n < attempts:
+                        time.sleep(pause * factor ** (n - 1))
+                rows.append((h, answer, status, n, time.perf_counter() - began, None if status == "ok" else error))
+            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string())
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in ANSWERS.split(", ")])
 
     return call
 
 
-def run(spark: SparkSession, chunks: DataFrame, backend: StubBackend | None = None, attempts: int = 3) -> DataFrame:
+def ask(spark: SparkSession, rows: DataFrame, prompt: Column, backend: Backend | None = None, attempts: int = 3, ok: Callable[[str, str], bool] = accept, pause: float = 0.0, factor: float = 1.8) -> DataFrame:
+    """``rows`` (text, ...) with hash, answer, status, attempts, seconds and error of the prompt that each makes."""
+    asked = rows.withColumn("prompt", prompt).withColumn("hash", F.sha2("prompt", 256))
+    distinct = asked.groupBy("hash").agg(F.first("prompt").alias("prompt"), F.first("text").alias("text"))
+    answers = scratch_table(spark, distinct.select("hash", "prompt", "text").mapInArrow(_caller(backend or StubBackend(), attempts, ok, pause, factor), ANSWERS), "answers")
+    return asked.drop("prompt").join(answers, "hash")
+
+
+def run(spark: SparkSession, chunks: DataFrame, backend: Backend | None = None, attempts: int = 3) -> DataFrame:
     """``chunks`` (doc_id, chunk_idx, text) with output, status, attempts and reused.
 
     Each distinct text is asked for once; the chunks that have it share the answer.  A text for which no answer is
-    accepted keeps itself, with status failed; the job goes on.
+    accepted keeps itself, with status failed.
+    """
+    rows = ask(spark, chunks.select("doc_id", "chunk_idx", "text"), F.coalesce("text", F.lit("")), backend, attempts)
+    first = rows.groupBy("hash").agg(F.min(F.struct("doc_id", "chunk_idx")).alias("first"))
+    out = rows.join(first, "hash").withColumn("reused", F.struct("doc_id", "chunk_idx") != F.col("first"))
+    return out.select("doc_id", "chunk_idx", "text", "hash", F.coalesce("answer", "text").alias("output"), F.when(F.col("status") == "ok", "translated").otherwise("failed").alias("status"), "attempts", "reused")
+
+
+def reassembled(parts: DataFrame, column: str = "output", separator: str = "\n\n") -> DataFrame:
+    """(doc_id, text): the parts (doc_id, chunk_idx, column) of each document in their order."""
+    whole = F.array_sort(F.collect_list(F.struct("chunk_idx", F.col(column).alias("x"))))
+    return parts.groupBy("doc_id").agg(F.array_join(F.transform(whole, lambda p: p["x"]), separator).alias("text"))
+
+
+def translate(spark: SparkSession, docs: DataFrame, glossary: DataFrame | None = None, backend: Backend | None = None, language: str = "en", repair_too: bool = True, most: int = K.MAX_CHARS) -> DataFrame:
+    """(doc_id, chunk_idx, source, output, status, attempts, retry_reason, issues): the chunks of documents, translated.
+
+    Quotes of the source are mended, chunks keep speeches whole, stubs go to the chunk behind them; answers are parsed,
+    cleaned, their quotes set as the source tells, terms enforced; what is worth it is repaired once.
+    """
+    ready = docs.select("doc_id", W.separate_short_speeches(F.coalesce("text", F.lit(""))).alias("text"))
+    ready = rewritten(ready, lambda t: PR._both(t, {"opened": PR.Q.mend_paragraphs, "balanced": PR.Q.balance}), ["opened", "balanced"])
+    chunks = K.merge_stubs(K.chunk_quotes(ready, most)).filter("text <> ''")
+    terms = None
+    if glossary is not None:
+        from quire.operators import glossary as G
+
+        keyed = chunks.withColumn("at", F.concat_ws("-", "doc_id", "chunk_idx"))
+        chunks = keyed.join(G.chunk_terms(keyed, glossary, "at").select("at", "block"), "at").drop("at")
+        terms = F.col("block")
+    prompt = prompts.translation(F.col("text"), None, terms, T.classify_chunk(F.col("text")), language)
+    rows = ask(spark, chunks, prompt, backend)
+    answer = W.drop_marker_lines(F.coalesce(W.between_markers(F.coalesce("answer", "text")), F.col("text")))
+    rows = rows.withColumns({"source": F.col("text"), "output": W.postprocess_translation(RP.guarded(F.col("text"), answer, answer, "translate"), F.col("text"))})
+    rows = PR.Q.chunk_quotes_of(rows, "output")
+    rows = rows.withColumn("output", W.collapse_curly(F.col("output")))
+    rows = rows.select("doc_id", "chunk_idx", "source", "output", F.when(F.col("status") == "ok", "translated").otherwise("failed").alias("status"), "attempts", P.retry_reason(F.col("source"), F.col("output")).alias("retry_reason"))
+    return repair(spark, rows, backend, language) if repair_too else rows.withColumn("issues", F.array().cast(f"array<{RP.ISSUE}>"))
+
+
+def repair(spark: SparkSession, rows: DataFrame, backend: Backend | None = None, language: str = "en") -> DataFrame:
+    """``rows`` (doc_id, chunk_idx, source, output, ...) with issues; only rows with issues are asked for, and a candidate must hold.
+
+    A candidate without fault and without the source's language replaces the output.
+    """
+    rows = scratch_table(spark, rows.withColumn("issues", RP.shape_issues(F.col("source"), F.col("output"), language)), "to-repair")
+    bad = rows.filter(F.size("issues") > 0).select("doc_id", "chunk_idx", F.col("output").alias("text"), "source", "issues")
+    asked = ask(spark, bad, prompts.repair(F.col("source"), F.col("text"), F.col("issues"), None, language), backend, 2, lambda a, b: bool(b.strip()))
+    parsed = rewritten(asked.withColumn("given", F.coalesce("answer", F.lit(""))), lambda t: (prose.sanitized_refinement(t), 0), ["none"], ("given",), "plain").drop("none")
+    candidate = W.postprocess_translation(F.coalesce(RP.parsed_repair(F.col("given")), F.col("plain")), F.col("source"))
+    good = parsed.withColumn("candidate", candidate).filter(RP.candidate_fault(F.col("text"), F.col("candidate"), language).isNull() & D.residual_reason(F.col("candidate"), language).isNull() & (F.size(D.collapse_reasons(F.col("candidate"), F.length("text"))) == 0))
+    good = good.select("doc_id", "chunk_idx", "candidate")
+    return rows.join(good, ["doc_id", "chunk_idx"], "left").withColumn("output", F.coalesce("candidate", "output")).drop("candidate")
+
+
+def repair_segments(spark: SparkSession, rows: DataFrame, backend: Backend | None = None, language: str = "en") -> DataFrame:
+    """``rows`` (doc_id, chunk_idx, text) whose paragraphs that are still in the source's language are translated again.
+
+    A paragraph's candidate is taken if it is not empty, no longer in that language and not half as short; all else stays.
     """
-    rows = chunks.select("doc_id", "chunk_idx", "text", T.chunk_hash(F.col("text")).alias("hash"))
-    distinct = rows.groupBy("hash").agg(F.first("text").alias("text"), F.min(F.struct("doc_id", "chunk_idx")).alias("first"))
-    answers = distinct.select("hash", "text").mapInArrow(_caller(backend or StubBackend(), attempts, accept), RESULT)
-    out = rows.join(answers, "hash").join(distinct.select("hash", "first"), "hash")
-    return out.withColumn("reused", F.struct("doc_id", "chunk_idx") != F.col("first")).drop("first")
+    paragraphs = rows.select("doc_id", "chunk_idx", F.posexplode(T.paragraphs(F.col("text"))).alias("no", "text")).withColumn("leaks", D.residual_reason(F.col("text"), language).isNotNull())
+    paragraphs = scratch_table(spark, paragraphs, "paragraphs")
+    bad = paragraphs.filter("leaks").select("doc_id", "chunk_idx", "no", "text")
+    asked = ask(spark, bad, prompts.translation(F.col("text"), None, None, F.lit("dialogue"), language), backend, 2, lambda a, b: bool(b.strip()))
+    new = W.postprocess_translation(RP.guarded(F.col("text"), F.col("answer"), F.coalesce(W.between_markers(F.col("answer")), F.lit("")), "translate"), F.col("text"))
+    good = asked.withColumn("new", new).filter((F.col("new") != "") & D.residual_reason(F.col("new"), language).isNull() & (F.length(T.strip(F.col("new"))) >= F.length(T.strip(F.col("text"))) * 0.45))
+    whole = paragraphs.join(good.select("doc_id", "chunk_idx", "no", "new"), ["doc_id", "chunk_idx", "no"], "left")
+    parts = F.array_sort(F.collect_list(F.struct("no", F.coalesce("new", "text").alias("x"))))
+    return whole.groupBy("doc_id", "chunk_idx").agg(F.array_join(F.transform(parts, lambda p: p["x"]), "\n\n").alias("text"), F.count("new").alias("replaced"))
+
+
+def refine(spark: SparkSession, docs: DataFrame, backend: Backend | None = None, language: str = "en", clean_first: bool = True, most: int = K.MAX_CHARS) -> DataFrame:
+    """(doc_id, text, chunks, refined): documents refined chunk by chunk; a chunk whose answer breaks its structure stays."""
+    ready = PR.cleanup(docs).select("doc_id", "text") if clean_first else docs.select("doc_id", "text")
+    asked = ask(spark, K.chunk_strict(ready, most), prompts.refinement(F.col("text"), None, language), backend)
+    parsed = rewritten(asked.withColumn("given", F.coalesce("answer", F.lit(""))), lambda t: (prose.sanitized_refinement(t), 0), ["none"], ("given",), "clean").drop("none")
+    judged = parsed.withColumn("r", RP.refined_chunk(F.col("text"), RP.guarded(F.col("text"), F.col("given"), F.col("clean"))))
+    good = F.col("r.ok") & ~F.col("r.soft_retry") & (F.col("r.text") != "")
+    parts = judged.select("doc_id", "chunk_idx", F.when(good, F.col("r.text")).otherwise(F.col("text")).alias("output"), good.alias("good"))
+    counts = parts.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if("good").alias("refined"))
+    return PR.refined_finally(reassembled(parts)).join(counts, "doc_id")
+
+
+def unbreak(spark: SparkSession, docs: DataFrame, backend: Backend | None = None, most: int = K.MAX_CHARS) -> DataFrame:
+    """(doc_id, text, scenes, wraps, hyphens, fallbacks): broken lines joined by a model, by rules where its answer is not accepted."""
+    asked = ask(spark, K.chunk_strict(docs, most), prompts.unbreaking(F.col("text")), backend, ok=lambda a, b: bool(b.strip()))
+    given = W.unbreak_output(F.coalesce("answer", F.lit("")))
+    lone = F.exists(T.lines(F.coalesce("answer", F.lit(""))), lambda x: T.strip(x).isin('"', "“", "”", "'''", '"""'))
+    asked = rewritten(asked.withColumn("given", given), lambda t: K.reflow_text(t), ["joins"], into="reflowed").drop("joins")
+    by_rules = F.when(lone | T.quote_inflation(F.col("text"), F.col("given")), F.col("reflowed")).when((F.col("given") == "") | (F.size(W.reflow_problems(F.col("text"), F.col("given"))) > 0), W.unbreak(F.col("text")))
+    parts = asked.select("doc_id", "chunk_idx", F.coalesce(by_rules, F.col("given")).alias("output"), by_rules.isNotNull().alias("fallback"))
+    counts = parts.groupBy("doc_id").agg(F.count_if("fallback").alias("fallbacks"))
+    return PR.unbroken_globally(reassembled(parts)).join(counts, "doc_id")
+
+
+def reviewed(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(pair_id, text, score, issue_count): the final review of pairs (pair_id, source, target), and the checks of its result."""
+    done = RV.finalized(pairs, glossary)
+    checked = pairs.select("pair_id", "source").join(done.select("pair_id", F.col("text").alias("target")), "pair_id")
+    return done.select("pair_id", "text").join(RV.report(checked, glossary).select("pair_id", "score", "issue_count"), "pair_id")

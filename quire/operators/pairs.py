@@ -10,6 +10,7 @@ from quire.functions import text as T
 from quire.operators import detect as D
 from quire.operators import glossary as G
 
+MALFORMED = "”[ \\t]*“(?=[A-Za-zÀ-ÿ])"
 SLASH = r"(?<![\w/])([A-Za-zÀ-ÿ]+/[A-Za-zÀ-ÿ]+)(?![\w/])"
 
 
@@ -57,15 +58,30 @@ def curly(c: Column) -> tuple[Column, Column]:
 
 
 def single_pair_repair(source: Column, target: Column) -> Column:
-    """The target has one pair of quotes more, which mends the source."""
+    """The target has one pair of quotes more, which mends a line that the source closes without opening it."""
     (so, sc), (to, tc) = curly(source), curly(target)
-    return (so != sc) & (to == tc) & (F.abs(to - so) + F.abs(tc - sc) == 1)
+    return (so > 0) & (so == sc) & (to == tc) & (to + tc == so + sc + 2) & T.closed_unopened(source)
+
+
+def missing_open_repair(source: Column, target: Column) -> Column:
+    """The target has the one opening quote that the source lacks."""
+    (so, sc), (to, tc) = curly(source), curly(target)
+    return (sc == so + 1) & (to == so + 1) & (tc == sc) & T.closed_unopened(source)
 
 
 def balance_regression(source: Column, target: Column) -> Column:
-    """The target's curly quotes are out of balance where the source's are not, or otherwise."""
+    """The target leaves another number of speeches open than the source; with straight quotes only parity is compared."""
+    (so, sc), (to, tc) = curly(source), curly(target)
+    straight = lambda c: T.count_of(c, '"')
+    only_source = F.when(straight(target) > 0, (so + sc) % 2 != straight(target) % 2).otherwise(so != sc)
+    both = ((so - sc) != (to - tc)) & ~missing_open_repair(source, target)
+    return F.when((so + sc > 0) & (to + tc > 0), both).when(so + sc > 0, only_source).when(to + tc > 0, straight(source) % 2 != (to + tc) % 2).otherwise(F.lit(False))
+
+
+def count_regression(source: Column, target: Column) -> Column:
+    """The target has more curly quotes than a source that has some, and mends nothing by it."""
     (so, sc), (to, tc) = curly(source), curly(target)
-    return ((to - tc) != (so - sc)) & ~single_pair_repair(source, target) & ((to + tc > 0) | (so + sc > 0)) & (to != tc)
+    return (so + sc > 0) & (to + tc > so + sc) & ~(single_pair_repair(source, target) | missing_open_repair(source, target))
 
 
 def short_repetition(source: Column, target: Column) -> Column:
@@ -83,9 +99,10 @@ def retry_reason(source: Column, target: Column) -> Column:
     paras = F.filter(F.transform(F.split(target, r"\n{2,}", -1), T.strip), lambda p: p != "")
     low = lambda p: p.rlike("^[a-zà-ÿ]")
     cases = [
-        (target.rlike("”[ \\t]*“[A-Za-zÀ-ÿ]"), "malformed_quote_boundary"),
+        (target.rlike(MALFORMED), "malformed_quote_boundary"),
         (balance_regression(source, target), "unbalanced_quotes"),
-        (((iq % 2 != oq % 2) | ((iq > 0) & (oq > iq + 4))) & ~single_pair_repair(source, target), "unbalanced_quotes_straight"),
+        (count_regression(source, target), "extra_curly_quotes"),
+        (((iq % 2 != oq % 2) | ((iq > 0) & (oq > iq + 4))) & ~single_pair_repair(source, target) & ~missing_open_repair(source, target), "unbalanced_quotes_straight"),
         ((iq >= 4) & (oq < iq - 2), "dialogue_quotes_lost"),
         ((il >= 2) & (ol < F.greatest(F.lit(1), il - 1)), "dialogue_lines_lost"),
         (T.strip(target) == "", "empty_output"),
@@ -130,20 +147,49 @@ def issues(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
         F.when(translated & missing, F.array(row("missing_canonical_term", F.lit("")))).otherwise(F.array()),
     )
     glossed = both.select("pair_id", F.explode(found).alias("i")).select("pair_id", "i.type", "i.term", "i.found")
-    leaks = F.transform(F.array(*map(F.lit, R.SOURCE_LEAKS)), lambda p: F.when(T.term_contains(t, p), p))
-    plain = pairs.select("pair_id", F.explode(F.filter(leaks, lambda x: x.isNotNull())).alias("found")).select("pair_id", F.lit("residual_english").alias("type"), F.lit("").alias("term"), "found")
-    odd = F.regexp_count(t, F.lit('"')) % 2 == 1
+    row = lambda kind, found: F.struct(F.lit(kind).alias("type"), F.lit("").alias("term"), found.alias("found"))
+    leaks = F.transform(F.filter(F.array(*map(F.lit, R.SOURCE_LEAKS)), lambda p: T.term_contains(t, p)), lambda p: row("residual_english", p))
+    meta = F.transform(F.regexp_extract_all(t, F.lit(R.ENGLISH_META), 1), lambda m: row("english_meta_text", m))
+    mixed = F.flatten(F.transform(sentences(t), lambda x: F.filter(F.array(*[F.when(x.rlike("(?is)" + p), row("possible_gender_mismatch", F.lit(label))) for p, label in R.MIXED_GENDERS]), lambda y: y.isNotNull())))
+    one = lambda test, kind, found="": F.when(test, row(kind, found if isinstance(found, Column) else F.lit(found)))
+    language = T.detect_language(s)
+    residue = F.array(*[F.when(language == code, row("residual_source_language", D.residual_preview(t, code))) for code in D.RESIDUAL_CODES])
     opens, closes = curly(t)
-    shape = F.filter(
-        F.array(
-            F.when(t.rlike(r"(?i)###\s*(?:TEXTO_TRADUZ[A-Z_]*|TEXTO_REFINADO_(?:INICIO|FIM))"), F.lit("residual_translation_marker")),
-            F.when(odd | (opens != closes), F.lit("unbalanced_quotes")),
-            F.when(t.rlike("”[ \\t]*“[A-Za-zÀ-ÿ]"), F.lit("malformed_quote_boundary")),
-        ),
-        lambda x: x.isNotNull(),
+    shape = F.array(
+        one(t.rlike(R.MARKERS), "residual_translation_marker"),
+        one(F.regexp_count(t, F.lit('"')) % 2 == 1, "unbalanced_quotes", '"'),
+        one(opens != closes, "unbalanced_quotes", "“/”"),
+        one(t.rlike(MALFORMED), "malformed_quote_boundary", "”“"),
+        one(t.rlike(STRAY), "stray_format_marker", F.regexp_extract(t, STRAY, 1)),
+        one(t.rlike(GLUED_QUOTES), "missing_quote_spacing"),
     )
-    shaped = pairs.select("pair_id", F.explode(shape).alias("type")).select("pair_id", "type", F.lit("").alias("term"), F.lit("").alias("found"))
-    return glossed.unionByName(plain).unionByName(shaped)
+    plain = F.filter(F.concat(leaks, meta, mixed, residue, shape), lambda x: x.isNotNull() & x["found"].isNotNull())
+    plain = pairs.select("pair_id", F.explode(plain).alias("i")).select("pair_id", "i.type", "i.term", "i.found")
+    return glossed.unionByName(plain).unionByName(gender_issues(pairs, glossary))
+
+
+#: A speech's end with a star behind it, and quotes that stand at a speech or a sentence without a space.
+STRAY = "([.!?…][”\"]\\*)(?=\\s|$)"
+GLUED_QUOTES = "[”\"](?=[“\"])|[.!?…](?=[“\"][A-Za-zÀ-ÿ])"
+
+
+def sentences(c: Column) -> Column:
+    return F.filter(F.split(c, r"(?<=[.!?…])\s+|\n+", -1), lambda x: T.strip(x) != "")
+
+
+def gender_issues(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(pair_id, type, term, found): a person of known gender said to be something of the other, a sentence each."""
+    gender = F.lower(T.strip(F.col("gender")))
+    people = glossary.filter((F.lower(T.strip(F.col("category"))) == "personagem") & gender.isin("feminino", "masculino"))
+    parts = F.filter(F.split("pt", r"\s+"), lambda p: F.length(p) > 3)
+    people = people.select("key", gender.alias("gender"), F.array_distinct(F.concat(F.array("pt", "key"), F.when(F.contains("pt", F.lit(" ")), parts).otherwise(F.array().cast("array<string>")))).alias("names"))
+    met = G.term_hits(pairs.select("pair_id", F.col("target").alias("text")), people.select("key", F.explode("names").alias("form")), "pair_id").select("pair_id", "key").distinct()
+    rows = pairs.join(met, "pair_id").join(people, "key").select("pair_id", "key", "gender", "names", F.posexplode(sentences(F.col("target"))).alias("no", "sentence"))
+    words = F.when(F.col("gender") == "feminino", "|".join(R.MASCULINE_WORDS)).otherwise("|".join(R.FEMININE_WORDS))
+    quoted = lambda n: F.regexp_replace(n, r"([\\.\[\]{}()*+?^$|#&~\-])", r"\\$1")
+    pattern = lambda n: F.concat(F.lit("(?iu)\\b"), quoted(n), F.lit(r"\b\s+" + R.BEING + R.DEGREE + r"\s+("), words, F.lit(r")\b"))
+    said = F.filter(F.transform(F.filter("names", lambda n: n != ""), lambda n: F.get(F.regexp_extract_all("sentence", pattern(n), F.lit(1)), F.lit(0))), lambda x: x.isNotNull())
+    return rows.withColumn("found", F.get(said, F.lit(0))).filter("found is not null").select("pair_id", F.lit("possible_gender_mismatch").alias("type"), F.col("key").alias("term"), "found")
 
 
 def scores(pairs: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,13 @@ from quire.operators import model as X
 from quire.operators import ordered as O
 from quire.operators import pairs as P
 from quire.operators import quotes as QT
+from quire.operators import prompts as PM
+from quire.operators import prose as PR
+from quire.operators import repair as RP
+from quire.operators import review as RV
+from quire.plans import books as B
 from quire.plans import fixtures as FX
+from quire.sources.runs import scratch_path
 from quire.streaming import documents as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,8 +54,17 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 # pieces of SQL
 WS = "' ' || chr(9) || chr(13) || chr(160)"
-LINES = """l AS (SELECT doc_id, i - 1 AS line_no, parts[i] AS line FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i
-  FROM (SELECT doc_id, string_split(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS parts FROM documents WHERE text <> '')))"""
+def lines_sql(table: str = "documents") -> str:
+    """l: a row a text, with its lines ``ls`` as Spark sees them."""
+    return f"""l AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] WHEN right(text, 1) = chr(10) THEN string_split(left(text, length(text) - 1), chr(10)) ELSE string_split(text, chr(10)) END AS ls FROM {table})"""
+
+
+LINES = lines_sql()
+BOOK_LINES = f"{B.BOOKS}, {lines_sql('books')}"
+#: A row a line of the texts in l.
+EACH_LINE = "e AS (SELECT r, doc_id, i, ls[i] AS line FROM (SELECT r, doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM l))"
+#: The paragraphs of a text.
+PARAGRAPHS = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: {strip}), lambda x: x <> '')"
 
 
 def strip(x: str) -> str:
@@ -65,12 +79,24 @@ def squeeze(x: str) -> str:
     return rf"{strip(rf"regexp_replace({x}, '\s+', ' ', 'g')")}"
 
 
+PARAGRAPHS = PARAGRAPHS.format(strip=strip("x"))
 SPEECH = r"regexp_matches(line, '^\s*[\x22“\x27’–—-]')"
 ELLIPSIS = rf"regexp_matches({strip('line')}, '^[\x22“”\x27]?(?:…|\.{{3,}})[\x22“”\x27]?$')"
-REBUILT = "SELECT doc_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE keep), '')) AS text_sha, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS removed FROM k GROUP BY doc_id"
+REBUILT = "SELECT doc_id, sha256(coalesce(array_to_string(k, chr(10)), '')) AS text_sha, len(k)::BIGINT AS kept, (len(ls) - len(k))::BIGINT AS removed FROM k"
 REPEAT = rf"regexp_replace(regexp_replace(lower({norm('line')}), '\s+', ' ', 'g'), '[.,;:!?–—-]+', '', 'g')"
 
 
+def rebuilt_sql(keep: str, source: str = LINES, marks: str = "") -> str:
+    """The rebuilt texts of the lines ``x`` (number ``i``) that ``keep`` names; ``marks``: lists beside ls, computed before."""
+    return f"WITH {source}, n AS (SELECT *{marks} FROM l), k AS (SELECT *, list_filter(ls, lambda x, i: coalesce({keep}, true)) AS k FROM n) {REBUILT}"
+
+
+def promo(x: str) -> str:
+    low = f"lower({norm(x)})"
+    tests = [f"regexp_matches({low}, '(?i){R.URL}')", *[f"contains({low}, '{p}')" for p in R.PROMO_PHRASES], *[f"regexp_matches({low}, '(?i){p}')" for p in R.PROMO_LINES]]
+    return f"({norm(x)} <> '' AND ({' OR '.join(tests)}))"
+
+
 def quoted(items) -> str:
     return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
 
@@ -143,93 +169,261 @@ def fixture_flags(spark, d):
     return FX.texts(spark).select("case_id", T.is_section(c).alias("is_section"), T.count_of(c, "[“”]").alias("curly"), *[T.count_of(c, p).alias(f"residual_{x}") for x, p in R.RESIDUAL_SCRIPTS])
 
 
-@query()
+_SPOKEN = r"(regexp_matches(x, '^(?:[\x22“”]|[—–-]\s)') OR regexp_matches(x, '[\x22“][^\x22”]{2,}[\x22”]'))"
+
+
+@query(f"""WITH {BOOK_LINES}, b AS (SELECT doc_id, list_filter(list_transform(ls, lambda x: {strip('x')}), lambda x: x <> '') AS bs FROM l), s AS (SELECT doc_id, bs, list_filter(bs, lambda x: {_SPOKEN}) AS ss FROM b),
+ c AS (SELECT doc_id, len(bs) AS n, len(ss)::DOUBLE / greatest(len(bs), 1) AS by_line, coalesce(list_sum(list_transform(ss, lambda x: length(x))), 0)::DOUBLE / greatest(coalesce(list_sum(list_transform(bs, lambda x: length(x))), 0), 1) AS by_char FROM s)
+ SELECT doc_id, CASE WHEN n = 0 THEN 'narration' WHEN by_line >= 0.40 OR by_char >= 0.45 THEN 'dialogue' WHEN by_line <= 0.15 AND by_char <= 0.20 THEN 'narration' ELSE 'mixed' END AS profile FROM c""")
 def chunk_profile(spark, d):
-    return docs(spark, d).select("doc_id", T.classify_chunk(F.col("text")).alias("profile"))
+    return B.books(spark, d).select("doc_id", T.classify_chunk(F.coalesce("text", F.lit(""))).alias("profile"))
 
 
 # lines
-@query(f"""WITH {LINES} SELECT doc_id, count(*) AS n_lines, max(length(line))::BIGINT AS max_length, count(*) FILTER (WHERE length(line) > 800) AS over_800,
- count(*) FILTER (WHERE {norm('line')} <> '' AND (regexp_matches(lower({norm('line')}), '(?i){R.URL}') OR {" OR ".join(f"contains(lower({norm('line')}), '{p}')" for p in R.PROMO_PHRASES)} OR {" OR ".join(f"regexp_matches(lower({norm('line')}), '(?i){p}')" for p in R.PROMO_LINES)})) AS promo
- FROM l GROUP BY doc_id""")
+def count_of(test: str) -> str:
+    return f"len(list_filter(ls, lambda line: {test}))::BIGINT"
+
+
+@query(f"WITH {BOOK_LINES} SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(list_max(list_transform(ls, lambda x: length(x))), 0)::BIGINT AS max_length, {count_of('length(line) > 800')} AS over_800, {count_of(promo('line'))} AS promo FROM l")
 def line_stats(spark, d):
-    return L.line_flags(docs(spark, d)).select("doc_id", "n_lines", "max_length", "over_800", "promo")
+    return L.line_flags(B.books(spark, d)).select("doc_id", "n_lines", "max_length", "over_800", "promo")
 
 
-@query()
+_BARE = strip(rf"regexp_replace({norm('line')}, '^#+', '')")
+_BARE_LOW = strip(rf"regexp_replace(lower({norm('line')}), '^#+', '')")
+_LOW = f"lower({norm('line')})"
+_TOC = rf"""({norm('line')} <> '' AND (regexp_matches({_BARE}, '{R.SECTION}') OR {" OR ".join(f"contains({_LOW}, '{m}')" for m in R.TOC_MARKERS)} OR regexp_matches({_LOW}, '^(?:prologue|epilogue|afterword|chapter\s+\d+(?::?[^\n]+)?)$')
+ OR regexp_matches({_LOW}, '^(?:pr[óo]logo|cap[ií]tulo\s+\d+|ep[ií]logo|p[oó]s-?escrito)') OR (length({norm('line')}) < 80 AND regexp_matches({norm('line')}, '(?:^|[^\p{{L}}\p{{N}}_])\d+(?:$|[^\p{{L}}\p{{N}}_])')) OR (length({norm('line')}) < 120 AND regexp_matches({norm('line')}, '\.{{2,}}\s*\d{{1,4}}$'))))"""
+_HEADING = rf"({_LOW} <> '' AND (regexp_matches({_BARE_LOW}, '{R.SECTION}') OR regexp_matches({_LOW}, '{R.SECTION}') OR regexp_matches({_LOW}, '^(?:prologue|epilogue|afterword|chapter\s+\d+|pr[óo]logo|cap[ií]tulo\s+\d+|ep[ií]logo)')))"
+
+
+@query(f"WITH {BOOK_LINES} SELECT doc_id, {count_of(_TOC)} AS toc, {count_of(_HEADING)} AS headings FROM l")
 def line_toc_headings(spark, d):
-    return L.line_flags(docs(spark, d)).select("doc_id", "toc", "headings")
+    return L.line_flags(B.books(spark, d)).select("doc_id", "toc", "headings")
+
 
+_NS = f", list_transform(ls, lambda line: CASE WHEN {SPEECH} OR {ELLIPSIS} THEN '' ELSE {norm('line')} END) AS ns"
+_FREQ = f", list_transform(ls, lambda line: CASE WHEN {SPEECH} OR {ELLIPSIS} THEN '' ELSE {REPEAT} END) AS ns"
+_STRIPPED = f", list_transform(ls, lambda line: {strip('line')}) AS ns"
+_SQUEEZED = f", list_transform(ls, lambda line: {squeeze('line')}) AS ns, list_transform(ls, lambda line: {strip('line')}) AS ss"
 
-@query(f"""WITH {LINES}, n AS (SELECT *, CASE WHEN {SPEECH} OR {ELLIPSIS} THEN '' ELSE {norm('line')} END AS nrm FROM l),
- k AS (SELECT doc_id, line_no, line, NOT coalesce(nrm <> '' AND nrm = lag(nrm) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS keep FROM n) {REBUILT}""")
+
+@query(rebuilt_sql("NOT (ns[i] <> '' AND i > 1 AND ns[i] = ns[i - 1])", LINES, _NS))
 def dedupe_consecutive_lines(spark, d):
     return rebuilt(L.dedupe_consecutive(docs(spark, d)))
 
 
-@query(f"""WITH {LINES}, k AS (SELECT doc_id, line_no, line, NOT coalesce({strip('line')} <> '' AND {strip('line')} = lag({strip('line')}) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS keep FROM l) {REBUILT}""")
+@query(rebuilt_sql("NOT (ns[i] <> '' AND i > 1 AND ns[i] = ns[i - 1])", LINES, _STRIPPED))
 def collapse_repeated_lines(spark, d):
     return rebuilt(L.collapse_lines(docs(spark, d)))
 
 
-@query(rf"""WITH {LINES}, n AS (SELECT *, {squeeze('line')} AS nrm, {strip(f"lead(line) OVER (PARTITION BY doc_id ORDER BY line_no)")} AS nxt FROM l),
- k AS (SELECT doc_id, line_no, line, NOT coalesce(NOT (starts_with(nxt, '“') OR regexp_matches({strip('line')}, '^\d+$')) AND nrm <> '' AND length({squeeze('nxt')}) > length(nrm) AND starts_with({squeeze('nxt')}, nrm) AND NOT regexp_matches(nrm, '[.!?:;][\x27\x22)\]]?\s*$'), false) AS keep FROM n) {REBUILT}""")
+@query(rebuilt_sql(r"NOT (NOT (starts_with(ss[i + 1], '“') OR regexp_matches(ss[i], '^\d+$')) AND ns[i] <> '' AND length(ns[i + 1]) > length(ns[i]) AND starts_with(ns[i + 1], ns[i]) AND NOT regexp_matches(ns[i], '[.!?:;][\x27\x22)\]]?\s*$'))", LINES, _SQUEEZED))
 def dedupe_prefix_lines(spark, d):
     return rebuilt(L.dedupe_prefix(docs(spark, d)))
 
 
-_FREQ = f"""n AS (SELECT *, CASE WHEN {SPEECH} OR {ELLIPSIS} THEN '' ELSE {REPEAT} END AS nrm FROM l), f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, nrm) AS freq FROM n)"""
-
-
-@query(rf"""WITH {LINES}, {_FREQ}, k AS (SELECT doc_id, line_no, line, NOT (nrm <> '' AND NOT regexp_matches({strip('line')}, '^\*{{2,}}$') AND freq >= 6 AND length(nrm) <= 80) AS keep FROM f) {REBUILT}""")
+@query(rebuilt_sql(rf"NOT (ns[i] <> '' AND NOT regexp_matches({strip('x')}, '^\*{{2,}}$') AND len(list_filter(ns, lambda y: y = ns[i])) >= 6 AND (length(ns[i]) <= 80 OR {promo('ns[i]')}))", LINES, _FREQ))
 def repeated_lines_removed(spark, d):
     return rebuilt(L.remove_repeated(docs(spark, d)))
 
 
-@query(f"""WITH {LINES}, {_FREQ}, g AS (SELECT doc_id, nrm AS norm, count(*) AS freq, min(line_no) AS first FROM f WHERE nrm <> '' GROUP BY doc_id, nrm),
- r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, first) AS rank, norm, freq FROM g) SELECT doc_id, rank, sha256(norm) AS norm_sha, freq FROM r WHERE rank <= 10""")
+@query(f"""WITH {LINES}, {EACH_LINE}, n AS (SELECT r, doc_id, i, CASE WHEN {SPEECH} OR {ELLIPSIS} THEN '' ELSE {REPEAT} END AS nrm FROM e), g AS (SELECT r, doc_id, nrm, count(*) AS freq, min(i) AS first FROM n WHERE nrm <> '' GROUP BY r, doc_id, nrm),
+ o AS (SELECT doc_id, row_number() OVER (PARTITION BY r ORDER BY freq DESC, first) AS rank, nrm, freq FROM g) SELECT doc_id, rank, sha256(nrm) AS norm_sha, freq FROM o WHERE rank <= 10""")
 def top_repeated_lines(spark, d):
     return L.top_repeated(docs(spark, d)).select("doc_id", "rank", F.sha2("norm", 256).alias("norm_sha"), "freq")
 
 
-@query(rf"WITH {LINES}, k AS (SELECT *, NOT regexp_matches({strip('line')}, '^\d+$') AS keep FROM l) {REBUILT}")
+@query(rebuilt_sql(rf"NOT regexp_matches({strip('x')}, '^\d+$')", BOOK_LINES))
 def numeric_lines_removed(spark, d):
-    return rebuilt(L.remove_numeric(docs(spark, d)))
+    return rebuilt(L.remove_numeric(B.books(spark, d)))
 
 
-@query(f"WITH {LINES}, k AS (SELECT *, {strip('line')} <> '' AS keep FROM l) {REBUILT}")
+@query(rebuilt_sql(f"{strip('x')} <> ''", BOOK_LINES))
 def blank_lines_removed(spark, d):
-    return rebuilt(L.remove_blank(docs(spark, d)))
+    return rebuilt(L.remove_blank(B.books(spark, d)))
 
 
-@query()
+@query(rebuilt_sql(f"NOT ({promo('x')} AND NOT {SPEECH.replace('line', 'x')})", BOOK_LINES))
+def promo_lines_removed(spark, d):
+    return rebuilt(L.remove_promo(B.books(spark, d)))
+
+
+@query(rebuilt_sql(rf"NOT {strip('x')} IN ('\x22', '“', '”', '\x22\x22\x22')".replace("\\x22", '"'), BOOK_LINES))
+def lone_quotes_removed(spark, d):
+    return rebuilt(L.remove_lone_quotes(B.books(spark, d)))
+
+
+@query(f"WITH {BOOK_LINES}, t AS (SELECT doc_id, list_transform(ls, lambda x: {strip('x')}) AS ls FROM l), " + rf"""k AS (SELECT *, list_filter(ls, lambda x: NOT (regexp_matches(x, '^\d{{1,4}}$') OR (length(x) <= 5 AND upper(x) = x AND lower(x) <> x) OR regexp_matches(x, '(?i)\bpage\b'))) AS k FROM t) """ + REBUILT)
+def headers_removed(spark, d):
+    return rebuilt(L.remove_headers(B.books(spark, d)))
+
+
+@query(f"WITH l AS (SELECT doc_id, {PARAGRAPHS} AS ls FROM documents), k AS (SELECT *, list_filter(ls, lambda x, i: coalesce(i = 1 OR x <> ls[i - 1], true)) AS k FROM l) " + REBUILT.replace("chr(10)", "chr(10) || chr(10)"))
 def paragraphs_collapsed(spark, d):
     return rebuilt(L.collapse_paragraphs(docs(spark, d)))
 
 
-@query()
+@query(rebuilt_sql("NOT (" + " OR ".join(f"regexp_matches(lower(x), '{p.replace(chr(39), chr(39) * 2)}')" for p in R.META_TRANSLATE) + ")"))
 def meta_lines_removed(spark, d):
     return rebuilt(L.remove_meta(docs(spark, d)))
 
 
-@query()
+_NOISY = [f"regexp_matches({{x}}, '(?is){p}')" for p in R.NOISE_PARAGRAPHS]
+
+
+@query(f"""WITH {B.BOOKS}, p AS (SELECT doc_id, {PARAGRAPHS} AS ps FROM books), e AS (SELECT doc_id, i - 1 AS paragraph_no, ps[i] AS x FROM (SELECT doc_id, ps, unnest(generate_series(1, len(ps))) AS i FROM p)),
+ c AS (SELECT doc_id, paragraph_no, CASE {" ".join(f"WHEN {t.format(x='x')} THEN {i}" for i, t in enumerate(_NOISY))} END AS pattern_no FROM e) SELECT * FROM c WHERE pattern_no IS NOT NULL""")
 def noise_paragraphs(spark, d):
-    return L.noise_paragraphs(FX.books(spark))
+    return L.noise_paragraphs(B.books(spark, d))
 
 
-@query(FX.SECTIONS_SQL)
+@query(f"WITH {B.BOOKS}, l AS (SELECT doc_id, {PARAGRAPHS} AS ls FROM books), k AS (SELECT *, list_filter(ls, lambda x: NOT ({' OR '.join(t.format(x='lower(x)') for t in _NOISY)})) AS k FROM l) " + REBUILT.replace("chr(10)", "chr(10) || chr(10)"))
+def noise_removed(spark, d):
+    return rebuilt(L.remove_noise(B.books(spark, d)))
+
+
+_SECTIONS = rf"""{BOOK_LINES}, {EACH_LINE}, m AS (SELECT *, regexp_matches({strip('line')}, '{R.SECTION}') AS m FROM e),
+ n AS (SELECT *, sum(m::INT) OVER w AS no, sum(length(line) + 1) OVER w AS upto FROM m WINDOW w AS (PARTITION BY r ORDER BY i)),
+ p AS (SELECT r, doc_id, no, max(CASE WHEN m THEN {strip('line')} END) AS title, {strip("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT m), '')")} AS body, min(upto - length(line) - 1)::BIGINT AS start_idx, max(upto)::BIGINT AS end_idx, max(max(no)) OVER (PARTITION BY r) AS markers FROM n GROUP BY r, doc_id, no),
+ k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY no) - 1 AS section_idx FROM p WHERE CASE WHEN title IS NULL THEN markers = 0 OR body <> '' ELSE NOT (body = '' OR (length(body) <= 10 AND regexp_matches(body, '^[\d\s.]+$'))) END),
+ s AS (SELECT doc_id, section_idx, coalesce(title, 'Full Text') AS title, CASE WHEN title IS NULL THEN body ELSE '# ' || title || chr(10) || chr(10) || body END AS body, start_idx, CASE WHEN title IS NULL AND markers = 0 THEN end_idx - 1 ELSE end_idx END AS end_idx FROM k)"""
+
+
+@query(f"WITH {_SECTIONS} SELECT doc_id, section_idx, sha256(title) AS title_sha, sha256(body) AS body_sha, start_idx, end_idx FROM s")
 def sections(spark, d):
-    return L.sections(FX.books(spark))
+    return L.sections(B.books(spark, d)).select("doc_id", "section_idx", F.sha2("title", 256).alias("title_sha"), F.sha2("body", 256).alias("body_sha"), "start_idx", "end_idx")
+
+
+@query(f"WITH {_SECTIONS} SELECT doc_id, count(*) AS n, sum(length(body))::BIGINT AS chars, max(end_idx)::BIGINT AS stop FROM s GROUP BY doc_id")
+def section_map(spark, d):
+    return L.section_map(B.books(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.max("end_idx").alias("stop"))
+
 
+_MARK = rf"regexp_matches({strip(rf"regexp_replace({strip('x')}, '^#+', '')")}, '{R.SECTION}')"
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT), (2, NULL), (3, 0), (4, 0)) v(doc_id, start)")
+
+@query(f"WITH {BOOK_LINES} SELECT doc_id, list_min(list_filter(list_transform(ls, lambda x, i: CASE WHEN {_MARK} THEN i - 1 END), lambda i: i IS NOT NULL))::BIGINT AS start FROM l")
 def front_matter_start(spark, d):
-    return L.front_matter_start(FX.books(spark).filter("doc_id <= 4"))
+    return L.front_matter_start(B.books(spark, d))
 
 
-@query()
+@query(f"WITH {BOOK_LINES}, n AS (SELECT *, list_min(list_filter(list_transform(ls, lambda x, i: CASE WHEN {_MARK} THEN i END), lambda i: i IS NOT NULL)) AS st FROM l), k AS (SELECT *, list_filter(list_transform(ls, lambda x, i: CASE WHEN i = st THEN ltrim(x) ELSE x END), lambda x, i: i >= coalesce(st, 1)) AS k FROM n) {REBUILT}")
+def front_matter_stripped(spark, d):
+    return rebuilt(L.strip_front_matter(B.books(spark, d)))
+
+
+@query(rf"""WITH {BOOK_LINES}, {EACH_LINE}, m AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s+\S') AS m FROM e), n AS (SELECT *, sum(m::INT) OVER (PARTITION BY r ORDER BY i) AS no FROM m),
+ p AS (SELECT doc_id, no, coalesce(max(CASE WHEN m THEN {strip('line')} END), '') AS heading, {strip("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT m), '')")} AS body FROM n GROUP BY r, doc_id, no)
+ SELECT doc_id, no::BIGINT AS section_no, sha256(heading) AS heading_sha, sha256(body) AS body_sha FROM p WHERE no > 0 OR body <> ''""")
 def markdown_sections(spark, d):
-    return L.markdown_sections(FX.books(spark))
+    return L.markdown_sections(B.books(spark, d)).select("doc_id", "section_no", F.sha2("heading", 256).alias("heading_sha"), F.sha2("body", 256).alias("body_sha"))
+
+
+def _re2(pattern: str) -> str:
+    """A rule's pattern for RE2 inside a SQL string."""
+    return pattern.replace("(?iu)", "(?i)").replace("(?U)", "").replace("\\x{", "\\x{").replace("'", "''")
+
+
+_SUBTITLE = rf"(regexp_matches(line, '{_re2(R.SUBTITLE)}') AND NOT regexp_matches(line, '[.!?]$') AND NOT (regexp_replace(line, '[^\p{{L}}]', '', 'g') <> '' AND upper(regexp_replace(line, '[^\p{{L}}]', '', 'g')) = regexp_replace(line, '[^\p{{L}}]', '', 'g')) AND len(list_filter(string_split({squeeze('line')}, ' '), lambda w: w <> '')) BETWEEN 2 AND 8 AND length(line) <= 90 AND regexp_matches(line, '^\p{{Lu}}'))"
+_ATTRIBUTED = rf"(regexp_matches({strip('line')}, '^—') AND {strip(rf"regexp_extract({strip('line')}, '^—(.*)$', 1)")} <> '' AND NOT regexp_matches({strip(rf"regexp_extract({strip('line')}, '^—(.*)$', 1)")}, '{_re2(R.PRONOUN_START)}') AND regexp_matches({strip(rf"regexp_extract({strip('line')}, '^—(.*)$', 1)")}, '{_re2(R.ATTRIBUTION)}'))"
+_SHORT_SPEECH = rf"({strip('line')} <> '' AND (regexp_matches({strip('line')}, '^[\x22“].+[\x22”]$') OR (len(string_split({squeeze('line')}, ' ')) <= 6 AND regexp_matches({strip('line')}, '[?!….][\x22”]?$'))))"
+_NOISE = rf"(regexp_matches(lower(line), '{_re2(R.AUDIT_URL)}') OR {" OR ".join(f"contains(lower(line), '{x}')" for x in R.AUDIT_NOISE)} OR regexp_matches(regexp_replace(lower(line), '^[ .:-]+|[ .:-]+$', '', 'g'), '{R.AUDIT_CONTENTS}') OR regexp_matches({strip('lower(line)')}, '^\d{{1,4}}$'))"
+_FRAGMENT = rf"({strip('line')} <> '' AND length({strip('line')}) <= 25 AND len(list_filter(string_split({squeeze("replace(line, '—', '')")}, ' '), lambda w: w <> '')) <= 2)"
+_NAME = rf"(len(regexp_extract_all(line, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) > 0 AND len(list_filter(regexp_extract_all(line, '[A-Za-zÀ-ÖØ-öø-ÿ]+'), lambda w: NOT (regexp_matches(w, '^\p{{Lu}}') OR lower(w) IN ({quoted(R.NAME_CONNECTORS)})))) = 0)"
+_TERM = rf"({strip('line')} <> '' AND length({strip('line')}) <= 80 AND len(string_split({squeeze('line')}, ' ')) <= 6 AND NOT (contains(' ' || lower({strip('line')}) || ' ', ' que ') OR contains(' ' || lower({strip('line')}) || ' ', ' uma ') OR contains(' ' || lower({strip('line')}) || ' ', ' um ')))"
+
+
+@query(f"WITH {BOOK_LINES} SELECT doc_id, {count_of(_SUBTITLE)} AS subtitles, {count_of(_ATTRIBUTED)} AS attributions, {count_of(_SHORT_SPEECH)} AS short_speeches, {count_of(_NOISE)} AS noise, {count_of(_FRAGMENT)} AS fragments, {count_of(_NAME)} AS names, {count_of(_TERM)} AS terms, {count_of(f"starts_with({strip('line')}, '—') AND length({strip('line')}) > 2")} AS dash_speech FROM l")
+def line_predicates(spark, d):
+    n = lambda f: F.size(F.filter("l", f)).cast("bigint")
+    tests = {"subtitles": T.is_subtitle, "attributions": lambda x: T.attribution(x).isNotNull(), "short_speeches": T.is_short_speech, "noise": T.is_obvious_noise, "fragments": T.is_short_fragment, "names": T.looks_like_name, "terms": T.is_valid_term, "dash_speech": T.is_dash_speech}
+    return B.books(spark, d).select("doc_id", L.lines_of(F.col("text")).alias("l")).select("doc_id", *[n(f).alias(k) for k, f in tests.items()])
+
+
+_KIND = rf"CASE WHEN {strip('line')} = '' THEN 'blank' WHEN starts_with({strip('line')}, '## ') THEN 'heading2' WHEN starts_with({strip('line')}, '# ') THEN 'heading1' WHEN regexp_matches({strip('line')}, '^[—–-] ') THEN 'dialogue' ELSE 'body' END"
+
+
+@query(f"WITH {BOOK_LINES}, {EACH_LINE} SELECT {_KIND} AS kind, count(*) AS n, sum(length(line))::BIGINT AS chars FROM e GROUP BY 1")
+def story_lines(spark, d):
+    return L.line_table(B.books(spark, d)).groupBy(T.story_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("line")).cast("bigint").alias("chars"))
+
+
+_NONBLANK = f"list_filter(list_transform(ls, lambda x: {strip('x')}), lambda x: x <> '')"
+
+
+@query(rf"""WITH {BOOK_LINES}, n AS (SELECT l.doc_id, {_NONBLANK} AS bs, text FROM l JOIN books USING (doc_id))
+ SELECT doc_id, sha256(coalesce(bs[1], '')) AS first_sha, len(list_filter(bs, lambda x: starts_with(x, '—')))::BIGINT AS dash_lines,
+ len(list_filter(bs, lambda x: contains(x, '”') AND NOT contains(x, '“') AND length({strip("replace(x, '”', '')")}) >= 8)) > 0 AS closed_unopened, regexp_matches(coalesce(bs[1], ''), '{_re2(R.SCENE)}') AS starts_scene, regexp_matches(coalesce(bs[-1], ''), '{_re2(R.SCENE)}') AS ends_scene,
+ len(list_filter(bs, lambda x: regexp_matches(x, '{_re2(R.SPACED_CAPITALS)}')))::BIGINT AS spaced_capitals, ({strip('text')} = '' OR regexp_matches({strip(f"regexp_replace({strip('text')}, '^#+', '')")}, '{R.SECTION}')) AS stub, sha256(regexp_replace(lower(text), '[^0-9a-z]+', '', 'g')) AS compact_sha FROM n""")
+def text_predicates(spark, d):
+    c = F.col("text")
+    return B.books(spark, d).select("doc_id", F.sha2(T.first_line(c), 256).alias("first_sha"), T.dash_lines(c).alias("dash_lines"), T.closed_unopened(c).alias("closed_unopened"), T.starts_scene(c).alias("starts_scene"), T.ends_scene(c).alias("ends_scene"), F.size(T.spaced_capitals(c)).cast("bigint").alias("spaced_capitals"), T.is_stub(c).alias("stub"), F.sha2(T.compact(c), 256).alias("compact_sha"))
+
+
+@query(rf"""WITH {BOOK_LINES}, s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({squeeze("coalesce(text, '')")}, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), lambda x: {strip(r"regexp_replace(trim(x), '^#+|#+$', '', 'g')")}), lambda x: x <> '') AS ps FROM books) SELECT doc_id, sha256(coalesce(ps[-1], '')) AS last_sha FROM s""")
+def last_sentences(spark, d):
+    return B.books(spark, d).select("doc_id", F.sha2(T.last_sentence(F.col("text")), 256).alias("last_sha"))
+
+
+@query(f"WITH {B.BOOKS} SELECT d.doc_id, {{n_b}} > {{n_a}} AND {{n_b}} >= {{n_a}} * 1.5 AND {{n_b}} - {{n_a}} >= 4 AS inflated FROM documents d JOIN books b USING (doc_id)".format(n_a="len(regexp_extract_all(d.text, '[\"“”]'))", n_b="len(regexp_extract_all(b.text, '[\"“”]'))"))
+def quote_inflation(spark, d):
+    return docs(spark, d).select("doc_id", T.quote_inflation(F.col("text"), B.book(F.col("text"))).alias("inflated"))
+
+
+@query(rf"""WITH {B.BOOKS}, s AS (SELECT DISTINCT title FROM (SELECT regexp_extract_all(text, '(?m)^(?:Chapter 7: .*|Prologue|CHAPTER 3)$') AS ts FROM books) t, unnest(t.ts) u(title))
+ SELECT sha256(title) AS title_sha, sha256(CASE WHEN title = 'Prologue' THEN '# Prólogo' WHEN title = 'CHAPTER 3' THEN '# Capítulo 3' ELSE '# Capítulo 7: ' || {strip("substr(title, 12)")} END) AS heading_sha FROM s""")
+def section_headings(spark, d):
+    marks = L.line_table(B.books(spark, d)).select(T.strip(F.col("line")).alias("title")).filter(F.col("title").rlike("^(?:Chapter 7: .*|Prologue|CHAPTER 3)$"))
+    return marks.distinct().select(F.sha2("title", 256).alias("title_sha"), F.sha2(T.heading_in_portuguese(F.col("title")), 256).alias("heading_sha"))
+
+
+_BLANK = "chr(30)"
+
+
+@query(rf"""WITH {BOOK_LINES}, j AS (SELECT doc_id, coalesce(array_to_string(list_transform(ls, lambda x: CASE WHEN {strip('x')} = '' THEN {_BLANK} WHEN regexp_matches({strip('x')}, '[.!?…]$') THEN {strip('x')} || {_BLANK} ELSE {strip('x')} || ' ' END), ''), '') AS t FROM l)
+ SELECT doc_id, sha256(coalesce(array_to_string(list_filter(list_transform(string_split(t, {_BLANK}), lambda x: {strip('x')}), lambda x: x <> ''), chr(10) || chr(10)), '')) AS text_sha FROM j""")
+def sentences_joined(spark, d):
+    return B.books(spark, d).select("doc_id", F.sha2(T.joined_sentences(F.col("text")), 256).alias("text_sha"))
+
+
+@query(rf"""WITH {BOOK_LINES}, j AS (SELECT doc_id, coalesce(array_to_string(list_transform(ls, lambda x: CASE WHEN {strip('x')} = '' THEN {_BLANK} WHEN regexp_matches({strip('x')}, '^[\x22“”’\-—]') THEN {_BLANK} || {strip('x')} || {_BLANK} ELSE {strip('x')} || chr(10) END), ''), '') AS t FROM l),
+ b AS (SELECT doc_id, list_filter(list_transform(string_split(t, {_BLANK}), lambda x: {strip('x')}), lambda x: x <> '') AS bs FROM j) SELECT doc_id, len(bs)::BIGINT AS n, sha256(coalesce(array_to_string(bs, {_BLANK}), '')) AS blocks_sha FROM b""")
+def dialogue_blocks(spark, d):
+    rows = B.books(spark, d).select("doc_id", T.dialogue_blocks(F.col("text")).alias("b"))
+    return rows.select("doc_id", F.size("b").cast("bigint").alias("n"), F.sha2(F.array_join("b", "\x1e"), 256).alias("blocks_sha"))
+
+
+@query(rf"WITH {BOOK_LINES}, f AS (SELECT *, list_transform(ls, lambda line: {_SHORT_SPEECH}) AS fs FROM l) SELECT doc_id, sha256(coalesce(array_to_string(list_transform(ls, lambda x, i: CASE WHEN i > 1 AND fs[i] AND fs[i - 1] THEN chr(10) || x ELSE x END), chr(10)), '')) AS text_sha FROM f")
+def short_speeches_separated(spark, d):
+    return B.books(spark, d).select("doc_id", F.sha2(W.separate_short_speeches(F.col("text")), 256).alias("text_sha"))
+
+
+@query(rf"WITH {BOOK_LINES}, f AS (SELECT *, list_transform(ls, lambda x: regexp_matches(x, '^[ \t]*[\x22“]')) AS fs FROM l) SELECT doc_id, sha256(coalesce(array_to_string(list_filter(ls, lambda x, i: NOT coalesce(regexp_matches(x, '^[ \t]*$') AND i > 1 AND fs[i - 1] AND fs[i + 1], false)), chr(10)), '')) AS text_sha FROM f")
+def dialogue_closed(spark, d):
+    return B.books(spark, d).select("doc_id", F.sha2(W.close_dialogue(T.let(L.lines_of(F.col("text")), lambda x: F.array_join(x, "\n"))), 256).alias("text_sha"))
+
+
+@query(rf"""WITH {BOOK_LINES} SELECT doc_id, sha256(coalesce(array_to_string(list_transform(ls, lambda x: array_to_string(list_transform(string_split({squeeze('x')}, ' '), lambda w, i: CASE WHEN len(regexp_extract_all(w, '[A-Z]')) >= 2 AND len(regexp_extract_all(w, '[a-z]')) >= 1 AND len(regexp_extract_all(w, '[A-Z]')) > len(regexp_extract_all(w, '[a-z]')) AND NOT regexp_matches(w, '[-–—\x27’…]|\.\.\.')
+ THEN CASE WHEN i = 1 THEN upper(left(lower(w), 1)) || substr(lower(w), 2) ELSE lower(w) END ELSE w END), ' ')), chr(10)), '')) AS text_sha FROM l""")
+def mixed_capitals_mended(spark, d):
+    return B.books(spark, d).select("doc_id", F.sha2(W.mend_mixed_capitals(F.col("text")), 256).alias("text_sha"))
+
+
+@query(f"WITH {B.BOOKS} SELECT doc_id, sha256(regexp_replace(text, '(?m)^([ \\t]*(?i:chapter)\\s+\\d+:?[ \\t]*\\n(?:[ \\t]*\\n)*)[ \\t]*((?:[A-Z][A-Za-z''’-]*|the|of|and|a|an|to|in|on|at|for|with|after|before)(?:[ \\t]+(?:[A-Z][A-Za-z''’-]*|the|of|and|a|an|to|in|on|at|for|with|after|before)){{0,7}}?)[ \\t]+([A-Z]{{2,}}\\b.*)$', '\\1\\2' || chr(10) || chr(10) || '\\3', 'g')) AS text_sha FROM books")
+def subtitles_isolated(spark, d):
+    return B.books(spark, d).select("doc_id", F.sha2(W.isolate_subtitle(F.col("text")), 256).alias("text_sha"))
+
+
+@query(f"WITH {BOOK_LINES} SELECT doc_id, sha256(regexp_replace(coalesce(array_to_string(list_transform(ls, lambda x: CASE WHEN {strip('x')} = '***' THEN chr(10) || '***' || chr(10) ELSE x END), chr(10)), ''), '\\n{{3,}}', chr(10) || chr(10), 'g')) AS text_sha FROM l")
+def stars_isolated(spark, d):
+    return B.books(spark, d).select("doc_id", F.sha2(W.isolate_stars(F.col("text")), 256).alias("text_sha"))
+
+
+@query(f"WITH {B.BOOKS} SELECT doc_id, len(bs)::BIGINT AS n, sha256(coalesce(array_to_string(bs, chr(30)), '')) AS blocks_sha FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: {strip('x')}), lambda x: x <> '') AS bs FROM books)")
+def markdown_blocks(spark, d):
+    rows = B.books(spark, d).select("doc_id", T.markdown_blocks(F.col("text")).alias("b"))
+    return rows.select("doc_id", F.size("b").cast("bigint").alias("n"), F.sha2(F.array_join("b", "\x1e"), 256).alias("blocks_sha"))
 
 
 # rewriting
@@ -249,19 +443,101 @@ def _chain(x: str, rules) -> str:
     return x
 
 
-_rewrite_query("hyphen_breaks_fixed", W.fix_hyphen_breaks, _chain("text", [(W.HYPHEN_BREAK, "$1-$2")]))
+_rewrite_query("hyphen_breaks_fixed", W.fix_hyphen_breaks, _chain("text", [(R.HYPHEN_BREAK, "$1-$2")]))
 _rewrite_query("footers_dropped", W.drop_footers, _chain("text", [("(?i)" + p, " ") for p in R.FOOTERS]))
-_rewrite_query("inline_marks_stripped", W.strip_inline_marks, _chain("text", W.INLINE_MARKS))
-_rewrite_query("dialogue_breaks", W.dialogue_breaks, _chain("text", W.DIALOGUE_BREAKS))
-_rewrite_query("thinking_dropped", W.drop_thinking, _chain("text", [(W.THINKING, "")]))
+_rewrite_query("inline_marks_stripped", W.strip_inline_marks, _chain("text", R.INLINE_MARKS))
+_rewrite_query("dialogue_breaks", W.dialogue_breaks, _chain("text", R.DIALOGUE_BREAKS))
+_rewrite_query("thinking_dropped", W.drop_thinking, _chain("text", [(R.THINKING, "")]))
 _rewrite_query("triple_quotes_stripped", W.strip_triple_quotes, _chain("text", [('(?m)"""+[ \\t]*$', "")]))
-_rewrite_query("line_dashes", W.line_dashes)
+_rewrite_query("safe_dialogue_breaks", lambda c: W.safe_dialogue_breaks(B.book(c)))
+SQL["safe_dialogue_breaks"] = f"WITH {B.BOOKS} SELECT doc_id, sha256({_chain('text', R.SAFE_DIALOGUE_BREAKS)}) AS text_sha FROM books"
+_rewrite_query("structural", lambda c: W.structural(B.book(c)))
+SQL["structural"] = f"WITH {B.BOOKS} SELECT doc_id, sha256({_chain('text', [*R.DIALOGUE_BREAKS, ('(?m)' + chr(34) * 3 + '+[ \\t]*$', '')])}) AS text_sha FROM books"
+_rewrite_query("dehyphenated", lambda c: W.dehyphenate(B.book(c)))
+SQL["dehyphenated"] = f"WITH {B.BOOKS} SELECT doc_id, sha256(regexp_replace(text, '([\\p{{L}}\\p{{N}}_]+)-\\s*\\n([\\p{{L}}\\p{{N}}_]+)', '\\1\\2' || chr(10), 'g')) AS text_sha FROM books"
+_rewrite_query("line_dashes", lambda c: W.line_dashes(B.book(c)))
+SQL["line_dashes"] = f"WITH {BOOK_LINES} SELECT doc_id, sha256(coalesce(array_to_string(list_transform(ls, lambda x: regexp_replace(x, '^(\\s*)[-–] ', '\\1— ')), chr(10)), '')) AS text_sha FROM l"
 _rewrite_query("output_sanitized", W.sanitize_output)
-_rewrite_query("ellipsis_fixed", W.fix_ellipsis)
-_rewrite_query("final_postprocess", W.final_postprocess)
-_rewrite_query("unbroken", W.unbreak)
-_rewrite_query("edited", W.edit)
-_rewrite_query("preprocessed", W.preprocess)
+_SANITIZED = "text"
+for _phrase in R.MODEL_PHRASES:
+    _SANITIZED = f"replace({_SANITIZED}, '{_phrase}', '')"
+SQL["output_sanitized"] = f"SELECT doc_id, sha256({strip(f"replace(replace(regexp_replace(regexp_replace({_SANITIZED}, '(?s)```.+?```', '', 'g'), '\\s{{3,}}', ' ', 'g'), '<think>', ''), '</think>', '')")}) AS text_sha FROM documents"
+_rewrite_query("ellipsis_fixed", lambda c: W.fix_ellipsis(F.regexp_replace(B.book(c), "… ", "…")))
+#: No two capitals stand behind an ellipsis there, which RE2 could not look for.
+SQL["ellipsis_fixed"] = f"WITH {B.BOOKS} SELECT doc_id, sha256({_chain("regexp_replace(text, '… ', '…', 'g')", [('…([A-Za-z])', '… $1'), ('\\.\\.\\.([A-Za-z])', '... $1')])}) AS text_sha FROM books"
+_rewrite_query("final_postprocess", lambda c: W.final_postprocess(B.book(c)))
+_rewrite_query("unbroken", lambda c: W.unbreak(B.book(c)))
+_rewrite_query("edited", lambda c: W.edit(B.book(c)))
+_rewrite_query("clean_text", lambda c: W.clean_text(B.book(c)))
+_rewrite_query("translation_postprocessed", lambda c: W.postprocess_translation(B.book(c), c))
+_rewrite_query("inline_html", lambda c: T.inline_html(B.book(c)))
+
+
+def _hashed(rows: DataFrame, *counters: str) -> DataFrame:
+    return rows.select("doc_id", F.sha2("text", 256).alias("text_sha"), *counters)
+
+
+def _prose_query(name: str, f, *counters: str) -> None:
+    QUERIES[name] = lambda spark, d: _hashed(f(B.books(spark, d)), *counters)
+
+
+_prose_query("preprocessed", PR.preprocess)
+_prose_query("gaps_merged", PR.merge_gaps, "merged")
+_prose_query("wraps_merged", PR.merge_wraps, "merged")
+_prose_query("paragraphs_reflowed", PR.reflow, "joined")
+_prose_query("long_lines_wrapped", PR.wrap_long, "cuts")
+_prose_query("promo_blocks", PR.promo_blocks, "removed")
+_prose_query("contents_blocks", PR.contents_blocks, "removed")
+_prose_query("contents_stripped", PR.strip_contents, "cut")
+_prose_query("capitals_respelled", PR.respell_capitals, "respelled")
+_prose_query("hard_wraps_joined", PR.join_hard_wraps, "joined")
+_prose_query("scenes_isolated", PR.isolate_scenes, "fixes")
+_prose_query("hyphens_by_dominance", PR.dominant_hyphens, "replaced")
+_prose_query("markdown_paragraphs", PR.markdown_paragraphs, "joined")
+_prose_query("fragments_deduped", PR.repeated_fragments, "removed")
+_prose_query("structure_normalized", PR.structured)
+_prose_query("custom_normalized", PR.customised, "changed")
+_prose_query("attributions_joined", PR.attributions, "joined")
+_prose_query("refinement_sanitized", PR.refinement)
+_prose_query("quotes_balanced", QT.balance_quotes, "balanced")
+_prose_query("cleanup_chain", PR.cleanup, "prefix_lines", "lines_removed", "blocks_removed", "breaks", "fragments")
+_prose_query("unbroken_globally", PR.unbroken_globally, "scenes", "wraps", "hyphens")
+_prose_query("refined_finally", PR.refined_finally)
+
+
+@query(rf"""WITH {BOOK_LINES}, b AS (SELECT r, doc_id, ls, list_transform(ls, lambda x: {strip('x')}) AS bs FROM l),
+ f AS (SELECT *, list_transform(bs, lambda x, i: x <> '' AND coalesce(bs[i + 1], '') <> '' AND NOT regexp_matches(x, '[.?!…:”\x22]$') AND NOT regexp_matches(x, '^[\x27\x22“”\-—#]') AND NOT regexp_matches(bs[i + 1], '^[\x27\x22“”\-—#]') AND regexp_matches(bs[i + 1], '^\p{{Ll}}')
+ AND coalesce(list_filter(bs[i + 2:], lambda y: y <> '')[1], '') <> '***') AS js FROM b),
+ t AS (SELECT *, regexp_replace(coalesce(array_to_string(list_transform(js, lambda j: CASE WHEN j THEN '1' ELSE '0' END), ''), ''), '11', '10', 'g') AS ts FROM f)
+ SELECT doc_id, sha256(coalesce(array_to_string(list_filter(list_transform(ls, lambda x, i: CASE WHEN ts[i] = '1' THEN bs[i] || ' ' || bs[i + 1] WHEN i > 1 AND ts[i - 1] = '1' THEN chr(30) ELSE x END), lambda x: x <> chr(30)), chr(10)), '')) AS text_sha, len(regexp_extract_all(ts, '1'))::BIGINT AS joined FROM t""")
+def wrapped_lines_joined(spark, d):
+    """Pairs are taken from the left: in a run of lines that go on, every second line is joined to the one before."""
+    rows = B.books(spark, d).withColumn("text", F.array_join(L.lines_of(F.col("text")), "\n"))
+    return _hashed(PR.join_wrapped(rows), "joined")
+
+
+@query()
+def answers_sanitized(spark, d):
+    return PR.sanitize(B.books(spark, d)).select("doc_id", F.sha2("text", 256).alias("text_sha"), *PR.SANITIZED, "status")
+
+
+@query()
+def cleanup_needed(spark, d):
+    return PR.needs_cleanup(B.books(spark, d))
+
+
+_AUDIT = rf"""{LINES}, {EACH_LINE}, n AS (SELECT r, doc_id, {norm('line')} AS line, count(*) AS n FROM e WHERE {norm('line')} <> '' GROUP BY r, doc_id, {norm('line')}),
+ a AS (SELECT doc_id, line, CASE WHEN {promo('line')} AND NOT {SPEECH} THEN 'promo' WHEN n >= 6 AND length(line) <= 80 THEN 'repeated' END AS reason, n FROM n)"""
+
+
+@query(f"WITH {_AUDIT} SELECT doc_id, sha256(line) AS line_sha, reason, n FROM a WHERE reason IS NOT NULL")
+def removed_lines(spark, d):
+    return PR.removed_lines(docs(spark, d)).select("doc_id", F.sha2("line", 256).alias("line_sha"), "reason", "n")
+
+
+@query(rf"WITH {_AUDIT} SELECT doc_id, sha256(line) AS line_sha, reason FROM a WHERE reason IS NOT NULL AND length(line) >= 35 AND len(regexp_extract_all(line, '\p{{L}}'))::DOUBLE / greatest(length(line), 1) >= 0.55 AND NOT {_NOISE} AND (reason = 'promo' OR regexp_matches(line, '[.!?”\x22]$'))")
+def suspicious_removals(spark, d):
+    return PR.suspicious_removals(docs(spark, d)).select("doc_id", F.sha2("line", 256).alias("line_sha"), "reason")
 
 
 @query()
@@ -296,12 +572,12 @@ def lexical_diversity(spark, d):
     return docs(spark, d).select("doc_id", D.lexical_diversity(F.col("text")).alias("diversity"))
 
 
-@query(f"""WITH {LINES}, c AS (SELECT doc_id, lower({strip('line')}) AS x, count(*) AS n FROM l WHERE length({strip('line')}) BETWEEN 1 AND 25 GROUP BY ALL) SELECT doc_id, coalesce(max(n), 0)::BIGINT AS peak FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id""")
+@query(f"""WITH {LINES}, {EACH_LINE}, c AS (SELECT doc_id, lower({strip('line')}) AS x, count(*) AS n FROM e WHERE length({strip('line')}) BETWEEN 1 AND 25 GROUP BY ALL) SELECT doc_id, coalesce(max(n), 0)::BIGINT AS peak FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id""")
 def short_line_peak(spark, d):
     return docs(spark, d).select("doc_id", D.short_line_peak(F.col("text")).alias("peak"))
 
 
-@query(rf"""WITH {LINES}, a AS (SELECT doc_id, max(n) AS peak FROM (SELECT doc_id, {strip('line')} AS x, count(*) AS n FROM l WHERE {strip('line')} <> '' GROUP BY ALL) GROUP BY doc_id),
+@query(rf"""WITH {LINES}, {EACH_LINE}, a AS (SELECT doc_id, max(n) AS peak FROM (SELECT doc_id, {strip('line')} AS x, count(*) AS n FROM e WHERE {strip('line')} <> '' GROUP BY ALL) GROUP BY doc_id),
  w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ\x27-]*')) AS x FROM documents), c AS (SELECT doc_id, x, count(*) AS n FROM w WHERE length(x) >= 5 AND x NOT IN ({quoted(R.IGNORED_WORDS)}) GROUP BY ALL),
  b AS (SELECT doc_id, max(n) AS top, sum(n) AS n FROM c GROUP BY doc_id)
  SELECT doc_id, coalesce(peak, 0) >= 3 OR (coalesce(n, 0) >= 40 AND top >= 12 AND top::DOUBLE / n >= 0.12) AS anomaly FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)""")
@@ -309,10 +585,26 @@ def repetition_anomaly(spark, d):
     return docs(spark, d).select("doc_id", D.repetition_anomaly(F.col("text")).alias("anomaly"))
 
 
-@query()
+def _any(x: str, needles) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{n.replace(chr(39), chr(39) * 2)}')" for n in needles) + ")"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low, list_filter(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '^[a-zA-Z]{{4,}}$')) AS ws FROM documents),
+ e AS (SELECT *, len(list_filter(ws, lambda x: lower(x) IN ({quoted(R.COMMON_ENGLISH)})))::DOUBLE / greatest(len(ws), 1) AS english FROM w)
+ SELECT doc_id, (text = '' OR regexp_matches(text, '[一-鿿]{{6,}}') OR {_any('low', R.FOREIGN_PHRASES)} OR {_any('low', R.ASSISTANT_MARKERS)} OR (english > 0.25 AND NOT {_any("(' ' || low || ' ')", R.PORTUGUESE_MARKERS)})) AS language,
+ ((contains(low, '### texto_traduzido_inicio') AND NOT contains(low, '### texto_traduzido_fim')) OR (contains(low, '### texto_refinado_inicio') AND NOT contains(low, '### texto_refinado_fim')) OR {_any('low', R.STRUCTURE_MARKERS)}) AS structure, {_any('low', R.META_REFINE)} AS refine_noise FROM e""")
 def language_structure_anomaly(spark, d):
-    c = F.col("text")
-    return docs(spark, d).select("doc_id", D.language_anomaly(c).alias("language"), D.structure_anomaly(c).alias("structure"), D.suspicious_repetition(c).alias("repetition"))
+    c = F.coalesce("text", F.lit(""))
+    return docs(spark, d).select("doc_id", D.language_anomaly(c).alias("language"), D.structure_anomaly(c).alias("structure"), D.has_refine_noise(c).alias("refine_noise"))
+
+
+@query()
+def suspicious_repetition(spark, d):
+    c = F.coalesce("text", F.lit(""))
+    return docs(spark, d).select("doc_id", D.suspicious_repetition(c).alias("repetition"), D.refine_repetition(c).alias("refine_repetition"))
+
+
+_SEGMENTS = r"string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\n+', chr(30), 'g'), '([.!?])\s+', '\1' || chr(30), 'g'), chr(30))"
 
 
 @query()
@@ -325,11 +617,24 @@ def english_quick_leak(spark, d):
     return docs(spark, d).select("doc_id", D.english_quick_leak(F.col("text")).alias("leak"))
 
 
-@query()
+def _leaks_sql(language: str) -> str:
+    marks = quoted(dict(R.RESIDUAL_WORDS)[language].split())
+    return rf"list_filter({_SEGMENTS}, lambda s: len(list_filter(regexp_extract_all(lower(s), '\p{{L}}+'), lambda w: w IN ({marks}))) >= 2)"
+
+
+@query(f"SELECT doc_id, len(ss)::BIGINT AS n FROM (SELECT doc_id, {_leaks_sql('fr')} AS ss FROM documents) WHERE len(ss) > 0")
 def source_leak_segments(spark, d):
     return D.source_leaks(docs(spark, d), "fr")
 
 
+_PREVIEW = f"(CASE WHEN length({{x}}) > 80 THEN rtrim(left({{x}}, 77)) || '...' ELSE {{x}} END)".format(x="first")
+
+
+@query(f"SELECT doc_id, 'residual_source_language:de:' || {_PREVIEW} AS reason FROM (SELECT doc_id, {squeeze('ss[1]')} AS first FROM (SELECT doc_id, {_leaks_sql('de')} AS ss FROM documents))")
+def residual_reasons(spark, d):
+    return docs(spark, d).select("doc_id", D.residual_reason(F.coalesce("text", F.lit("")), "de").alias("reason"))
+
+
 @query("SELECT substr(sha256(text), 1, 16) AS hash16, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicate_docs(spark, d):
     return D.exact_duplicates(docs(spark, d))
@@ -356,45 +661,136 @@ def glossary_fallback(spark, d):
     return G.select_with_fallback(docs(spark, d), FX.glossary(spark))
 
 
-@query(f"WITH {FX.GLOSSARY_SQL} SELECT key, pt, source FROM g WHERE source = 'manual' UNION ALL SELECT key, pt, source FROM g WHERE source <> 'manual' AND key NOT IN (SELECT key FROM g WHERE source = 'manual')")
+_GN = f"WITH {B.TERMS}, n AS (SELECT *, lower(trim(key)) AS k FROM g)"
+
+
+@query(f"{_GN} SELECT key, pt, source, count(*) AS n FROM n WHERE source = 'manual' OR k NOT IN (SELECT k FROM n WHERE source = 'manual') GROUP BY ALL")
 def glossary_manual_wins(spark, d):
-    g = FX.glossary(spark)
-    return G.manual_wins(g.filter("source = 'manual'"), g.filter("source <> 'manual'")).select("key", "pt", "source")
+    g = B.terms(spark, d)
+    return G.manual_wins(g.filter("source = 'manual'"), g.filter("source <> 'manual'")).groupBy("key", "pt", "source").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {FX.GLOSSARY_SQL}, b AS (SELECT key, first(pt ORDER BY NOT locked, pos) AS pt, bool_or(locked) AS locked FROM g GROUP BY key) SELECT b.key, b.pt, b.locked, count(*) FILTER (WHERE g.pt <> b.pt) AS conflicts FROM b JOIN g USING (key) GROUP BY b.key, b.pt, b.locked")
+@query(f"WITH {B.TERMS}, b AS (SELECT key, first(pt ORDER BY NOT locked, pos) AS pt, bool_or(locked) AS locked FROM g GROUP BY key) SELECT b.key, b.pt, b.locked, count(*) FILTER (WHERE g.pt <> b.pt) AS conflicts FROM b JOIN g USING (key) GROUP BY b.key, b.pt, b.locked")
 def glossary_merge_locked(spark, d):
-    return G.merge_locked(FX.glossary(spark))
+    return G.merge_locked(B.terms(spark, d))
+
+
+@query(f"{_GN}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos DESC) AS r FROM n) SELECT k AS key_norm, pos::BIGINT AS pos, pt FROM r WHERE r = 1")
+def glossary_index(spark, d):
+    return G.last_by_key(B.terms(spark, d)).select("key_norm", F.col("pos").cast("bigint").alias("pos"), "pt")
+
+
+@query(f"WITH {B.TERMS}, r AS (SELECT *, lower(trim(pt)) AS p, row_number() OVER (PARTITION BY lower(trim(pt)) ORDER BY pos) AS r FROM g) SELECT p AS pt_norm, pos::BIGINT AS pos, key FROM r WHERE r = 1 AND p <> ''")
+def glossary_target_index(spark, d):
+    return G.first_by_target(B.terms(spark, d)).select("pt_norm", F.col("pos").cast("bigint").alias("pos"), "key")
+
 
+_DUP = "SELECT lower({f}) AS value, count(*) AS n, min(pos)::BIGINT AS first_pos FROM g GROUP BY lower({f}) HAVING count(*) > 1"
 
-@query(f"WITH {FX.GLOSSARY_SQL} SELECT key AS value, count(*) AS n, min(pos)::BIGINT AS first_pos FROM g GROUP BY key HAVING count(*) > 1")
+
+@query(f"WITH {B.TERMS} {_DUP.format(f='key')}")
 def audit_duplicate_keys(spark, d):
-    return G.duplicates(FX.glossary(spark), "key")
+    return G.duplicates(B.terms(spark, d), "key")
+
+
+@query(f"WITH {B.TERMS} {_DUP.format(f='pt')}")
+def audit_duplicate_targets(spark, d):
+    return G.duplicates(B.terms(spark, d), "pt")
+
 
+_ALIASES = "a AS (SELECT pos, key, pt, i, aliases[i] AS alias, lower(aliases[i]) AS an FROM (SELECT pos, key, pt, aliases, unnest(generate_series(1, len(aliases))) AS i FROM g))"
+_AMBIGUOUS = "SELECT an AS alias, count(DISTINCT lower(key)) AS n_keys FROM a WHERE length(an) >= 3 GROUP BY an HAVING count(DISTINCT lower(key)) > 1"
+_REDUNDANT = "SELECT key, alias FROM a WHERE an = lower(key) OR an = lower(pt)"
+_PORTUGUESE = f"SELECT key, alias FROM a WHERE regexp_matches(lower(alias), '[áàâãéêíóôõúç]') OR len(list_intersect(regexp_extract_all(lower(alias), '[a-z]+'), [{quoted(R.ALIAS_WORDS)}])) > 0"
+_REPEATED = "SELECT key, alias FROM (SELECT *, row_number() OVER (PARTITION BY pos, an ORDER BY i) AS r FROM a) WHERE r > 1 AND an <> ''"
+_MISMATCHED = "SELECT key FROM g WHERE list_transform(aliases, lambda x: lower(x)) <> list_transform(old, lambda x: lower(x))"
 
-@query(f"WITH {FX.GLOSSARY_SQL} SELECT alias, count(DISTINCT key) AS n_keys FROM (SELECT key, unnest(aliases) AS alias FROM g) WHERE length(alias) >= 3 GROUP BY alias HAVING count(DISTINCT key) > 1")
+
+@query(f"WITH {B.TERMS}, {_ALIASES} {_AMBIGUOUS}")
 def audit_ambiguous_aliases(spark, d):
-    return G.ambiguous_aliases(FX.glossary(spark))
+    return G.ambiguous_aliases(B.terms(spark, d))
 
 
-@query(f"WITH {FX.GLOSSARY_SQL} SELECT key, alias FROM (SELECT key, pt, unnest(aliases) AS alias FROM g) WHERE alias = key OR alias = lower(pt)")
+@query(f"WITH {B.TERMS}, {_ALIASES} {_REDUNDANT}")
 def audit_redundant_aliases(spark, d):
-    return G.redundant_aliases(FX.glossary(spark))
+    return G.redundant_aliases(B.terms(spark, d))
 
 
-@query(f"WITH {FX.GLOSSARY_SQL} SELECT key, alias FROM (SELECT key, unnest(aliases) AS alias FROM g) WHERE regexp_matches(lower(alias), '[áàâãéêíóôõúç]') OR len(list_intersect(string_split(alias, ' '), [{quoted(R.ALIAS_WORDS)}])) > 0")
+@query(f"WITH {B.TERMS}, {_ALIASES} {_PORTUGUESE}")
 def audit_portuguese_aliases(spark, d):
-    return G.portuguese_aliases(FX.glossary(spark))
+    return G.portuguese_aliases(B.terms(spark, d))
 
 
-@query()
+def _twice(g: DataFrame) -> DataFrame:
+    return g.withColumn("source_aliases", F.concat("source_aliases", F.when(F.col("pos") % 7 == 0, F.array("key")).otherwise(F.array().cast("array<string>"))))
+
+
+_TWICE = B.TERMS.replace("p_type || ' senhor']", "p_type || ' senhor'] || CASE WHEN p_partkey % 7 = 0 THEN [p_name] ELSE [] END")
+
+
+@query(f"WITH {_TWICE}, {_ALIASES} {_REPEATED}")
 def audit_repeated_aliases(spark, d):
-    return G.repeated_aliases(FX.glossary(spark))
+    return G.repeated_aliases(_twice(B.terms(spark, d)))
+
+
+@query(f"WITH {B.TERMS} {_MISMATCHED}")
+def audit_alias_mismatches(spark, d):
+    return G.alias_mismatches(B.terms(spark, d)).select("key")
+
+
+_COUNTED = " UNION ALL ".join(f"SELECT '{name}', count(*) FROM ({part}) HAVING count(*) > 0" for name, part in (("duplicate_keys", _DUP.format(f="key")), ("duplicate_pt_groups", _DUP.format(f="pt")), ("ambiguous_source_aliases", _AMBIGUOUS), ("portuguese_source_aliases", _PORTUGUESE), ("duplicate_aliases_within_term", _REPEATED), ("redundant_source_aliases", _REDUNDANT), ("source_alias_mismatches", _MISMATCHED)))
+
 
+@query(f"WITH {_TWICE}, {_ALIASES} SELECT 'terms' AS what, count(*) AS n FROM g UNION ALL {_COUNTED}")
+def audit_summary(spark, d):
+    return G.audit_summary(_twice(B.terms(spark, d)))
 
-@query(f"WITH {FX.GLOSSARY_SQL} SELECT string_agg('- ' || key || ' -> ' || pt, chr(10) ORDER BY key, '- ' || key || ' -> ' || pt) AS block FROM g")
+
+@query(f"WITH {B.TERMS}, t AS (SELECT lower(trim(key)) AS k, '- ' || key || ' -> ' || pt AS line FROM g ORDER BY k, line LIMIT 80) SELECT string_agg(line, chr(10) ORDER BY k, line) AS block FROM t")
 def glossary_prompt_block(spark, d):
-    return G.prompt_block(FX.glossary(spark))
+    return G.prompt_block(B.terms(spark, d))
+
+
+@query(f"WITH {FX.GLOSSARY_SQL}, {_HITS}, b AS (SELECT key AS k, first('- ' || key || ' -> ' || pt ORDER BY pos) AS line FROM g GROUP BY key), o AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY k) AS block FROM hits JOIN b ON key = k GROUP BY doc_id), f AS (SELECT count(*) AS n, string_agg(line, chr(10) ORDER BY k) AS block FROM (SELECT * FROM b ORDER BY k LIMIT 30)) "
+       "SELECT doc_id, CASE WHEN o.n > 0 THEN 'matched' ELSE 'fallback' END AS mode, coalesce(o.n, 0)::BIGINT AS matched, coalesce(o.n, f.n)::BIGINT AS injected, substr(sha256(coalesce(o.block, f.block)), 1, 16) AS prompt_hash, length(coalesce(o.block, f.block))::BIGINT AS chars FROM documents LEFT JOIN o USING (doc_id), f")
+def chunk_glossary(spark, d):
+    return G.chunk_terms(docs(spark, d), FX.glossary(spark)).drop("block")
+
+
+@query(f"WITH {FX.GLOSSARY_SQL.replace('aliases)', 'a)')}, {_HITS.replace('list_prepend(key, aliases)', '[pt]')} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY key) AS rank, key FROM hits")
+def glossary_target_match(spark, d):
+    return G.select_target_terms(docs(spark, d), FX.glossary(spark))
+
+
+@query("SELECT p_partkey AS doc_id, 0::BIGINT AS pos, p_name AS key, p_type AS pt, p_brand AS category, NULL::VARCHAR AS notes FROM part UNION ALL SELECT p_partkey, 1, p_brand, 'x', NULL, 'n' FROM part")
+def suggestions_parsed(spark, d):
+    text = F.concat(F.lit("key: "), "p_name", F.lit("\nPT : "), "p_type", F.lit("\nno field\ncategory: "), "p_brand", F.lit("\n---\n key: "), "p_brand", F.lit("\npt: x\nnotes: n\n---\nkey: alone"))
+    return G.parse_suggestions(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+
+
+@query(f"""WITH {B.TERMS}, m AS (SELECT lower(trim(pt)) AS k FROM g WHERE source = 'manual' UNION SELECT lower(trim(key)) FROM g WHERE source = 'manual'),
+ s AS (SELECT p_partkey AS pos, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name || ' ' || p_brand END AS pt, p_type AS category FROM part), n AS (SELECT lower(pt) AS k, max_by(pt, pos) AS pt, max_by(category, pos) AS category FROM s WHERE lower(pt) NOT IN (SELECT k FROM m) GROUP BY lower(pt)),
+ d AS (SELECT lower(brand) AS k, brand, max_by(locked, pos) AS locked FROM (SELECT p_partkey AS pos, p_brand AS brand, p_size % 5 = 0 AS locked FROM part) GROUP BY ALL)
+ SELECT coalesce(CASE WHEN d.locked THEN d.brand ELSE n.pt END, d.brand) AS key, coalesce(CASE WHEN d.locked THEN d.brand ELSE n.pt END, d.brand) AS pt, CASE WHEN d.locked THEN NULL ELSE n.category END AS category, coalesce(d.locked, false) AS locked FROM d FULL JOIN n USING (k)""")
+def suggestions_applied(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    given = p.select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("key"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.concat_ws(" ", "p_name", "p_brand")).alias("pt"), F.col("p_type").alias("category"), F.lit(None).cast("string").alias("notes"))
+    g = B.terms(spark, d)
+    dynamic = g.withColumn("key", F.initcap(F.get("source_aliases", F.lit(1)))).withColumn("pt", F.col("key"))
+    return G.apply_suggestions(g.filter("source = 'manual'"), dynamic, given).select("key", "pt", "category", "locked")
+
+
+@query()
+def glossary_hash(spark, d):
+    return G.glossary_hash(B.terms(spark, d).drop("aliases"))
+
+
+@query("WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), a AS (SELECT doc_id, replace(text, 'Thand', 'Tando') AS text FROM d) SELECT doc_id, sha256(text) AS text_sha FROM a")
+def bad_aliases_reviewed(spark, d):
+    """A form that differs in case from its term is looked for as it is written."""
+    rows = docs(spark, d).withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "Thand", "§Thand§"))
+    terms = spark.createDataFrame([FX._term(0, "Tando", "Tando", bad=["Thand"], category="local")], G.SCHEMA)
+    return RV.review(rows, terms).select("doc_id", F.sha2(F.regexp_replace("text", "§", ""), 256).alias("text_sha"))
 
 
 # pairs
@@ -407,6 +803,106 @@ def length_ratio(spark, d):
     return turns(spark, d).select("conv_id", "turn", (F.length(T.strip(t)) / F.greatest(F.length(T.strip(s)), F.lit(1))).alias("ratio"))
 
 
+_QUOTES = "len(regexp_extract_all({x}, '[\\x22“”‟❝❞]'))"
+_QLINES = rf"len(list_filter(string_split({{x}}, chr(10)), lambda x: regexp_matches({strip('x')}, '^[\x22“”]')))"
+_DLINES = rf"len(list_filter(string_split({{x}}, chr(10)), lambda x: starts_with({strip('x')}, '—')))"
+_PARAS = rf"len(list_filter(regexp_split_to_array({strip('{x}')}, '\n\s*\n'), lambda x: {strip('x')} <> ''))"
+_FILLED = f"len(list_filter(string_split({{x}}, chr(10)), lambda x: {strip('x')} <> ''))"
+BOOK_PAIRS = f"{PAIRS}, bp AS (SELECT conv_id, turn, {B.sql('source')} AS source, {B.sql('target')} AS target FROM p)"
+
+
+def book_pairs(spark, d):
+    """User and assistant turns, made books."""
+    return turns(spark, d).select("conv_id", "turn", B.book(F.col("source")).alias("source"), B.book(F.col("target")).alias("target"))
+
+
+def _counts(name: str, piece: str) -> str:
+    return f"{piece.replace('{x}', 'source')} AS {name}a, {piece.replace('{x}', 'target')} AS {name}b"
+
+
+@query(f"""WITH {BOOK_PAIRS}, c AS (SELECT conv_id, turn, {_counts('q', _QLINES)}, {_counts('d', _DLINES)}, {_counts('p', _PARAS)}, {_counts('n', _FILLED)} FROM bp)
+ SELECT conv_id, turn, ((da = 0 AND qa > 0 AND db > 0) OR (qa = 0 AND da > 0 AND qb > 0) OR (da >= 2 AND db < greatest(1, da - 1)) OR (qa >= 2 AND qb < greatest(1, qa - 1))) AS dialogue_style, (pa >= 4 AND (pb > pa OR pb < greatest(1, pa))) AS paragraphs, (na >= 2 AND (nb > na OR nb < greatest(1, na))) AS lines FROM c""")
+def structure_regressions(spark, d):
+    rows = book_pairs(spark, d).withColumn("r", RP.structure_regression(F.col("source"), F.col("target")))
+    return rows.select("conv_id", "turn", "r.dialogue_style", "r.paragraphs", "r.lines")
+
+
+@query(f"""WITH {BOOK_PAIRS}, c AS (SELECT conv_id, turn, source, target, {_counts('q', _QUOTES)}, {_counts('l', _QLINES)}, length({strip('target')})::DOUBLE / greatest(length({strip('source')}), 1) AS ratio, list_filter({_SEGMENTS.replace('text', 'target')}, lambda s: len(list_filter(regexp_extract_all(lower(s), '\\p{{L}}+'), lambda w: w IN ({quoted(dict(R.RESIDUAL_WORDS)['es'].split())}))) >= 2) AS ss FROM bp)
+ SELECT conv_id, turn, (len(ss) > 0)::BIGINT AS residual, (qa >= 4 AND qb <= greatest(1, floor(qa * 0.4)))::BIGINT AS quotes, (la >= 2 AND lb <= greatest(1, floor(la * 0.4)))::BIGINT AS quote_lines, (ratio < 0.55)::BIGINT AS short FROM c""")
+def repair_shape(spark, d):
+    rows = book_pairs(spark, d).withColumn("t", F.transform(RP.shape_issues(F.col("source"), F.col("target"), "es"), lambda i: i["type"]))
+    has = lambda kind: F.array_contains("t", kind).cast("bigint")
+    return rows.select("conv_id", "turn", has("residual_source_language").alias("residual"), has("possible_dialogue_omission").alias("quotes"), has("possible_dialogue_line_omission").alias("quote_lines"), has("possibly_too_short").alias("short"))
+
+
+@query(f"""WITH {BOOK_PAIRS}, c AS (SELECT conv_id, turn, {strip('source')} AS a, {strip('target')} AS b, {_counts('p', _PARAS)}, {_counts('l', _QLINES)} FROM bp)
+ SELECT conv_id, turn, CASE WHEN b = '' THEN 'empty_repair' WHEN a = '' THEN NULL WHEN length(a) >= 600 AND length(b)::DOUBLE / length(a) < 0.9 THEN 'repair_removed_content_ratio' WHEN pa >= 4 AND pb < greatest(2, floor(pa * 0.75)) THEN 'repair_removed_paragraphs:' || pb || '/' || pa
+ WHEN la >= 4 AND lb < greatest(2, floor(la * 0.75)) THEN 'repair_removed_dialogue_lines:' || lb || '/' || la WHEN length({strip("string_split(a, chr(10))[1]")}) >= 30 AND NOT contains(left(b, greatest(600, length({strip("string_split(a, chr(10))[1]")}) * 3)), {strip("string_split(a, chr(10))[1]")}) THEN 'repair_removed_opening' END AS fault FROM c""")
+def candidate_faults(spark, d):
+    fault = RP.candidate_fault(F.col("source"), F.col("target"), "ja")
+    return book_pairs(spark, d).select("conv_id", "turn", F.regexp_replace(fault, "(ratio):.*", "$1").alias("fault"))
+
+
+_CURLY = "(length({x}) - length(replace({x}, '{m}', '')))"
+_OPENS, _CLOSES = _CURLY.replace("{m}", "“"), _CURLY.replace("{m}", "”")
+_STRAIGHT = _CURLY.replace("{m}", '"')
+_MENDED = f"len(list_filter(string_split(source, chr(10)), lambda x: contains(x, '”') AND NOT contains(x, '“') AND length({strip("replace(x, '”', '')")}) >= 8)) > 0"
+
+
+@query(f"""WITH {BOOK_PAIRS}, c AS (SELECT conv_id, turn, {_counts('o', _OPENS)}, {_counts('c', _CLOSES)}, {_counts('s', _STRAIGHT)}, {_MENDED} AS lone FROM bp),
+ m AS (SELECT *, (oa > 0 AND oa = ca AND ob = cb AND ob + cb = oa + ca + 2 AND lone) AS one_pair, (ca = oa + 1 AND ob = oa + 1 AND cb = ca AND lone) AS one_open FROM c)
+ SELECT conv_id, turn, one_pair, one_open, CASE WHEN oa + ca > 0 AND ob + cb > 0 THEN oa - ca <> ob - cb AND NOT one_open WHEN oa + ca > 0 THEN CASE WHEN sb > 0 THEN (oa + ca) % 2 <> sb % 2 ELSE oa <> ca END WHEN ob + cb > 0 THEN sa % 2 <> (ob + cb) % 2 ELSE false END AS balance,
+ (oa + ca > 0 AND ob + cb > oa + ca AND NOT (one_pair OR one_open)) AS more FROM m""")
+def quote_regressions(spark, d):
+    s, t = F.col("source"), F.col("target")
+    return book_pairs(spark, d).select("conv_id", "turn", P.single_pair_repair(s, t).alias("one_pair"), P.missing_open_repair(s, t).alias("one_open"), P.balance_regression(s, t).alias("balance"), P.count_regression(s, t).alias("more"))
+
+
+@query()
+def guarded_answers(spark, d):
+    s, t = F.col("source"), F.col("target")
+    return book_pairs(spark, d).select("conv_id", "turn", F.sha2(RP.guarded(s, t, t), 256).alias("kept_sha"), F.sha2(RP.guarded(s, t, t, "translate"), 256).alias("clean_sha"))
+
+
+@query()
+def refined_chunks_judged(spark, d):
+    rows = book_pairs(spark, d).withColumn("r", RP.refined_chunk(F.col("source"), F.col("target")))
+    return rows.select("conv_id", "turn", "r.ok", "r.soft_retry", F.sha2("r.text", 256).alias("text_sha"))
+
+
+@query()
+def target_quotes_of_source(spark, d):
+    out = QT.chunk_quotes_of(book_pairs(spark, d))
+    return out.select("conv_id", "turn", "quotes_removed", F.sha2("target", 256).alias("target_sha"))
+
+
+def numbered_pairs(spark, d):
+    return book_pairs(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "source", "target")
+
+
+_LEAKED = ", ".join(f"'{x.replace(chr(39), chr(39) * 2)}'" for x in R.SOURCE_LEAKS)
+
+
+@query()
+def quality_report(spark, d):
+    rows = RV.report(numbered_pairs(spark, d), FX.pair_glossary(spark))
+    return rows.select("pair_id", "source_language", "score", "issue_count", "truncated", T.quality_cell(F.col("score"), F.transform("issues", lambda i: i["type"])).alias("cell"))
+
+
+@query(f"""WITH {BOOK_PAIRS}, n AS (SELECT conv_id * 1000 + turn AS pair_id, target AS t, {_CLOSES.replace('{x}', 'target')} AS c, {_OPENS.replace('{x}', 'target')} AS o, {_STRAIGHT.replace('{x}', 'target')} AS s FROM bp),
+ k AS (SELECT pair_id, unnest([CASE WHEN s % 2 = 1 THEN 'unbalanced_quotes' END, CASE WHEN o <> c THEN 'unbalanced_quotes' END, CASE WHEN regexp_matches(t, '”[ \\t]*“[A-Za-zÀ-ÿ]') THEN 'malformed_quote_boundary' END, CASE WHEN regexp_matches(t, '[.!?…][”\\x22]\\*(?:\\s|$)') THEN 'stray_format_marker' END, CASE WHEN regexp_matches(t, '[”\\x22][“\\x22]|[.!?…][“\\x22][A-Za-zÀ-ÿ]') THEN 'missing_quote_spacing' END] || list_transform(regexp_extract_all(t, '(?i)Chapter\\s+\\d+'), lambda x: 'english_meta_text')) AS type FROM n)
+ SELECT type, count(*) AS n FROM k WHERE type IS NOT NULL GROUP BY type""")
+def quality_issue_counts(spark, d):
+    shown = ("unbalanced_quotes", "malformed_quote_boundary", "stray_format_marker", "missing_quote_spacing", "english_meta_text")
+    return P.issues(numbered_pairs(spark, d), FX.pair_glossary(spark)).filter(F.col("type").isin(*shown)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query()
+def final_review(spark, d):
+    rows = RV.finalized(numbered_pairs(spark, d), FX.pair_glossary(spark))
+    return rows.select("pair_id", F.sha2("text", 256).alias("text_sha"), "balanced", "speeches")
+
+
 @query()
 def needs_retry_reason(spark, d):
     return turns(spark, d).select("conv_id", "turn", P.retry_reason(F.col("source"), F.col("target")).alias("reason"))
@@ -419,10 +915,17 @@ def entity_overlap(spark, d):
     return turns(spark, d).select("conv_id", "turn", F.size(F.array_intersect(names(F.col("source")), names(F.col("target")))).cast("bigint").alias("shared"))
 
 
-@query()
+_PEAK = f"coalesce(list_max(list_transform({{x}}, lambda y: len(list_filter({{x}}, lambda z: z = y)))), 0)"
+_SHORTS = f"list_filter(list_transform(string_split({{x}}, chr(10)), lambda y: lower({strip('y')})), lambda y: y <> '' AND length(y) <= 25)"
+
+
+@query(r"""WITH """ + PAIRS + r""", e AS (SELECT conv_id, turn, source, target, regexp_extract_all(source, '\b[A-ZÁÉÍÓÚÂÊÔÃÕÄÖÜ][\p{L}\p{N}_-]{2,}') AS a, regexp_extract_all(target, '\b[A-ZÁÉÍÓÚÂÊÔÃÕÄÖÜ][\p{L}\p{N}_-]{2,}') AS b, """ + f"{_SHORTS.replace('{x}', 'source')} AS sa, {_SHORTS.replace('{x}', 'target')} AS sb" + r""" FROM p),
+ l AS (SELECT *, list_transform(a, lambda x: lower(x)) AS la, list_transform(b, lambda x: lower(x)) AS lb FROM e), m AS (SELECT *, list_filter(list_distinct(la), lambda x: length(x) >= 4 AND len(list_filter(la, lambda y: y = x)) >= 2) AS stable FROM l)
+ SELECT conv_id, turn, (len(a) > 0 AND (len(list_distinct(list_intersect(a, b)))::DOUBLE / greatest(len(a), 1) < 0.6 OR len(b) > len(a) + 5)) AS drift, len(list_filter(lb, lambda t: NOT list_contains(la, t) AND len(list_filter(stable, lambda x: starts_with(t, left(x, 3)) AND length(t) >= length(x) + 2)) > 0)) > 0 AS entity,
+ """ + f"{_PEAK.replace('{x}', 'sb')} >= greatest(3, {_PEAK.replace('{x}', 'sa')} + 2) AS short_repetition FROM m")
 def pair_mutations(spark, d):
     s, t = F.col("source"), F.col("target")
-    return turns(spark, d).select("conv_id", "turn", P.semantic_drift(s, t).alias("drift"), P.entity_mutation(s, t).alias("entity"), P.slash_mutation(s, t).alias("slash"), P.short_repetition(s, t).alias("short_repetition"))
+    return turns(spark, d).select("conv_id", "turn", P.semantic_drift(s, t).alias("drift"), P.entity_mutation(s, t).alias("entity"), P.short_repetition(s, t).alias("short_repetition"))
 
 
 @query(rf"""WITH {PAIRS}, n AS (SELECT *, regexp_extract_all(source, '\d+') AS na, regexp_extract_all(target, '\d+') AS nb FROM p)
@@ -433,7 +936,10 @@ def reuse_near(spark, d):
     return turns(spark, d).select("conv_id", "turn", ((F.abs(F.length(s) - F.length(t)) <= F.greatest(F.length(s), F.length(t)) * 0.15) & (numbers(s) == numbers(t))).alias("near"))
 
 
-@query()
+_NAMES = r"list_sort(list_distinct(list_transform(list_filter(regexp_extract_all({x}, '[\p{L}\p{N}_]+'), lambda w: regexp_matches(w, '^[A-ZÀ-Ý][a-zà-ÿ]{2,}$')), lambda w: lower(w))))"
+
+
+@query(f"WITH {PAIRS}, n AS (SELECT *, regexp_extract_all(source, '[0-9]+') AS na, regexp_extract_all(target, '[0-9]+') AS nb, {_NAMES.replace('{x}', 'source')} AS a, {_NAMES.replace('{x}', 'target')} AS b FROM p) SELECT conv_id, turn, (source <> '' AND target <> '' AND abs(length(source) - length(target)) <= greatest(length(source), length(target)) * 0.15 AND na = nb AND (len(a) = 0 OR len(b) = 0 OR a = b)) AS safe FROM n")
 def reuse_safe_pairs(spark, d):
     return turns(spark, d).select("conv_id", "turn", P.reuse_safe(F.col("source"), F.col("target")).alias("safe"))
 
@@ -453,14 +959,32 @@ def terms_enforced(spark, d):
     return EN.enforce_terms(FX.pairs(spark).select(F.col("pair_id").alias("doc_id"), F.col("target").alias("text")), FX.pair_glossary(spark))
 
 
-@query("SELECT doc_id, sha256('Translate.' || chr(10) || chr(10) || '### TEXT' || chr(10) || text || chr(10) || '### END') AS prompt_sha FROM documents")
+_ANSWER = "'Answer with nothing but:' || chr(10) || '### {m}_INICIO' || chr(10) || '<text>' || chr(10) || '### {m}_FIM' || chr(10) || chr(10) || 'TEXT:' || chr(10) || repeat(chr(34), 3) || coalesce(text, '') || repeat(chr(34), 3)"
+
+
+def _literal(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@query("SELECT doc_id, sha256(" + _literal(PM.TRANSLATE.format(language="inglês", rules=PM.language_rules("en")) + "\n\n" + PM.PROFILES["mixed"] + "\n\n") + " || " + _ANSWER.format(m="TEXTO_TRADUZIDO") + ") AS translate_sha, sha256(" + _literal(PM.REFINE.format(language="inglês") + "\n\n") + " || " + _ANSWER.format(m="TEXTO_REFINADO") + ") AS refine_sha, sha256(" + _literal(PM.UNBREAK + '\n\nTEXT:\n"""') + " || coalesce(text, '') || repeat(chr(34), 3)) AS unbreak_sha FROM documents")
 def prompts(spark, d):
-    return docs(spark, d).select("doc_id", F.sha2(EN.prompt("Translate.", F.col("text"), F.lit("")), 256).alias("prompt_sha"))
+    c = F.coalesce("text", F.lit(""))
+    return docs(spark, d).select("doc_id", F.sha2(PM.translation(c), 256).alias("translate_sha"), F.sha2(PM.refinement(c), 256).alias("refine_sha"), F.sha2(PM.unbreaking(c), 256).alias("unbreak_sha"))
 
 
 @query()
+def prompt_fingerprints(spark, d):
+    each = [F.struct(F.lit(task).alias("task"), F.lit(code).alias("language"), PM.fingerprints(code)[task].alias("fingerprint")) for code, _, _ in R.LANGUAGES for task in ("translate", "repair", "refine", "unbreak")]
+    return spark.range(1).select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
+_KEY = "regexp_replace(lower({x}), '[^0-9a-z]+', '', 'g')"
+
+
+@query(f"""WITH {LINES}, {EACH_LINE}, c AS (SELECT doc_id, {_KEY.replace('{x}', "replace(text, 'er', '')")} AS whole FROM documents), n AS (SELECT e.r, doc_id, i, {norm('line')} AS line, {_KEY.replace('{x}', norm('line'))} AS k, whole FROM e JOIN c USING (doc_id)),
+ f AS (SELECT *, row_number() OVER (PARTITION BY r, k ORDER BY i) AS first FROM n WHERE length(line) >= 45 AND len(regexp_extract_all(line, '\\p{{L}}'))::DOUBLE / greatest(length(line), 1) >= 0.55 AND NOT {_NOISE} AND length(k) >= 35 AND NOT contains(whole, k)) SELECT doc_id, i - 1 AS line_no, sha256(line) AS line_sha FROM f WHERE first = 1""")
 def missing_lines(spark, d):
-    clean = docs(spark, d).select("doc_id", W.strip_inline_marks(F.col("text")).alias("text"))
+    clean = docs(spark, d).select("doc_id", F.replace("text", F.lit("er"), F.lit("")).alias("text"))
     return EN.missing_lines(docs(spark, d), clean).select("doc_id", "line_no", F.sha2("line", 256).alias("line_sha"))
 
 
@@ -520,7 +1044,12 @@ def context_tail(spark, d):
     return rows.select("conv_id", "turn", F.sha2(F.right("context", F.lit(200)), 256).alias("tail_sha"))
 
 
-@query()
+_FIT = "CASE WHEN {rest} <= 0 THEN NULL WHEN length({x}) > {rest} THEN ltrim(right({x}, {rest})) ELSE {x} END"
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, {squeeze('text')} AS t FROM conversations), w AS (SELECT conv_id, turn, list_filter(coalesce(list(t) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []), lambda x: x <> '') AS ts FROM c),
+ a AS (SELECT *, {_FIT.format(x='ts[-1]', rest='1200')} AS x1 FROM w), b AS (SELECT *, 1200 - coalesce(length(x1), 0) AS r1 FROM a), e AS (SELECT *, {_FIT.format(x='ts[-2]', rest='r1')} AS x2 FROM b), f AS (SELECT *, r1 - coalesce(length(x2), 0) AS r2 FROM e), h AS (SELECT *, {_FIT.format(x='ts[-3]', rest='r2')} AS x3 FROM f),
+ o AS (SELECT conv_id, turn, coalesce(array_to_string(list_filter([x3, x2, x1], lambda x: x IS NOT NULL), chr(10) || chr(10)), '') AS ctx FROM h) SELECT conv_id, turn, length(ctx)::BIGINT AS chars, sha256(ctx) AS context_sha FROM o""")
 def recent_context(spark, d):
     rows = O.recent_context(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "turn")
     return rows.select("conv_id", "turn", F.length("context").cast("bigint").alias("chars"), F.sha2("context", 256).alias("context_sha"))
@@ -571,19 +1100,70 @@ def chunk_strict(spark, d):
     return K.chunk_strict(docs(spark, d)).select("doc_id", "chunk_idx", "start_offset", "end_offset", T.chunk_hash(F.col("text")).alias("chunk_hash"))
 
 
+_JOINED = "array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: " + strip("x") + "), lambda x: x <> ''), chr(10) || chr(10))"
+
+
+@query(f"WITH {B.BOOKS} SELECT doc_id, sha256(regexp_replace(coalesce({_JOINED}, ''), '[\\s]+', '', 'g')) AS joined_sha FROM books")
+def quote_chunks_lose_nothing(spark, d):
+    """The chunks that keep speeches whole, joined again, but for white space."""
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))), lambda x: x.text), "")
+    all_chunks = K.chunk_quotes(B.books(spark, d))
+    joined = docs(spark, d).select("doc_id").join(all_chunks.groupBy("doc_id").agg(parts.alias("t")), "doc_id", "left")
+    return joined.select("doc_id", F.sha2(F.regexp_replace(F.coalesce("t", F.lit("")), "\\s+", ""), 256).alias("joined_sha"))
+
+
+@query()
+def chunk_quotes(spark, d):
+    return K.chunk_quotes(B.books(spark, d)).select("doc_id", "chunk_idx", "start_offset", "end_offset", T.chunk_hash(F.col("text")).alias("chunk_hash"))
+
+
+@query()
+def stubs_merged(spark, d):
+    return K.merge_stubs(K.chunk_quotes(B.books(spark, d), 200)).select("doc_id", "chunk_idx", "start_offset", "end_offset", T.chunk_hash(F.col("text")).alias("chunk_hash"))
+
+
 @query()
 def cleanup_adjacent(spark, d):
-    return K.dedupe_adjacent(docs(spark, d)).select("doc_id", F.sha2("text", 256).alias("text_sha"), "lines_removed")
+    return _hashed(K.dedupe_adjacent(docs(spark, d)), "lines_removed", "blocks_removed")
 
 
 @query()
 def safe_reflow(spark, d):
-    return K.safe_reflow(docs(spark, d)).select("doc_id", F.sha2("text", 256).alias("text_sha"), "joins")
+    return _hashed(K.safe_reflow(B.books(spark, d)), "joins")
 
 
-@query()
+_GLUE1 = "regexp_replace(x, '([.!?…][\\x22”])\\s+([\\x22“])', '\\1' || chr(10) || '\\2', 'g')"
+_GLUE2 = f"regexp_replace({_GLUE1}, '([.!?…])\\s+(—\\s*)', '\\1' || chr(10) || '\\2', 'g')"
+
+
+@query(f"WITH {BOOK_LINES} SELECT doc_id, sha256(coalesce(array_to_string(list_transform(ls, lambda x: CASE WHEN starts_with(ltrim(x), '#') THEN x ELSE {_GLUE2} END), chr(10)), '')) AS text_sha, coalesce(list_sum(list_transform(ls, lambda x: CASE WHEN starts_with(ltrim(x), '#') THEN 0 ELSE length({_GLUE2}) - length(replace({_GLUE2}, chr(10), '')) END)), 0)::BIGINT AS breaks FROM l")
 def glued_dialogues(spark, d):
-    return K.fix_glued(docs(spark, d)).select("doc_id", F.sha2("text", 256).alias("text_sha"), "breaks")
+    return _hashed(K.fix_glued(B.books(spark, d)), "breaks")
+
+
+@query()
+def translated(spark, d):
+    """The whole translation by the stub: chunks, prompts, answers, clean-up, repair."""
+    out = X.translate(spark, docs(spark, d), FX.glossary(spark))
+    return out.select("doc_id", "chunk_idx", "status", "attempts", "retry_reason", F.size("issues").cast("bigint").alias("issues"), T.chunk_hash(F.col("output")).alias("output_hash"))
+
+
+@query()
+def refined(spark, d):
+    out = X.refine(spark, docs(spark, d))
+    return out.select("doc_id", "chunks", "refined", F.sha2("text", 256).alias("text_sha"))
+
+
+@query()
+def unbroken_by_model(spark, d):
+    out = X.unbreak(spark, B.books(spark, d))
+    return out.select("doc_id", "fallbacks", F.sha2("text", 256).alias("text_sha"))
+
+
+@query()
+def segments_repaired(spark, d):
+    out = X.repair_segments(spark, K.chunk_strict(docs(spark, d)).select("doc_id", "chunk_idx", "text"), language="fr")
+    return out.select("doc_id", "chunk_idx", "replaced", F.sha2("text", 256).alias("text_sha"))
 
 
 @query()
@@ -606,20 +1186,27 @@ def corpus_scores(spark, d):
     return M.corpus_scores(FX.samples(spark))
 
 
-@query("SELECT * FROM " + FX.values([(1, "“A fala começa” e segue.", 1), (2, "“Tudo bem?” disse.", 0)], "doc_id, text, mended"))
+_PARTS = "regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n')"
+_FIRST_CLOSE = "strpos(x, '”')"
+_LAST_LINE = f"string_split(left(x, {_FIRST_CLOSE} - 1), chr(10))[-1]"
+
+
+@query(rf"""WITH {B.BOOKS}, t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\n]*“[^\n]*', '', 'g') AS text FROM books), p AS (SELECT doc_id, {_PARTS} AS ps FROM t)
+ SELECT doc_id, len(list_filter(ps, lambda x: length(x) - length(replace(x, '”', '')) = 1 AND length({strip(_LAST_LINE)}) >= 8))::BIGINT AS mended FROM p""")
 def quotes_mended(spark, d):
-    return QT.mend_quotes(FX.speeches(spark))
+    """Over the books without the lines that open a speech: each paragraph that closes one is mended."""
+    rows = B.books(spark, d).withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\n]*“[^\n]*", ""))
+    return QT.mend_quotes(rows).select("doc_id", "mended")
 
 
 @query()
 def speech_joined(spark, d):
-    return QT.join_speech(FX.speeches(spark))
+    return _hashed(QT.join_speech(B.books(spark, d)), "joined")
 
 
 # streams: run to their end over what is there
 def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/quire"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return scratch_path(spark, "stream")
 
 
 def _files(spark: SparkSession, d: str) -> str:

@@ -60,8 +60,8 @@ def test_safe_reflow(text, want):
 
 
 def test_adjacent_lines():
-    assert K.dedupe_text("Uma frase bem comprida aqui.\nUma frase bem comprida aqui.") == ("Uma frase bem comprida aqui.", 1)
-    assert K.dedupe_text("Crack!\nCrack!\nCrack!") == ("Crack!\nCrack!\nCrack!", 0)
+    assert K.dedupe_text("Uma frase bem comprida aqui.\nUma frase bem comprida aqui.") == ("Uma frase bem comprida aqui.", {"lines_removed": 1, "blocks_removed": 0})
+    assert K.dedupe_text("Crack!\nCrack!\nCrack!") == ("Crack!\nCrack!\nCrack!", {"lines_removed": 0, "blocks_removed": 0})
 
 
 def test_repeated_passages_as_the_pattern_finds_them():
