@@ -210,7 +210,9 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 def of_nodes(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, make, column: str) -> DataFrame:
     """(node, column) of the nodes whose fp is in ``wanted``."""
-    texts = docs.join(nodes.join(wanted, "fp", "left_semi").select("fp", "th"), "th").dropDuplicates(["th"]).select("fp", "text")
+    chosen = nodes.join(wanted, "fp", "left_semi").select("fp", F.col("th").alias("h"), F.col("first").alias("d"))
+    # of equal texts one document is named, so many copies of a text do not meet in one task
+    texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["d"]) & (docs["th"] == chosen["h"])).dropDuplicates(["doc_id", "th"]).select("fp", "text")
     return texts.mapInArrow(make, f"node bigint, {column} binary")
 
 
@@ -228,7 +230,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, tables: Tables
 
 
 def linked(spark: SparkSession, docs: DataFrame, nodes: DataFrame, tables: Tables) -> DataFrame:
-    """(node, root) of the nodes that are linked with others; ``docs``: th, text; ``nodes``: fp, th."""
+    """(node, root) of the nodes that are linked with others; ``docs``: doc_id, th, text; ``nodes``: fp, th, first."""
     late = spark.sparkContext.broadcast(frequent(docs))
     places = docs.select("text").mapInArrow(_placer(late), PLACES)
     rows = places.repartition("bucket").sortWithinPartitions("bucket", "n", "node").select("bucket", "n", "node", "pos")
@@ -255,7 +257,9 @@ def representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
     tables = Tables(spark)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     prints = tables.cut(texts.mapInArrow(_prints, "doc_id bigint, th bigint, fp bigint"), "near-prints")
-    nodes = tables.cut(prints.groupBy("fp").agg(F.min("th").alias("th"), F.count("*").alias("rows")), "near-nodes")
-    roots = linked(spark, texts.select("th", "text"), nodes.select("fp", "th"), tables)
+    firsts = tables.cut(prints.groupBy("th").agg(F.min("doc_id").alias("first")), "near-firsts")
+    nodes = prints.groupBy("fp").agg(F.min("th").alias("th"), F.count("*").alias("rows"))
+    nodes = tables.cut(nodes.join(firsts, "th").select("fp", "th", "first", "rows"), "near-nodes")
+    roots = linked(spark, texts, nodes.select("fp", "th", "first"), tables)
     joined = tables.cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "rows"), "near-rooted")
     return simhash.least_rows(docs, prints, join_unique(prints, joined, ["fp"]), tables)
