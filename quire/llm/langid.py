@@ -5,8 +5,8 @@ ranges of code points, leave the languages that write in all of them.  Of these,
 its character trigrams, of which only those seen are stored.  Viterbi over a text's words, with a penalty for a change
 of language, labels spans; a text's language is the one that holds most of its letters.
 
-The trigrams are counted on at most SAMPLE training rows of each language, those of least hash, repeated rows once; so
-every language of the training rows is learned, however rare, with all letters that its rows have.  Held-out rows' lang,
+The trigrams are counted on at most SAMPLE training rows of each language, whole buckets of least hashes, repeated rows
+once; so every language of the training rows is learned, however rare, with all letters that its rows have.  Held-out rows' lang,
 and source and doc_id, are never read for a prediction.
 
 Defined results.  A null text, or one without a letter, is ``und`` with score 0, and so is any text if there are
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from quire.llm.shared import Tables, join_unique
 from quire.llm.toxicity import held_out
 
-#: Training rows of a language.
-SAMPLE = 5_000
+#: Training rows of a language, and buckets of the histogram that finds them.
+SAMPLE, BUCKETS = 5_000, 4096
 SWITCH = 9.0
 #: A word's score counts at most this much, in nats, against any language: one name is not a language.
 MOST = 12.0
@@ -169,10 +169,13 @@ def sample(rows: DataFrame, tables: Tables) -> DataFrame:
     ids = tables.cut(rows.select("lang", "h").distinct(), "lang-ids")
     sizes = tables.cut(ids.groupBy("lang").agg(F.count("*").alias("rows")), "lang-sizes")
     near = join_unique(ids, sizes.withColumn("n", F.col("rows")), ["lang"], "inner")
-    # about four times the sample are looked at, so no language's rows are sorted whole
-    near = near.filter(F.shiftrightunsigned("h", 1) / F.lit(2.0**63) <= 4 * SAMPLE / F.col("n"))
-    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h")
-    chosen = tables.cut(near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE).select("lang", "h"), "lang-sample")
+    # the least quarter of what is looked at, by a histogram of the hashes: no language's rows are sorted
+    place = F.shiftrightunsigned("h", 1) / F.lit(2.0**63) * F.col("n") / (4 * SAMPLE)
+    near = near.withColumn("place", F.floor(place * BUCKETS)).filter(place <= 1)
+    sums = near.groupBy("lang", "place").agg(F.count("*").alias("c"))
+    sums = sums.withColumn("upto", F.sum("c").over(Window.partitionBy("lang").orderBy("place")))
+    chosen = near.join(sums.filter(F.col("upto") <= SAMPLE).select("lang", "place"), ["lang", "place"])
+    chosen = tables.cut(chosen.select("lang", "h"), "lang-sample")
     out = tables.cut(rows.join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("text", "lang"), "lang-rows")
     for t in (ids, sizes, chosen):
         tables.drop(t)
