@@ -104,10 +104,11 @@ def line_dashes(c: Column) -> Column:
 def pair_straight_quotes(c: Column) -> Column:
     """Straight quotes, if they are even and not at digits, made opening and closing ones in turn."""
     mark = "(?<!\\d)\"(?!\\d)"
-    parts = F.split(c, mark, -1)
-    n = F.size(parts) - 1
-    turned = F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.when(i == n, "").when(i % 2 == 0, "“").otherwise("”"))), "")
-    return F.when((n > 0) & (n % 2 == 0), turned).otherwise(c)
+
+    def turned(x: Column) -> Column:
+        return T.let(F.split(x, mark, -1), lambda parts: T.let(F.size(parts) - 1, lambda n: F.when((n > 0) & (n % 2 == 0), F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.when(i == n, "").when(i % 2 == 0, "“").otherwise("”"))), "")).otherwise(x)))
+
+    return T.let(c, turned)
 
 
 def normalize_dialogue_quotes(c: Column) -> Column:

@@ -85,3 +85,28 @@ def timeline_conflicts(vols: DataFrame) -> DataFrame:
     t = timeline_events(vols).groupBy(F.lit(1).alias("one")).pivot("tag", [tag for tag, _ in R.TIMELINE]).agg(F.sum("n"))
     rows = t.select(F.explode(F.array(F.struct(F.lit("braço direito").alias("entity"), F.col("perdeu_braco").alias("a"), F.col("usou_braco").alias("b")), F.struct(F.lit("personagem").alias("entity"), F.col("morreu").alias("a"), F.col("vivo").alias("b")))).alias("x"))
     return rows.filter("x.a > 0 and x.b > 0").select("x.entity", F.col("x.a").alias("first_hits"), F.col("x.b").alias("second_hits"))
+
+
+def report(vols: DataFrame, terms: DataFrame, checks: tuple[str, ...] = ("terms", "gender", "voice", "lore")) -> dict:
+    """The volumes, the checks made and their findings, as a dict; findings are few and come to the driver."""
+    people = registry(terms)
+    made = {"terms": lambda: term_inconsistency(terms), "gender": lambda: gender_consistency(vols, people), "voice": lambda: voice_consistency(vols, people), "lore": lambda: timeline_conflicts(vols)}
+    issues = [{"check": c, **r.asDict()} for c in checks for r in made[c]().collect()]
+    return {"volumes": sorted(r.volume_key for r in vols.select("volume_key").distinct().collect()), "checks": list(checks), "issues": issues}
+
+
+def all_issues(vols: DataFrame, terms: DataFrame) -> DataFrame:
+    """(kind, subject, volume, detail): the findings of all checks as one table."""
+    people = registry(terms)
+    row = lambda kind, subject, volume, detail: [F.lit(kind).alias("kind"), subject.alias("subject"), volume.alias("volume"), detail.alias("detail")]
+    c = F.col
+    parts = [
+        term_inconsistency(terms).select(*row("terms", c("key"), c("volumes"), c("variants"))),
+        gender_consistency(vols, people).select(*row("gender", c("character"), c("volume"), c("expected"))),
+        voice_consistency(vols, people).select(*row("voice", c("character"), c("volume"), c("base"))),
+        timeline_conflicts(vols).select(*row("lore", c("entity"), F.lit(""), F.concat_ws("/", "first_hits", "second_hits"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -126,7 +126,7 @@ def translate(spark: SparkSession, docs: DataFrame, glossary: DataFrame | None =
     """
     ready = docs.select("doc_id", W.separate_short_speeches(F.coalesce("text", F.lit(""))).alias("text"))
     ready = rewritten(ready, lambda t: PR._both(t, {"opened": PR.Q.mend_paragraphs, "balanced": PR.Q.balance}), ["opened", "balanced"])
-    chunks = K.merge_stubs(K.chunk_quotes(ready, most)).filter("text <> ''")
+    chunks = scratch_table(spark, K.merge_stubs(K.chunk_quotes(ready, most)).filter("text <> ''"), "chunks")
     terms = None
     if glossary is not None:
         from quire.operators import glossary as G
@@ -178,29 +178,30 @@ def repair_segments(spark: SparkSession, rows: DataFrame, backend: Backend | Non
 def refine(spark: SparkSession, docs: DataFrame, backend: Backend | None = None, language: str = "en", clean_first: bool = True, most: int = K.MAX_CHARS) -> DataFrame:
     """(doc_id, text, chunks, refined): documents refined chunk by chunk; a chunk whose answer breaks its structure stays."""
     ready = PR.cleanup(docs).select("doc_id", "text") if clean_first else docs.select("doc_id", "text")
-    asked = ask(spark, K.chunk_strict(ready, most), prompts.refinement(F.col("text"), None, language), backend)
+    asked = ask(spark, scratch_table(spark, K.chunk_strict(ready, most), "chunks"), prompts.refinement(F.col("text"), None, language), backend)
     parsed = rewritten(asked.withColumn("given", F.coalesce("answer", F.lit(""))), lambda t: (prose.sanitized_refinement(t), 0), ["none"], ("given",), "clean").drop("none")
     judged = parsed.withColumn("r", RP.refined_chunk(F.col("text"), RP.guarded(F.col("text"), F.col("given"), F.col("clean"))))
     good = F.col("r.ok") & ~F.col("r.soft_retry") & (F.col("r.text") != "")
-    parts = judged.select("doc_id", "chunk_idx", F.when(good, F.col("r.text")).otherwise(F.col("text")).alias("output"), good.alias("good"))
+    parts = scratch_table(spark, judged.select("doc_id", "chunk_idx", F.when(good, F.col("r.text")).otherwise(F.col("text")).alias("output"), good.alias("good")), "refined")
     counts = parts.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if("good").alias("refined"))
     return PR.refined_finally(reassembled(parts)).join(counts, "doc_id")
 
 
 def unbreak(spark: SparkSession, docs: DataFrame, backend: Backend | None = None, most: int = K.MAX_CHARS) -> DataFrame:
     """(doc_id, text, scenes, wraps, hyphens, fallbacks): broken lines joined by a model, by rules where its answer is not accepted."""
-    asked = ask(spark, K.chunk_strict(docs, most), prompts.unbreaking(F.col("text")), backend, ok=lambda a, b: bool(b.strip()))
+    asked = ask(spark, scratch_table(spark, K.chunk_strict(docs, most), "chunks"), prompts.unbreaking(F.col("text")), backend, ok=lambda a, b: bool(b.strip()))
     given = W.unbreak_output(F.coalesce("answer", F.lit("")))
     lone = F.exists(T.lines(F.coalesce("answer", F.lit(""))), lambda x: T.strip(x).isin('"', "“", "”", "'''", '"""'))
     asked = rewritten(asked.withColumn("given", given), lambda t: K.reflow_text(t), ["joins"], into="reflowed").drop("joins")
     by_rules = F.when(lone | T.quote_inflation(F.col("text"), F.col("given")), F.col("reflowed")).when((F.col("given") == "") | (F.size(W.reflow_problems(F.col("text"), F.col("given"))) > 0), W.unbreak(F.col("text")))
-    parts = asked.select("doc_id", "chunk_idx", F.coalesce(by_rules, F.col("given")).alias("output"), by_rules.isNotNull().alias("fallback"))
+    parts = scratch_table(spark, asked.select("doc_id", "chunk_idx", F.coalesce(by_rules, F.col("given")).alias("output"), by_rules.isNotNull().alias("fallback")), "unbroken")
     counts = parts.groupBy("doc_id").agg(F.count_if("fallback").alias("fallbacks"))
     return PR.unbroken_globally(reassembled(parts)).join(counts, "doc_id")
 
 
-def reviewed(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
+def reviewed(spark: SparkSession, pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     """(pair_id, text, score, issue_count): the final review of pairs (pair_id, source, target), and the checks of its result."""
-    done = RV.finalized(pairs, glossary)
+    pairs = scratch_table(spark, pairs.select("pair_id", "source", "target"), "pairs")
+    done = scratch_table(spark, RV.finalized(pairs, glossary), "reviewed")
     checked = pairs.select("pair_id", "source").join(done.select("pair_id", F.col("text").alias("target")), "pair_id")
     return done.select("pair_id", "text").join(RV.report(checked, glossary).select("pair_id", "score", "issue_count"), "pair_id")

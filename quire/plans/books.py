@@ -34,6 +34,10 @@ RULES = (
     (" und ", "-\nund "),
     (" la ", " ela "),
     (" el ", " ele "),
+    (" los ", " ele "),
+    (" der ", " senhor der "),
+    (" dem ", " morreu dem "),
+    (" des ", " apareceu vivo des "),
 )
 
 

@@ -946,17 +946,26 @@ def reuse_safe_pairs(spark, d):
 
 @query(FX.ISSUES_SQL)
 def qa_issues(spark, d):
+    """Small literal pairs with each kind of finding about terms."""
     return P.issues(FX.pairs(spark), FX.pair_glossary(spark))
 
 
-@query(FX.SCORES_SQL)
-def qa_scores(spark, d):
-    return P.scores(FX.pairs(spark), P.issues(FX.pairs(spark), FX.pair_glossary(spark)))
+def _whole(form: str, by: str, x: str) -> str:
+    """``x`` with each whole word ``form`` made ``by``; twice, for words that share a neighbour."""
+    once = f"regexp_replace({x}, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){form}($|[^\\p{{L}}\\p{{N}}_])', '\\1{by}\\2', 'g')"
+    return once.replace(x, once, 1)
 
 
-@query("SELECT * FROM " + FX.values([(1, "Mara segurou o Fio Limite.", 1), (2, "A Fio Limite quebrou, they said.", 1), (3, "Olá “amigo.", 0), (4, "O Fio Limite brilhou.", 1)], "doc_id, text, replaced"))
+_ENFORCE = (("ontion", "Reverso"), ("erly", "Cedo"))
+_ENFORCED = "coalesce(text, '')"
+for _form, _by in _ENFORCE:
+    _ENFORCED = _whole(_form, _by, _ENFORCED)
+
+
+@query(f"SELECT doc_id, sha256({_ENFORCED}) AS text_sha, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda x: x IN ('ontion', 'erly')))::BIGINT AS replaced FROM documents")
 def terms_enforced(spark, d):
-    return EN.enforce_terms(FX.pairs(spark).select(F.col("pair_id").alias("doc_id"), F.col("target").alias("text")), FX.pair_glossary(spark))
+    terms = spark.createDataFrame([FX._term(i, form, by) for i, (form, by) in enumerate(_ENFORCE)], G.SCHEMA)
+    return EN.enforce_terms(docs(spark, d), terms).select("doc_id", F.sha2("text", 256).alias("text_sha"), "replaced")
 
 
 _ANSWER = "'Answer with nothing but:' || chr(10) || '### {m}_INICIO' || chr(10) || '<text>' || chr(10) || '### {m}_FIM' || chr(10) || chr(10) || 'TEXT:' || chr(10) || repeat(chr(34), 3) || coalesce(text, '') || repeat(chr(34), 3)"
@@ -988,9 +997,10 @@ def missing_lines(spark, d):
     return EN.missing_lines(docs(spark, d), clean).select("doc_id", "line_no", F.sha2("line", 256).alias("line_sha"))
 
 
-@query("SELECT run_id, seconds, elapsed FROM (VALUES ('a', 3725.5::DOUBLE, '01:02:05.500'), ('b', 0.25, '00:00:00.250')) v(run_id, seconds, elapsed)")
+@query("SELECT user_id::VARCHAR AS run_id, sum(floor(value))::DOUBLE AS seconds, lpad((sum(floor(value))::BIGINT // 3600)::VARCHAR, 2, '0') || ':' || lpad((sum(floor(value))::BIGINT // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((sum(floor(value))::BIGINT % 60)::VARCHAR, 2, '0') || '.000' AS elapsed FROM events GROUP BY user_id")
 def stage_times(spark, d):
-    return EN.stage_times(spark.createDataFrame([("a", "x", 3600.0), ("a", "y", 125.5), ("b", "x", 0.25)], "run_id string, stage string, seconds double"))
+    events = spark.read.parquet(f"{d}/events.parquet")
+    return EN.stage_times(events.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("stage"), F.floor("value").cast("double").alias("seconds")))
 
 
 # across volumes
@@ -998,9 +1008,9 @@ def _volumes(spark, d):
     return C.volumes(docs(spark, d), F.col("source"))
 
 
-@query(f"WITH {FX.GLOSSARY_SQL} SELECT key, count(DISTINCT pt) AS n_pt, string_agg(DISTINCT pt, '|' ORDER BY pt) AS variants, string_agg(DISTINCT source, '|' ORDER BY source) AS volumes FROM g GROUP BY key HAVING count(DISTINCT pt) > 1")
+@query(f"WITH {B.TERMS} SELECT key, count(DISTINCT pt) AS n_pt, string_agg(DISTINCT pt, '|' ORDER BY pt) AS variants, string_agg(DISTINCT source, '|' ORDER BY source) AS volumes FROM g GROUP BY key HAVING count(DISTINCT pt) > 1")
 def term_inconsistency(spark, d):
-    return C.term_inconsistency(FX.glossary(spark))
+    return C.term_inconsistency(B.terms(spark, d))
 
 
 def _sum_re(words, boundary=True) -> str:
@@ -1020,19 +1030,44 @@ def style_counts(spark, d):
     return C.style_counts(_volumes(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('Mara', 'Vol 02', 'F', 0::BIGINT, 4::BIGINT)) v(character, volume, expected, feminine, masculine)")
+def _book_volumes(spark, d):
+    """The books of a language as a volume."""
+    return C.volumes(B.books(spark, d), F.col("lang"))
+
+
+def _people(spark):
+    return C.registry(spark.createDataFrame([FX._term(0, "thand", "Tando", aliases=["und"], category="personagem"), FX._term(1, "que", "Que", aliases=["los"], category="personagem")], G.SCHEMA))
+
+
+def _named(forms) -> str:
+    return " OR ".join(rf"regexp_matches(lower(text), '(?:^|[^\p{{L}}\p{{N}}_]){f}(?:$|[^\p{{L}}\p{{N}}_])')" for f in forms)
+
+
+_MENTIONS = f"{B.BOOKS}, t AS (SELECT lang AS v, replace(text, chr(10), ' ') AS text FROM books), h AS (SELECT DISTINCT v, 'thand' AS key FROM t WHERE {_named(('thand', 'und'))} UNION SELECT DISTINCT v, 'que' FROM t WHERE {_named(('que', 'los'))})"
+
+
+@query(f"""WITH {_MENTIONS}, c AS (SELECT v, sum({_sum_re(R.FEMININE)})::BIGINT AS feminine, sum({_sum_re(R.MASCULINE)})::BIGINT AS masculine FROM t GROUP BY v),
+ e AS (SELECT key, v, feminine, masculine, CASE WHEN first(feminine) OVER w >= first(masculine) OVER w THEN 'F' ELSE 'M' END AS expected FROM h JOIN c USING (v) WINDOW w AS (PARTITION BY key ORDER BY v))
+ SELECT key AS character, v AS volume, expected, feminine, masculine FROM e WHERE (expected = 'F' AND masculine > feminine + 2) OR (expected = 'M' AND feminine > masculine + 2)""")
 def gender_consistency(spark, d):
-    return C.gender_consistency(FX.volumes(spark), C.registry(FX.people(spark)))
+    return C.gender_consistency(_book_volumes(spark, d), _people(spark))
 
 
-@query("SELECT * FROM (VALUES ('Mara', 'Vol 01', 'Vol 02')) v(character, base, volume)")
+@query(f"""WITH {_MENTIONS}, c AS (SELECT v, sum({_sum_re(R.INFORMAL, False)})::BIGINT AS informal, sum({_sum_re(R.FORMAL, False)})::BIGINT AS formal FROM t GROUP BY v),
+ e AS (SELECT key, v, informal, formal, first(v) OVER w AS base, first(formal) OVER w AS bf, first(informal) OVER w AS bi FROM h JOIN c USING (v) WINDOW w AS (PARTITION BY key ORDER BY v))
+ SELECT key AS character, base, v AS volume FROM e WHERE v <> base AND bf > bi * 2 AND informal > formal * 2""")
 def voice_consistency(spark, d):
-    return C.voice_consistency(FX.volumes(spark), C.registry(FX.people(spark)))
+    return C.voice_consistency(_book_volumes(spark, d), _people(spark))
 
 
-@query("SELECT * FROM (VALUES ('braço direito', 1::BIGINT, 1::BIGINT)) v(entity, first_hits, second_hits)")
+@query(f"WITH {B.BOOKS}, c AS (SELECT sum(len(regexp_extract_all(text, 'morreu')))::BIGINT AS a, sum(len(regexp_extract_all(text, 'apareceu vivo')))::BIGINT AS b FROM books) SELECT 'personagem' AS entity, a AS first_hits, b AS second_hits FROM c WHERE a > 0 AND b > 0")
 def timeline_conflicts(spark, d):
-    return C.timeline_conflicts(FX.volumes(spark))
+    return C.timeline_conflicts(_book_volumes(spark, d))
+
+
+@query()
+def volume_issues(spark, d):
+    return C.all_issues(_book_volumes(spark, d), B.terms(spark, d).drop("aliases"))
 
 
 # order
@@ -1066,9 +1101,14 @@ def block_index(spark, d):
     return O.block_index(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "turn").select("conv_id", "turn", "block_idx")
 
 
-@query(f"SELECT *, rank() OVER (ORDER BY score DESC, total_elapsed) AS rank FROM ({FX.RUNS_SQL}) WHERE status = 'ok'")
+_RUNS = "SELECT o_orderpriority AS translate_model, (o_custkey % 7)::VARCHAR AS refine_model, (count(*) % 50)::DOUBLE AS score, min(o_orderkey)::DOUBLE AS total_elapsed, CASE WHEN o_custkey % 7 = 3 THEN 'error' ELSE 'ok' END AS status FROM orders GROUP BY o_orderpriority, o_custkey % 7"
+
+
+@query(f"SELECT *, rank() OVER (ORDER BY score DESC, total_elapsed) AS rank FROM ({_RUNS}) WHERE status = 'ok'")
 def bench_rank(spark, d):
-    return O.bench_rank(FX.runs(spark))
+    o = spark.read.parquet(f"{d}/orders.parquet").withColumn("m", F.col("o_custkey") % 7)
+    runs = o.groupBy("o_orderpriority", "m").agg((F.count("*") % 50).cast("double").alias("score"), F.min("o_orderkey").cast("double").alias("total_elapsed"))
+    return O.bench_rank(runs.select(F.col("o_orderpriority").alias("translate_model"), F.col("m").cast("string").alias("refine_model"), "score", "total_elapsed", F.when(F.col("m") == 3, "error").otherwise("ok").alias("status")))
 
 
 @query("SELECT doc_id, 0 AS chunk_idx, substr(sha256(text), 1, 16) AS hash, doc_id % 2 = 0 AS hit FROM (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text)")
@@ -1176,14 +1216,34 @@ def translate_stub(spark, d):
     return X.run(spark, K.chunk_strict(docs(spark, d))).select("doc_id", "chunk_idx", "status", "attempts", "reused", T.chunk_hash(F.col("output")).alias("output_hash"))
 
 
-@query(FX.BLEU_SQL)
+_SAMPLES = f"s AS (SELECT item_id AS id, {squeeze('text')} AS r, {squeeze("replace(text, ' the ', ' a ')")} AS h FROM benchmark WHERE text IS NOT NULL)"
+
+
+def samples(spark, d):
+    """The benchmark's items as references, and with one word changed as hypotheses."""
+    b = spark.read.parquet(f"{d}/benchmark.parquet").filter("text is not null")
+    return b.select(F.col("item_id").alias("id"), F.replace("text", F.lit(" the "), F.lit(" a ")).alias("hypothesis"), F.col("text").alias("reference"))
+
+
+def _grams_sql(units: str, most: int) -> str:
+    """m: matched, total and wanted n-grams over all samples; ``units``: a text's list, of {x}."""
+    one = lambda c: f"(SELECT id, n, array_to_string(u[i:i + n - 1], chr(31)) AS g, count(*) AS c FROM (SELECT id, n, u, unnest(generate_series(1, len(u) - n + 1)) AS i FROM (SELECT id, {units.replace('{x}', c)} AS u FROM s), (SELECT unnest(generate_series(1, {most})) AS n)) GROUP BY ALL)"
+    return f"(SELECT n, sum(least(coalesce(a.c, 0), coalesce(b.c, 0))) AS matched, sum(coalesce(a.c, 0)) AS total, sum(coalesce(b.c, 0)) AS wanted FROM {one('h')} a FULL JOIN {one('r')} b USING (id, n, g) GROUP BY n)"
+
+
+_WORDS = "string_split({x}, ' ')"
+
+
+@query(f"WITH {_SAMPLES} SELECT n::BIGINT AS n, matched::BIGINT AS matched, total::BIGINT AS total FROM {_grams_sql(_WORDS, 4)}")
 def bleu_counts(spark, d):
-    return M.ngram_matches(FX.samples(spark))
+    return M.ngram_matches(samples(spark, d))
 
 
-@query()
+@query(f"""WITH {_SAMPLES}, z AS (SELECT sum(len(string_split(h, ' '))) AS h, sum(len(string_split(r, ' '))) AS r FROM s), b AS (SELECT avg(CASE WHEN matched > 0 THEN ln(matched / total) END) AS mean, min(matched) AS least, count(*) AS orders FROM {_grams_sql(_WORDS, 4)}),
+ c AS (SELECT avg(matched / total) AS p, avg(matched / wanted) AS q FROM {_grams_sql("string_split(regexp_replace({x}, '\\s+', '', 'g'), '')", 6)})
+ SELECT CASE WHEN least > 0 AND orders = 4 THEN 100 * CASE WHEN h >= r THEN 1.0 ELSE exp(1 - r / h) END * exp(mean) ELSE 0 END::DOUBLE AS bleu, (100 * 5 * p * q / (4 * p + q))::DOUBLE AS chrf FROM z, b, c""")
 def corpus_scores(spark, d):
-    return M.corpus_scores(FX.samples(spark))
+    return M.corpus_scores(samples(spark, d))
 
 
 _PARTS = "regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n')"

@@ -29,9 +29,15 @@ def transform_batches(docs: DataFrame, transform: Callable[[DataFrame], DataFram
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def first_texts(docs: DataFrame) -> DataFrame:
-    """Documents whose text has not come before; the state is a hash a text."""
-    return docs.withColumn("hash16", T.chunk_hash(F.col("text"))).dropDuplicates(["hash16"])
+def first_texts(docs: DataFrame, time: str | None = None, within: str = "7 days") -> DataFrame:
+    """Documents whose text has not come before; the state is a hash a text.
+
+    With ``time``, a column of timestamps, a hash is forgotten when the watermark is ``within`` past it, so the state is
+    bounded by the texts of that span.  Without it the state holds every text's hash, 16 characters each: for streams
+    that end.
+    """
+    hashed = docs.withColumn("hash16", T.chunk_hash(F.col("text")))
+    return hashed.dropDuplicates(["hash16"]) if time is None else hashed.withWatermark(time, within).dropDuplicatesWithinWatermark(["hash16"])
 
 
 def language_counts(docs: DataFrame) -> DataFrame:
