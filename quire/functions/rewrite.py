@@ -166,8 +166,7 @@ def leading_small_caps(c: Column) -> Column:
 
 
 def unwrap_triple_quotes(c: Column) -> Column:
-    s = T.strip(c)
-    return F.when(s.rlike('(?s)^""".*"""$') & (F.length(s) >= 6), T.strip(F.substr(s, F.lit(4), F.length(s) - 6))).otherwise(s)
+    return T.let(T.strip(c), lambda s: F.when(s.rlike('(?s)^""".*"""$') & (F.length(s) >= 6), T.strip(F.substr(s, F.lit(4), F.length(s) - 6))).otherwise(s))
 
 
 def unbreak(c: Column) -> Column:

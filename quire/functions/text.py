@@ -31,8 +31,7 @@ def squeeze(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """The lines of a text; no last empty line, and none of an empty text."""
-    parts = F.split(c, R.LINE_BREAK, -1)
-    return F.when(c == "", F.array().cast("array<string>")).when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, R.LINE_BREAK, -1), lambda p: F.when(F.try_element_at(p, F.lit(-1)) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def paragraphs(c: Column) -> Column:
@@ -57,8 +56,8 @@ def starts_speech(c: Column) -> Column:
 
 
 def is_promo(c: Column) -> Column:
-    n = F.lower(norm_line(c))
-    return (n != "") & (n.rlike("(?i)" + R.URL) | any_of([F.contains(n, F.lit(p)) for p in R.PROMO_PHRASES]) | any_of([n.rlike("(?i)" + p) for p in R.PROMO_LINES]))
+    test = lambda n: (n != "") & (n.rlike("(?i)" + R.URL) | any_of([F.contains(n, F.lit(p)) for p in R.PROMO_PHRASES]) | n.rlike("(?i)" + "|".join(f"(?:{p})" for p in R.PROMO_LINES)))
+    return let(F.lower(norm_line(c)), test)
 
 
 def is_section(c: Column) -> Column:
@@ -66,23 +65,23 @@ def is_section(c: Column) -> Column:
 
 
 def is_toc_entry(c: Column) -> Column:
-    s = norm_line(c)
-    n = F.lower(s)
-    bare = strip(F.regexp_replace(s, "^#+", ""))
-    return (s != "") & (
-        bare.rlike(R.SECTION)
-        | any_of([F.contains(n, F.lit(m)) for m in R.TOC_MARKERS])
-        | n.rlike(r"^(?:prologue|epilogue|afterword|chapter\s+\d+(?::?[^\n]+)?)$")
-        | n.rlike(r"^(?:pr[óo]logo|cap[ií]tulo\s+\d+|ep[ií]logo|p[oó]s-?escrito)")
-        | ((F.length(s) < 80) & s.rlike(r"\b\d+\b"))
-        | ((F.length(s) < 120) & s.rlike(r"\.{2,}\s*\d{1,4}$"))
-    )
+    def test(s: Column) -> Column:
+        n = F.lower(s)
+        return (s != "") & (
+            strip(F.regexp_replace(s, "^#+", "")).rlike(R.SECTION)
+            | n.rlike("|".join(R.TOC_MARKERS))
+            | n.rlike(r"^(?:prologue|epilogue|afterword|chapter\s+\d+(?::?[^\n]+)?)$")
+            | n.rlike(r"^(?:pr[óo]logo|cap[ií]tulo\s+\d+|ep[ií]logo|p[oó]s-?escrito)")
+            | ((F.length(s) < 80) & s.rlike(r"\b\d+\b"))
+            | ((F.length(s) < 120) & s.rlike(r"\.{2,}\s*\d{1,4}$"))
+        )
+
+    return let(norm_line(c), test)
 
 
 def is_heading(c: Column) -> Column:
-    n = F.lower(norm_line(c))
-    bare = strip(F.regexp_replace(n, "^#+", ""))
-    return (n != "") & (bare.rlike(R.SECTION) | n.rlike(R.SECTION) | n.rlike(r"^(?:prologue|epilogue|afterword|chapter\s+\d+|pr[óo]logo|cap[ií]tulo\s+\d+|ep[ií]logo)"))
+    test = lambda n: (n != "") & (strip(F.regexp_replace(n, "^#+", "")).rlike(R.SECTION) | n.rlike(R.SECTION) | n.rlike(r"^(?:prologue|epilogue|afterword|chapter\s+\d+|pr[óo]logo|cap[ií]tulo\s+\d+|ep[ií]logo)"))
+    return let(F.lower(norm_line(c)), test)
 
 
 def chunk_hash(c: Column) -> Column:
@@ -141,12 +140,15 @@ def format_elapsed(seconds: Column) -> Column:
 
 def classify_chunk(c: Column) -> Column:
     """dialogue, narration or mixed, by the shares of lines and of characters that are speech."""
-    rows = nonblank_lines(c)
-    speech = F.filter(rows, lambda x: x.rlike('^(?:["“”]|[—–-]\\s)') | x.rlike('["“][^"”]{2,}["”]'))
     chars = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    by_line = F.size(speech) / F.greatest(F.size(rows), F.lit(1))
-    by_char = chars(speech) / F.greatest(chars(rows), F.lit(1))
-    return F.when(F.size(rows) == 0, "narration").when((by_line >= 0.40) | (by_char >= 0.45), "dialogue").when((by_line <= 0.15) & (by_char <= 0.20), "narration").otherwise("mixed")
+    spoken = lambda x: x.rlike('^(?:["“”]|[—–-]\\s)') | x.rlike('["“][^"”]{2,}["”]')
+
+    def kind(rows: Column, speech: Column) -> Column:
+        by_line = F.size(speech) / F.greatest(F.size(rows), F.lit(1))
+        by_char = chars(speech) / F.greatest(chars(rows), F.lit(1))
+        return F.when(F.size(rows) == 0, "narration").when((by_line >= 0.40) | (by_char >= 0.45), "dialogue").when((by_line <= 0.15) & (by_char <= 0.20), "narration").otherwise("mixed")
+
+    return let(nonblank_lines(c), lambda rows: let(F.filter(rows, spoken), lambda speech: kind(rows, speech)))
 
 
 def words_of(c: Column) -> Column:
@@ -158,17 +160,21 @@ def detect_language(c: Column, configured: str = "auto") -> Column:
     code = language_code(configured)
     if code != "auto":
         return F.lit(code)
-    sample = F.substring(c, 1, R.LANGUAGE_SAMPLE)
-    low = F.lower(sample)
-    # a word is a whole run of letters
-    count = lambda marks: F.regexp_count(low, F.lit(r"(?<!\p{L})(?:" + "|".join(marks) + r")(?!\p{L})"))
-    scores = F.array(*[F.struct(count(m.split()).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, m) in enumerate(R.LANGUAGE_MARKERS)])
-    # the best is looked at inside an array, so that it is counted once
-    enough = F.filter(F.array(F.array_max(scores)), lambda b: b["n"] >= R.LANGUAGE_LEAST_HITS)
-    out = F.coalesce(F.try_element_at(F.transform(enough, lambda b: b["lang"]), F.lit(1)), F.lit("en"))
-    for lang, script in reversed(R.SCRIPT_LANGUAGES):
-        out = F.when(sample.rlike(script), lang).otherwise(out)
-    return out
+    marks = sorted({m for _, words in R.LANGUAGE_MARKERS for m in words.split()})
+    # the marks that a text has, by one look at its words; a word is a whole run of letters
+    found = lambda sample: F.filter(words_of(sample), lambda w: w.isin(marks))
+    count = lambda ws, words: F.size(F.filter(ws, lambda w: w.isin(words.split())))
+    scores = lambda ws: F.array(*[F.struct(count(ws, m).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, m) in enumerate(R.LANGUAGE_MARKERS)])
+    best = lambda sample: let(F.array_max(let(found(sample), scores)), lambda b: F.when(b["n"] >= R.LANGUAGE_LEAST_HITS, b["lang"]).otherwise(F.lit("en")))
+
+    def decided(sample: Column) -> Column:
+        out = best(sample)
+        for lang, script in reversed(R.SCRIPT_LANGUAGES):
+            out = F.when(sample.rlike(script), lang).otherwise(out)
+        scripts = "|".join(script for _, script in R.SCRIPT_LANGUAGES)
+        return F.when(sample.rlike(scripts), out).otherwise(best(sample))
+
+    return let(F.substring(c, 1, R.LANGUAGE_SAMPLE), decided)
 
 
 def language_code(value: str | None) -> str:
@@ -256,9 +262,8 @@ def is_stub(c: Column) -> Column:
 
 
 def is_short_speech(line: Column) -> Column:
-    s = strip(line)
     few = F.size(F.split(squeeze(line), " ")) <= 6
-    return (s != "") & (s.rlike('^["“].+["”]$') | (few & s.rlike('[?!….]["”]?$')))
+    return let(strip(line), lambda s: (s != "") & (s.rlike('^["“].+["”]$') | (few & s.rlike('[?!….]["”]?$'))))
 
 
 def starts_scene(c: Column) -> Column:
@@ -288,9 +293,8 @@ def compact(c: Column) -> Column:
 
 
 def is_obvious_noise(line: Column) -> Column:
-    low = F.lower(line)
-    bare = F.regexp_replace(low, "^[ .:-]+|[ .:-]+$", "")
-    return low.rlike(R.AUDIT_URL) | contains_any(low, R.AUDIT_NOISE) | bare.rlike(R.AUDIT_CONTENTS) | strip(low).rlike(r"^\d{1,4}$")
+    test = lambda low: low.rlike(R.AUDIT_URL) | contains_any(low, R.AUDIT_NOISE) | F.regexp_replace(low, "^[ .:-]+|[ .:-]+$", "").rlike(R.AUDIT_CONTENTS) | strip(low).rlike(r"^\d{1,4}$")
+    return let(F.lower(line), test)
 
 
 def is_suspicious_removal(line: Column, reason: Column) -> Column:

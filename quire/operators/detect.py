@@ -20,23 +20,18 @@ SENTENCE = r"\n+|(?<=[.!?])\s+"
 
 def max_count(items: Column) -> Column:
     """How often the commonest item of an array is in it: the longest run of the sorted array."""
-    ordered = F.array_sort(items)
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(s: Column, x: Column) -> Column:
-        run = F.when(s.last == x, s.run + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s.best, run).alias("best"))
-
-    return F.aggregate(ordered, start, step, lambda s: s.best)
+    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+    longest = lambda s, b: F.coalesce(F.array_max(F.transform(b, lambda i, k: F.coalesce(F.get(b, k + 1), F.size(s)) - i)), F.lit(0))
+    # array_sort with its own order compares by a function; sort_array does not
+    return T.let(F.sort_array(items), lambda s: T.let(begins(s), lambda b: longest(s, b)))
 
 
 def repetition_anomaly(c: Column) -> Column:
     """A line three times, or one longer word that holds a large share of a long text."""
-    lines = T.nonblank_lines(c)
     words = F.regexp_extract_all(F.lower(c), F.lit(r"([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'-]*)"), 1)
     relevant = F.filter(words, lambda w: (F.length(w) >= 5) & ~w.isin(R.IGNORED_WORDS))
-    n, top = F.size(relevant), max_count(relevant)
-    return (max_count(lines) >= 3) | ((n >= 40) & (top >= 12) & (top / F.greatest(n, F.lit(1)) >= 0.12))
+    heavy = lambda ws: T.let(F.when(F.size(ws) >= 40, max_count(ws)), lambda top: (top >= 12) & (top / F.size(ws) >= 0.12))
+    return (F.coalesce(max_count(T.nonblank_lines(c)), F.lit(0)) >= 3) | F.coalesce(T.let(relevant, heavy), F.lit(False))
 
 
 def language_anomaly(c: Column, mode: str = "refine") -> Column:
@@ -78,8 +73,7 @@ def collapse_reasons(c: Column, original_length: Column | None = None, mode: str
 
 
 def lexical_diversity(c: Column) -> Column:
-    words = T.words_of(c)
-    return F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
+    return T.let(T.words_of(c), lambda words: F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)))
 
 
 def repeats_at_once(text: str, least: int = LONG) -> bool:

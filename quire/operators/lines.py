@@ -100,7 +100,7 @@ def repeat_norm(line: Column) -> Column:
 
 def line_runs(items: Column, norm: Callable[[Column], Column]) -> Column:
     """One struct (norm, first, n, at) for each distinct norm: its first line, how often it is there, and its lines."""
-    ordered = F.array_sort(F.transform(items, lambda x, i: F.struct(norm(x).alias("norm"), i.alias("i"))))
+    ordered = F.sort_array(F.transform(items, lambda x, i: F.struct(norm(x).alias("norm"), i.alias("i"))))
 
     def group(s: Column) -> Column:
         begins = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["norm"] != F.get(s, i - 1)["norm"]), i)), lambda i: i.isNotNull())

@@ -372,7 +372,7 @@ def quote_inflation(spark, d):
 
 
 @query(rf"""WITH {B.BOOKS}, s AS (SELECT DISTINCT title FROM (SELECT regexp_extract_all(text, '(?m)^(?:Chapter 7: .*|Prologue|CHAPTER 3)$') AS ts FROM books) t, unnest(t.ts) u(title))
- SELECT sha256(title) AS title_sha, sha256(CASE WHEN title = 'Prologue' THEN '# Prólogo' WHEN title = 'CHAPTER 3' THEN '# Capítulo 3' ELSE '# Capítulo 7: ' || {strip("substr(title, 12)")} END) AS heading_sha FROM s""")
+ SELECT sha256(title) AS title_sha, sha256(CASE WHEN title = 'Prologue' THEN '# Prólogo' WHEN title = 'CHAPTER 3' THEN '# Capítulo 3' ELSE '# Capítulo 7: ' || {strip("regexp_replace(substr(title, 12), '#+$', '')")} END) AS heading_sha FROM s""")
 def section_headings(spark, d):
     marks = L.line_table(B.books(spark, d)).select(T.strip(F.col("line")).alias("title")).filter(F.col("title").rlike("^(?:Chapter 7: .*|Prologue|CHAPTER 3)$"))
     return marks.distinct().select(F.sha2("title", 256).alias("title_sha"), F.sha2(T.heading_in_portuguese(F.col("title")), 256).alias("heading_sha"))
@@ -919,7 +919,7 @@ _PEAK = f"coalesce(list_max(list_transform({{x}}, lambda y: len(list_filter({{x}
 _SHORTS = f"list_filter(list_transform(string_split({{x}}, chr(10)), lambda y: lower({strip('y')})), lambda y: y <> '' AND length(y) <= 25)"
 
 
-@query(r"""WITH """ + PAIRS + r""", e AS (SELECT conv_id, turn, source, target, regexp_extract_all(source, '\b[A-ZÁÉÍÓÚÂÊÔÃÕÄÖÜ][\p{L}\p{N}_-]{2,}') AS a, regexp_extract_all(target, '\b[A-ZÁÉÍÓÚÂÊÔÃÕÄÖÜ][\p{L}\p{N}_-]{2,}') AS b, """ + f"{_SHORTS.replace('{x}', 'source')} AS sa, {_SHORTS.replace('{x}', 'target')} AS sb" + r""" FROM p),
+@query(r"""WITH """ + PAIRS + r""", e AS (SELECT conv_id, turn, source, target, list_filter(regexp_extract_all(source, '(?:^|[^\p{L}\p{N}_])([A-ZÁÉÍÓÚÂÊÔÃÕÄÖÜ][\p{L}\p{N}_-]*[\p{L}\p{N}_])', 1), lambda x: length(x) >= 3) AS a, list_filter(regexp_extract_all(target, '(?:^|[^\p{L}\p{N}_])([A-ZÁÉÍÓÚÂÊÔÃÕÄÖÜ][\p{L}\p{N}_-]*[\p{L}\p{N}_])', 1), lambda x: length(x) >= 3) AS b, """ + f"{_SHORTS.replace('{x}', 'source')} AS sa, {_SHORTS.replace('{x}', 'target')} AS sb" + r""" FROM p),
  l AS (SELECT *, list_transform(a, lambda x: lower(x)) AS la, list_transform(b, lambda x: lower(x)) AS lb FROM e), m AS (SELECT *, list_filter(list_distinct(la), lambda x: length(x) >= 4 AND len(list_filter(la, lambda y: y = x)) >= 2) AS stable FROM l)
  SELECT conv_id, turn, (len(a) > 0 AND (len(list_distinct(list_intersect(a, b)))::DOUBLE / greatest(len(a), 1) < 0.6 OR len(b) > len(a) + 5)) AS drift, len(list_filter(lb, lambda t: NOT list_contains(la, t) AND len(list_filter(stable, lambda x: starts_with(t, left(x, 3)) AND length(t) >= length(x) + 2)) > 0)) > 0 AS entity,
  """ + f"{_PEAK.replace('{x}', 'sb')} >= greatest(3, {_PEAK.replace('{x}', 'sa')} + 2) AS short_repetition FROM m")
@@ -950,6 +950,14 @@ def qa_issues(spark, d):
     return P.issues(FX.pairs(spark), FX.pair_glossary(spark))
 
 
+_PENALTY = "CASE type " + " ".join(f"WHEN '{kind}' THEN {n}" for kind, n in R.PENALTIES) + f" ELSE {R.OTHER_PENALTY} END"
+
+
+@query(f"WITH i AS ({FX.ISSUES_SQL}), p AS (SELECT unnest([1, 2, 3, 4])::BIGINT AS pair_id), c AS (SELECT pair_id, sum({_PENALTY}) AS lost, count(*) AS n FROM i GROUP BY pair_id) SELECT pair_id, greatest(0, 100 - coalesce(lost, 0))::BIGINT AS score, coalesce(n, 0)::BIGINT AS issue_count FROM p LEFT JOIN c USING (pair_id)")
+def qa_scores(spark, d):
+    return P.scores(FX.pairs(spark), P.issues(FX.pairs(spark), FX.pair_glossary(spark)))
+
+
 def _whole(form: str, by: str, x: str) -> str:
     """``x`` with each whole word ``form`` made ``by``; twice, for words that share a neighbour."""
     once = f"regexp_replace({x}, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){form}($|[^\\p{{L}}\\p{{N}}_])', '\\1{by}\\2', 'g')"
@@ -1251,12 +1259,12 @@ _FIRST_CLOSE = "strpos(x, '”')"
 _LAST_LINE = f"string_split(left(x, {_FIRST_CLOSE} - 1), chr(10))[-1]"
 
 
-@query(rf"""WITH {B.BOOKS}, t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\n]*“[^\n]*', '', 'g') AS text FROM books), p AS (SELECT doc_id, {_PARTS} AS ps FROM t)
+@query(rf"""WITH {BOOK_LINES}, t AS (SELECT doc_id, coalesce(array_to_string(list_transform(ls, lambda x: CASE WHEN contains(x, '“') THEN '' ELSE x END), chr(10)), '') AS text FROM l), p AS (SELECT doc_id, {_PARTS} AS ps FROM t)
  SELECT doc_id, len(list_filter(ps, lambda x: length(x) - length(replace(x, '”', '')) = 1 AND length({strip(_LAST_LINE)}) >= 8))::BIGINT AS mended FROM p""")
 def quotes_mended(spark, d):
     """Over the books without the lines that open a speech: each paragraph that closes one is mended."""
-    rows = B.books(spark, d).withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\n]*“[^\n]*", ""))
-    return QT.mend_quotes(rows).select("doc_id", "mended")
+    text = F.array_join(F.transform(L.lines_of(F.col("text")), lambda x: F.when(F.contains(x, F.lit("“")), "").otherwise(x)), "\n")
+    return QT.mend_quotes(B.books(spark, d).withColumn("text", text)).select("doc_id", "mended")
 
 
 @query()
