@@ -184,9 +184,9 @@ def count_of(test: str) -> str:
     return f"len(list_filter(ls, lambda line: {test}))::BIGINT"
 
 
-@query(f"WITH {BOOK_LINES} SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(list_max(list_transform(ls, lambda x: length(x))), 0)::BIGINT AS max_length, {count_of('length(line) > 800')} AS over_800, {count_of(promo('line'))} AS promo FROM l")
+@query(f"WITH {LINES} SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(list_max(list_transform(ls, lambda x: length(x))), 0)::BIGINT AS max_length, {count_of('length(line) > 800')} AS over_800, {count_of(promo('line'))} AS promo FROM l")
 def line_stats(spark, d):
-    return L.line_flags(B.books(spark, d)).select("doc_id", "n_lines", "max_length", "over_800", "promo")
+    return L.line_flags(docs(spark, d)).select("doc_id", "n_lines", "max_length", "over_800", "promo")
 
 
 _BARE = strip(rf"regexp_replace({norm('line')}, '^#+', '')")
