@@ -56,7 +56,9 @@ def starts_speech(c: Column) -> Column:
 
 
 def is_promo(c: Column) -> Column:
-    test = lambda n: (n != "") & (n.rlike("(?i)" + R.URL) | any_of([F.contains(n, F.lit(p)) for p in R.PROMO_PHRASES]) | n.rlike("(?i)" + "|".join(f"(?:{p})" for p in R.PROMO_LINES)))
+    # an address has one of these; most lines have none and are not looked at further
+    url = lambda n: n.rlike("[a-z0-9-]\\.[a-z]{2}|www\\.|https?://") & n.rlike("(?i)" + R.URL)
+    test = lambda n: (n != "") & (url(n) | any_of([F.contains(n, F.lit(p)) for p in R.PROMO_PHRASES]) | n.rlike("(?i)" + "|".join(f"(?:{p})" for p in R.PROMO_LINES)))
     return let(F.lower(norm_line(c)), test)
 
 
