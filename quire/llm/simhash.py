@@ -24,6 +24,7 @@ by ``report`` and pass through ``representatives``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -42,6 +43,8 @@ PIVOTS = 24
 #: Fingerprints of one bucket that are compared in one task.
 CHUNK = 4096
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+#: Choices of blocks of which the rows are on disk at once.
+ROUND = 48
 #: 32-bit halves are weighed by unpacked bits; this many shingles at a time.
 AT_ONCE = 1 << 16
 
@@ -60,10 +63,12 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> list[bytes]:
 def fingerprint(data: bytes, n: int = SHINGLE) -> int:
     """A bit is 1 if it is set in over half of the shingles' XXH64."""
     parts = shingles(split_words(data), n)
-    if not parts:
-        return 0
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in parts), dtype="<u8", count=len(parts))
+    return majority(np.fromiter((digest(s, SEED) for s in parts), dtype="<u8", count=len(parts)))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of these hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), AT_ONCE):
         bits = np.unpackbits(h[i : i + AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -117,8 +122,11 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _linker(radius: int):
-    """Sorted rows (bucket, side, fp, far) to links: within a bucket of side 0, or across sides 1 and 2."""
+def _linker(radius: int, pairs: bool):
+    """Sorted rows (bucket, side, fp, far) to links: within a bucket of side 0, or across sides 1 and 2.
+
+    With ``pairs`` each link is itself a pair within ``radius``, else one of a fingerprint and its component's least.
+    """
 
     def compare(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values, node = np.unique(fp, return_inverse=True)
@@ -132,13 +140,22 @@ def _linker(radius: int):
             ok = (side[at] != side[j]) | (side[at] == 0)
             i, j = at[ok], j[ok]
             hit = pairs_within(fp, i, j, table, radius)
-            found_a.append(node[i[hit]])
-            found_b.append(node[j[hit]])
-            if sum(map(len, found_a)) > 1 << 20:  # links are merged as they come, so they take bounded memory
+            a, b = node[i[hit]], node[j[hit]]
+            if pairs:
+                new = root[a] != root[b]
+                a, b = a[new], b[new]
+                if len(a):
+                    root = _forest(len(values), np.concatenate([root, a]), np.concatenate([np.arange(len(values)), b]))
+            found_a.append(a)
+            found_b.append(b)
+            if not pairs and sum(map(len, found_a)) > 1 << 20:  # links are merged as they come, so they take bounded memory
                 root = _forest(len(values), np.concatenate([root, *found_a]), np.concatenate([np.arange(len(values)), *found_b]))
                 found_a, found_b = [], []
             step += 1
             at = at[at + step < ends[at]]
+        if pairs:
+            none = [np.zeros(0, dtype=np.int64)]
+            return values[np.concatenate(none + found_a)], values[np.concatenate(none + found_b)]
         root = _forest(len(values), np.concatenate([root, *found_a]), np.concatenate([np.arange(len(values)), *found_b]))
         own = np.flatnonzero(root != np.arange(len(values)))
         return values[own], values[root[own]]
@@ -167,15 +184,15 @@ def _linker(radius: int):
     return link
 
 
-def choose_blocks(n: int, radius: int = RADIUS) -> tuple[int, int]:
-    """(blocks, blocks that must be equal): the least rows written plus pairs compared for n fingerprints."""
+def choose_blocks(n: int, radius: int = RADIUS, equal: int = 1) -> tuple[int, int]:
+    """(blocks, blocks that must be equal, ``equal`` at least): the least rows written plus pairs compared for n fingerprints."""
 
     def cost(blocks: int) -> float:
         same = blocks - radius
         tables, bits = comb(blocks, same), 64 * same / blocks
         return tables * n * (50 + n / 2 ** (bits + 1))
 
-    blocks = min(range(radius + 1, radius + 6), key=cost)
+    blocks = min(range(radius + equal, radius + 6), key=cost)
     return blocks, blocks - radius
 
 
@@ -206,13 +223,18 @@ def spread(rows: DataFrame, key: str, tables: Tables) -> DataFrame:
     return rows.select(F.explode(place).alias("p"), *others_of).select("p.bucket", "p.side", *others_of)
 
 
-def near_links(spark: SparkSession, prints: DataFrame, tables: Tables, radius: int = RADIUS) -> DataFrame:
-    """``prints``: distinct fp bigint.  Links (a, b) that connect all pairs within ``radius``."""
+def near_links(spark: SparkSession, prints: DataFrame, tables: Tables, radius: int = RADIUS, pairs: bool = False, equal: int = 1) -> DataFrame:
+    """``prints``: distinct fp bigint.  Links (a, b) that connect all pairs within ``radius``; with ``pairs`` all are such."""
     table = tables.cut(prints.select("fp").mapInArrow(_distances, "fp bigint, far binary"), "pivot-table")
-    blocks, same = choose_blocks(table.count(), radius)
-    rows = table.select(F.explode(F.array(*table_keys(F.col("fp"), blocks, same))).alias("bucket"), "fp", "far")
-    rows = spread(rows, "fp", tables).repartition("bucket").sortWithinPartitions("bucket")
-    return tables.cut(rows.mapInArrow(_linker(radius), "a bigint, b bigint"), "near-links")
+    blocks, same = choose_blocks(table.count(), radius, equal)
+    keys, out = table_keys(F.col("fp"), blocks, same), []
+    # in one order in all buckets, near fingerprints give the same pairs in many of them
+    order = ["bucket", "fp"] if pairs else ["bucket"]
+    for i in range(0, len(keys), ROUND):
+        rows = table.select(F.explode(F.array(*keys[i : i + ROUND])).alias("bucket"), "fp", "far")
+        rows = spread(rows, "fp", tables).repartition("bucket").sortWithinPartitions(*order)
+        out.append(tables.cut(rows.mapInArrow(_linker(radius, pairs), "a bigint, b bigint"), "near-links"))
+    return reduce(DataFrame.union, out)
 
 
 def pruned(fp: np.ndarray, radius: int = RADIUS) -> tuple[int, int]:

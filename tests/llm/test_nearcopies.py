@@ -1,11 +1,13 @@
 import corpus_pipeline as cp
+import numpy as np
 import pytest
 
 from quire.llm import nearcopies as nc
 from quire.llm import simhash as sh
+from quire.llm.shared import Tables, components
 
 from .helpers import corpus, documents, words
-from .test_simhash import brute_print
+from .test_simhash import brute_components, brute_print
 
 
 def brute_set(text):
@@ -55,3 +57,36 @@ def test_near_copies_beyond_four_bits_go(spark):
     base = words(50, 200)
     far = next(t for k in range(20) if (brute_print(t := edited(base, 20 + k, 90, 150)) ^ brute_print(base)).bit_count() > 4)
     assert [r.doc_id for r in cp.near_duplicates(spark, documents(spark, [(1, base), (2, far)]), "").collect()] == [1]
+
+
+def bits(r):
+    return ((r.a ^ r.b) & (1 << 64) - 1).bit_count()
+
+
+def test_pairs_of_near_prints_connect_all_of_them(spark, monkeypatch):
+    monkeypatch.setattr(sh, "CHUNK", 8)
+    monkeypatch.setattr(sh, "ROUND", 4)
+    rng = np.random.default_rng(4)
+    prints = {sum(1 << int(b) for b in rng.choice(63, 3, replace=False)) for _ in range(80)} | {int(x) for x in rng.integers(0, 1 << 63, 80)}
+    prints = sorted(prints)
+    tables = Tables(spark)
+    links = sh.near_links(spark, spark.createDataFrame([(p,) for p in prints], "fp bigint"), tables, 5, pairs=True)
+    assert links.count() and all(0 < bits(r) <= 5 for r in links.collect())
+    roots = {r.node: r.root for r in components(spark, links, tables).collect()}
+    label = brute_components(prints, prints, 5, raw=True)
+    assert [roots.get(p, p) for p in prints] == [prints[k] for k in label]
+
+
+@pytest.mark.parametrize("radius", [nc.RADIUS, 24])
+def test_the_stage_links_by_prints_and_verifies(spark, monkeypatch, radius):
+    """Without the way for the rest, what is linked are similar pairs of near fingerprints, and those alone."""
+    monkeypatch.setattr(nc, "RADIUS", radius)
+    seen = []
+    monkeypatch.setattr(nc, "rest", lambda spark, docs, nodes, links, tables: seen.append(links.count()) or components(spark, links, tables))
+    base = words(52, 300)
+    rows = [(1, base), (2, edited(base, 150)), (3, edited(base, *range(5, 300, 20))), (4, words(53, 300)), (5, "Two words"), (6, "two  WORDS")]
+    assert 5 * len(brute_set(base) & brute_set(rows[2][1])) < 4 * len(brute_set(base) | brute_set(rows[2][1]))
+    near, far = (sh.majority(nc.shingle_set(rows[k][1].encode())) ^ sh.majority(nc.shingle_set(base.encode())) for k in (1, 2))
+    assert near.bit_count() <= nc.RADIUS and far.bit_count() <= 24
+    kept = cp.near_duplicates(spark, documents(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5] and seen == [1]
