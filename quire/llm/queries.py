@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, langid, mixing, simhash, suffixdedup, tokencount, toxicity, urlfilter, warc, webp
+from quire.llm import decontaminate, langid, mixing, simhash, suffixdedup, tokencount, toxicity, urlfilter, vectorcodes, warc, webp
 
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Hosts that the site list blocks, with the hosts below them.
@@ -114,9 +114,35 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.media_features(spark, read(spark, sf_dir, "documents"))
 
 
+def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.report(spark, read(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    nearest = "min((list_inner_product(x, x) - 2 * list_inner_product(x, e) + list_inner_product(e, e))::BIGINT * 256 + entry)"
+    steps = []
+    for k in range(5):
+        steps.append(f"n{k} AS MATERIALIZED (SELECT r, x.p, any_value(x) AS x, {nearest} AS best FROM x JOIN b{k} ON x.p = b{k}.p GROUP BY r, x.p)")
+        if k < 4:
+            steps.append(f"""
+s{k} AS (SELECT p, best % 256 AS entry, i, floor(sum(x[i]) / count(*)) AS c FROM (SELECT p, best, x, unnest(range(1, len(x) + 1)) AS i FROM n{k}) GROUP BY ALL),
+u{k} AS (SELECT p, entry, list(c ORDER BY i) AS e FROM s{k} GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT b{k}.p, b{k}.entry, coalesce(u{k}.e, b{k}.e) AS e FROM b{k} LEFT JOIN u{k} USING (p, entry))""")
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * 1024)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0
+), x AS MATERIALIZED (
+  SELECT r, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM k, range(4) t(p)
+), b0 AS (SELECT p, r - 1 AS entry, x AS e FROM x WHERE r <= 256), {", ".join(steps)},
+codes AS (SELECT r, string_agg(lower(printf('%02x', best % 256)), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM n4 GROUP BY r),
+books AS (SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY p, entry, i)) AS sha FROM (SELECT p, entry, unnest(e) AS c, unnest(range(len(e))) AS i FROM b4))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM k JOIN codes USING (r), books"""
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_warc": OP2_SQL, "op9_urlfilter": _op9_sql()}
+    return {"op1_decontamination": OP1_SQL, "op2_warc": OP2_SQL, "op9_urlfilter": _op9_sql(), "op13_vectorcodes": _op13_sql()}
