@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, langid, mixing, simhash, suffixdedup, tokencount, toxicity, urlfilter, vectorcodes, warc, webp
+from quire.llm import decontaminate, langid, mixing, packing, simhash, suffixdedup, tokencount, toxicity, urlfilter, vectorcodes, warc, webp
 
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Hosts that the site list blocks, with the hosts below them.
@@ -114,6 +114,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.media_features(spark, read(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(spark, read(spark, sf_dir, "documents"))
+
+
 def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.report(spark, read(spark, sf_dir, "embeddings"))
 
