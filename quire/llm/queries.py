@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, langid, mixing, packing, simhash, suffixdedup, tokencount, toxicity, urlfilter, vectorcodes, warc, webp
+from quire.llm import decontaminate, langid, mixing, packing, prefixtrie, simhash, suffixdedup, tokencount, toxicity, urlfilter, vectorcodes, warc, webp
 
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Hosts that the site list blocks, with the hosts below them.
@@ -114,6 +114,35 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.media_features(spark, read(spark, sf_dir, "documents"))
 
 
+def op11_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.report(spark, read(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(concat(length(coalesce(role, '')), ':', role, text)) AS tie
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT c, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, tie) AS turns FROM t GROUP BY c),
+bits AS (SELECT n, list_reduce(list_prepend(n, range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) r(n)),
+crc AS (SELECT map(list(n), list(v)) AS m FROM bits),
+heads AS (
+  SELECT c, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: xor(a >> 8, m[xor(a & 255, b)])), 4294967295) % 6 AS h FROM own, crc
+), built AS (
+  SELECT a.c, list_concat(CASE WHEN b.c IS NULL THEN [] ELSE b.turns[1:a.h] END, a.turns[a.h + 1:]) AS seq FROM heads a LEFT JOIN own b ON b.c = a.c - a.c % 100
+), starts AS MATERIALIZED (SELECT c, d, seq[1:d] AS beginning, len(seq) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE length(seq[d].text) END AS chars FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM built)),
+node AS MATERIALIZED (SELECT beginning, d, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, string_agg(CASE WHEN ends THEN c::VARCHAR END, ',' ORDER BY c) AS ids FROM starts GROUP BY beginning, d),
+owner AS MATERIALIZED (SELECT c, starts.d, conv_id FROM starts JOIN node USING (d, beginning)),
+child AS (SELECT o.conv_id, o.d, count(*) AS n_children FROM node n JOIN owner o ON o.c = n.conv_id AND o.d = n.d - 1 GROUP BY ALL),
+full_node AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM node n LEFT JOIN child USING (conv_id, d)),
+sums AS (
+  SELECT o.conv_id, o.d, count(*) FILTER (WHERE n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved_tokens
+  FROM full_node n JOIN owner o ON o.c = n.conv_id AND o.d <= n.d GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_node n JOIN sums USING (conv_id, d) LEFT JOIN owner p ON p.c = n.conv_id AND p.d = n.d - 1"""
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(spark, read(spark, sf_dir, "documents"))
 
@@ -149,4 +178,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_warc": OP2_SQL, "op9_urlfilter": _op9_sql(), "op13_vectorcodes": _op13_sql()}
+    return {"op1_decontamination": OP1_SQL, "op2_warc": OP2_SQL, "op9_urlfilter": _op9_sql(), "op11_prefixtrie": OP11_SQL, "op13_vectorcodes": _op13_sql()}
