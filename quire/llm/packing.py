@@ -251,7 +251,9 @@ def pack(spark: SparkSession, units: DataFrame, tables: Tables, capacity: int =
         both = items.filter(F.col("size") >= smallest).union(empty)
         ranges = max(1, -(-int(sizes.sum() + gaps[smallest:].sum() + new) // per_range))
         order = [F.col("size").desc(), F.col("is_piece"), F.col("ident")]
-        swept = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), SWEPT)
+        # the last items, ``per_range`` at most, are one range; there is nothing to sample then
+        dealt = both.repartitionByRange(ranges, *order) if ranges > 1 else both.coalesce(1)
+        swept = dealt.sortWithinPartitions(*order).mapInArrow(_sweep(capacity), SWEPT)
         swept = tables.cut(swept, f"swept-{len(placed)}")
         if stored is not None:
             tables.drop(stored)
