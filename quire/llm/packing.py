@@ -39,7 +39,7 @@ from quire.llm.shared import Tables
 VOCABULARY, SEPARATOR, CAPACITY = "word_bpe_49k.json", 0, 2048
 BUNDLE = 32
 #: Items of a range; a vocabulary file above the second bound is not sent to the executors; words that a worker keeps.
-RANGE, MOST_VOCABULARY, KNOWN = 100_000, 64 << 20, 1 << 19
+RANGE, MOST_VOCABULARY, KNOWN = 100_000, 64 << 20, 1 << 20
 #: Documents that meet in one batch.
 FEW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "128"}
 #: White space that parts the pieces of any text for the vocabulary, and characters that Python alone takes for it or that may be both.
