@@ -6,13 +6,10 @@ only for its own rows again.  A failed call gives a status and never ends the jo
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from typing import Protocol
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import prose
@@ -25,18 +22,14 @@ from quire.operators import prompts
 from quire.operators import prose as PR
 from quire.operators import repair as RP
 from quire.operators import review as RV
+from quire.operators import wavefront as WF
+from quire.operators.calls import ANSWERS, Backend, Calls, caller
+from quire.operators.lines import sections
 from quire.operators.rows import rewritten
+from quire.sources.answers import AnswerLog, signature
+from quire.sources.io import Config
 from quire.sources.runs import scratch_table
 
-ANSWERS = "hash string, answer string, status string, attempts int, seconds double, error string"
-
-
-class Backend(Protocol):
-    """A model: an answer for a prompt; made once and sent to the tasks."""
-
-    def generate(self, prompt: str, attempt: int) -> str: ...
-
-
 @dataclass(frozen=True)
 class StubBackend:
     """A model without a network: the prompt's text between its marks, with its words in small letters turned around.
@@ -63,40 +56,31 @@ def _pieces(text: str) -> list[str]:
     return out
 
 
-def accept(source: str, output: str) -> bool:
+@dataclass(frozen=True)
+class Accept:
     """Whether an answer is as long as it should be."""
-    return bool(output.strip()) and 0.6 <= len(output.strip()) / max(1, len(source.strip())) <= 1.8
-
-
-def _caller(backend: Backend, attempts: int, ok: Callable[[str, str], bool], pause: float, factor: float):
-    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for h, prompt, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                began, answer, status, error, n = time.perf_counter(), None, "failed", None, 0
-                for n in range(1, attempts + 1):  # noqa: B007
-                    try:
-                        given = backend.generate(prompt, n)
-                        if ok(text, given):
-                            answer, status = given, "ok"
-                            break
-                        error = "not accepted"
-                    except Exception as e:  # the error is the row's
-                        error = f"{type(e).__name__}: {e}"
-                    if pause and n < attempts:
-                        time.sleep(pause * factor ** (n - 1))
-                rows.append((h, answer, status, n, time.perf_counter() - began, None if status == "ok" else error))
-            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string())
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in ANSWERS.split(", ")])
-
-    return call
-
-
-def ask(spark: SparkSession, rows: DataFrame, prompt: Column, backend: Backend | None = None, attempts: int = 3, ok: Callable[[str, str], bool] = accept, pause: float = 0.0, factor: float = 1.8) -> DataFrame:
+
+    most: float = 1.8
+    least: float = 0.6
+
+    def __call__(self, source: str, output: str) -> bool:
+        return bool(output.strip()) and self.least <= len(output.strip()) / max(1, len(source.strip())) <= self.most
+
+
+accept = Accept()
+
+
+def filled(source: str, output: str) -> bool:
+    """Whether there is an answer at all."""
+    return bool(output.strip())
+
+
+def ask(spark: SparkSession, rows: DataFrame, prompt: Column, backend: Backend | None = None, attempts: int | None = None, ok: Callable[[str, str], bool] = accept, calls: Calls | None = None) -> DataFrame:
     """``rows`` (text, ...) with hash, answer, status, attempts, seconds and error of the prompt that each makes."""
+    calls = replace(calls or Calls(), **({} if attempts is None else {"attempts": attempts}))
     asked = rows.withColumn("prompt", prompt).withColumn("hash", F.sha2("prompt", 256))
     distinct = asked.groupBy("hash").agg(F.first("prompt").alias("prompt"), F.first("text").alias("text"))
-    answers = scratch_table(spark, distinct.select("hash", "prompt", "text").mapInArrow(_caller(backend or StubBackend(), attempts, ok, pause, factor), ANSWERS), "answers")
+    answers = scratch_table(spark, distinct.select("hash", "prompt", "text").mapInArrow(caller(backend or StubBackend(), calls, ok), ANSWERS), "answers")
     return asked.drop("prompt").join(answers, "hash")
 
 
@@ -118,40 +102,86 @@ def reassembled(parts: DataFrame, column: str = "output", separator: str = "\n\n
     return parts.groupBy("doc_id").agg(F.array_join(F.transform(whole, lambda p: p["x"]), separator).alias("text"))
 
 
-def translate(spark: SparkSession, docs: DataFrame, glossary: DataFrame | None = None, backend: Backend | None = None, language: str = "en", repair_too: bool = True, most: int = K.MAX_CHARS) -> DataFrame:
-    """(doc_id, chunk_idx, source, output, status, attempts, retry_reason, issues): the chunks of documents, translated.
-
-    Quotes of the source are mended, chunks keep speeches whole, stubs go to the chunk behind them; answers are parsed,
-    cleaned, their quotes set as the source tells, terms enforced; what is worth it is repaired once.
+def sectioned(spark: SparkSession, docs: DataFrame, split: bool, most: int) -> DataFrame:
+    """(doc_id, chunk_idx, section, text): chunks that keep speeches whole, of each section by itself if ``split``; stubs go to the chunk behind them."""
+    parts = sections(docs).select("doc_id", F.col("section_idx").alias("section"), F.col("body").alias("text")) if split else docs.select("doc_id", F.lit(0).cast("bigint").alias("section"), "text")
+    parts = scratch_table(spark, parts.withColumn("part", F.monotonically_increasing_id()), "sections")  # numbers that stay
+    cut = K.merge_stubs(K.chunk_quotes(parts.select(F.col("part").alias("doc_id"), "text"), most)).filter("text <> ''")
+    rows = cut.select(F.col("doc_id").alias("part"), F.col("chunk_idx").alias("no"), "text").join(parts.select("part", "doc_id", "section"), "part")
+    order = Window.partitionBy("doc_id").orderBy("section", "no")
+    return rows.select("doc_id", (F.row_number().over(order) - 1).cast("bigint").alias("chunk_idx"), "section", "text")
+
+
+def _signature(spark: SparkSession, task: str, config: Config, backend: Backend, language: str, glossary: DataFrame | None = None, **more) -> str:
+    """What decides an answer besides its chunk: settings, model, the glossary's and the prompts' identities."""
+    from quire.operators import glossary as G
+
+    policy = spark.range(1).select(*[c.alias(k) for k, c in prompts.fingerprints(language).items()]).first().asDict()
+    return signature(task=task, config=config, backend=repr(backend), language=language, prompts=policy, glossary=None if glossary is None else G.glossary_hash(glossary).first().hash, **more)
+
+
+def translate(
+    spark: SparkSession,
+    docs: DataFrame,
+    glossary: DataFrame | None = None,
+    backend: Backend | None = None,
+    language: str = "en",
+    repair_too: bool = True,
+    config: Config | None = None,
+    cache: str | None = None,
+    calls: Calls | None = None,
+) -> DataFrame:
+    """(doc_id, chunk_idx, source, output, status, attempts, retry_reason, issues, how, context): the chunks of documents, translated.
+
+    Quotes of the source are mended, chunks keep speeches whole, stubs go to the chunk behind them.  Each prompt holds
+    the glossary's terms of its chunk and the last paragraphs of its section, with their translations
+    (``wavefront.run``).  Answers are parsed, cleaned, their quotes set as the source tells, terms enforced; what is
+    worth it is repaired once.  Near copies take the answer of what they repeat.  With ``cache``, a path, answers are
+    logged there, and those of equal settings are not asked for again.  ``config`` decides lengths, attempts, pauses,
+    context and terms.
     """
+    config, backend = config or Config(), backend or StubBackend()
+    calls = calls or Calls.of(config, **({"pause": 0.0} if isinstance(backend, StubBackend) else {}))
     ready = docs.select("doc_id", W.separate_short_speeches(F.coalesce("text", F.lit(""))).alias("text"))
     ready = rewritten(ready, lambda t: PR._both(t, {"opened": PR.Q.mend_paragraphs, "balanced": PR.Q.balance}), ["opened", "balanced"])
-    chunks = scratch_table(spark, K.merge_stubs(K.chunk_quotes(ready, most)).filter("text <> ''"), "chunks")
-    terms = None
+    chunks = scratch_table(spark, sectioned(spark, ready, config.split_by_sections, config.translate_chunk_chars), "chunks")
+    block = F.lit(None).cast("string")
     if glossary is not None:
         from quire.operators import glossary as G
 
         keyed = chunks.withColumn("at", F.concat_ws("-", "doc_id", "chunk_idx"))
-        chunks = keyed.join(G.chunk_terms(keyed, glossary, "at").select("at", "block"), "at").drop("at")
-        terms = F.col("block")
-    prompt = prompts.translation(F.col("text"), None, terms, T.classify_chunk(F.col("text")), language)
-    rows = ask(spark, chunks, prompt, backend)
-    answer = W.drop_marker_lines(F.coalesce(W.between_markers(F.coalesce("answer", "text")), F.col("text")))
-    rows = rows.withColumns({"source": F.col("text"), "output": W.postprocess_translation(RP.guarded(F.col("text"), answer, answer, "translate"), F.col("text"))})
-    rows = PR.Q.chunk_quotes_of(rows, "output")
-    rows = rows.withColumn("output", W.collapse_curly(F.col("output")))
-    rows = rows.select("doc_id", "chunk_idx", "source", "output", F.when(F.col("status") == "ok", "translated").otherwise("failed").alias("status"), "attempts", P.retry_reason(F.col("source"), F.col("output")).alias("retry_reason"))
-    return repair(spark, rows, backend, language) if repair_too else rows.withColumn("issues", F.array().cast(f"array<{RP.ISSUE}>"))
-
-
-def repair(spark: SparkSession, rows: DataFrame, backend: Backend | None = None, language: str = "en") -> DataFrame:
+        terms = G.chunk_terms(keyed, glossary, "at", config.glossary_match_limit, config.glossary_fallback_limit)
+        chunks, block = scratch_table(spark, keyed.join(terms.select("at", "block"), "at").drop("at"), "chunks"), F.col("block")
+    ok = Accept(config.max_output_ratio)
+
+    def answered(now: DataFrame) -> DataFrame:
+        prompt = prompts.translation(F.col("text"), F.col("context"), block, T.classify_chunk(F.col("text")), language)
+        rows = ask(spark, now, prompt, backend, ok=ok, calls=calls)
+        answer = W.drop_marker_lines(F.coalesce(W.between_markers(F.coalesce("answer", "text")), F.col("text")))
+        rows = rows.withColumns({"source": F.col("text"), "raw": F.col("answer"), "output": W.postprocess_translation(RP.guarded(F.col("text"), answer, answer, "translate"), F.col("text"))})
+        rows = PR.Q.chunk_quotes_of(rows, "output").withColumn("output", W.collapse_curly(F.col("output")))
+        rows = rows.select("doc_id", "chunk_idx", "source", "raw", "output", "status", "attempts")
+        if repair_too:
+            return repair(spark, rows, backend, language, calls)
+        return rows.withColumn("issues", F.array().cast(f"array<{RP.ISSUE}>"))
+
+    log = AnswerLog(spark, cache, _signature(spark, "translate", config, backend, language, glossary, repair=repair_too)) if cache else None
+    done = WF.run(spark, chunks, answered, WF.Context.of(config), log, "translate", extra=("issues",))
+    rows = chunks.select("doc_id", "chunk_idx", F.col("text").alias("source")).join(done, ["doc_id", "chunk_idx"])
+    status = F.when(F.col("status") == "ok", "translated").otherwise("failed")
+    return rows.select("doc_id", "chunk_idx", "source", "output", status.alias("status"), "attempts", P.retry_reason(F.col("source"), F.col("output")).alias("retry_reason"), F.coalesce("issues", F.array().cast(f"array<{RP.ISSUE}>")).alias("issues"), "how", "context")
+
+
+def repair(spark: SparkSession, rows: DataFrame, backend: Backend | None = None, language: str = "en", calls: Calls | None = None) -> DataFrame:
     """``rows`` (doc_id, chunk_idx, source, output, ...) with issues; only rows with issues are asked for, and a candidate must hold.
 
     A candidate without fault and without the source's language replaces the output.
     """
     rows = scratch_table(spark, rows.withColumn("issues", RP.shape_issues(F.col("source"), F.col("output"), language)), "to-repair")
     bad = rows.filter(F.size("issues") > 0).select("doc_id", "chunk_idx", F.col("output").alias("text"), "source", "issues")
-    asked = ask(spark, bad, prompts.repair(F.col("source"), F.col("text"), F.col("issues"), None, language), backend, 2, lambda a, b: bool(b.strip()))
+    if bad.isEmpty():
+        return rows
+    asked = ask(spark, bad, prompts.repair(F.col("source"), F.col("text"), F.col("issues"), None, language), backend, 2, filled, calls)
     parsed = rewritten(asked.withColumn("given", F.coalesce("answer", F.lit(""))), lambda t: (prose.sanitized_refinement(t), 0), ["none"], ("given",), "plain").drop("none")
     candidate = W.postprocess_translation(F.coalesce(RP.parsed_repair(F.col("given")), F.col("plain")), F.col("source"))
     good = parsed.withColumn("candidate", candidate).filter(RP.candidate_fault(F.col("text"), F.col("candidate"), language).isNull() & D.residual_reason(F.col("candidate"), language).isNull() & (F.size(D.collapse_reasons(F.col("candidate"), F.length("text"))) == 0))
@@ -167,7 +197,7 @@ def repair_segments(spark: SparkSession, rows: DataFrame, backend: Backend | Non
     paragraphs = rows.select("doc_id", "chunk_idx", F.posexplode(T.paragraphs(F.col("text"))).alias("no", "text")).withColumn("leaks", D.residual_reason(F.col("text"), language).isNotNull())
     paragraphs = scratch_table(spark, paragraphs, "paragraphs")
     bad = paragraphs.filter("leaks").select("doc_id", "chunk_idx", "no", "text")
-    asked = ask(spark, bad, prompts.translation(F.col("text"), None, None, F.lit("dialogue"), language), backend, 2, lambda a, b: bool(b.strip()))
+    asked = ask(spark, bad, prompts.translation(F.col("text"), None, None, F.lit("dialogue"), language), backend, 2, filled)
     new = W.postprocess_translation(RP.guarded(F.col("text"), F.col("answer"), F.coalesce(W.between_markers(F.col("answer")), F.lit("")), "translate"), F.col("text"))
     good = asked.withColumn("new", new).filter((F.col("new") != "") & D.residual_reason(F.col("new"), language).isNull() & (F.length(T.strip(F.col("new"))) >= F.length(T.strip(F.col("text"))) * 0.45))
     whole = paragraphs.join(good.select("doc_id", "chunk_idx", "no", "new"), ["doc_id", "chunk_idx", "no"], "left")
@@ -175,21 +205,44 @@ def repair_segments(spark: SparkSession, rows: DataFrame, backend: Backend | Non
     return whole.groupBy("doc_id", "chunk_idx").agg(F.array_join(F.transform(parts, lambda p: p["x"]), "\n\n").alias("text"), F.count("new").alias("replaced"))
 
 
-def refine(spark: SparkSession, docs: DataFrame, backend: Backend | None = None, language: str = "en", clean_first: bool = True, most: int = K.MAX_CHARS) -> DataFrame:
-    """(doc_id, text, chunks, refined): documents refined chunk by chunk; a chunk whose answer breaks its structure stays."""
-    ready = PR.cleanup(docs).select("doc_id", "text") if clean_first else docs.select("doc_id", "text")
-    asked = ask(spark, scratch_table(spark, K.chunk_strict(ready, most), "chunks"), prompts.refinement(F.col("text"), None, language), backend)
-    parsed = rewritten(asked.withColumn("given", F.coalesce("answer", F.lit(""))), lambda t: (prose.sanitized_refinement(t), 0), ["none"], ("given",), "clean").drop("none")
-    judged = parsed.withColumn("r", RP.refined_chunk(F.col("text"), RP.guarded(F.col("text"), F.col("given"), F.col("clean"))))
-    good = F.col("r.ok") & ~F.col("r.soft_retry") & (F.col("r.text") != "")
-    parts = scratch_table(spark, judged.select("doc_id", "chunk_idx", F.when(good, F.col("r.text")).otherwise(F.col("text")).alias("output"), good.alias("good")), "refined")
-    counts = parts.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if("good").alias("refined"))
+def cleaned(spark: SparkSession, docs: DataFrame, mode: str) -> DataFrame:
+    """(doc_id, text): all texts cleaned if ``mode`` is on, those that need it if it is auto, else none."""
+    if mode == "on":
+        return PR.cleanup(docs).select("doc_id", "text")
+    if mode != "auto":
+        return docs
+    told = scratch_table(spark, PR.with_needs(docs), "needs")
+    need = F.col("repeats") | F.col("glued")
+    return PR.cleanup(told.filter(need)).select("doc_id", "text").union(told.filter(~need).select("doc_id", "text"))
+
+
+def refine(spark: SparkSession, docs: DataFrame, backend: Backend | None = None, language: str = "en", config: Config | None = None, cache: str | None = None, calls: Calls | None = None) -> DataFrame:
+    """(doc_id, text, chunks, refined, asked): documents refined chunk by chunk; a chunk whose answer breaks its structure stays.
+
+    Prompts hold no context, so one round asks for all chunks; near copies take what they repeat was refined to, and with
+    ``cache`` known answers are not asked for again.
+    """
+    config, backend = config or Config(), backend or StubBackend()
+    calls = calls or Calls.of(config, **({"pause": 0.0} if isinstance(backend, StubBackend) else {}))
+    clean = cleaned(spark, docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), config.cleanup_before_refine)
+    chunks = scratch_table(spark, K.chunk_strict(clean, config.refine_chunk_chars).select("doc_id", "chunk_idx", F.lit(0).alias("section"), "text"), "chunks")
+
+    def answered(now: DataFrame) -> DataFrame:
+        asked = ask(spark, now, prompts.refinement(F.col("text"), None, language), backend, calls=calls, ok=Accept(config.max_output_ratio))
+        parsed = rewritten(asked.withColumn("given", F.coalesce("answer", F.lit(""))), lambda t: (prose.sanitized_refinement(t), 0), ["none"], ("given",), "clean").drop("none")
+        judged = parsed.withColumn("r", RP.refined_chunk(F.col("text"), RP.guarded(F.col("text"), F.col("given"), F.col("clean"))))
+        good = F.col("r.ok") & ~F.col("r.soft_retry") & (F.col("r.text") != "")
+        return judged.select("doc_id", "chunk_idx", F.col("answer").alias("raw"), F.when(good, F.col("r.text")).otherwise(F.col("text")).alias("output"), F.when(good, "ok").otherwise("failed").alias("status"), "attempts")
+
+    log = AnswerLog(spark, cache, _signature(spark, "refine", config, backend, language)) if cache else None
+    parts = scratch_table(spark, WF.at_once(spark, chunks, answered, log, "refine"), "refined")
+    counts = parts.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("status") == "ok").alias("refined"), F.count_if(F.col("how") == "asked").alias("asked"))
     return PR.refined_finally(reassembled(parts)).join(counts, "doc_id")
 
 
-def unbreak(spark: SparkSession, docs: DataFrame, backend: Backend | None = None, most: int = K.MAX_CHARS) -> DataFrame:
+def unbreak(spark: SparkSession, docs: DataFrame, backend: Backend | None = None, most: int = K.MAX_CHARS, calls: Calls | None = None) -> DataFrame:
     """(doc_id, text, scenes, wraps, hyphens, fallbacks): broken lines joined by a model, by rules where its answer is not accepted."""
-    asked = ask(spark, scratch_table(spark, K.chunk_strict(docs, most), "chunks"), prompts.unbreaking(F.col("text")), backend, ok=lambda a, b: bool(b.strip()))
+    asked = ask(spark, scratch_table(spark, K.chunk_strict(docs, most), "chunks"), prompts.unbreaking(F.col("text")), backend, ok=filled, calls=calls)
     given = W.unbreak_output(F.coalesce("answer", F.lit("")))
     lone = F.exists(T.lines(F.coalesce("answer", F.lit(""))), lambda x: T.strip(x).isin('"', "“", "”", "'''", '"""'))
     asked = rewritten(asked.withColumn("given", given), lambda t: K.reflow_text(t), ["joins"], into="reflowed").drop("joins")

@@ -139,9 +139,14 @@ def cleanup(docs: DataFrame) -> DataFrame:
 
 def needs_cleanup(docs: DataFrame) -> DataFrame:
     """(doc_id, repeats, glued): whether a text has lines that nearly repeat, or glued speeches."""
+    return with_needs(docs).select("doc_id", "repeats", "glued")
+
+
+def with_needs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, repeats, glued)."""
     rows = rewritten(docs.select("doc_id", "text"), lambda t: ("", int(K.has_repeats(t))), ["repeats"], into="flag")
     glued = F.col("text").rlike("(?m)" + K.R.GLUED[0]) | F.col("text").rlike(K.R.GLUED[1])
-    return rows.select("doc_id", (F.col("repeats") == 1).alias("repeats"), glued.alias("glued"))
+    return rows.select("doc_id", "text", (F.col("repeats") == 1).alias("repeats"), glued.alias("glued"))
 
 
 def unbroken_globally(docs: DataFrame) -> DataFrame:
