@@ -349,3 +349,18 @@ LANGUAGE_RULES = (
     ("zh", "Treat titles and forms of address as the glossary does; resolve missing subjects from the context alone."),
 )
 OTHER_LANGUAGE_RULE = "Keep what the source leaves open, and avoid its syntax."
+# fixed values of the rules over lines
+WORD_TAIL = "([-–—.,;:!?…'\"”’]+)$"
+PT_CHAPTER = r"(?:#\s*)?cap[ií]tulo\s+(\d+):?\s*"
+PT_TITLED = r"#\s*cap[ií]tulo\s+(\d+):\s+(\S.+?)\s*"
+PT_BARE = r"#\s*cap[ií]tulo\s+(\d+):?\s*"
+PT_HEAD = r"(pr[oó]logo|cap[ií]tulo\s+[^\s].*?|ep[ií]logo|interl[úu]dio)(.*)"
+WHOLE_SPEECH = r"(?:[\"“].+[\"”]\s*|—\s?.+)"
+WHO_SAID = r"(perguntou|disse|respondeu)\s+\w+\.?"
+GULP = r"gulp[.!?…]?"
+# lines that are searched for contents, marks that make contents, characters of a short body, and the share of short ones
+CONTENTS_LINES, CONTENTS_MARKS, CONTENTS_BODY, CONTENTS_SHARE = 200, 4, 50, 0.6
+# word characters between two closing quotes that make the first too early
+PROSE_BETWEEN_QUOTES = 8
+# lengths of entries of contents, of inline marks and of lines with few letters, and how few letters those have
+ENTRY_CHARS, MARK_CHARS, THIN_CHARS, THIN_LETTERS = 120, 180, 140, 0.65

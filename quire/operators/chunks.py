@@ -17,6 +17,7 @@ from quire.functions import prose
 from quire.functions import rules as R
 from quire.functions import text as T
 from quire.operators.rows import rewritten
+from quire.sources.runs import scratch_table
 
 MAX_CHARS = 2400
 BOUNDARY = re.compile(r"\n\n|[.!?][\"'”’)]?(?=\s|$)")
@@ -247,33 +248,99 @@ def fix_glued(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", glued(docs["text"]).alias("g")).select("doc_id", "g.text", "g.breaks")
 
 
-def _pairs_of(least: float):
-    def pairs(group: pa.Table) -> pa.Table:
-        doc, at, texts = (group.column(k).to_pylist() for k in ("doc_id", "chunk_idx", "norm"))
-        size = np.array([len(t) for t in texts], dtype=np.int64)
-        order = np.argsort(size, kind="stable")
-        codes = (np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % FOLD for i in order)
-        letters = np.array([np.bincount(c, minlength=FOLD) for c in codes], dtype=np.int64).reshape(-1, FOLD)
-        size, out = size[order], []
-        for k in range(len(order)):
-            end = np.searchsorted(size, size[k] * (2 - least) / least + 1, "right")  # no longer one has the ratio
-            both = size[k] + size[k + 1 : end]
-            fits = np.abs(letters[k + 1 : end] - letters[k]).sum(axis=1) <= (1 - least) * both + 1e-6
-            for j in np.flatnonzero(fits) + k + 1:
-                a, b = sorted((order[k], order[j]), key=at.__getitem__)
-                m = SequenceMatcher(None, texts[a], texts[b])
-                if at[a] < at[b] and m.quick_ratio() >= least and m.ratio() >= least:
-                    out.append((doc[a], at[a], at[b]))
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "a", "b"])
-
-    return pairs
-
-
-def near_duplicate_pairs(chunks: DataFrame, least: float = 0.95) -> DataFrame:
-    """(doc_id, a, b): chunks of one document so alike that one's result may serve the other.
-
-    All pairs of a document's chunks count.  Lengths and letter counts, folded to FOLD, bound the ratio from above, so
-    the exact ratio is taken only of pairs that may have it.
+#: Texts of one document that are compared with each other in one group, two such blocks at most; buckets of q-grams.
+BLOCK, GRAM, BUCKETS = 256, 3, 256
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a text's letters and of its q-grams, both folded: what differs there differs at least as much unfolded."""
+    for batch in batches:
+        out = []
+        for text in batch["norm"].to_pylist():
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            n = max(0, len(codes) - GRAM + 1)
+            grams = sum((codes[i : i + n] * np.uint64(prime) for i, prime in enumerate((1, 1_000_003, 998_244_353))), np.zeros(n, np.uint64))
+            counts = np.concatenate([np.bincount(codes % np.uint64(FOLD), minlength=FOLD), np.bincount((grams >> np.uint64(7)) % np.uint64(BUCKETS), minlength=BUCKETS)])
+            out.append(np.minimum(counts, 65535).astype("<u2").tobytes())
+        yield pa.record_batch([*[batch[c] for c in ("doc_id", "at", "size", "block")], pa.array(out, pa.binary())], names=["doc_id", "at", "size", "block", "counts"])
+
+
+def _candidates(least: float):
+    """Pairs of two blocks whose counts allow the ratio.
+
+    A ratio of ``least`` means m characters in common order, m >= least (a + b) / 2.  What is not common changes as many
+    letters, and at most GRAM q-grams each in its own text and GRAM - 1 in the other.
+    """
+
+    def compare(group: pa.Table) -> pa.Table:
+        size = group["size"].to_numpy()
+        counts = np.frombuffer(b"".join(group["counts"].to_pylist()), "<u2").reshape(len(size), FOLD + BUCKETS).astype(np.int32)
+        at, side = group["at"].to_numpy(), group["side"].to_numpy()
+        rows, others = np.flatnonzero(side == 0), np.flatnonzero(side == group["last"][0].as_py())
+        out = []
+        for i in rows:
+            j = others if side[i] != group["last"][0].as_py() else others[others > i]
+            a, b = size[i], size[j]
+            m = np.ceil(least * (a + b) / 2 - 1e-9)
+            j, b, m = j[m <= np.minimum(a, b)], b[m <= np.minimum(a, b)], m[m <= np.minimum(a, b)]
+            kept = np.maximum(b - GRAM + 1 - GRAM * (b - m) - (GRAM - 1) * (a - m), a - GRAM + 1 - GRAM * (a - m) - (GRAM - 1) * (b - m))
+            grams = np.maximum(a - GRAM + 1, 0) + np.maximum(b - GRAM + 1, 0)
+            differ = np.abs(counts[j] - counts[i])
+            fits = (differ[:, :FOLD].sum(1) <= a + b - 2 * m) & (differ[:, FOLD:].sum(1) <= grams - 2 * np.maximum(kept, 0))
+            out += [(at[i], at[k]) for k in j[fits]]
+        doc = group["doc_id"][0].as_py()
+        return pa.table([pa.array([doc] * len(out), pa.int64()), pa.array([x for x, _ in out], pa.int32()), pa.array([y for _, y in out], pa.int32())], names=["doc_id", "x", "y"])
+
+    return compare
+
+
+def _verified(least: float):
+    """The matcher's ratio is not the same both ways, so both are told."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = list(zip(batch["tx"].to_pylist(), batch["ty"].to_pylist(), strict=True))
+            ways = [[ratio_at_least(x, y, least) for x, y in texts], [ratio_at_least(y, x, least) for x, y in texts]]
+            yield pa.record_batch([batch["doc_id"], batch["x"], batch["y"], *[pa.array(w, pa.bool_()) for w in ways]], names=["doc_id", "x", "y", "xy", "yx"])
+
+    return verify
+
+
+def near_duplicate_pairs(chunks: DataFrame, least: float = 0.95, block: int = BLOCK) -> DataFrame:
+    """(doc_id, a, b): chunks of one document so alike that one's result may serve the other, ``a`` the earlier.
+
+    Equal texts are compared once.  A document's distinct texts, in order of length, are dealt out in blocks; two blocks
+    whose lengths allow the ratio meet in a group, with counts of letters and q-grams instead of texts, and only pairs
+    whose counts allow the ratio are compared as texts.  So no task holds a document, and every pair that has the ratio
+    is found.  Rows without doc_id or text have no pairs.
     """
+    spark = chunks.sparkSession
     rows = chunks.filter("doc_id is not null and text is not null").select("doc_id", F.col("chunk_idx").cast("int").alias("chunk_idx"), T.squeeze(F.col("text")).alias("norm"))
-    return rows.groupBy("doc_id").applyInArrow(_pairs_of(least), "doc_id bigint, a int, b int").distinct()
+    rows = scratch_table(spark, rows, "normal-chunks")
+    distinct = rows.groupBy("doc_id", "norm").agg(F.min("chunk_idx").alias("at"), F.count("*").alias("copies"))
+    distinct = scratch_table(spark, distinct.withColumn("size", F.length("norm").cast("bigint")), "distinct-chunks")
+    several = distinct.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    order = Window.partitionBy("doc_id").orderBy("size", "at")
+    ranks = distinct.join(several, "doc_id").select("doc_id", "at", "size", F.floor((F.row_number().over(order) - 1) / block).alias("block"))
+    texts = ranks.join(distinct.select("doc_id", "at", "norm"), ["doc_id", "at"]).select("doc_id", "at", "size", "block", "norm")
+    counted = scratch_table(spark, texts.mapInArrow(_features, "doc_id bigint, at int, size bigint, block bigint, counts binary"), "counts")
+    spans = counted.groupBy("doc_id", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    left, right = (spans.select("doc_id", F.col("block").alias(n), F.col("low").alias(f"low_{n}"), F.col("high").alias(f"high_{n}")) for n in ("i", "j"))
+    meet = left.join(right, "doc_id").filter((F.col("i") <= F.col("j")) & (F.col("low_j") <= F.col("high_i") * ((2 - least) / least) + 1)).select("doc_id", "i", "j")
+    last = F.when(F.col("i") < F.col("j"), 1).otherwise(0).alias("last")
+    one = counted.join(meet.withColumn("block", F.col("i")), ["doc_id", "block"]).select("doc_id", "i", "j", "at", "size", "counts", F.lit(0).alias("side"), last)
+    two = counted.join(meet.filter("i < j").withColumn("block", F.col("j")), ["doc_id", "block"]).select("doc_id", "i", "j", "at", "size", "counts", F.lit(1).alias("side"), last)
+    found = one.union(two).groupBy("doc_id", "i", "j").applyInArrow(_candidates(least), "doc_id bigint, x int, y int")
+    named = lambda n: distinct.select("doc_id", F.col("at").alias(n), F.col("norm").alias(f"t{n}"))
+    tried = found.join(named("x"), ["doc_id", "x"]).join(named("y"), ["doc_id", "y"]).select("doc_id", "x", "y", "tx", "ty")
+    near = scratch_table(spark, tried.mapInArrow(_verified(least), "doc_id bigint, x int, y int, xy boolean, yx boolean").filter("xy or yx"), "near-texts")
+    members = rows.join(distinct.select("doc_id", "norm", "at", "copies"), ["doc_id", "norm"]).select("doc_id", "at", "copies", "chunk_idx")
+    side = lambda n, c: members.select("doc_id", F.col("at").alias(n), F.col("chunk_idx").alias(c))
+    across = near.join(side("x", "cx"), ["doc_id", "x"]).join(side("y", "cy"), ["doc_id", "y"])
+    across = across.filter(((F.col("cx") < F.col("cy")) & F.col("xy")) | ((F.col("cy") < F.col("cx")) & F.col("yx"))).select("doc_id", F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b"))
+    # the matcher passes over frequent letters in long texts, so even a copy may lack the ratio
+    copies = distinct.filter("copies > 1").select("doc_id", F.col("at").alias("x"), F.col("at").alias("y"), F.col("norm").alias("tx"), F.col("norm").alias("ty"))
+    alike = copies.mapInArrow(_verified(least), "doc_id bigint, x int, y int, xy boolean, yx boolean").filter("xy").select("doc_id", F.col("x").alias("at"))
+    again = scratch_table(spark, members.filter("copies > 1").join(alike, ["doc_id", "at"]), "copies")
+    same = again.select("doc_id", "at", F.col("chunk_idx").alias("a")).join(again.select("doc_id", "at", F.col("chunk_idx").alias("b")), ["doc_id", "at"]).filter("a < b").select("doc_id", "a", "b")
+    return across.union(same).distinct()

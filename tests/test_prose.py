@@ -186,3 +186,12 @@ def test_expressions(spark):
     assert one(spark, lambda c: T.quality_cell(F.lit(90), F.array(c, c, F.lit("b"))), "a") == "90/100 (a:2, b:1)"
     assert T.residual_type("English") == "residual_english" and T.residual_type("ja") == "residual_source_language"
     assert one(spark, T.joined_sentences, "a\nb.\nc\n\nd") == "a b.\n\nc\n\nd"
+
+
+def test_a_quote_closed_too_early_goes():
+    source, early = "“One.” said", "“Um, disse” ela muito baixo” e"
+    assert prose.early_close(source, early) == "“Um, disse ela muito baixo” e"
+    assert prose.early_close(source, "“Um, disse” ela” e") == "“Um, disse” ela” e"
+    assert prose.early_close(source, "“Um, disse”\n\nela muito baixo” e") == "“Um, disse”\n\nela muito baixo” e"
+    assert prose.early_close("none", early) == early
+    assert prose.extra_straight_quote("“One.”", '"Um." disse."') == '"Um." disse.' and prose.extra_straight_quote("“One.”", '"Um."') == '"Um."'
