@@ -69,14 +69,15 @@ def _rows(make: Callable[[str], list[tuple[int, int, str]]]):
     return chunked
 
 
-def chunk_strict(docs: DataFrame, most: int = MAX_CHARS) -> DataFrame:
-    """CHUNKS of each document's joined paragraphs; the chunks of a document, joined, are those."""
+def strict_rows(text: str, most: int = MAX_CHARS) -> list[tuple[int, int, str]]:
+    """(start, end, text) of the strict chunks of a text's joined paragraphs."""
+    whole = joined_paragraphs(text)
+    return [(a, b, whole[a:b]) for a, b in strict_spans(whole, most)]
 
-    def make(text: str) -> list[tuple[int, int, str]]:
-        whole = joined_paragraphs(text)
-        return [(a, b, whole[a:b]) for a, b in strict_spans(whole, most)]
 
-    return docs.select("doc_id", "text").mapInArrow(_rows(make), CHUNKS)
+def chunk_strict(docs: DataFrame, most: int = MAX_CHARS) -> DataFrame:
+    """CHUNKS of each document's joined paragraphs; the chunks of a document, joined, are those."""
+    return docs.select("doc_id", "text").mapInArrow(_rows(lambda text: strict_rows(text, most)), CHUNKS)
 
 
 class Speeches:
@@ -125,18 +126,19 @@ def quote_spans(text: str, most: int = MAX_CHARS) -> list[tuple[int, int]]:
     return out
 
 
-def chunk_quotes(docs: DataFrame, most: int = MAX_CHARS) -> DataFrame:
-    """CHUNKS that keep speeches whole, without white space at their ends; offsets are those of what is left."""
+def quote_rows(text: str, most: int = MAX_CHARS) -> list[tuple[int, int, str]]:
+    """(start, end, text) of chunks that keep speeches whole, without white space at their ends."""
+    whole = joined_paragraphs(text)
+    rows = []
+    for a, b in quote_spans(whole, most):
+        left, right = len(whole[a:b]) - len(whole[a:b].lstrip()), len(whole[a:b].rstrip())
+        rows.append((a + left, max(a + right, a + left), whole[a:b].strip()))
+    return rows
 
-    def make(text: str) -> list[tuple[int, int, str]]:
-        whole = joined_paragraphs(text)
-        rows = []
-        for a, b in quote_spans(whole, most):
-            left, right = len(whole[a:b]) - len(whole[a:b].lstrip()), len(whole[a:b].rstrip())
-            rows.append((a + left, max(a + right, a + left), whole[a:b].strip()))
-        return rows
 
-    return docs.select("doc_id", "text").mapInArrow(_rows(make), CHUNKS)
+def chunk_quotes(docs: DataFrame, most: int = MAX_CHARS) -> DataFrame:
+    """CHUNKS that keep speeches whole, without white space at their ends; offsets are those of what is left."""
+    return docs.select("doc_id", "text").mapInArrow(_rows(lambda text: quote_rows(text, most)), CHUNKS)
 
 
 def merge_stubs(chunks: DataFrame) -> DataFrame:

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from quire.functions import rewrite as W
 from quire.functions import rules as R
+from quire.functions import tables as TB
 from quire.functions import text as T
 from quire.operators import chunks as K
 from quire.operators import corpus as C
 from quire.operators import detect as D
 from quire.operators import enforce as EN
 from quire.operators import glossary as G
+from quire.operators import growth as GR
 from quire.operators import lines as L
 from quire.operators import metrics as M
 from quire.operators import model as X
@@ -25,6 +27,7 @@ from quire.operators import prompts as PM
 from quire.operators import prose as PR
 from quire.operators import repair as RP
 from quire.operators import review as RV
+from quire.operators import wavefront as WF
 from quire.plans import books as B
 from quire.plans import fixtures as FX
 from quire.sources.runs import scratch_path
@@ -1219,6 +1222,56 @@ def near_duplicate_chunks(spark, d):
     return K.near_duplicate_pairs(K.chunk_strict(docs(spark, d)))
 
 
+@query()
+def memory_leaders(spark, d):
+    """Which chunk's answer serves which later one of its document."""
+    return WF.leaders(spark, K.chunk_strict(docs(spark, d), 600))
+
+
+@query()
+def wavefront_sessions(spark, d):
+    """The rounds in which the chunks of the books would be asked for."""
+    rows = WF.sessions(K.chunk_quotes(B.books(spark, d)).withColumn("section", F.lit(0)))
+    return rows.select("doc_id", "chunk_idx", "session", "pos", "session_size")
+
+
+_TOLD = (("The", "Der"), ("And", "Und"))
+
+
+@query(rf"""WITH w AS (SELECT conv_id, turn, role, regexp_extract(text, '[A-Za-z]+') AS line FROM conversations WHERE conv_id IS NOT NULL),
+ s AS (SELECT *, lower(line) AS k FROM w WHERE line <> '' AND lower(line) NOT IN ({quoted(x.lower() for t in _TOLD for x in t)})),
+ b AS (SELECT conv_id, k, min(turn) FILTER ({_TERM}) AS begins FROM s GROUP BY conv_id, k), ok AS (SELECT s.* FROM s JOIN b USING (conv_id, k) WHERE turn >= begins),
+ seen AS (SELECT c.conv_id, c.turn, k, arg_max(line, ok.turn) AS pt, arg_max(ok.role, ok.turn) FILTER (ok.role <> '') AS cat FROM conversations c JOIN ok ON ok.conv_id = c.conv_id AND ok.turn < c.turn GROUP BY ALL)
+ SELECT conv_id, turn, count(*) AS terms, sha256(string_agg(k || ':' || pt || ':' || coalesce(cat, ''), ',' ORDER BY k)) AS terms_sha FROM seen GROUP BY ALL""")
+def glossary_growth(spark, d):
+    """Each turn suggests its first word; what each later turn of the conversation is told of these."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    word = F.regexp_extract("text", "[A-Za-z]+", 0)
+    given = rows.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("block"), F.lit(0).cast("bigint").alias("pos"), word.alias("key"), word.alias("pt"), F.col("role").alias("category"), F.lit(None).cast("string").alias("notes"))
+    terms = GR.versions(spark, given, spark.createDataFrame(_TOLD, "key string, pt string"))
+    seen = GR.as_of(rows.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("block")), terms)
+    line = F.concat_ws(":", "k", "pt", F.coalesce("category", F.lit("")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"]), ",")
+    return seen.groupBy(F.col("doc_id").alias("conv_id"), F.col("block").alias("turn")).agg(F.count("*").alias("terms"), F.sha2(whole, 256).alias("terms_sha"))
+
+
+@query(SQL["recent_context"])
+def recent_context_in_sql(spark, d):
+    """The context of each turn by a table function over partitions in order."""
+    TB.register(spark)
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("key"), F.col("turn").alias("seq"), "text")
+    told = rows.sparkSession.sql("SELECT * FROM recent_context(TABLE({rows}) PARTITION BY key ORDER BY seq)", rows=rows)
+    return told.select(F.col("key").alias("conv_id"), F.col("seq").alias("turn"), F.length("context").cast("bigint").alias("chars"), F.sha2("context", 256).alias("context_sha"))
+
+
+@query(SQL["chunks_lose_nothing"])
+def chunks_in_sql(spark, d):
+    """The strict chunks by a table function, joined again."""
+    TB.register(spark)
+    rows = docs(spark, d).select("doc_id", "text")
+    return spark.sql("SELECT doc_id, sha2(array_join(transform(array_sort(collect_list(struct(c.chunk_idx, c.chunk))), x -> x.chunk), ''), 256) AS joined_sha FROM {rows} r LEFT JOIN LATERAL chunk_strict(r.text, 2400) c GROUP BY doc_id", rows=rows)
+
+
 @query()
 def translate_stub(spark, d):
     return X.run(spark, K.chunk_strict(docs(spark, d))).select("doc_id", "chunk_idx", "status", "attempts", "reused", T.chunk_hash(F.col("output")).alias("output_hash"))
