@@ -165,11 +165,15 @@ def page_slugs(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.slug(F.col("url")).alias("slug"))
 
 
-@query(FX.TEXT_SQL.format(select=rf"""case_id, regexp_matches({strip('text')}, '{R.SECTION}') AS is_section,
- len(regexp_extract_all(text, '[“”]'))::BIGINT AS curly, {" , ".join(f"len(regexp_extract_all(text, '{p}'))::BIGINT AS residual_{c}" for c, p in R.RESIDUAL_SCRIPTS)}"""))
+_FIRST = "string_split(text, chr(10))[1]"
+
+
+@query(rf"""WITH {B.BOOKS} SELECT doc_id, regexp_matches({strip(_FIRST)}, '{R.SECTION}') AS is_section,
+ len(regexp_extract_all(text, '[“”]'))::BIGINT AS curly, {" , ".join(f"len(regexp_extract_all(text, '{p}'))::BIGINT AS residual_{c}" for c, p in R.RESIDUAL_SCRIPTS)} FROM books""")
 def fixture_flags(spark, d):
+    """Of each book: whether its first line is a section's, its curly quotes, and letters of other scripts."""
     c = F.col("text")
-    return FX.texts(spark).select("case_id", T.is_section(c).alias("is_section"), T.count_of(c, "[“”]").alias("curly"), *[T.count_of(c, p).alias(f"residual_{x}") for x, p in R.RESIDUAL_SCRIPTS])
+    return B.books(spark, d).select("doc_id", T.is_section(F.substring_index(c, "\n", 1)).alias("is_section"), T.count_of(c, "[“”]").alias("curly"), *[T.count_of(c, p).alias(f"residual_{x}") for x, p in R.RESIDUAL_SCRIPTS])
 
 
 _SPOKEN = r"(regexp_matches(x, '^(?:[\x22“”]|[—–-]\s)') OR regexp_matches(x, '[\x22“][^\x22”]{2,}[\x22”]'))"
@@ -947,18 +951,32 @@ def reuse_safe_pairs(spark, d):
     return turns(spark, d).select("conv_id", "turn", P.reuse_safe(F.col("source"), F.col("target")).alias("safe"))
 
 
-@query(FX.ISSUES_SQL)
+_HAS = lambda x, w: f"regexp_matches({x}, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){w}($|[^\\p{{L}}\\p{{N}}_])')"
+_TERM_ISSUES = f"""WITH {PAIRS}, n AS (SELECT conv_id * 1000 + turn AS pair_id, source AS s, target AS t FROM p), k AS (SELECT pair_id, unnest([
+ CASE WHEN {_HAS('t', 'in')} THEN {{'type': 'bad_alias_in_target', 'found': 'in'}} END, CASE WHEN {_HAS('t', 'ing')} THEN {{'type': 'bad_alias_in_target', 'found': 'ing'}} END,
+ CASE WHEN {_HAS('t', 'the')} THEN {{'type': 'source_term_in_target', 'found': 'the'}} END, CASE WHEN {_HAS('t', 'and')} THEN {{'type': 'source_term_in_target', 'found': 'and'}} END,
+ CASE WHEN {_HAS('s', 'the')} AND NOT {_HAS('t', 'er')} THEN {{'type': 'missing_canonical_term', 'found': ''}} END]) AS i FROM n)
+ SELECT pair_id, i.type AS type, 'the' AS term, i.found AS found FROM k WHERE i IS NOT NULL"""
+
+
+def term_issues(spark, d):
+    """Findings about one term, of words that the conversations have."""
+    pairs = turns(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "source", "target")
+    found = P.issues(pairs, FX.word_glossary(spark)).filter(F.col("type").isin("bad_alias_in_target", "source_term_in_target", "missing_canonical_term"))
+    return pairs, found
+
+
+@query(_TERM_ISSUES)
 def qa_issues(spark, d):
-    """Small literal pairs with each kind of finding about terms."""
-    return P.issues(FX.pairs(spark), FX.pair_glossary(spark))
+    return term_issues(spark, d)[1]
 
 
 _PENALTY = "CASE type " + " ".join(f"WHEN '{kind}' THEN {n}" for kind, n in R.PENALTIES) + f" ELSE {R.OTHER_PENALTY} END"
 
 
-@query(f"WITH i AS ({FX.ISSUES_SQL}), p AS (SELECT unnest([1, 2, 3, 4])::BIGINT AS pair_id), c AS (SELECT pair_id, sum({_PENALTY}) AS lost, count(*) AS n FROM i GROUP BY pair_id) SELECT pair_id, greatest(0, 100 - coalesce(lost, 0))::BIGINT AS score, coalesce(n, 0)::BIGINT AS issue_count FROM p LEFT JOIN c USING (pair_id)")
+@query(f"WITH i AS ({_TERM_ISSUES}), q AS (SELECT pair_id, sum({_PENALTY}) AS lost, count(*) AS n FROM i GROUP BY pair_id), {PAIRS} SELECT conv_id * 1000 + turn AS pair_id, greatest(0, 100 - coalesce(lost, 0))::BIGINT AS score, coalesce(n, 0)::BIGINT AS issue_count FROM p LEFT JOIN q ON q.pair_id = conv_id * 1000 + turn")
 def qa_scores(spark, d):
-    return P.scores(FX.pairs(spark), P.issues(FX.pairs(spark), FX.pair_glossary(spark)))
+    return P.scores(*term_issues(spark, d))
 
 
 def _whole(form: str, by: str, x: str) -> str:
@@ -994,8 +1012,11 @@ def prompts(spark, d):
 
 @query()
 def prompt_fingerprints(spark, d):
-    each = [F.struct(F.lit(task).alias("task"), F.lit(code).alias("language"), PM.fingerprints(code)[task].alias("fingerprint")) for code, _, _ in R.LANGUAGES for task in ("translate", "repair", "refine", "unbreak")]
-    return spark.range(1).select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    """The policies under which the documents of each language would be asked for."""
+    each = [F.struct(F.lit(task).alias("task"), F.lit(code).alias("lang"), PM.fingerprints(code)[task].alias("fingerprint")) for code, _, _ in R.LANGUAGES for task in ("translate", "repair", "refine", "unbreak")]
+    policies = spark.range(1).select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    found = docs(spark, d).select(T.detect_language(F.col("text")).alias("lang")).groupBy("lang").agg(F.count("*").alias("documents"))
+    return found.join(F.broadcast(policies), "lang").select("lang", "documents", "task", "fingerprint")
 
 
 _KEY = "regexp_replace(lower({x}), '[^0-9a-z]+', '', 'g')"
