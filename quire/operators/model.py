@@ -258,3 +258,65 @@ def reviewed(spark: SparkSession, pairs: DataFrame, glossary: DataFrame) -> Data
     done = scratch_table(spark, RV.finalized(pairs, glossary), "reviewed")
     checked = pairs.select("pair_id", "source").join(done.select("pair_id", F.col("text").alias("target")), "pair_id")
     return done.select("pair_id", "text").join(RV.report(checked, glossary).select("pair_id", "score", "issue_count"), "pair_id")
+
+
+@dataclass(frozen=True)
+class Routed:
+    """Several models as one: a prompt begins with the name of the one that it is for."""
+
+    models: dict[str, Backend]
+
+    def generate(self, prompt: str, attempt: int) -> str:
+        name, _, rest = prompt.partition(ROUTE)
+        return self.models[name].generate(rest, attempt)
+
+
+ROUTE = "\x1f"
+
+
+def _routed(prompt: Column) -> Column:
+    return F.concat(F.col("model"), F.lit(ROUTE), prompt)
+
+
+def grid(spark: SparkSession, docs: DataFrame, translators: dict[str, Backend], refiners: dict[str, Backend] | None = None, language: str = "en", config: Config | None = None, calls: Calls | None = None) -> DataFrame:
+    """(doc_id, model, refiner, source, target, status, seconds): each text by each translator, and each translation by each refiner.
+
+    The model is a column: one job asks all translators, and one all refiners; a translation is made once and crossed
+    with the refiners.  refiner is null where a translation stands alone.  seconds are those of the calls, both steps';
+    status is ok if all calls had answers.  Scores are ``scored``'s, ranks ``ordered.bench_rank``'s.
+    """
+    config = config or Config()
+    names = lambda models: F.explode(F.array(*[F.lit(m) for m in models]))
+    chunks = K.chunk_strict(docs, config.translate_chunk_chars).select("doc_id", "chunk_idx", "text").withColumn("model", names(translators))
+    asked = ask(spark, chunks, _routed(prompts.translation(F.col("text"), None, None, T.classify_chunk(F.col("text")), language)), Routed(translators), ok=filled, calls=calls)
+    answer = W.drop_marker_lines(F.coalesce(W.between_markers(F.coalesce("answer", "text")), F.col("text")))
+    output = W.postprocess_translation(RP.guarded(F.col("text"), answer, answer, "translate"), F.col("text"))
+    parts = asked.select("doc_id", "chunk_idx", "model", F.lit(None).cast("string").alias("refiner"), output.alias("output"), "status", "seconds")
+    whole = scratch_table(spark, _whole(parts), "grid-translated")
+    if not refiners:
+        return whole.join(docs.select("doc_id", F.col("text").alias("source")), "doc_id").select("doc_id", "model", "refiner", "source", "target", "status", "seconds")
+    crossed = scratch_table(spark, whole.withColumn("refiner", names(refiners)).withColumn("row", F.monotonically_increasing_id()), "grid-crossed")
+    again = K.chunk_strict(crossed.select(F.col("row").alias("doc_id"), F.col("target").alias("text")), config.refine_chunk_chars).withColumnRenamed("doc_id", "row")
+    again = again.join(crossed.select("row", "doc_id", F.col("model").alias("translator"), "refiner"), "row").withColumn("model", F.col("refiner"))
+    asked = ask(spark, again, _routed(prompts.refinement(F.col("text"), None, language)), Routed(refiners), ok=filled, calls=calls)
+    parsed = rewritten(asked.withColumn("given", F.coalesce("answer", F.lit(""))), lambda t: (prose.sanitized_refinement(t), 0), ["none"], ("given",), "clean").drop("none")
+    judged = parsed.withColumn("r", RP.refined_chunk(F.col("text"), RP.guarded(F.col("text"), F.col("given"), F.col("clean"))))
+    better = F.when(F.col("r.ok") & (F.col("r.text") != ""), F.col("r.text")).otherwise(F.col("text"))
+    parts = judged.select("doc_id", "chunk_idx", F.col("translator").alias("model"), "refiner", better.alias("output"), "status", "seconds")
+    first = whole.select("doc_id", "model", F.col("seconds").alias("before"), F.col("status").alias("first_status"))
+    both = _whole(parts).join(first, ["doc_id", "model"]).withColumns({"seconds": F.col("seconds") + F.col("before"), "status": F.when(F.col("first_status") == "ok", F.col("status")).otherwise("failed")})
+    both = scratch_table(spark, both.select(whole.columns), "grid-refined")
+    out = whole.union(both).join(docs.select("doc_id", F.col("text").alias("source")), "doc_id")
+    return out.select("doc_id", "model", "refiner", "source", "target", "status", "seconds")
+
+
+def _whole(parts: DataFrame) -> DataFrame:
+    texts = F.array_sort(F.collect_list(F.struct("chunk_idx", "output")))
+    status = F.when(F.count_if(F.col("status") != "ok") == 0, "ok").otherwise("failed")
+    return parts.groupBy("doc_id", "model", "refiner").agg(F.array_join(F.transform(texts, lambda p: p["output"]), "\n\n").alias("target"), status.alias("status"), F.sum("seconds").alias("seconds"))
+
+
+def scored(spark: SparkSession, rows: DataFrame, glossary: DataFrame) -> DataFrame:
+    """``rows`` of ``grid`` with score, by the quality checks of each pair of texts."""
+    named = scratch_table(spark, rows.withColumn("pair_id", F.concat_ws(ROUTE, "doc_id", "model", F.coalesce("refiner", F.lit("")))), "grid-rows")
+    return named.join(RV.report(named.select("pair_id", "source", "target"), glossary).select("pair_id", "score"), "pair_id").drop("pair_id")
