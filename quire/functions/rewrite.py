@@ -194,23 +194,35 @@ EDITORS: dict[str, tuple[Callable[[Column], Column], str]] = {
 }
 
 
-def edit(c: Column, modes: Sequence[str] = tuple(EDITORS), replacements: dict[str, str] | None = None) -> Column:
-    """The editors' passes over each line, with configured replacements after the first."""
+CONSISTENCY = "names and forms as the editors' memory has them"
+
+
+def consistent(x: Column, memory: dict) -> Column:
+    """A line with what an editors' memory replaces: its ``replacements``, whatever their case, and the forms it prefers."""
+    given = memory.get("replacements")
+    for old, new in (given if isinstance(given, dict) else {}).items():
+        if isinstance(old, str) and isinstance(new, str) and old:
+            x = F.regexp_replace(x, "(?iu)\\Q" + old.replace("\\E", "\\E\\\\E\\Q") + "\\E", new.replace("\\", "\\\\").replace("$", "\\$"))
+    return rewrite(x, [(pattern, by) for name, pattern, by in R.EDITOR_PREFERENCES if memory.get(name)])
+
+
+def edit(c: Column, modes: Sequence[str] = tuple(EDITORS), replacements: dict[str, str] | None = None, memory: dict | None = None) -> Column:
+    """The editors' passes over each line; what their memory tells comes after the first."""
+    memory = {**(memory or {}), **({"replacements": replacements} if replacements else {})}
 
     def line(x: Column) -> Column:
         for mode in modes:
             x = EDITORS[mode][0](x)
             if mode == "editor-lite":
-                for old, new in (replacements or {}).items():
-                    x = F.regexp_replace(x, "(?iu)\\Q" + old.replace("\\E", "\\E\\\\E\\Q") + "\\E", new.replace("\\", "\\\\").replace("$", "\\$"))
+                x = consistent(x, memory)
         return x
 
     return each_line(c, line)
 
 
-def changes(docs: DataFrame, mode: str) -> DataFrame:
+def changes(docs: DataFrame, mode: str, memory: dict | None = None) -> DataFrame:
     """(doc_id, line, before, after, reason, mode) of the lines that an editor changes; lines from 1."""
-    f, reason = EDITORS[mode]
+    f, reason = EDITORS[mode] if mode in EDITORS else (lambda x: consistent(x, memory or {}), CONSISTENCY)
     rows = docs.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "before")).withColumn("after", f(F.col("before")))
     return rows.filter("before <> after").select("doc_id", (F.col("i") + 1).cast("bigint").alias("line"), "before", "after", F.lit(reason).alias("reason"), F.lit(mode).alias("mode"))
 

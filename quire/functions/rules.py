@@ -364,3 +364,5 @@ CONTENTS_LINES, CONTENTS_MARKS, CONTENTS_BODY, CONTENTS_SHARE = 200, 4, 50, 0.6
 PROSE_BETWEEN_QUOTES = 8
 # lengths of entries of contents, of inline marks and of lines with few letters, and how few letters those have
 ENTRY_CHARS, MARK_CHARS, THIN_CHARS, THIN_LETTERS = 120, 180, 140, 0.65
+# what the editors' memory may prefer: (name, pattern, replacement)
+EDITOR_PREFERENCES = (("past_preference", r"(?U)\b[eE]ra como se (ele|ela) é\b", "era como se $1 fosse"),)

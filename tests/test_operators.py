@@ -128,6 +128,8 @@ def test_rewrites(spark):
     assert one(spark, W.between_markers, "x ### TEXTO_TRADUZIDO_INICIO\nolá\n### TEXTO_TRADUZIDO_FIM y") == "olá"
     assert one(spark, W.edit, "o o gato , aqui") == "o gato, aqui"
     assert one(spark, lambda c: W.edit(c, replacements={"a$b": "x\\y"}), "um A$B") == "um x\\y"
+    assert one(spark, lambda c: W.edit(c, memory={"replacements": {"mara": "Mara", "": "x", "b": 3}, "past_preference": True}), "MARA, Era como se ela é b") == "Mara, era como se ela fosse b"
+    assert one(spark, lambda c: W.edit(c, memory={"replacements": "none"}), "Era como se ele é") == "Era como se ele é"
     assert one(spark, W.output_text, '{"output":[{"content":[{"text":"a"},{"text":"b"}]}]}') == "ab"
     assert one(spark, W.suggestions, "key: Mara\npt: Mara\n---\nkey: Thread") == [{"key": "Mara", "pt": "Mara"}, {"key": "Thread"}]
 
