@@ -20,7 +20,13 @@ of a group of copies they are nearest to what was copied.  Then its nodes meet p
 each shingle in it) allow the similarity become rows: two sketches differ in no more bits than the sets differ in
 shingles, so that bound loses no pair, and few pass it that are not similar.
 
-Defined results.  Texts without words are one group.  Fewer words than a shingle make one shingle.
+A document's shingles are made once: its fingerprint, its size and its first shingles are written, and one row a node
+is kept of them, so that a text costs the search the same whether it is there once or a million times.
+
+Defined results.  Texts without words, null ones among them, are one group.  Fewer words than a shingle make one
+shingle.  Of rows that tie in doc_id the one of least text hash stays, of rows that are equal in both one; a null doc_id
+comes after all others.  Very long texts are whole sets like others.  Columns besides doc_id and text pass through,
+whatever their names.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,11 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import simhash
-from quire.llm.shared import Tables, components, join_unique
+from quire.llm.shared import Tables, components, join_spread, join_unique
 
 SHINGLE = 5
 #: Bits in which fingerprints of a pair may differ, and how many such neighbours a node is verified with.
@@ -50,8 +56,9 @@ CENTRES = 4
 #: Bits of an odd sketch.
 SKETCH = 1024
 ROWS = 1 << 17
-FEW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
-PLACES = "bucket bigint, node bigint, n int, pos int"
+#: Texts or sets that a Python worker gets at a time: so many bytes, however many rows these are.
+BOUNDED = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+PRINTS = "doc_id bigint, th bigint, fp bigint, sim bigint, n int, firsts array<bigint>"
 
 
 def shingle_set(data: bytes) -> np.ndarray:
@@ -92,10 +99,18 @@ def _each_set(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
     return (shingle_set(t.as_py() or b"") for t in batch.column(column).cast(pa.binary()))
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        both = [(node_of(s), simhash.majority(s)) for s in _each_set(batch, 1)]
-        yield pa.record_batch([batch.column(0), batch.column(2), _signed([n for n, _ in both]), _signed([p for _, p in both])], names=["doc_id", "th", "fp", "sim"])
+def _printer(late):
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for s in _each_set(batch, 1):
+                made.append((node_of(s), simhash.majority(s), len(s), prefix(s, late.value) if len(s) else s))
+            fp, sim, n, firsts = zip(*made, strict=True) if made else ((), (), (), ())
+            ends = np.cumsum([0] + [len(f) for f in firsts]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([np.zeros(0, dtype=np.uint64), *firsts])))
+            yield pa.record_batch([batch.column(0), batch.column(2), _signed(fp), _signed(sim), pa.array(n, pa.int32()), lists], names=["doc_id", "th", "fp", "sim", "n", "firsts"])
+
+    return prints
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,21 +129,6 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array([odd_sketch(s) for s in _each_set(batch, 1)], pa.binary())], names=["node", "sketch"])
 
 
-def _placer(late):
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(_each_set(batch, 0))
-            firsts = [prefix(s, late.value) if len(s) else s for s in sets]
-            k = np.array([len(f) for f in firsts], dtype=np.int64)
-            bucket = np.concatenate(firsts) if firsts else np.zeros(0, dtype=np.uint64)
-            node = np.repeat(np.array([node_of(s) for s in sets], dtype=np.uint64), k)
-            n = np.repeat(np.array([len(s) for s in sets], dtype=np.int32), k)
-            pos = (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)).astype(np.int32)
-            yield pa.record_batch([_signed(bucket), _signed(node), pa.array(n), pa.array(pos)], names=["bucket", "node", "n", "pos"])
-
-    return places
-
-
 def _may(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether sets whose first common shingle is at these places can be similar: overlap of 4/9 of both sizes."""
     left = np.minimum(n[i] - pos[i], n[j] - pos[j]).astype(np.int64)
@@ -160,9 +160,6 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.concat_arrays([x, y]) for x, y in zip(*cols, strict=True)], names=["a", "b", "large"])
 
     for bucket, n, node, pos in _whole_buckets(batches):
-        same = (bucket[1:] == bucket[:-1]) & (node[1:] == node[:-1])
-        once = np.concatenate([[True], ~same])
-        bucket, n, node, pos = bucket[once], n[once], node[once], pos[once]
         ends = np.searchsorted(bucket, bucket, "right")
         starts = np.searchsorted(bucket, bucket, "left")
         large = np.unique(starts[ends - starts > SMALL])
@@ -239,10 +236,11 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, tables: Tables
         pairs = pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     pairs = tables.cut(pairs, "near-pairs")
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sets = tables.cut(of_nodes(docs, nodes, wanted, _sets, "grams"), "near-sets")
+    sets = tables.cut(of_nodes(docs, nodes, wanted, _sets, "grams"), "near-sets", BOUNDED)
     side = lambda k, name: sets.select(F.col("node").alias(k), F.col("grams").alias(name))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    out = tables.cut(both.mapInArrow(_verify, "a bigint, b bigint"), "near-links", FEW_ROWS)
+    # a hub's set has several rows where it has many pairs, and no task gets them all
+    both = join_spread(join_spread(pairs, side("a", "x"), "a"), side("b", "y"), "b", pairs).select("a", "b", "x", "y")
+    out = tables.cut(both.mapInArrow(_verify, "a bigint, b bigint"), "near-links", BOUNDED)
     tables.drop(pairs)
     tables.drop(sets)
     return out
@@ -253,25 +251,25 @@ def print_pairs(spark: SparkSession, nodes: DataFrame, tables: Tables) -> DataFr
     heads = nodes.groupBy("sim").agg(F.min("fp").alias("head"), F.count("*").alias("rows"))
     heads = tables.cut(heads, "near-heads")
     links = simhash.near_links(spark, heads.select(F.col("sim").alias("fp")), tables, RADIUS, pairs=True, equal=EQUAL)
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    near = links.groupBy(high.alias("a")).agg(F.collect_set(F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"), low.alias("b"))).alias("near"))
-    near = near.select("a", F.explode(F.slice(F.array_sort("near"), 1, NEAREST)).alias("n")).select("a", "n.b")
+    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    near = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), bits.alias("bits")).distinct()
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))).filter(F.col("rank") <= NEAREST)
+    near = tables.cut(near.select("a", "b"), "near-nearest")
     side = lambda k, name: heads.select(F.col("sim").alias(k), F.col("head").alias(name))
-    near = near.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    near = join_spread(near, side("b", "y"), "b").join(side("a", "x"), "a").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = join_unique(nodes.select("fp", "sim"), heads, ["sim"]).filter("fp <> head")
     return near.union(equal.select(F.col("fp").alias("a"), F.col("head").alias("b")))
 
 
 def linked(spark: SparkSession, docs: DataFrame, nodes: DataFrame, tables: Tables) -> DataFrame:
-    """(node, root) of the nodes that are linked with others; ``docs``: doc_id, th, text; ``nodes``: fp, th, first, sim."""
+    """(node, root) of the nodes that are linked with others; ``docs``: doc_id, th, text; ``nodes``: fp, th, first, sim, n, firsts."""
     links = verified(docs, nodes, print_pairs(spark, nodes, tables), tables)
     return rest(spark, docs, nodes, links, tables)
 
 
 def rest(spark: SparkSession, docs: DataFrame, nodes: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
     """``linked`` by ``links`` (a, b) and all similar pairs that they leave in two components."""
-    late = spark.sparkContext.broadcast(frequent(docs))
-    places = docs.select("text").mapInArrow(_placer(late), PLACES)
+    places = nodes.select(F.posexplode("firsts").alias("pos", "bucket"), F.col("fp").alias("node"), "n")
     rows = places.repartition("bucket").sortWithinPartitions("bucket", "n", "node").select("bucket", "n", "node", "pos")
     met = tables.cut(rows.mapInArrow(_meet, "a bigint, b bigint, large bigint"), "near-met")
     pairs = met.filter("a is not null").select("a", "b")
@@ -279,7 +277,7 @@ def rest(spark: SparkSession, docs: DataFrame, nodes: DataFrame, links: DataFram
     roots = components(spark, links, tables)
     large = met.filter("large is not null").select(F.col("large").alias("bucket"))
     if not large.isEmpty():
-        rest = places.join(large, "bucket", "left_semi").distinct().join(roots, "node", "left")
+        rest = places.join(large, "bucket", "left_semi").join(roots, "node", "left")
         rest = tables.cut(rest.select("bucket", "n", "node", "pos", F.coalesce("root", "node").alias("root")), "near-rest")
         mixed = rest.groupBy("bucket").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l <> h").select("bucket")
         rest = tables.cut(rest.join(mixed, "bucket", "left_semi"), "near-mixed")
@@ -296,11 +294,14 @@ def representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that have the least doc_id of their group, one row a group, as in ``simhash``."""
     tables = Tables(spark)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    prints = tables.cut(texts.mapInArrow(_prints, "doc_id bigint, th bigint, fp bigint, sim bigint"), "near-prints")
-    firsts = tables.cut(prints.groupBy("th").agg(F.min("doc_id").alias("first")), "near-firsts")
-    nodes = prints.groupBy("fp").agg(F.min("th").alias("th"), F.count("*").alias("rows"), F.min("sim").alias("sim"))
-    nodes = tables.cut(nodes.join(firsts, "th").select("fp", "th", "first", "rows", "sim"), "near-nodes")
-    roots = linked(spark, texts, nodes.select("fp", "th", "first", "sim"), tables)
+    late = spark.sparkContext.broadcast(frequent(texts))
+    made = tables.cut(texts.mapInArrow(_printer(late), PRINTS), "near-made", BOUNDED)
+    prints = tables.cut(made.select("doc_id", "th", "fp"), "near-prints")
+    # one row a node: of equal sets, that of one text and document
+    named = F.min(F.struct("th", "doc_id")).alias("named")
+    nodes = made.groupBy("fp").agg(named, F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("sim", "n", "firsts")])
+    nodes = tables.cut(nodes.select("fp", "named.th", F.col("named.doc_id").alias("first"), "rows", "sim", "n", "firsts"), "near-nodes")
+    tables.drop(made)
+    roots = linked(spark, texts, nodes, tables)
     joined = tables.cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "rows"), "near-rooted")
-    prints = prints.drop("sim")
     return simhash.least_rows(docs, prints, join_unique(prints, joined, ["fp"]), tables)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 DEFAULT_ROOT = "file:///tmp/checkpoints/quire"
 #: A key that holds more than 1/HOT of all rows is hot; so at most HOT keys are.
 HOT = 1000
+#: Rows of one key that a task takes in any case.
+FEW = 256
 #: Set while intermediate tables are written: their shuffle files go as soon as the table is there.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
@@ -132,6 +134,23 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return out.select(*cols)
 
 
+def join_spread(left: DataFrame, right: DataFrame, key: str, rows: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row a key, of any width: nothing of ``right`` is broadcast.
+
+    Rows of a key that holds more than 1/HOT of ``left`` are dealt to copies of its row, so that no task gets more of
+    them; there are 2 HOT copies at most.  Rows are counted, and dealt by the columns, in ``rows``, a table: by default
+    ``left``, else that of which ``left`` is made.
+    """
+    rows = left if rows is None else rows
+    share = max(rows.count() // HOT, FEW)
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > share)
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("_n") / share).alias("_shards")))
+    shards = F.coalesce("_shards", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), shards)).drop("_shards")
+    copies = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1))).drop("_shards")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -139,22 +158,23 @@ def ascii_lower(c: Column) -> Column:
 def components(spark: SparkSession, links: DataFrame, tables: Tables) -> DataFrame:
     """Connected components of ``links`` (a bigint, b bigint): (node, root), root the least node reachable.
 
-    Alternating large-star and small-star steps: each is one shuffle of the links with a partial minimum; no
-    node's neighbours are gathered in one task, and nothing but one count a round comes to the driver.
+    Alternating large-star and small-star steps: the least neighbours come by partial minima, and links meet them by
+    ``join_unique``, so the links of a hub stay where they are: no task holds more than 1/HOT of them by one node.
+    Counts of rows alone come to the driver.
     """
     sides = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
     edges = tables.cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
         # large star: each neighbour above u is linked with the least of u and its neighbours
         both = sides(edges)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).select("u", F.least("u", "m").alias("m"), "rows")
         least = tables.cut(least, "least")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = join_unique(both.filter("v > u"), least, ["u"], how="inner").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = tables.cut(large, "large")
         # small star: each neighbour below u, and u, are linked with the least of them
-        down = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        down = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("rows"))
         down = tables.cut(down, "down")
-        small = large.withColumnRenamed("a", "u").join(down, "u").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        small = join_unique(large.withColumnRenamed("a", "u"), down, ["u"], how="inner").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
         after = tables.cut(small.filter("a <> b").distinct(), "links")
         same = edges.exceptAll(after).isEmpty() and after.exceptAll(edges).isEmpty()
         for t in (edges, least, large, down):

@@ -4,7 +4,8 @@ import pytest
 
 from quire.llm import nearcopies as nc
 from quire.llm import simhash as sh
-from quire.llm.shared import Tables, components
+from quire.llm import shared
+from quire.llm.shared import Tables, components, join_spread
 
 from .helpers import corpus, documents, words
 from .test_simhash import brute_components, brute_print
@@ -90,3 +91,34 @@ def test_the_stage_links_by_prints_and_verifies(spark, monkeypatch, radius):
     assert near.bit_count() <= nc.RADIUS and far.bit_count() <= 24
     kept = cp.near_duplicates(spark, documents(spark, rows), "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5] and seen == [1]
+
+
+def test_a_text_with_many_copies_is_one_row_of_first_shingles(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(nc, "rest", lambda spark, docs, nodes, links, tables: seen.extend(nodes.collect()) or components(spark, links, tables))
+    text, other = words(60, 300), words(61, 50)
+    kept = cp.near_duplicates(spark, documents(spark, [(i, text) for i in range(1, 2001)] + [(3000, other)]), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3000]
+    whole = {r.n: r.firsts for r in seen}
+    n = len(brute_set(text))
+    assert len(seen) == 2 and len(whole[n]) == len(set(whole[n])) == n - -(-4 * n // 5) + 1
+
+
+def test_a_hub_is_dealt_out_and_joins_as_before(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT", 10)
+    monkeypatch.setattr(shared, "FEW", 4)
+    left = spark.createDataFrame([(1, i) for i in range(400)] + [(2 + i % 30, i) for i in range(100)], "a bigint, b bigint")
+    right = spark.createDataFrame([(k, bytes([k])) for k in range(20)], "a bigint, x binary")
+    plain = sorted((r.a, r.b, bytes(r.x)) for r in left.join(right, "a").collect())
+    out = join_spread(left, right, "a")
+    assert sorted((r.a, r.b, bytes(r.x)) for r in out.collect()) == plain
+    both = join_spread(out, right.selectExpr("a b", "x y"), "b", left)
+    assert sorted((r.a, r.b, bytes(r.x), bytes(r.y)) for r in both.collect()) == [(a, b, x, bytes([b])) for a, b, x in plain if b < 20]
+
+
+def test_components_of_a_star_and_a_path(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT", 10)
+    links = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(20)] + [(2001, 2000), (7, 7)]
+    roots = components(spark, spark.createDataFrame(links, "a bigint, b bigint"), Tables(spark))
+    want = {i: 0 for i in range(1, 300)} | {1001 + i: 1000 for i in range(20)} | {2001: 2000}
+    assert {r.node: r.root for r in roots.collect()} == want
