@@ -198,12 +198,33 @@ def safe_reflow(docs: DataFrame) -> DataFrame:
     return rewritten(docs.select("doc_id", "text"), reflow_text, ["joins"])
 
 
-def ratio_at_least(a: str, b: str, least: float) -> bool:
-    """Whether the sequence matcher's ratio reaches ``least``; cheap bounds decide most pairs."""
+def in_common_order(a: str, b: str) -> int:
+    """The length of the longest common subsequence, by one row of bits a character of ``b``."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for c in b:
+        met = row & places.get(c, 0)
+        row = (row + met | row - met) & whole
+    return len(a) - row.bit_count()
+
+
+def may_reach(a: str, b: str, least: float) -> bool:
+    """Whether the sequence matcher's ratio can reach ``least``, whichever text comes first.
+
+    What it matches stands in common order in both texts, so lengths and the longest common subsequence bound it, and
+    nearly all pairs below ``least`` are decided without it.
+    """
     if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
         return False
-    m = SequenceMatcher(None, a, b)
-    return m.quick_ratio() >= least and m.ratio() >= least
+    return a == b or 2.0 * in_common_order(a, b) / (len(a) + len(b)) >= least
+
+
+def ratio_at_least(a: str, b: str, least: float) -> bool:
+    """Whether the sequence matcher's ratio reaches ``least``."""
+    return may_reach(a, b, least) and SequenceMatcher(None, a, b).ratio() >= least
 
 
 def alike(least: float) -> Callable[[str, str], bool]:
@@ -302,7 +323,8 @@ def _verified(least: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, ("tx", "ty")):
             texts = list(zip(batch["tx"].to_pylist(), batch["ty"].to_pylist(), strict=True))
-            ways = [[ratio_at_least(x, y, least) for x, y in texts], [ratio_at_least(y, x, least) for x, y in texts]]
+            may = [may_reach(x, y, least) for x, y in texts]
+            ways = [[ok and SequenceMatcher(None, *pair[::way]).ratio() >= least for ok, pair in zip(may, texts, strict=True)] for way in (1, -1)]
             yield pa.record_batch([batch["doc_id"], batch["x"], batch["y"], *[pa.array(w, pa.bool_()) for w in ways]], names=["doc_id", "x", "y", "xy", "yx"])
 
     return verify
@@ -334,7 +356,7 @@ def near_duplicate_pairs(chunks: DataFrame, least: float = 0.95, block: int = BL
     two = counted.join(meet.filter("i < j").withColumn("block", F.col("j")), ["doc_id", "block"]).select("doc_id", "i", "j", "at", "size", "counts", F.lit(1).alias("side"), last)
     found = one.union(two).groupBy("doc_id", "i", "j").applyInArrow(_candidates(least), "doc_id bigint, x int, y int")
     named = lambda n: distinct.select("doc_id", F.col("at").alias(n), F.col("norm").alias(f"t{n}"))
-    tried = found.join(named("x"), ["doc_id", "x"]).join(named("y"), ["doc_id", "y"]).select("doc_id", "x", "y", "tx", "ty")
+    tried = scratch_table(spark, found, "candidates").join(named("x"), ["doc_id", "x"]).join(named("y"), ["doc_id", "y"]).select("doc_id", "x", "y", "tx", "ty")
     near = scratch_table(spark, tried.mapInArrow(_verified(least), "doc_id bigint, x int, y int, xy boolean, yx boolean").filter("xy or yx"), "near-texts")
     members = rows.join(distinct.select("doc_id", "norm", "at", "copies"), ["doc_id", "norm"]).select("doc_id", "at", "copies", "chunk_idx")
     side = lambda n, c: members.select("doc_id", F.col("at").alias(n), F.col("chunk_idx").alias(c))
