@@ -64,13 +64,15 @@ class Bits:
 
 def canonical(lengths: Sequence[int]) -> np.ndarray:
     """Codes for code lengths, in the order of lengths then symbols."""
-    lengths = np.asarray(lengths)
-    codes, code = np.zeros(len(lengths), dtype=np.int64), 0
+    lengths = np.asarray(lengths, dtype=np.int64)
+    counts = np.bincount(lengths, minlength=16)
+    order = np.argsort(lengths, kind="stable")[counts[0] :]
+    codes, first, code = np.zeros(len(lengths), dtype=np.int64), np.zeros(16, dtype=np.int64), 0
     for n in range(1, 16):
-        code <<= 1
-        for s in np.flatnonzero(lengths == n):
-            codes[s] = code
-            code += 1
+        first[n] = code = code << 1
+        code += int(counts[n])
+    ends = np.cumsum(counts) - counts[0]
+    codes[order] = first[lengths[order]] + np.arange(len(order)) - (ends - counts)[lengths[order]]
     return codes
 
 
@@ -78,25 +80,37 @@ def reverse(code: int, n: int) -> int:
     return int(format(code, f"0{n}b")[::-1], 2) if n else 0
 
 
+#: The numbers of 16 bits, turned around.
+REVERSED = np.array([reverse(x, 16) for x in range(1 << 16)], dtype=np.int64)
+
+
+def reversed_codes(lengths: Sequence[int]) -> np.ndarray:
+    """The canonical codes of a complete prefix code, turned around; 0 for symbols without one."""
+    return REVERSED[canonical(lengths)] >> (16 - np.asarray(lengths))
+
+
 class PrefixCode:
     """A table of 2**bits entries, each symbol << 4 | length."""
 
     def __init__(self, lengths: Sequence[int]):
-        used = np.flatnonzero(np.asarray(lengths))
+        lengths = np.asarray(lengths, dtype=np.int64)
+        used = np.flatnonzero(lengths)
         if len(used) == 1:  # the only symbol takes no bits
             self.bits, self.table = 0, np.array([used[0] << 4], dtype=np.int64)
-            return
-        self.bits = int(max(lengths, default=0))
-        self.table = np.full(1 << self.bits, -1, dtype=np.int64)
-        for s, code in zip(used, canonical(lengths)[used], strict=True):
-            n = lengths[s]
-            self.table[reverse(int(code), n) :: 1 << n] = s << 4 | n
-        if (self.table < 0).any():
-            raise ValueError("a prefix code is not complete")
+        else:
+            self.bits = int(lengths.max(initial=0))
+            used = used[np.argsort(lengths[used], kind="stable")]
+            table = np.repeat(used << 4 | lengths[used], 1 << (self.bits - lengths[used]))
+            if len(table) != 1 << self.bits:
+                raise ValueError("a prefix code is not complete")
+            self.table = table[REVERSED[: len(table)] >> (16 - self.bits)]
+        self.cells, self.mask = memoryview(self.table), (1 << self.bits) - 1
 
     def read(self, bits: Bits) -> int:
-        x = int(self.table[bits.peek(self.bits)])
-        bits.at += x & 15
+        at = bits.at
+        i = at >> 3
+        x = self.cells[int.from_bytes(bits.data[i : i + 8], "little") >> (at & 7) & self.mask]
+        bits.at = at + (x & 15)
         return x >> 4
 
 
@@ -386,20 +400,22 @@ def _in_step(group: list[PrefixCode], images: list, out: list) -> None:
     pixels = np.zeros(int(n.sum()), dtype=np.int64)
     place = np.cumsum(n) - n
     alive = np.ones(len(images), dtype=bool)
-    tables = [(g.table.astype(np.int32), np.uint32((1 << g.bits) - 1)) for g in group[:4]]
-    last = len(words) - 1
+    tables = [(g.table.astype(np.uint32), np.uint32(g.mask), g.bits) for g in group[:4]]
+    refers = bool((group[0].table >> 4 > 255).any())
     for step in range(int(n[0])):
         live = int(np.searchsorted(-n, -step, "left"))  # the images that have a pixel here come first
-        here, value = at[:live], np.zeros(live, dtype=np.int64)
-        for (table, mask), shift in zip(tables, (8, 16, 0, 24), strict=True):
+        here, value, room = at[:live], np.zeros(live, dtype=np.int64), 0
+        for (table, mask, bits), shift in zip(tables, (8, 16, 0, 24), strict=True):
             if not mask:
-                s = table[0] >> 4
-                value |= int(s) << shift
+                value |= int(table[0] >> 4) << shift
                 continue
-            x = table[(words[np.minimum(here >> 3, last)] >> (here & 7).astype(np.uint32)) & mask]
-            here += x & 15
-            s = x >> 4
-            if shift == 8 and (s > 255).any():
+            if room < bits:  # a word serves as many codes as surely fit its 25 bits
+                word, room = words.take(here >> 3, mode="clip") >> (here & 7).astype(np.uint32), 25
+            x = table.take(word & mask)
+            used, s = x & np.uint32(15), x >> np.uint32(4)
+            here += used
+            word, room = word >> used, room - bits
+            if shift == 8 and refers:
                 alive[:live] &= s < 256
             value |= s.astype(np.int64) << shift
         pixels[place[:live] + step] = value
@@ -440,8 +456,8 @@ def write_lengths(w: BitWriter, lengths: Sequence[int], symbols: int) -> None:
     for s in CODE_ORDER:
         w.put(4 if s < 16 else 0, 3)
     w.put(0, 1)
-    for n in [*lengths, *[0] * (symbols - len(lengths))]:
-        w.put(reverse(int(n), 4), 4)
+    digits = ["084c2a6e195d3b7f"[n] for n in lengths]  # 4 bits each, turned around
+    w.put(int("".join(reversed(digits)), 16), 4 * symbols)
 
 
 def write_one(w: BitWriter, symbol: int) -> None:
@@ -453,7 +469,7 @@ def write_one(w: BitWriter, symbol: int) -> None:
 def fixed_codes() -> tuple[np.ndarray, np.ndarray, int, int]:
     """Reversed codes and lengths of byte values, and the bits that declare them."""
     lengths = text_lengths()
-    codes = np.array([reverse(int(c), int(n)) for c, n in zip(canonical(lengths), lengths, strict=True)])
+    codes = reversed_codes(lengths)
     w = BitWriter()
     w.put(0, 3)  # no transform, no cache, one group
     for symbols in (280, 256, 256):
@@ -640,7 +656,7 @@ def put_pixels(w: BitWriter, pixels: np.ndarray, width: int, main: bool, refer:
         write_lengths(w, lengths, size)
         if len(used) == 1:
             continue  # the only symbol takes no bits
-        codes = np.array([reverse(int(c), m) for c, m in zip(canonical(lengths), lengths, strict=True)])
+        codes = reversed_codes(lengths)
         at = (0, 2, 3, 4, 5)[k]
         value[:, at], n[:, at] = np.where(s >= 0, codes[s], 0), np.where(s >= 0, np.array(lengths)[s], 0)
     value[:, 1], n[:, 1], value[:, 6], n[:, 6] = extra.T

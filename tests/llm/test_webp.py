@@ -288,3 +288,20 @@ def test_tall_payloads_are_several_files(monkeypatch):
     payload = bytes(range(192)) * 8
     media = w.store([payload])[0]
     assert len(w.files_of(media)) == 3 and w.load([media])[0].tobytes() == payload
+
+
+def test_codes_are_made_by_arrays_and_a_code_of_too_many_or_too_few_symbols_is_refused():
+    for lengths in ([1, 2, 2], [2, 0, 2, 1], w.text_lengths().tolist(), [15, 15, *range(14, 0, -1)]):
+        codes = w.canonical(lengths)
+        plain = [w.reverse(int(c), n) if n else 0 for c, n in zip(codes, lengths)]
+        assert w.reversed_codes(lengths).tolist() == plain
+        code = w.PrefixCode(lengths)
+        for s, n in enumerate(lengths):
+            if n:
+                assert set(code.table[plain[s] :: 1 << n].tolist()) == {s << 4 | n}
+    for lengths in ([1, 1, 1], [2, 2, 2], []):
+        try:
+            w.PrefixCode(lengths)
+        except ValueError:
+            continue
+        raise AssertionError(lengths)
