@@ -284,6 +284,9 @@ ARTICLES = (("o", "a"), ("O", "A"), ("do", "da"), ("Do", "Da"), ("no", "na"), ("
 AUDIT_NOISE = ("newsletter", "table of contents", "download all your favorite light novels", "favorite light novels", "sign up for", "thank you for reading", "thank you for downloading", "visit us online", "join our community")
 AUDIT_URL = "(?:https?://|www\\.)|(?:\\w+\\.(?:example|test|invalid)(?:[/?#]|$))"
 AUDIT_CONTENTS = "^(?:chapter\\s+\\d+|prologue|epilogue|afterword|color inserts|title page)$"
+#: One of these stands wherever the pattern above it can hold; looking for them is much cheaper.
+AUDIT_URL_PARTS = ("http", "www.", ".example", ".test", ".invalid")
+AUDIT_CONTENTS_PARTS = ("chapter", "prologue", "epilogue", "afterword", "color inserts", "title page")
 STORY_START = "(?i)^(?:prologue|chapter\\s+(?:\\d+|one)\\b|epilogue)"
 
 # answers of a model that tell of themselves, strictly

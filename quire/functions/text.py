@@ -244,16 +244,15 @@ def is_dash_speech(line: Column) -> Column:
 
 def attribution(line: Column) -> Column:
     """What follows the dash of a line that says who spoke, or null."""
-    body = strip(F.regexp_extract(strip(line), "^—(.*)$", 1))
-    return F.when((body != "") & ~body.rlike(R.PRONOUN_START) & body.rlike(R.ATTRIBUTION), body)
+    said = lambda s: strip(F.when(F.startswith(s, F.lit("—")), F.regexp_extract(s, "^—(.*)$", 1)).otherwise(""))
+    return let(let(strip(line), said), lambda body: F.when((body != "") & ~body.rlike(R.PRONOUN_START) & body.rlike(R.ATTRIBUTION), body))
 
 
 def is_subtitle(line: Column) -> Column:
     """Whether a line may be a chapter's subtitle: some capitalised words without a full stop."""
     n = F.size(F.filter(F.split(squeeze(line), " "), lambda w: w != ""))
-    letters = F.regexp_replace(line, "[^\\p{L}]", "")
-    shouted = (letters != "") & (F.upper(letters) == letters)
-    return line.rlike(R.SUBTITLE) & ~line.rlike("[.!?]$") & ~shouted & n.between(2, 8) & (F.length(line) <= 90) & F.substring(line, 1, 1).rlike("\\p{Lu}")
+    shouted = let(F.regexp_replace(line, "[^\\p{L}]", ""), lambda letters: (letters != "") & (F.upper(letters) == letters))
+    return (F.length(line) <= 90) & line.rlike("^\\p{Lu}") & line.rlike(R.SUBTITLE) & ~line.rlike("[.!?]$") & ~shouted & n.between(2, 8)
 
 
 def time_label(line: Column) -> Column:
@@ -267,9 +266,13 @@ def is_stub(c: Column) -> Column:
     return (s == "") | strip(F.regexp_replace(s, "^#+", "")).rlike(R.SECTION)
 
 
+def few_words(s: Column, most: int) -> Column:
+    """Whether a text without white space at its ends has ``most`` words at most; what is behind them is not looked at."""
+    return ~s.rlike(rf"(?U)^(?:[^\s\x1c-\x1f]*+[\s\x1c-\x1f]++){{{most}}}")
+
+
 def is_short_speech(line: Column) -> Column:
-    few = F.size(F.split(squeeze(line), " ")) <= 6
-    return let(strip(line), lambda s: (s != "") & (s.rlike('^["“].+["”]$') | (few & s.rlike('[?!….]["”]?$'))))
+    return let(strip(line), lambda s: (s != "") & (s.rlike('^["“].+["”]$') | (s.rlike('[?!….]["”]?$') & few_words(s, 6))))
 
 
 def starts_scene(c: Column) -> Column:
@@ -299,7 +302,9 @@ def compact(c: Column) -> Column:
 
 
 def is_obvious_noise(line: Column) -> Column:
-    test = lambda low: low.rlike(R.AUDIT_URL) | contains_any(low, R.AUDIT_NOISE) | F.regexp_replace(low, "^[ .:-]+|[ .:-]+$", "").rlike(R.AUDIT_CONTENTS) | strip(low).rlike(r"^\d{1,4}$")
+    url = lambda low: contains_any(low, R.AUDIT_URL_PARTS) & low.rlike(R.AUDIT_URL)
+    contents = lambda low: contains_any(low, R.AUDIT_CONTENTS_PARTS) & F.regexp_replace(low, "^[ .:-]+|[ .:-]+$", "").rlike(R.AUDIT_CONTENTS)
+    test = lambda low: url(low) | contains_any(low, R.AUDIT_NOISE) | contents(low) | strip(low).rlike(r"^\d{1,4}$")
     return let(F.lower(line), test)
 
 
@@ -311,21 +316,20 @@ def is_suspicious_removal(line: Column, reason: Column) -> Column:
 
 def is_valid_term(c: Column) -> Column:
     """Whether a suggestion is a term and no phrase: short, of few words, without articles."""
-    s = strip(c)
-    padded = F.concat(F.lit(" "), F.lower(s), F.lit(" "))
-    return (s != "") & (F.length(s) <= 80) & (F.size(F.split(squeeze(s), " ")) <= 6) & ~contains_any(padded, (" que ", " uma ", " um "))
+    phrase = lambda s: let(F.concat(F.lit(" "), F.lower(s), F.lit(" ")), lambda x: contains_any(x, (" que ", " uma ", " um ")))
+    return let(strip(c), lambda s: (s != "") & (F.length(s) <= 80) & few_words(s, 6) & ~phrase(s))
 
 
 def is_short_fragment(c: Column) -> Column:
-    s = strip(c)
-    words = F.filter(F.split(squeeze(F.replace(s, F.lit("—"), F.lit(""))), " "), lambda w: w != "")
-    return (s != "") & (F.length(s) <= 25) & (F.size(words) <= 2)
+    words = lambda s: F.filter(F.split(squeeze(F.replace(s, F.lit("—"), F.lit(""))), " "), lambda w: w != "")
+    return let(strip(c), lambda s: (s != "") & (F.length(s) <= 25) & (F.size(words(s)) <= 2))
 
 
 def looks_like_name(c: Column) -> Column:
     """Every word begins with a capital or joins others."""
-    words = F.regexp_extract_all(c, F.lit("([A-Za-zÀ-ÖØ-öø-ÿ]+)"), 1)
-    return (F.size(words) > 0) & F.forall(words, lambda w: F.substring(w, 1, 1).rlike("\\p{Lu}") | F.lower(w).isin(*R.NAME_CONNECTORS))
+    letter = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+    small = f"(?<!{letter})(?!(?i:{'|'.join(R.NAME_CONNECTORS)})(?!{letter}))(?={letter})[^A-ZÀ-ÖØ-Þ]"  # the first such word decides
+    return c.rlike(letter) & ~c.rlike(small)
 
 
 def residual_type(language: str) -> str:

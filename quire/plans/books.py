@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import rewrite as W
-
 #: (pattern, replacement), in a dialect that Java and RE2 share.
 RULES = (
     ("\nTh", "\n\nChapter 7: Th"),
@@ -42,7 +40,10 @@ RULES = (
 
 
 def book(c: Column) -> Column:
-    return W.rewrite(c, RULES)
+    """``c`` by ``RULES``, whose patterns are plain text with points escaped, so that no pattern is needed here."""
+    for pattern, by in RULES:
+        c = F.replace(c, F.lit(pattern.replace("\\.", ".")), F.lit(by))
+    return c
 
 
 def books(spark: SparkSession, d: str) -> DataFrame:
