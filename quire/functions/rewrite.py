@@ -15,6 +15,9 @@ from quire.functions import rules as R
 from quire.functions import text as T
 
 Rules = Sequence[tuple[str, str]]
+#: What stands alone in a line and is no text; a model's answer may have the last as well.
+LONELY = ('"', "“", "”", '"""')
+LONELY_ANSWER = (*LONELY, "'''")
 
 
 def rewrite(c: Column, rules: Rules) -> Column:
@@ -230,10 +233,10 @@ def changes(docs: DataFrame, mode: str, memory: dict | None = None) -> DataFrame
 
 def reflow_problems(original: Column, output: Column) -> Column:
     """Why a reflowed text is not accepted."""
-    dots, letters = "\\.\\.\\.|…", "[\\p{L}\\p{N}]"
-    lonely = F.exists(T.lines(output), lambda x: T.strip(x).isin('"', "“", "”", '"""'))
-    lost = (F.regexp_count(original, F.lit(letters)) > 0) & (F.regexp_count(output, F.lit(letters)) < F.regexp_count(original, F.lit(letters)) * 0.99)
-    found = F.array(F.when(lonely, F.lit("lonely_quote_line")), F.when(F.regexp_count(output, F.lit(dots)) != F.regexp_count(original, F.lit(dots)), F.lit("ellipsis_mismatch")), F.when(lost, F.lit("alnum_loss")))
+    dots = lambda c: T.occurrences(c, "...", "…")
+    letters = lambda c: T.let(c, lambda x: F.length(x) - F.length(F.regexp_replace(x, "[\\p{L}\\p{N}]+", "")))
+    lost = T.let(F.struct(letters(original).alias("n"), letters(output).alias("m")), lambda x: (x["n"] > 0) & (x["m"] < x["n"] * 0.99))
+    found = F.array(F.when(T.has_line(output, LONELY), F.lit("lonely_quote_line")), F.when(dots(output) != dots(original), F.lit("ellipsis_mismatch")), F.when(lost, F.lit("alnum_loss")))
     return F.filter(found, lambda x: x.isNotNull())
 
 
@@ -294,15 +297,22 @@ def structural(c: Column) -> Column:
 
 
 def isolate_stars(c: Column) -> Column:
-    """*** between blank lines; blank lines are one."""
-    return F.regexp_replace(F.array_join(F.transform(T.lines(c), lambda x: F.when(T.strip(x) == "***", "\n***\n").otherwise(x)), "\n"), "\n{3,}", "\n\n")
+    """*** between blank lines; blank lines are one.  Lines are made only of texts with odd breaks or a break at their end."""
+    by_lines = lambda x: F.array_join(F.transform(T.lines(x), lambda y: F.when(T.strip(y) == "***", "\n***\n").otherwise(y)), "\n")
+    apart = lambda x: F.when(T.odd_breaks(x) | F.endswith(x, F.lit("\n")), by_lines(x)).when(F.contains(x, F.lit("***")), F.regexp_replace(x, f"(?md)^[{T.SPACE}]*+\\*\\*\\*[{T.SPACE}]*+$", "\n***\n")).otherwise(x)
+    return T.let(T.let(c, apart), lambda x: F.when(F.contains(x, F.lit("\n\n\n")), F.regexp_replace(x, "\n{3,}", "\n\n")).otherwise(x))
 
 
 def unbreak_output(c: Column) -> Column:
-    """A model's unbroken text without wrappers, lone quotes, hyphens at line ends and spaces in stutters."""
-    c = unwrap_triple_quotes(c)
-    c = F.array_join(F.filter(T.lines(c), lambda x: ~T.strip(x).isin('"', "“", "”", "'''", '"""')), "\n")
-    c = F.regexp_replace(F.regexp_replace(c, "(?U)(\\w)-\\s*\\n\\s*(\\w)", "$1-$2"), "\\b([A-Za-zÀ-ÿ])-\\s+([A-Za-zÀ-ÿ])", "$1-$2")
+    """A model's unbroken text without wrappers, lone quotes, hyphens at line ends and spaces in stutters.
+
+    Lines are made and patterns are sought only where a text has what they are for.
+    """
+    without = lambda x: F.array_join(F.filter(T.lines(x), lambda y: ~T.strip(y).isin(*LONELY_ANSWER)), "\n")
+    c = T.let(unwrap_triple_quotes(c), lambda x: F.when(T.odd_breaks(x) | T.has_line(x, LONELY_ANSWER), without(x)).otherwise(x))
+    where = lambda c, needed, pattern: T.let(c, lambda x: F.when(x.rlike(needed), F.regexp_replace(x, pattern, "$1-$2")).otherwise(x))
+    c = where(c, "-[\\s\\x85\\p{Z}]*\\n", "(?U)(\\w)-\\s*\\n\\s*(\\w)")
+    c = where(c, "-(?<=[A-Za-zÀ-ÿ]-)\\s", "\\b([A-Za-zÀ-ÿ])-\\s+([A-Za-zÀ-ÿ])")
     return isolate_stars(c)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +23,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: What ends a line, as ``lines`` has it.
+BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.btrim(c, F.lit(WHITE))
@@ -231,10 +235,30 @@ def closed_unopened(c: Column) -> Column:
     return F.exists(nonblank_lines(c), lambda x: F.contains(x, F.lit("”")) & ~F.contains(x, F.lit("“")) & (F.length(strip(F.replace(x, F.lit("”"), F.lit("")))) >= 8))
 
 
+def occurrences(c: Column, *forms: str) -> Column:
+    """How often ``forms`` stand in a text, by plain replacement instead of patterns."""
+    return let(c, lambda x: reduce(lambda a, b: a + b, [((F.length(x) - F.length(F.replace(x, F.lit(f), F.lit("")))) / len(f)).cast("int") for f in forms]))
+
+
 def quote_inflation(before: Column, after: Column) -> Column:
     """Half as many quotes again, and four at least."""
-    n = lambda c: F.regexp_count(c, F.lit('["“”]'))
-    return (n(after) > n(before)) & (n(after) >= n(before) * 1.5) & (n(after) - n(before) >= 4)
+    counts = F.struct(occurrences(before, '"', "“", "”").alias("n"), occurrences(after, '"', "“", "”").alias("m"))
+    return let(counts, lambda x: (x["m"] > x["n"]) & (x["m"] >= x["n"] * 1.5) & (x["m"] - x["n"] >= 4))
+
+
+def odd_breaks(c: Column) -> Column:
+    """Whether a text has line breaks other than the usual one."""
+    return any_of([F.contains(c, F.lit(x)) for x in BREAKS if x != "\n"])
+
+
+#: White space within a line.
+SPACE = "".join(w for w in WHITE if w not in BREAKS)
+
+
+def has_line(c: Column, these: Sequence[str]) -> Column:
+    """Whether a line of a text is one of ``these`` but for white space at its ends; found without making lines."""
+    line, edge = f"[{SPACE}]*+(?:{'|'.join(these)})[{SPACE}]*+", f"[{BREAKS}]"
+    return let(c, lambda x: F.when(odd_breaks(x), x.rlike(f"(?:\\A|{edge}){line}(?:\\z|{edge})")).otherwise(x.rlike(f"(?md)^{line}$")))
 
 
 def is_dash_speech(line: Column) -> Column:

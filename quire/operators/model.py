@@ -6,8 +6,10 @@ only for its own rows again.  A failed call gives a status and never ends the jo
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,17 +45,18 @@ class StubBackend:
         text = prompt.partition('TEXT:\n"""')[2].removesuffix('"""') or prompt
         if self.flaky and attempt == 1:
             return text[: len(text) // 3]
-        return "".join(w[::-1] if w.isalpha() and w.islower() else w for w in _pieces(text))
+        parts = WORDS.split(text)
+        parts[1::2] = [(w[::-1] if w.islower() else w) if w.isalpha() else _turned(w) for w in parts[1::2]]
+        return "".join(parts)
 
 
-def _pieces(text: str) -> list[str]:
-    out: list[str] = []
-    for c in text:
-        if out and c.isalpha() and out[-1][-1].isalpha():
-            out[-1] += c
-        else:
-            out.append(c)
-    return out
+#: Letters and, rarely, numbers that are no decimal digits.
+WORDS = re.compile(r"([^\W\d_]+)")
+
+
+def _turned(mixed: str) -> str:
+    words = ("".join(x) for _, x in groupby(mixed, str.isalpha))
+    return "".join(w[::-1] if w.isalpha() and w.islower() else w for w in words)
 
 
 @dataclass(frozen=True)
@@ -245,11 +248,13 @@ def refine(spark: SparkSession, docs: DataFrame, backend: Backend | None = None,
 def unbreak(spark: SparkSession, docs: DataFrame, backend: Backend | None = None, most: int = K.MAX_CHARS, calls: Calls | None = None) -> DataFrame:
     """(doc_id, text, scenes, wraps, hyphens, fallbacks): broken lines joined by a model, by rules where its answer is not accepted."""
     asked = ask(spark, scratch_table(spark, K.chunk_strict(docs, most), "chunks"), prompts.unbreaking(F.col("text")), backend, ok=filled, calls=calls)
-    given = W.unbreak_output(F.coalesce("answer", F.lit("")))
-    lone = F.exists(T.lines(F.coalesce("answer", F.lit(""))), lambda x: T.strip(x).isin('"', "“", "”", "'''", '"""'))
-    asked = rewritten(asked.withColumn("given", given), lambda t: K.reflow_text(t), ["joins"], into="reflowed").drop("joins")
-    by_rules = F.when(lone | T.quote_inflation(F.col("text"), F.col("given")), F.col("reflowed")).when((F.col("given") == "") | (F.size(W.reflow_problems(F.col("text"), F.col("given"))) > 0), W.unbreak(F.col("text")))
-    parts = scratch_table(spark, asked.select("doc_id", "chunk_idx", F.coalesce(by_rules, F.col("given")).alias("output"), by_rules.isNotNull().alias("fallback")), "unbroken")
+    asked = asked.withColumn("given", W.unbreak_output(F.coalesce("answer", F.lit(""))))
+    quotes = T.has_line(F.coalesce("answer", F.lit("")), W.LONELY_ANSWER) | T.quote_inflation(F.col("text"), F.col("given"))
+    bad = (F.col("given") == "") | (F.size(W.reflow_problems(F.col("text"), F.col("given"))) > 0)
+    judged = asked.withColumn("rule", F.when(quotes, "reflow").when(bad, "join")).select("doc_id", "chunk_idx", "text", "given", "rule")
+    judged = rewritten(judged.withColumn("broken", F.when(F.col("rule") == "reflow", F.col("text"))), lambda t: K.reflow_text(t), ["joins"], ("broken",), "reflowed").drop("joins")
+    output = F.when(F.col("rule") == "reflow", F.col("reflowed")).when(F.col("rule") == "join", W.unbreak(F.col("text"))).otherwise(F.col("given"))
+    parts = scratch_table(spark, judged.select("doc_id", "chunk_idx", output.alias("output"), F.col("rule").isNotNull().alias("fallback")), "unbroken")
     counts = parts.groupBy("doc_id").agg(F.count_if("fallback").alias("fallbacks"))
     return PR.unbroken_globally(reassembled(parts)).join(counts, "doc_id")
 
