@@ -5,7 +5,8 @@
     spark.sql("SELECT * FROM recent_context(TABLE(SELECT id AS key, no AS seq, text FROM rows) PARTITION BY key ORDER BY seq)")
 
 Rows travel in Arrow batches.  A function over a partition holds no more of it than its result needs: the last texts
-within the context's bounds, or the stubs since the last chunk.  A null text is an empty one.
+within the context's bounds, or the stubs since the last chunk.  A null text is an empty one.  An empty text has no
+chunks, and Spark drops its row in a LEFT JOIN LATERAL too (``chunks_in_sql`` of the queries keeps such rows).
 """
 
 from __future__ import annotations

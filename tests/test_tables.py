@@ -1,10 +1,12 @@
 """Table functions give the rows of the DataFrame operators."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quire.functions import tables
 from quire.operators import chunks as K
 from quire.operators import ordered as O
+from quire.plans import queries
 
 TEXT = "One sentence here. “A speech that goes on. And on.” she said.\n\nAnother paragraph! Was it? " * 60
 
@@ -29,3 +31,12 @@ def test_partitions_in_order(spark):
     got = spark.sql("SELECT * FROM context_sessions(TABLE(SELECT key, seq, seq % 3 = 1 AS starts FROM table_rows) PARTITION BY key ORDER BY seq)").collect()
     want = O.context_sessions(rows, "key", "seq", F.col("seq") % 3 == 1).select("key", "seq", "session").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_chunks_in_sql_keep_texts_without_chunks(spark, tmp_path):
+    rows = [(1, TEXT * 9), (2, ""), (3, None), (4, " \n\n "), (5, "short"), (5, "twice"), (None, "no id"), (6, "é")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["chunks_in_sql"](spark, str(tmp_path)).collect()
+    documents = f"'{tmp_path}/documents.parquet/*.parquet'"
+    want = duckdb.sql(f"WITH documents AS (SELECT * FROM {documents}) {queries.SQL['chunks_in_sql']}").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(got) == len(rows)
